@@ -43,10 +43,9 @@ def unit_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, from file sizes: used to choose numbers of buckets, never to drop rows."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+def text_bytes(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of a column over all rows: sets numbers of buckets, never drops rows."""
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
 # ---------------------------------------------------------------- components
