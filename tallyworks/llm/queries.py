@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, shard, simhash, urlfilter
+from . import bpe, chat, decontam, embed, langid, lmscore, shard, simhash, substring, urlfilter
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -28,10 +28,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.report(table(spark, sf_dir, "embeddings"))
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.report(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -48,7 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
+    "op4_embeddings": op4_embeddings,
+    "op5_substring": op5_substring,
     "op6_shard": op6_shard,
+    "op7_lm_score": op7_lm_score,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
@@ -56,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": urlfilter.SQL,
+    "op5_substring": substring.SQL,
     "op8_chat": chat.SQL,
 }
