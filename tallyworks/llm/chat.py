@@ -86,15 +86,19 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv:
 
     first = F.array(F.struct(F.col("lead").alias("h"), F.col("lead").alias("i")))
     convs = convs.withColumn("cuts", F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), first, step))
-    convs = convs.select("*", F.size("turns").cast("long").alias("n_turns"), F.posexplode("cuts").alias("window", "cut"))
+    # outer: every conversation has a cut, and a filter inferred from a plain explode would evaluate all of the above once more
+    convs = convs.select("*", F.size("turns").cast("long").alias("n_turns"), F.posexplode_outer("cuts").alias("window", "cut"))
     stop = F.coalesce(F.get("cuts", F.col("window") + 1)["i"], F.size("turns"))
     shown = F.concat(F.slice("turns", F.lit(1), F.col("lead")), F.slice("turns", F.col("cut.h") + 1, stop - F.col("cut.h")))
     n_context = F.when(F.col("window") == 0, 0).otherwise(F.col("lead") + F.col("cut.i") - F.col("cut.h"))
     out = convs.select(conv, F.col("window").cast("long").alias("window"), "n_turns", n_context.alias("n_context"), shown.alias("shown"))
     widths = F.transform("shown", lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END))
     out = out.withColumn("begin", F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w))))
-    spans = F.transform("shown", lambda t, k: F.struct((F.get("begin", k) + F.length(t["head"])).alias("start"), F.length(t["text"]).alias("length"), (t["target"] & (k >= F.col("n_context"))).alias("on")))
-    loss = F.transform(F.filter(spans, lambda s: s["on"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    spans = F.transform(
+        F.arrays_zip("shown", "begin"),
+        lambda z, k: F.struct((z["begin"] + F.length(z["shown"]["head"])).alias("start"), F.length(z["shown"]["text"]).alias("length"), (z["shown"]["target"] & (k >= F.col("n_context"))).alias("on")),
+    )
+    loss = F.transform(F.filter(spans, lambda s: F.coalesce(s["on"], F.lit(False))), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return out.select(
         conv,
         "window",
