@@ -43,13 +43,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """(rows, tables, 1 + probes) buckets: the own one, then the probed ones."""
+    """(rows, tables, 1 + probes) buckets: the own one, then the probed ones; -1 where a short vector has no more."""
     n, d = x.shape
     wide = 1 << max(0, d - 1).bit_length()
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, wide - d)))
     rng = np.random.default_rng([SEED, wide])
     take = min(3, wide)
-    out = np.zeros((n, tables, 1 + probes), dtype=np.int64)
+    out = np.full((n, tables, 1 + probes), -1, dtype=np.int64)
     for t in range(tables):
         names, gaps = [], []
         for _ in range(FUNCTIONS):
@@ -62,11 +62,13 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarr
             gaps.append(np.abs(value[:, :1]) - np.abs(value))
         base = [(2 * wide) ** j for j in range(FUNCTIONS)]
         own = sum(names[j][:, 0] * base[j] for j in range(FUNCTIONS))
-        other = np.stack([own + (names[j][:, q] - names[j][:, 0]) * base[j] for j in range(FUNCTIONS) for q in range(1, take)], axis=1) if take > 1 else own[:, None]
-        gap = np.stack([gaps[j][:, q] for j in range(FUNCTIONS) for q in range(1, take)], axis=1) if take > 1 else np.zeros((n, 1))
-        near = np.take_along_axis(other, np.argsort(gap, axis=1, kind="stable"), 1)
-        near = near[:, np.minimum(np.arange(probes), near.shape[1] - 1)]
-        out[:, t, 0], out[:, t, 1:] = own, near
+        out[:, t, 0] = own
+        if take > 1 and probes:
+            options = [(j, q) for j in range(FUNCTIONS) for q in range(1, take)]
+            other = np.stack([own + (names[j][:, q] - names[j][:, 0]) * base[j] for j, q in options], axis=1)
+            gap = np.stack([gaps[j][:, q] for j, q in options], axis=1)
+            near = np.take_along_axis(other, np.argsort(gap, axis=1, kind="stable"), 1)[:, :probes]
+            out[:, t, 1 : 1 + near.shape[1]] = near
     return out
 
 
@@ -135,7 +137,7 @@ class _Rows:
                 for j in range(each):
                     if i and j:
                         continue  # one of the two must be at home
-                    met = x[:, i] == y[:, j]
+                    met = (x[:, i] == y[:, j]) & (x[:, i] >= 0)
                     ok &= ~(met & ((t < here_t) | ((t == here_t) & (x[:, i] < here_c))))
         return ok
 
@@ -233,7 +235,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     classes, _ = settle(rows.where("label IS NOT NULL AND id IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("weight")))
     coded, _ = settle(classes.withColumn("label", F.xxhash64("label")).mapInArrow(_hash(tables, probes), "label long, v array<float>, cid long, weight long, codes array<long>"))
     each = 1 + probes
-    keyed = coded.select("cid", F.posexplode("codes").alias("p", "code"), "label", F.size("v").alias("d"))
+    keyed = coded.select("cid", F.posexplode("codes").alias("p", "code"), "label", F.size("v").alias("d")).where("code >= 0")
     keyed = keyed.select("cid", F.floor(F.col("p") / each).cast("int").alias("table"), (F.col("p") % each == 0).alias("own"), "code", F.xxhash64("label", "d", F.floor(F.col("p") / each), "code").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").select("key", "n")
     # a bucket of n rows has ceil(n / BLOCK) blocks; a row goes to every pair that its block belongs to

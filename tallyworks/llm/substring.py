@@ -26,9 +26,9 @@ from .shared import NOT_SPACE, Texts, Words, mix, slices, text_bytes, unit_count
 
 WINDOW = 20
 #: Text of a block when sent and when cut, and text for each bucket.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 CUT_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 14 << 20
 NO_ID = -(1 << 63)
 _BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
@@ -62,10 +62,14 @@ def pack(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, hashes: np.ndar
     return len(ids).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + (hashes.tobytes() if hashes is not None else b"")
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def places_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, size = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
     body = pa.decompress(raw[8 : 8 + size], decompressed_size=16 * n, codec="zstd", asbytes=True)
-    return _unplanes(body[: 8 * n], n, np.int64), _unplanes(body[8 * n : 12 * n], n, np.int32), _unplanes(body[12 * n :], n, np.int32), np.frombuffer(raw[8 + size :], np.uint64)
+    return _unplanes(body[: 8 * n], n, np.int64), _unplanes(body[8 * n : 12 * n], n, np.int32), _unplanes(body[12 * n :], n, np.int32)
+
+
+def hashes_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64, offset=8 + int.from_bytes(raw[4:8], "little"))
 
 
 def _send(window: int, buckets: int):
@@ -114,21 +118,31 @@ def _send(window: int, buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """All of one bucket: places of every window but the first of each hash, packed by document."""
-    sent, repeats = [], []
+    sent, found = [], []
     for repeat, payload in zip(table.column("repeat").to_pylist(), table.column("payload")):
-        (repeats if repeat else sent).append(unpack(payload.as_py()))
-    found = [r[:3] for r in repeats]
+        if repeat:
+            found.append(places_of(payload.as_py()))
+        else:
+            sent.append(payload.as_buffer())
     if sent:
-        ids, marks, places, h = (np.concatenate(x) for x in zip(*sent))
+        h = np.concatenate([hashes_of(x) for x in sent])
         rank = np.argsort(h, kind="stable")
         same = np.zeros(len(h) + 1, dtype=bool)
         same[1:-1] = h[rank[1:]] == h[rank[:-1]]
-        many = rank[same[1:] | same[:-1]]
-        many = many[np.lexsort((places[many], marks[many], ids[many], h[many]))]
-        head = np.ones(len(many), dtype=bool)
-        head[1:] = h[many[1:]] != h[many[:-1]]
-        lead = many[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(many) else many
-        later = many[(ids[many] != ids[lead]) | (marks[many] != marks[lead]) | (places[many] != places[lead])]
+        many = np.sort(rank[same[1:] | same[:-1]])  # places are unpacked for these alone
+        h, edge, parts = h[many], 0, []
+        for raw in sent:
+            n = int.from_bytes(raw[:4], "little")
+            some = many[np.searchsorted(many, edge) : np.searchsorted(many, edge + n)] - edge
+            parts.append([x[some] for x in places_of(raw.to_pybytes())] if len(some) else [np.zeros(0, t) for t in (np.int64, np.int32, np.int32)])
+            edge += n
+        ids, marks, places = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((places, marks, ids, h))
+        ids, marks, places, h = ids[order], marks[order], places[order], h[order]
+        head = np.ones(len(h), dtype=bool)
+        head[1:] = h[1:] != h[:-1]
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = (ids != ids[lead]) | (marks != marks[lead]) | (places != places[lead])
         found.append((ids[later], marks[later], places[later]))
     ids, marks, places = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((places, marks, ids))
@@ -216,10 +230,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS s FROM d),
-n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s : s + {WINDOW} - 1], ' ') ORDER BY doc_id, s) AS n FROM s),
-c AS (SELECT DISTINCT doc_id, s + o AS p FROM n, range({WINDOW}) AS r(o) WHERE n > 1),
-w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p, len(ws) AS n FROM d),
+s AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS k FROM w),
+n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM s WHERE p <= n - {WINDOW - 1}),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM n, range({WINDOW}) AS r(o) WHERE n > 1),
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM w ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
