@@ -6,8 +6,9 @@ A block keeps the first window of each hash (windows after it in the block are r
 already) and sends those to the hash's bucket, packed: eight bytes of hash and about two
 of place. A bucket counts what blocks sent for a hash and answers with every place but
 the first. So a hash costs a bucket one entry per block, however frequent it is, and the
-number of buckets follows the input's size. Covering windows merge into maximal
-intervals when they meet their document's text again, which is shuffled once.
+number of buckets follows the input's size. Answers go, packed again, to groups of
+documents, where the windows of each document merge into maximal intervals: one row for
+each document that loses words. These meet the texts, which are shuffled once.
 
 A hash has 64 bits and its bucket adds log2(buckets) bits of an independent second hash.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,83 +118,106 @@ def _send(window: int, buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """All of one bucket: places of every window but the first of each hash, packed by document."""
-    sent, found = [], []
-    for repeat, payload in zip(table.column("repeat").to_pylist(), table.column("payload")):
-        if repeat:
-            found.append(places_of(payload.as_py()))
-        else:
-            sent.append(payload.as_buffer())
-    if sent:
-        h = np.concatenate([hashes_of(x) for x in sent])
-        rank = np.argsort(h, kind="stable")
-        same = np.zeros(len(h) + 1, dtype=bool)
-        same[1:-1] = h[rank[1:]] == h[rank[:-1]]
-        many = np.sort(rank[same[1:] | same[:-1]])  # places are unpacked for these alone
-        h, edge, parts = h[many], 0, []
-        for raw in sent:
-            n = int.from_bytes(raw[:4], "little")
-            some = many[np.searchsorted(many, edge) : np.searchsorted(many, edge + n)] - edge
-            parts.append([x[some] for x in places_of(raw.to_pybytes())] if len(some) else [np.zeros(0, t) for t in (np.int64, np.int32, np.int32)])
-            edge += n
-        ids, marks, places = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((places, marks, ids, h))
-        ids, marks, places, h = ids[order], marks[order], places[order], h[order]
-        head = np.ones(len(h), dtype=bool)
-        head[1:] = h[1:] != h[:-1]
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = (ids != ids[lead]) | (marks != marks[lead]) | (places != places[lead])
-        found.append((ids[later], marks[later], places[later]))
-    ids, marks, places = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((places, marks, ids))
-    ids, marks, places = ids[order], marks[order], places[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(marks) != 0)
-    head = np.flatnonzero(new)
-    cut = [*head.tolist(), len(ids)]
-    starts = [places[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-    return pa.table({"id": ids[head], "mark": marks[head], "starts": pa.array(starts, pa.binary())})
+def _answer(groups: int):
+    """All of one bucket: places of every window but the first of each hash, packed by group of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent, found = [], []
+        for repeat, payload in zip(table.column("repeat").to_pylist(), table.column("payload")):
+            if repeat:
+                found.append(places_of(payload.as_py()))
+            else:
+                sent.append(payload.as_buffer())
+        if sent:
+            found.append(_later(sent))
+        ids, marks, places = (np.concatenate(x) for x in zip(*found))
+        group = (mix(ids.view(np.uint64) ^ marks.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((places, marks, ids, group))
+        ids, marks, places, group = ids[order], marks[order], places[order], group[order]
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        cut = [*head.tolist(), len(ids)]
+        payloads = [pack(ids[a:b], marks[a:b], places[a:b]) for a, b in zip(cut, cut[1:])]
+        return pa.table({"group": pa.array(group[head], pa.int64()), "payload": pa.array(payloads, pa.binary())})
+
+    return run
+
+
+def _later(sent: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows that blocks sent, those whose hash another one has at an earlier place."""
+    h = np.concatenate([hashes_of(x) for x in sent])
+    rank = np.argsort(h, kind="stable")
+    same = np.zeros(len(h) + 1, dtype=bool)
+    same[1:-1] = h[rank[1:]] == h[rank[:-1]]
+    many = np.sort(rank[same[1:] | same[:-1]])  # places are unpacked for these alone
+    h, edge, parts = h[many], 0, []
+    for raw in sent:
+        n = int.from_bytes(raw[:4], "little")
+        some = many[np.searchsorted(many, edge) : np.searchsorted(many, edge + n)] - edge
+        parts.append([x[some] for x in places_of(raw.to_pybytes())] if len(some) else [np.zeros(0, t) for t in (np.int64, np.int32, np.int32)])
+        edge += n
+    ids, marks, places = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((places, marks, ids, h))
+    ids, marks, places, h = ids[order], marks[order], places[order], h[order]
+    head = np.ones(len(h), dtype=bool)
+    head[1:] = h[1:] != h[:-1]
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    later = (ids != ids[lead]) | (marks != marks[lead]) | (places != places[lead])
+    return ids[later], marks[later], places[later]
+
+
+def _merge(window: int):
+    """All of one group of documents: the maximal intervals that each document's windows cover."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, marks, places = (np.concatenate(x) for x in zip(*(places_of(x.as_py()) for x in table.column("payload"))))
+        order = np.lexsort((places, marks, ids))
+        ids, marks, places = ids[order], marks[order], places[order].astype(np.int64)
+        doc = np.ones(len(ids), dtype=bool)
+        doc[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+        fresh = doc.copy()
+        fresh[1:] |= np.diff(places) > window
+        head = np.flatnonzero(fresh)
+        last = np.append(head[1:], len(ids)) - 1
+        spans = pa.StructArray.from_arrays([pa.array(places[head]), pa.array(places[last] + window)], names=["start", "end"])
+        first = np.flatnonzero(doc)
+        offsets = np.append(np.searchsorted(head, first), len(head)).astype(np.int32)
+        return pa.table({"id": ids[first], "mark": marks[first], "__removed": pa.ListArray.from_arrays(pa.array(offsets), spans)})
+
+    return run
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def _cut(window: int, text: str, names: list[str]):
-    from pyspark.sql.pandas.types import to_arrow_type
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, CUT_BYTES):
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
                 texts = Texts(col[text])
                 words = Words(texts, NOT_SPACE)
-                step = np.zeros(len(words) + 1, dtype=np.int32)
-                hit = []
-                for k, starts in enumerate(col["__starts"].to_pylist()):
-                    if starts:
-                        hit.append(k)
-                        at = words.first[k] + np.unique(np.frombuffer(b"".join(starts), np.int32))
-                        step[at] += 1
-                        np.subtract.at(step, at + window, 1)
+                lists = col["__removed"]
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                spans = lists.flatten()
+                ends = [words.first[:-1].repeat(counts) + spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+                step = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(step, ends[0], 1)
+                np.subtract.at(step, ends[1], 1)
                 gone = np.cumsum(step)[:-1] > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 raw = texts.bytes[: texts.size].tobytes()
                 offsets = texts.offsets.tolist()
                 kept = [b" ".join(raw[a:b].split()) for a, b in zip(offsets, offsets[1:])]
-                spans: list[list[dict]] = [[] for _ in kept]
-                for k in hit:
+                for k in np.flatnonzero(counts):
                     a, b = words.first[k], words.first[k + 1]
                     stay = np.flatnonzero(~gone[a:b]) + a
                     kept[k] = b" ".join(raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist()))
-                    turn = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
-                    spans[k] = [{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[col[n] for n in names],
                         pa.array(np.diff(words.first), pa.int64()),
                         pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
-                        pa.array(spans, to_arrow_type(SPAN)),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                     ],
                     names=[*names, "n_words", "n_removed", "removed", "kept"],
@@ -216,10 +241,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     ident = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
     mark = F.hash(F.col(text))
     sent = docs.select(ident.alias("id"), mark.alias("mark"), F.col(text).alias("text")).mapInArrow(_send(window, buckets), "bucket long, repeat boolean, payload binary")
-    later = sent.groupBy("bucket").applyInArrow(_answer, "id long, mark int, starts binary")
-    starts = later.groupBy("id", "mark").agg(F.collect_list("starts").alias("__starts"))
+    later = sent.groupBy("bucket").applyInArrow(_answer(buckets), "group long, payload binary")
+    spans = later.groupBy("group").applyInArrow(_merge(window), T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("__removed", SPAN)]))
     rows = docs.select(*dict.fromkeys([*names, text]), ident.alias("__id"), mark.alias("__mark"))
-    joined = rows.join(starts, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")), "left").drop("id", "mark", "__id", "__mark")
+    joined = rows.join(spans, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")), "left").drop("id", "mark", "__id", "__mark")
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPAN), T.StructField("kept", T.StringType())]
     return joined.mapInArrow(_cut(window, text, names), T.StructType([*docs.select(*names).schema.fields, *new]))
 
