@@ -6,13 +6,14 @@ Pages and rules are dealt into ranges of keys, sorted, and swept once: a stack h
 rules whose interval is open at the current host, and a second sweep over the host's
 sorted paths holds the path prefixes that are open, longest on top.
 
-Ranges come from a bounded sample of hosts. A range of one frequent host gets several
-cells, and pages are dealt over them by a hash of the URL; a rule goes to every cell that
+Ranges come from a sample of hosts whose expected size is bounded. A range of one frequent host gets several
+cells, and pages are dealt over them by a hash of the row; a rule goes to every cell that
 its interval meets. Sweeping reads batches in order and keeps the open rules only.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -61,18 +62,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     names = pages.columns
     cells = unit_count(spark)
     rows = pages.withColumn("__host", host_of(F.coalesce(F.col(url), F.lit("")))).withColumn("__path", path_of(F.coalesce(F.col(url), F.lit("")))).withColumn("__key", key_of(F.col("__host")))
-    # the sample: rows with the least hashes of their URL, at most SAMPLE_EACH a cell
-    sample = [r[0] for r in rows.orderBy(F.xxhash64(url)).limit(SAMPLE_EACH * cells).select("__key").collect()]
+    # the sample sets the balance of cells and nothing else: no row's result depends on it
+    share = min(1.0, SAMPLE_EACH * cells / max(1, pages.count()))
+    sample = [r[0] for r in rows.select("__key").sample(share, seed=17).collect()]
     bounds, shares = _ranges(sorted(sample), cells)
     first = np.cumsum([0, *shares])
-    split = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
 
     def range_of(key: Column) -> Column:
-        return F.size(F.filter(split, lambda b: b <= key))
+        return _range_of(key, bounds)
 
     starts, counts = F.array(*[F.lit(int(x)) for x in first[:-1]]), F.array(*[F.lit(int(x)) for x in shares])
     at = range_of(F.col("__key"))
-    dealt = rows.withColumn("__cell", F.get(starts, at) + F.pmod(F.xxhash64(F.coalesce(F.col(url), F.lit(""))), F.get(counts, at)).cast("int"))
+    whole = [F.col(f.name) for f in pages.schema.fields if "map<" not in f.dataType.simpleString()]  # a frequent URL is dealt out too
+    dealt = rows.withColumn("__cell", F.get(starts, at) + F.pmod(F.xxhash64(*whole), F.get(counts, at)).cast("int"))
     clean = rules.where(F.instr("rule", "/") > 0).select("rule", "verdict", F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER).alias("__host"), F.substr("rule", F.instr("rule", "/")).alias("__path")).distinct()
     clean = clean.withColumn("__key", key_of(F.col("__host")))
     low, high = range_of(F.col("__key")), range_of(F.concat("__key", F.lit("￿")))
@@ -83,6 +85,17 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     return work.mapInArrow(_sweep(names, default), schema)
 
 
+def _range_of(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted ``bounds`` are at most ``key``: first among every step-th bound, then in between."""
+    if not bounds:
+        return F.lit(0)
+    step = int(np.ceil(np.sqrt(len(bounds))))
+    runs = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    outer, inner = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in (([r[0] for r in runs], "array<string>"), ([[], *runs], "array<array<string>>")))
+    run = F.size(F.filter(outer, lambda b: b <= key))
+    return (F.greatest(run - 1, F.lit(0)) * step + F.size(F.filter(F.get(inner, run), lambda b: b <= key))).cast("int")
+
+
 def _ranges(sample: list[str], cells: int) -> tuple[list[str], list[int]]:
     """Bounds between ranges, and how many cells each range has by its share of the sample."""
     bounds: list[str] = []
