@@ -12,12 +12,14 @@ document's own counts are taken out of its class before it is scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_OR_HIGH, Texts, Words, mix, text_bytes, unit_count
+from .shared import ALNUM_OR_HIGH, Texts, Words, mix, slices, text_bytes, unit_count
 
 BIGRAM_WEIGHT = 0.6
 DELTA = 0.1
@@ -90,6 +92,14 @@ class Block:
         return out
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text."""
+    for batch in batches:
+        for part in slices(batch, "text", BLOCK_BYTES):
+            words = Words(Texts(part.column(1), fold=True), ALNUM_OR_HIGH)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.first), pa.int64())], names=["doc_id", "n"])
+
+
 def _send(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table, buckets)
@@ -180,9 +190,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", weigh
     buckets = max(unit_count(docs.sparkSession), size // BUCKET_BYTES)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     chosen = labels.where(target).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    word = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.select("doc_id", word.alias("n")).join(chosen, F.col("doc_id") == F.col("id"), "left")
+    counted = texts.mapInArrow(_count, "doc_id long, n long").join(chosen, F.col("doc_id") == F.col("id"), "left")
     sums = counted.agg(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.sum(F.when(F.col("id").isNull(), F.col("n")))).first()
     sizes = {"target": int(sums[0] or 0), "back": int(sums[1] or 0)}
     rows = texts.select(block, F.col("doc_id").alias("id"), "text", F.lit(0).alias("label_row"), F.lit(False).alias("target"))
