@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import slices, tidy
 
 #: The split pattern of byte-level BPE vocabularies of this family (a fixed value of the public format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Ids that are decoded at once.
+BLOCK_IDS = 1 << 18
 MAX_WORDS = 300_000
 
 _encoders: dict[int, "Encoder"] = {}
@@ -143,7 +145,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -163,7 +165,7 @@ def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "deco
         for batch in batches:
             names = [f.name for f in kept]
             column = batch.column(batch.schema.get_field_index(ids))
-            step = max(1, int(batch.num_rows * (1 << 20) // max(1, len(column.flatten()))))
+            step = max(1, int(batch.num_rows * BLOCK_IDS // max(1, len(column.flatten()))))
             for k in range(0, batch.num_rows, step):
                 part, lists = batch.slice(k, step), column.slice(k, step)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -178,7 +180,7 @@ def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "deco
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, text])
 
-    return frame.mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return frame.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

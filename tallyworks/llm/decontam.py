@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_OR_HIGH, Texts, Words, slices
+from .shared import ALNUM_OR_HIGH, Texts, Words, slices, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -162,7 +162,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     for k in range(blocks):
         rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"), part_of.alias("k")).where(f"k = {k}").toPandas()
         index = spark.sparkContext.broadcast(Suffixes(rows["i"].tolist(), rows["t"].tolist(), window))
-        out = out.mapInArrow(_pass(index, text, k == 0, k == blocks - 1, names), T.StructType([f for f in out.select(*(names if k == blocks - 1 else dict.fromkeys([*names, text]))).schema.fields] + [T.StructField(n, t) for n, t in _FOUND.items() if not (n == "hits" and k == blocks - 1)] + [T.StructField("n_hit", T.LongType())] * (k == blocks - 1)))
+        out = out.mapInArrow(tidy(_pass(index, text, k == 0, k == blocks - 1, names)), T.StructType([f for f in out.select(*(names if k == blocks - 1 else dict.fromkeys([*names, text]))).schema.fields] + [T.StructField(n, t) for n, t in _FOUND.items() if not (n == "hits" and k == blocks - 1)] + [T.StructField("n_hit", T.LongType())] * (k == blocks - 1)))
     return out.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("contaminated", F.col("n_hit") > 0)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, settle
+from .shared import connected_components, settle, tidy
 
 THRESHOLD = 0.93
 TABLES = 8
@@ -233,7 +233,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("label", F.when(usable(F.col("v")), F.col("label"))).withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
     classes, _ = settle(rows.where("label IS NOT NULL AND id IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("weight")))
-    coded, _ = settle(classes.withColumn("label", F.xxhash64("label")).mapInArrow(_hash(tables, probes), "label long, v array<float>, cid long, weight long, codes array<long>"))
+    coded, _ = settle(classes.withColumn("label", F.xxhash64("label")).mapInArrow(tidy(_hash(tables, probes)), "label long, v array<float>, cid long, weight long, codes array<long>"))
     each = 1 + probes
     keyed = coded.select("cid", F.posexplode("codes").alias("p", "code"), "label", F.size("v").alias("d")).where("code >= 0")
     keyed = keyed.select("cid", F.floor(F.col("p") / each).cast("int").alias("table"), (F.col("p") % each == 0).alias("own"), "code", F.xxhash64("label", "d", F.floor(F.col("p") / each), "code").alias("key"))
@@ -245,7 +245,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     live = live.select("cid", "table", "own", "code", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     met = live.join(coded, "cid")
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found, _ = settle(dealt.mapInArrow(_compare(probes, threshold), "cid long, n long, root long"))
+    found, _ = settle(dealt.mapInArrow(tidy(_compare(probes, threshold)), "cid long, n long, root long"))
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     reach = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     vertex = classes.join(counts, "cid", "left").join(reach.withColumnRenamed("node", "cid"), "cid", "left")

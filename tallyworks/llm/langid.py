@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, Texts, slices
+from .shared import LOWER, Texts, slices, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -164,7 +164,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
                 keep = (nth * SAMPLE_WINDOWS // count[owner] != (nth - 1) * SAMPLE_WINDOWS // count[owner]) & (length >= 16) | (nth == 0)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found[keep]], pa.binary()), part.column(1).take(pa.array(owner[keep]))], names=["window", "label"])
 
-    sample = picked.mapInArrow(cut, "window binary, label string").toPandas().sort_values(["label", "window"])
+    sample = picked.mapInArrow(tidy(cut), "window binary, label string").toPandas().sort_values(["label", "window"])
     x = np.frombuffer(b"".join(sample["window"]), dtype=np.uint8).reshape(-1, WINDOW)
     y = np.searchsorted(labels, sample["label"].to_numpy(dtype=str)) if len(sample) else np.zeros(0, int)
     return Network(labels).train(x, y, steps) if len(x) else Network(labels)
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, network: Network, text: str = "text", to: str = "la
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*names_in, to, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(mark, has_letter(F.col(text))).mapInArrow(run, schema)
+    return docs.withColumn(mark, has_letter(F.col(text))).mapInArrow(tidy(run), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

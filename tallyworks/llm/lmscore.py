@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_OR_HIGH, Texts, Words, mix, slices, text_bytes, unit_count
+from .shared import ALNUM_OR_HIGH, Texts, Words, mix, slices, text_bytes, tidy, tidy_group, unit_count
 
 BIGRAM_WEIGHT = 0.6
 DELTA = 0.1
@@ -191,14 +191,14 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", weigh
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     chosen = labels.where(target).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.mapInArrow(_count, "doc_id long, n long").join(chosen, F.col("doc_id") == F.col("id"), "left")
+    counted = texts.mapInArrow(tidy(_count), "doc_id long, n long").join(chosen, F.col("doc_id") == F.col("id"), "left")
     sums = counted.agg(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.sum(F.when(F.col("id").isNull(), F.col("n")))).first()
     sizes = {"target": int(sums[0] or 0), "back": int(sums[1] or 0)}
     rows = texts.select(block, F.col("doc_id").alias("id"), "text", F.lit(0).alias("label_row"), F.lit(False).alias("target"))
     marks = chosen.select(F.col("id").alias("doc_id")).select(block, F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("label_row"), F.lit(True).alias("target"))
     dealt = rows.unionByName(marks)
-    sent = dealt.groupBy("block").applyInArrow(_send(buckets), "bucket long, block long, n long, keys binary, target binary, back binary")
-    answers = sent.groupBy("bucket").applyInArrow(_sum, "bucket long, block long, n long, target binary, back binary")
+    sent = dealt.groupBy("block").applyInArrow(tidy_group(_send(buckets)), "bucket long, block long, n long, keys binary, target binary, back binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidy_group(_sum), "bucket long, block long, n long, target binary, back binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, sizes, weight, delta), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 

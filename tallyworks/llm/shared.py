@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,38 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks and wait, several on each executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches of a partition, with ``release`` when it ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """``run`` over the table of a group, with ``release`` after each."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    return tidied
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, settle
+from .shared import connected_components, settle, tidy
 
 SHINGLE = 3
 #: Differing bits; four bands and common neighbours are proofs for two.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint", k
             yield pa.RecordBatch.from_arrays([*[col[n] for n in names], found], names=[*names, to])
 
     kept = docs.select(*names).schema.fields
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*kept, T.StructField(to, T.LongType())]))
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(tidy(run), T.StructType([*kept, T.StructField(to, T.LongType())]))
 
 
 def _distance(x: Column, pivot: int) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import NOT_SPACE, Texts, Words, mix, slices, text_bytes, unit_count
+from .shared import NOT_SPACE, Texts, Words, mix, slices, text_bytes, tidy, tidy_group, unit_count
 
 WINDOW = 20
 #: Text of a block when sent and when cut, and text for each bucket.
@@ -240,13 +240,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     names = [c for c in (keep if keep is not None else docs.columns) if c not in {"n_words", "n_removed", "removed", "kept"}]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
     mark = F.hash(F.col(text))
-    sent = docs.select(ident.alias("id"), mark.alias("mark"), F.col(text).alias("text")).mapInArrow(_send(window, buckets), "bucket long, repeat boolean, payload binary")
-    later = sent.groupBy("bucket").applyInArrow(_answer(buckets), "group long, payload binary")
-    spans = later.groupBy("group").applyInArrow(_merge(window), T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("__removed", SPAN)]))
+    sent = docs.select(ident.alias("id"), mark.alias("mark"), F.col(text).alias("text")).mapInArrow(tidy(_send(window, buckets)), "bucket long, repeat boolean, payload binary")
+    later = sent.groupBy("bucket").applyInArrow(tidy_group(_answer(buckets)), "group long, payload binary")
+    spans = later.groupBy("group").applyInArrow(tidy_group(_merge(window)), T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("__removed", SPAN)]))
     rows = docs.select(*dict.fromkeys([*names, text]), ident.alias("__id"), mark.alias("__mark"))
     joined = rows.join(spans, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")), "left").drop("id", "mark", "__id", "__mark")
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPAN), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(_cut(window, text, names), T.StructType([*docs.select(*names).schema.fields, *new]))
+    return joined.mapInArrow(tidy(_cut(window, text, names)), T.StructType([*docs.select(*names).schema.fields, *new]))
 
 
 def report(docs: DataFrame) -> DataFrame:
