@@ -268,14 +268,15 @@ def sponsorship_window(w: Workload) -> DataFrame:
 
 
 @query(
-    ", rf AS (SELECT DISTINCT filing_id AS referral_id, 'HSAB' || (filing_id % 6) AS committee_id, sector, filed_on AS happened_on FROM t WHERE NOT is_ptr AND filing_id % 50 = 0), se AS (SELECT DISTINCT member_id FROM mem WHERE member_id % 10 = 0), m AS (SELECT t.member_id, referral_id, txn_id, min(ticker) AS ticker, CAST(min(abs(traded_on - happened_on)) AS INTEGER) AS days FROM t JOIN se ON se.member_id = t.member_id JOIN rf ON rf.sector = t.sector AND abs(traded_on - happened_on) <= 60 WHERE is_ptr GROUP BY 1, 2, 3) SELECT member_id, referral_id, count(*) AS trades, "
+    ", rf AS (SELECT DISTINCT filing_id AS referral_id, filing_id % 1000 AS parent, sector, filed_on AS happened_on FROM t WHERE NOT is_ptr), se AS (SELECT DISTINCT member_id, member_id % 1000 AS parent FROM mem), m AS (SELECT t.member_id, referral_id, txn_id, min(ticker) AS ticker, CAST(min(abs(traded_on - happened_on)) AS INTEGER) AS days FROM t JOIN se ON se.member_id = t.member_id JOIN rf ON rf.parent = se.parent AND rf.sector = t.sector AND abs(traded_on - happened_on) <= 60 WHERE is_ptr GROUP BY 1, 2, 3) SELECT member_id, referral_id, count(*) AS trades, "
     + _NEAR
     + " FROM m GROUP BY 1, 2"
 )
 def jurisdiction_window(w: Workload) -> DataFrame:
     t = w.trades()
-    referrals = t.where("NOT is_ptr AND filing_id % 50 = 0").select(F.col("filing_id").alias("referral_id"), F.concat(F.lit("HSAB"), F.expr("filing_id % 6").cast("string")).alias("committee_id"), "sector", F.col("filed_on").alias("happened_on")).distinct()
-    seats = w.members().where("member_id % 10 = 0").select("member_id", F.lit("hsab01").alias("committee_id"))
+    # a committee for every filing and every member: its code is a letter and three digits, subcommittees add two
+    referrals = t.where("NOT is_ptr").select(F.col("filing_id").alias("referral_id"), F.expr("concat('H', lpad(filing_id % 1000, 3, '0'), '00')").alias("committee_id"), "sector", F.col("filed_on").alias("happened_on")).distinct()
+    seats = w.members().select("member_id", F.expr("concat('h', lpad(member_id % 1000, 3, '0'), '01')").alias("committee_id"))
     return legislation.jurisdiction_window(t.where("is_ptr"), referrals, seats)
 
 
@@ -403,22 +404,22 @@ def significance_summary(w: Workload) -> DataFrame:
 _IDENT = "(member_id, anomaly_type, txn_id IS NOT NULL, coalesce(CAST(txn_id AS VARCHAR), substr(title, 1, 200)))"
 
 
-@query(f", i AS (SELECT *, {_IDENT} AS id FROM fnd), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finding_id) AS n FROM i WHERE finding_id % 2 = 0 AND anomaly_type <> 'late_exchange') SELECT finding_id, member_id, anomaly_type, title FROM f WHERE n = 1 AND id NOT IN (SELECT id FROM i WHERE finding_id % 5 = 0)")
+@query(f", i AS (SELECT *, {_IDENT} AS id FROM fnd), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finding_id) AS n FROM i WHERE anomaly_type <> 'late_exchange') SELECT finding_id, member_id, anomaly_type, title FROM f WHERE n = 1 AND id NOT IN (SELECT id FROM i WHERE severity = 'high')")
 def persist_dedupe(w: Workload) -> DataFrame:
     f = w.findings()
-    return fi.persist(f.where("finding_id % 2 = 0"), f.where("finding_id % 5 = 0"), ["finding_id"], disabled=["late_exchange"]).select("finding_id", "member_id", "anomaly_type", "title")
+    return fi.persist(f, f.where("severity = 'high'"), ["finding_id"], disabled=["late_exchange"]).select("finding_id", "member_id", "anomaly_type", "title")
 
 
-@query(f", i AS (SELECT *, {_IDENT} AS id FROM fnd) SELECT finding_id FROM i WHERE NOT (anomaly_type IN ('late_sale', 'late_purchase')) OR id IN (SELECT id FROM i WHERE finding_id % 3 = 0)")
+@query(f", i AS (SELECT *, {_IDENT} AS id FROM fnd) SELECT finding_id FROM i WHERE NOT (anomaly_type IN ('late_sale', 'late_purchase')) OR id IN (SELECT id FROM i WHERE severity = 'high')")
 def retract_findings(w: Workload) -> DataFrame:
     f = w.findings()
-    return fi.retract(f, f.where("finding_id % 3 = 0"), ["late_sale", "late_purchase"]).select("finding_id")
+    return fi.retract(f, f.where("severity = 'high'"), ["late_sale", "late_purchase"]).select("finding_id")
 
 
-@query("SELECT finding_id, CASE WHEN finding_id % 4 = 0 AND txn_id IS NOT NULL THEN 'now ' || title ELSE title END AS title FROM fnd")
+@query("SELECT finding_id, CASE WHEN severity = 'high' AND txn_id IS NOT NULL THEN 'now ' || title ELSE title END AS title FROM fnd")
 def restate_findings(w: Workload) -> DataFrame:
     f = w.findings()
-    derived = f.where("finding_id % 4 = 0 AND txn_id IS NOT NULL").withColumn("title", F.concat(F.lit("now "), "title"))
+    derived = f.where("severity = 'high' AND txn_id IS NOT NULL").withColumn("title", F.concat(F.lit("now "), "title"))
     return fi.restate(f, derived, ["title", "description"]).select("finding_id", "title")
 
 
@@ -440,10 +441,11 @@ def null_preserving_upsert(w: Workload) -> DataFrame:
     return fi.fold_upsert(stored, payload, ["id"], "arrived")
 
 
-@query(", i AS (SELECT source, external_id, min(event_id) AS event_id FROM (SELECT event_type AS source, user_id AS external_id, event_id FROM events WHERE event_id % 2 = 0) GROUP BY 1, 2) SELECT source, external_id, event_id FROM i WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = i.source AND e.user_id = i.external_id AND e.event_id % 97 = 1)")
+@query(", i AS (SELECT source, external_id, min(event_id) AS event_id FROM (SELECT event_type AS source, user_id AS external_id, event_id FROM events) GROUP BY 1, 2) SELECT source, external_id, event_id FROM i WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = i.source AND e.user_id = i.external_id AND e.ts < TIMESTAMP '2024-01-03')")
 def insert_new_events(w: Workload) -> DataFrame:
-    e = w.table("events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), "event_id")
-    return fi.insert_new(e.where("event_id % 97 = 1"), e.where("event_id % 2 = 0"), ["source", "external_id"], ["event_id"])
+    e = w.table("events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), "event_id", "ts")
+    stored = e.where("ts < TIMESTAMP '2024-01-03'")
+    return fi.insert_new(stored, e, ["source", "external_id"], ["event_id"]).drop("ts")
 
 
 @query("SELECT filing_id, ticker, txn_id FROM t WHERE filing_id NOT IN (SELECT filing_id FROM t WHERE sector LIKE 'S%') UNION ALL SELECT filing_id, ticker, txn_id FROM t WHERE sector LIKE 'S%'")
@@ -517,11 +519,11 @@ def asset_listing(w: Workload) -> DataFrame:
     return serving.asset_listing(w.assets()).select("asset_id", "filing_id", F.col("value_max").cast("double").alias("value_max"), "total")
 
 
-@query("SELECT (SELECT count(*) FROM fil) AS bills, (SELECT count(*) FROM fil WHERE filing_id % 3 = 0) AS mapped_bills, (SELECT count(DISTINCT part_id) FROM t) AS traded_tickers, (SELECT count(DISTINCT part_id) FROM t WHERE part_id % 2 = 0) AS known_tickers")
+@query("SELECT (SELECT count(*) FROM fil) AS bills, (SELECT count(*) FROM fil WHERE filing_id % 3 = 0) AS mapped_bills, (SELECT count(DISTINCT part_id) FROM t) AS traded_tickers, (SELECT count(DISTINCT part_id) FROM t JOIN part ON p_partkey = part_id WHERE p_size > 25) AS known_tickers")
 def coverage(w: Workload) -> DataFrame:
     bills = w.filings().select(F.when(F.col("filing_id") % 3 == 0, "x").alias("sector"))
     tickers = w.trades().select(F.col("part_id").cast("string").alias("ticker"))
-    known = w.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("ticker"))
+    known = w.table("part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("ticker"))
     return serving.coverage(bills, tickers, known)
 
 
@@ -537,10 +539,9 @@ def opacity_leaderboard(w: Workload) -> DataFrame:
     return scores.opacity_leaderboard(w.filings(), rows, w.assets())
 
 
-@query(r""", s AS (SELECT doc_id, trim(substr(coalesce(text, ''), 1, doc_id % 12)) AS d FROM documents) SELECT doc_id, length(d) < 3 OR regexp_replace(regexp_replace(d, '(?i)\b(various|misc|miscellaneous|other|unknown|see\s+attached|n/?a|none|undetermined|not\s+applicable|redacted)\b', '', 'g'), '^[ .,\-—/]+|[ .,\-—/]+$', '', 'g') = '' AS vague FROM s""")
+@query(r""", s AS (SELECT doc_id, trim(coalesce(text, '')) AS d FROM documents) SELECT doc_id, length(d) < 3 OR regexp_replace(regexp_replace(d, '(?i)\b(various|misc|miscellaneous|other|unknown|see\s+attached|n/?a|none|undetermined|not\s+applicable|redacted)\b', '', 'g'), '^[ .,\-—/]+|[ .,\-—/]+$', '', 'g') = '' AS vague FROM s""")
 def text_vagueness(w: Workload) -> DataFrame:
-    d = w.table("documents").select("doc_id", F.expr("substring(coalesce(text, ''), 1, int(doc_id % 12))").alias("d"))
-    return d.select("doc_id", predicates.is_vague(F.col("d")).alias("vague"))
+    return w.table("documents").select("doc_id", predicates.is_vague(F.col("text")).alias("vague"))
 
 
 @query("SELECT txn_id, amount_min, amount_max, CASE WHEN amount_max IS NULL THEN amount_min ELSE CAST(amount_min + amount_max AS DOUBLE) / 2 END AS amount FROM t")
@@ -560,10 +561,10 @@ def ticker_extraction(w: Workload) -> DataFrame:
     return w.table("orders").select(F.col("o_orderkey").alias("id"), text.ticker_in(words).alias("ticker"))
 
 
-@query("SELECT DISTINCT c_name AS name, CASE WHEN c_custkey < 100 THEN 'T' || c_custkey END AS ticker FROM customer")
+@query("SELECT c_name AS name, 'T' || c_custkey AS ticker FROM customer UNION SELECT s_name, NULL FROM supplier")
 def prefix_name_resolution(w: Workload) -> DataFrame:
-    names = w.table("customer").select(F.col("c_name").alias("name"))
-    register = w.table("customer").where("c_custkey < 100").select(F.col("c_custkey").alias("position"), F.concat("c_name", F.lit(" Holdings Inc")).alias("title"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
+    names = w.table("customer").select(F.col("c_name").alias("name")).union(w.table("supplier").select("s_name"))
+    register = w.table("customer").select(F.col("c_custkey").alias("position"), F.concat("c_name", F.lit(" Holdings Inc")).alias("title"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
     return lookups.resolve_companies(names, register)
 
 
