@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import connected_components, settle, tidy
 
@@ -232,8 +233,9 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("label", F.when(usable(F.col("v")), F.col("label"))).withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
-    classes, _ = settle(rows.where("label IS NOT NULL AND id IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("weight")))
-    coded, _ = settle(classes.withColumn("label", F.xxhash64("label")).mapInArrow(tidy(_hash(tables, probes)), "label long, v array<float>, cid long, weight long, codes array<long>"))
+    classes, _ = settle(rows.where("label IS NOT NULL AND id IS NOT NULL").groupBy("label", "v").agg(F.min("id").cast("long").alias("cid"), F.count("*").alias("weight")))
+    hashed = classes.withColumn("label", F.xxhash64("label"))
+    coded, _ = settle(hashed.mapInArrow(tidy(_hash(tables, probes)), T.StructType([*hashed.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])))
     each = 1 + probes
     keyed = coded.select("cid", F.posexplode("codes").alias("p", "code"), "label", F.size("v").alias("d")).where("code >= 0")
     keyed = keyed.select("cid", F.floor(F.col("p") / each).cast("int").alias("table"), (F.col("p") % each == 0).alias("own"), "code", F.xxhash64("label", "d", F.floor(F.col("p") / each), "code").alias("key"))

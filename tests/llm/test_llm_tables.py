@@ -122,6 +122,11 @@ def test_vectors_of_empty_and_repeated_rows(spark):
     assert embed.report(frame.where("false")).count() == 0
 
 
+def test_vectors_of_doubles_and_integer_keys(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.1], "a"), (3, [0.0, 1.0], "a"), (4, [1.0, 0.0], "b")], "vec_id int, embedding array<double>, label string")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embed.report(frame).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000)]
