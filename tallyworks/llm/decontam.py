@@ -210,3 +210,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "contaminated",
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long")).alias("longest_match"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS r, coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
+w AS (SELECT *, least(len(ws), {WINDOW}) AS n FROM b WHERE len(ws) > 0),
+bw AS (SELECT r, item, n, unnest(range(1, len(ws) - n + 2)) AS q, unnest(list_transform(range(1, len(ws) - n + 2), lambda p: array_to_string(ws[p : p + n - 1], ' '))) AS k FROM w),
+dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, unnest(list_transform(range(1, len(ws) - n + 2), lambda p: array_to_string(ws[p : p + n - 1], ' '))) AS k FROM d JOIN (SELECT DISTINCT n FROM w) ON len(ws) >= n),
+h AS (SELECT doc_id, p, q, n, r, item FROM dw JOIN bw USING (n, k)),
+s AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h), range({WINDOW}) AS t(o) WHERE o < n GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, r, p - q ORDER BY p) AS run FROM h),
+m AS (SELECT doc_id, max(span) AS longest FROM (SELECT doc_id, max(p) - min(p) + max(n) AS span FROM g GROUP BY doc_id, r, p - q, run) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

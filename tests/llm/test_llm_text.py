@@ -81,6 +81,10 @@ def test_decontamination(spark, sf, docs, bytes_):
     assert sorted(got, key=repr) == want and any(w[-1] for w in want)
 
 
+def test_decontamination_oracle(spark, duck, sf):
+    same(queries.op1_decontaminate(spark, sf).toPandas(), duck.execute(decontam.SQL).df())
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     items = [(1, "Gamma delta, epsilon ZETA eta theta iota kappa lambda mu nu"), (2, "b c"), (3, None), (4, ""), (5, "word"), (6, "B C"), (6, "omega end"), (None, "tau upsilon phi chi psi omega")]
     bench = spark.createDataFrame(items, "item_id long, text string")
