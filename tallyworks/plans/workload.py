@@ -84,7 +84,7 @@ class Workload:
         return self.trades().where("direction = 'purchase'").select(F.col("txn_id").alias("asset_id"), "filing_id", "member_id", F.year("filed_on").alias("year"), "asset", "part_id", F.when(F.col("part_id") % 9 != 0, F.col("amount_min")).alias("value_min"), F.when(F.col("part_id") % 9 != 0, F.col("amount_max")).alias("value_max"))
 
     def liabilities(self) -> DataFrame:
-        return self.trades().where("direction = 'sale' AND part_id % 5 = 0").select("filing_id", "member_id", "amount_min", "amount_max")
+        return self.trades().where("direction = 'sale'").select("filing_id", "member_id", "amount_min", "amount_max")
 
     def events(self) -> DataFrame:
         """Dated triggers: annual filings by the tickers they name."""
@@ -134,7 +134,7 @@ fil AS (SELECT o_orderkey AS filing_id, o_custkey AS member_id, CAST(o_orderdate
 mem AS (SELECT c_custkey AS member_id, c_mktsegment AS first_name, c_name AS last_name, CASE c_custkey % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'R' WHEN 2 THEN 'I' ELSE 'O' END AS party,
   CASE WHEN c_custkey % 5 = 0 THEN 'senate' ELSE 'house' END AS chamber, n_name AS state FROM customer JOIN nation ON c_nationkey = n_nationkey),
 ast AS (SELECT txn_id AS asset_id, filing_id, member_id, CAST(year(filed_on) AS INTEGER) AS year, asset, part_id, CASE WHEN part_id % 9 <> 0 THEN amount_min END AS value_min, CASE WHEN part_id % 9 <> 0 THEN amount_max END AS value_max FROM t WHERE direction = 'purchase'),
-lia AS (SELECT filing_id, member_id, amount_min, amount_max FROM t WHERE direction = 'sale' AND part_id % 5 = 0),
+lia AS (SELECT filing_id, member_id, amount_min, amount_max FROM t WHERE direction = 'sale'),
 ev AS (SELECT DISTINCT filing_id AS event_id, member_id, ticker, filed_on AS happened_on FROM t WHERE NOT is_ptr),
 fnd AS (SELECT txn_id AS finding_id, member_id, filing_id, CASE WHEN txn_id % 3 <> 0 THEN txn_id END AS txn_id, 'late_' || direction AS anomaly_type,
   CASE WHEN filed_on - traded_on - 45 <= 30 THEN 'low' WHEN filed_on - traded_on - 45 <= 90 THEN 'medium' ELSE 'high' END AS severity,
