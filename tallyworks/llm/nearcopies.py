@@ -1,0 +1,220 @@
+"""Near copies by the Jaccard similarity of word shingles: an exact join over prefixes.
+
+All shingles have one order: common ones last, else by hash. Two sets of n and m shingles with
+a similarity of t share one of the first n - ceil(t n) + 1 of the one and of the first
+m - ceil(t m) + 1 of the other, so sets meet on these prefixes and no pair is missed. What is
+common is estimated from a sixteenth of the texts; it decides how much work there is, never
+the result. Candidates are discarded by parity sketches (two sets differ in no fewer shingles
+than their sketches in bits), and the others verified on whole sets of 64-bit hashes.
+
+Components are wanted, not pairs. First every set is compared with the smallest id it meets,
+which joins a group of near copies of any size by one row for each; only sets that are then
+still in different components are compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import NOT_SPACE, Texts, Words, connected_components, mix, settle, slices, tidy, unsettle
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Texts hashed at a time, bytes.
+SLICE = 2 << 20
+#: One text in SAMPLE is asked for common shingles; COMMON there make one; at most HOT are told to all tasks.
+SAMPLE, COMMON, HOT = 16, 4, 100_000
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_SLACK = 1e-9
+#: Words of 64 bits of a parity sketch.
+SKETCH = 16
+
+
+def _shingles(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
+    """Distinct shingle hashes of each text; one shorter than a shingle is one shingle, one without words is empty."""
+    column = batch.column(batch.schema.get_field_index(text))
+    words = Words(Texts(column, fold=True), NOT_SPACE)
+    h = words.hashes()
+    whole = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+    for k in range(size if len(whole) else 0):
+        whole = mix(whole * _PLACE + h[k : k + len(whole)])
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        if b - a >= size:
+            yield np.unique(whole[a : b - size + 1])
+        elif b > a:
+            one = np.zeros(1, dtype=np.uint64)
+            for w in h[a:b]:
+                one = mix(one * _PLACE + w)
+            yield mix(one + np.uint64(b - a))
+        else:
+            yield np.zeros(0, dtype=np.uint64)
+
+
+def _vertex(found: np.ndarray) -> int:
+    """One id for equal sets."""
+    return int(mix(np.array([mix(found).sum(dtype=np.uint64) + np.uint64(len(found))]))[0].astype(np.int64))
+
+
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """Bit b is the parity of the number of hashes that end in b."""
+    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def prefix(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - _SLACK)) + 1 if n else 0
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int = SHINGLE, bits: np.ndarray | None = None) -> DataFrame:
+    """v (id of the set) and shingles (array of bigint) of each row, or of rows whose bit (v modulo their number) is set."""
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, SLICE):
+                ids, found = [], []
+                for some in _shingles(batch, text, shingle):
+                    v = _vertex(some)
+                    if shared is not None:
+                        at = v & (8 * len(shared.value) - 1)
+                        if not shared.value[at >> 3] >> (at & 7) & 1:
+                            continue
+                    ids.append(v)
+                    found.append(some)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found)], names=["v", "shingles"])
+
+    return docs.select(text).mapInArrow(tidy(run), "v long, shingles array<long>")
+
+
+def common_shingles(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that are frequent in a sample."""
+    some = docs.where(F.pmod(F.xxhash64(key, text), F.lit(SAMPLE)) == 0)
+    rows = shingle_sets(some, text, shingle).select(F.explode("shingles").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "k").limit(HOT).collect()
+    hashes, counts = np.array([r.k for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefixes(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, v, n, sketch, first): n is the size of the set, first its prefix in the common order."""
+    hot, often = common_shingles(docs, key, text, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, SLICE):
+                ids, sizes, firsts, sketches = [], [], [], []
+                for found in _shingles(batch, text, shingle):
+                    ids.append(_vertex(found))
+                    sizes.append(len(found))
+                    sketches.append(_sketch(found))
+                    ordered = found
+                    if len(hot) and len(found):
+                        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+                        rank = np.where(hot[at] == found, often[at], 0)
+                        ordered = found[np.argsort(rank, kind="stable")]
+                    firsts.append(ordered[: prefix(len(found), similarity)])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), _lists(sketches), _lists(firsts)], names=[key, "v", "n", "sketch", "first"])
+
+    fields = [*docs.select(key).schema.fields, T.StructField("v", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))]
+    return docs.select(*dict.fromkeys([key, text])).mapInArrow(tidy(run), T.StructType(fields))
+
+
+def _overlap(n: Column, m: Column, similarity: float) -> Column:
+    """The least number of common shingles of sets of n and m."""
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - _SLACK)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    a, b = (sets.select(F.col("v").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").where(both >= _overlap(F.size("sa"), F.size("sb"), similarity)).select("a", "b")
+
+
+def links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of sets whose closure is that of all pairs of the similarity.
+
+    At the first shingle that two sets have in common, n - p and m - q of them can follow it.
+    """
+    # n and p in one number, and counts without ids: fewer bytes to shuffle for keys that only one text has
+    rows = prints.select("v", (F.col("n").cast("long") * (1 << 32)).alias("np"), F.posexplode("first").alias("p", "k")).select("k", "v", (F.col("np") + F.col("p")).alias("np"))
+    twice = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    some, some_path = settle(rows.join(twice, "k"))
+    rows = some.distinct().select("k", "v", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p"))
+    sketches = prints.select("v", "n", "sketch").dropDuplicates(["v"])
+
+    def reachable(n: Column, p: Column, m: Column, q: Column) -> Column:
+        return F.least(n - p, m - q) >= _overlap(n, m, similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (sketches.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        close = differ <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), similarity)
+        pairs, _ = settle(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"))
+        sets, path = settle(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()))
+        out, _ = settle(_verified(pairs, sets, similarity))
+        unsettle(pairs.sparkSession, path)
+        return out
+
+    shared = rows.groupBy("k").agg(F.min(F.struct("v", "n", "p")).alias("least"), F.max("v").alias("most")).where("least.v < most").drop("most")
+    met, met_path = settle(rows.join(shared, "k"))
+    unsettle(rows.sparkSession, some_path)
+    near = reachable(F.col("n"), F.col("p"), F.col("least.n"), F.col("least.p"))
+    star = verified(met.where(F.col("v") > F.col("least.v")).where(near).groupBy(F.col("v").alias("a")).agg(F.min("least.v").alias("b")))
+    reach = connected_components(star)
+    named = met.join(reach.withColumnRenamed("node", "v"), "v", "left").select("k", "v", "n", "p", F.coalesce("component", "v").alias("c"))
+    several = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("k")
+    left, left_path = settle(named.join(several, "k"))
+    unsettle(rows.sparkSession, met_path)
+    a, b = (left.select("k", *[F.col(c).alias(f"{c}{x}") for c in "vnpc"]) for x in "ab")
+    pairs = a.join(b, "k").where((F.col("va") < F.col("vb")) & (F.col("ca") != F.col("cb")) & reachable(*[F.col(c) for c in ("na", "pa", "nb", "pb")]))
+    out = star.union(verified(pairs.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()))
+    unsettle(rows.sparkSession, left_path)
+    return out
+
+
+def _bits(ids: DataFrame, rows: int) -> np.ndarray:
+    """A bitmap of the ids, at least 16 bits a row of the table: few others have their bit set."""
+    size = 1 << max(15, (16 * rows).bit_length())
+    x = F.pmod("v", F.lit(size)) + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for r in parts:
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return bits
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id): component_id is the smallest key reachable over pairs of the similarity.
+
+    Texts without words are one class. A null key belongs to its component but names it only
+    if no other key does.
+    """
+    prints, _ = settle(prefixes(docs, key, text, shingle, similarity))
+    total = prints.count()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return shingle_sets(docs, text, shingle, _bits(ids, total)).join(ids, "v", "left_semi").dropDuplicates(["v"])
+
+    least = prints.groupBy("v").agg(F.min(key).alias("least"))
+    reach = connected_components(links(prints, sets_of, similarity))
+    vertex = least.join(reach.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("component", "v"))
+    ids = vertex.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = vertex.join(ids, "root").select("v", "component_id")
+    return prints.select(key, "v").join(named, "v").select(key, "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest key of each component; of rows that repeat its key, all stay."""
+    kept = classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(F.col("__kept")), "left_semi")

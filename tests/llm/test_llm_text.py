@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from conftest import same
-from tallyworks.llm import bpe, decontam, langid, lmscore, queries, shard, simhash, substring
+from tallyworks.llm import bpe, decontam, langid, lmscore, nearcopies, queries, shard, simhash, substring
 from tallyworks.llm.queries import TOKENIZER
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -164,6 +164,62 @@ def test_simhash_of_odd_rows(spark, odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 5, 6, 7, 8} and kept.where("doc_id IN (3, 4, 9)").count() == 0
 
 
+# ---------------------------------------------------------------- near copies
+
+
+def brute_near(docs, similarity=0.8):
+    """{key: smallest key of its component} over pairs with so much of their five-word shingles in common."""
+    sets = {}
+    for key, text in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", low(text))
+        sets[key] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    keys, root = sorted(sets), {k: k for k in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if (len(x & y) >= similarity * len(x | y) - 1e-9) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in keys}
+
+
+def edited(rng):
+    """Texts with words changed, around the threshold on both sides; a common passage; a large group."""
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    passage, rows = [word() for _ in range(30)], []
+    for group in range(8):
+        base = [word() for _ in range(int(rng.integers(20, 160)))] + (passage if group % 2 else [])
+        for _ in range(60 if group == 3 else 12):
+            w = list(base)
+            for at in rng.choice(len(w), int(rng.integers(0, max(2, len(w) // 20))), replace=False):
+                w[at] = word()
+            rows.append((len(rows), " ".join(w)))
+    short = ["one two three", "One  two three", "one two four", "", " ", "one two three four five", "one two three four five six"]
+    return rows + [(len(rows) + k, x) for k, x in enumerate(short)]
+
+
+def test_near_copies_stage(spark):
+    import corpus_pipeline
+
+    rows = edited(np.random.default_rng(5))
+    want = brute_near(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in nearcopies.classes(docs).collect()}
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 20
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_of_odd_rows(spark, odd):
+    assert nearcopies.classes(odd).count() == len(ODD) and nearcopies.classes(empty(spark)).count() == 0
+    assert nearcopies.keep_one(odd).where("doc_id IN (3, 4, 9)").count() == 0
+
+
 # ---------------------------------------------------------------- substrings
 
 
