@@ -181,19 +181,19 @@ def cluster_observed(w: Workload) -> DataFrame:
 
 def _streams(w: Workload) -> DataFrame:
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).alias("day")
-    sold = w.trades().where("is_ptr").select(F.lit("donor").alias("detector"), "member_id", F.col("ticker").alias("key"), F.lit(True).alias("is_trade"), day("traded_on"))
+    sold = restatements.drop_restatements(w.trades()).where("is_ptr").select(F.lit("donor").alias("detector"), "member_id", F.col("ticker").alias("key"), F.lit(True).alias("is_trade"), day("traded_on"))
     return sold.unionByName(w.events().select(F.lit("donor").alias("detector"), "member_id", F.col("ticker").alias("key"), F.lit(False).alias("is_trade"), day("happened_on")))
 
 
 @query()
 def permutation_pvalues(w: Workload) -> DataFrame:
-    return stats.permutation_pvalues(_streams(w), 90, 90, permutations=200)
+    return stats.permutation_pvalues(_streams(w), 90, 90)
 
 
 @query()
 def cluster_pvalues(w: Workload) -> DataFrame:
-    rows = w.trades().withColumn("ticker", F.concat(F.lit("P"), F.col("part_id").cast("string")))
-    return stats.cluster_pvalues(rows, members=2, permutations=100)
+    rows = restatements.drop_restatements(w.trades()).withColumn("ticker", F.concat(F.lit("P"), F.col("part_id").cast("string")))
+    return stats.cluster_pvalues(rows, members=2)
 
 
 def _sectors(w: Workload) -> DataFrame:
