@@ -2,42 +2,83 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# ---------------------------------------------------------------- columns
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, without: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """All columns but ``without`` in one struct ``row``, and the named ones beside it: no name of the caller's can clash."""
+    return df.select(F.struct(*[column(c) for c in df.columns if c not in without]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
 # ---------------------------------------------------------------- lineage
 
 
+_folders: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a session in one process may leave it unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tallyworks-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def settled_dir(spark: SparkSession) -> str:
+    """The session's folder for tables between stages; it goes with the session, or by ``clear``."""
+    path = f"{shared_dir(spark)}/settled/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_forget, spark, path)
+    return path
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back; returns the path too."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
+    path = f"{settled_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def unsettle(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``settle`` wrote."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def unsettle(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that ``settle`` wrote."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables between stages of this session; for when its results have been written."""
+    unsettle(spark, settled_dir(spark))
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session's JVM may be gone
+        unsettle(spark, path)
 
 
 def unit_count(spark: SparkSession) -> int:

@@ -1,14 +1,17 @@
 """URL rules as a sort-merge range join over reversed hosts.
 
-A host's labels reversed and ended with a comma (``org,example,``) turn "this host and
-all its subdomains" into an interval of keys, and intervals of rules are nested or apart.
-Pages and rules are dealt into ranges of keys, sorted, and swept once: a stack holds the
-rules whose interval is open at the current host, and a second sweep over the host's
-sorted paths holds the path prefixes that are open, longest on top.
-
-Ranges come from a sample of hosts whose expected size is bounded. A range of one frequent host gets several
-cells, and pages are dealt over them by a hash of the row; a rule goes to every cell that
-its interval meets. Sweeping reads batches in order and keeps the open rules only.
+A host's labels reversed and each ended with a dot (``org.example.``) turn "this host and
+all its subdomains" into an interval of keys: no label holds a dot, so the keys that begin
+with a rule's are its host and subdomains, and end before the key whose last dot is raised
+by one. Intervals of rules are nested or apart. Pages and rules are dealt into ranges of
+keys, sorted, and swept once: a stack holds the hosts whose interval is open at the current
+host, each with its rules in the order of their paths, and each rule with the one that
+encloses it; the rule of a path is the last one before it or one that encloses that.
+
+Ranges come from a sample of hosts whose expected size is bounded; it balances the work and
+decides nothing else. A range of one frequent host gets several cells, and pages are dealt
+over them by a hash of the row; a rule goes to every cell that its interval meets. Sweeping
+reads batches in order and keeps the rules of open hosts only.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import unit_count
+from .shared import boxed, column, unit_count
 
 #: Hosts sampled for each cell, to balance cells only.
 SAMPLE_EACH = 32
@@ -44,8 +47,13 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(host: Column) -> Column:
-    """Labels from the top domain down, each followed by a comma."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), ","), F.lit(","))
+    """Labels from the top domain down, each followed by a dot."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
+
+
+def end_of(key: Column) -> Column:
+    """Above every key that begins with this one, and below all others that follow it: "/" comes next to "."."""
+    return F.concat(F.substr(key, F.lit(1), F.length(key) - 1), F.lit("/"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -53,36 +61,33 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     ``rules`` has (rule, verdict); a rule is ``host/path prefix`` and fits its host and all
     subdomains where the path starts with the rule's. The longest host wins, then the
-    longest path, then the first verdict in order. Without a fitting rule: no rule and
-    ``default``. A null URL, or one without ``://``, has an empty host and path. Rules that
-    are null or lack ``/`` are left out. Former columns of the new names are replaced.
+    longest path, then the first rule and verdict in order. Without a fitting rule: no rule and
+    ``default``. A null URL, or one without ``://``, has an empty host and path; URLs count
+    whole, whatever their length and characters. Rules that are null or lack ``/`` are left
+    out. Repeated rows are judged alike, an empty table gives an empty result. Former
+    columns of the four new names are replaced, all others stay.
     """
     spark = pages.sparkSession
-    pages = pages.drop("host", "path", "rule", "verdict")
-    names = pages.columns
+    new = ("host", "path", "rule", "verdict")
+    whole = [column(f.name) for f in pages.schema.fields if "map<" not in f.dataType.simpleString()]  # a frequent URL is dealt out too
+    rows = boxed(pages, new, url=F.coalesce(column(url), F.lit("")), salt=F.xxhash64(*whole))
+    rows = rows.select("row", "salt", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("key", key_of(F.col("host")))
     cells = unit_count(spark)
-    rows = pages.withColumn("__host", host_of(F.coalesce(F.col(url), F.lit("")))).withColumn("__path", path_of(F.coalesce(F.col(url), F.lit("")))).withColumn("__key", key_of(F.col("__host")))
-    # the sample sets the balance of cells and nothing else: no row's result depends on it
     share = min(1.0, SAMPLE_EACH * cells / max(1, pages.count()))
-    sample = [r[0] for r in rows.select("__key").sample(share, seed=17).collect()]
+    sample = [r[0] for r in rows.select("key").sample(share, seed=17).collect()]
     bounds, shares = _ranges(sorted(sample), cells)
     first = np.cumsum([0, *shares])
-
-    def range_of(key: Column) -> Column:
-        return _range_of(key, bounds)
-
     starts, counts = F.array(*[F.lit(int(x)) for x in first[:-1]]), F.array(*[F.lit(int(x)) for x in shares])
-    at = range_of(F.col("__key"))
-    whole = [F.col(f.name) for f in pages.schema.fields if "map<" not in f.dataType.simpleString()]  # a frequent URL is dealt out too
-    dealt = rows.withColumn("__cell", F.get(starts, at) + F.pmod(F.xxhash64(*whole), F.get(counts, at)).cast("int"))
-    clean = rules.where(F.instr("rule", "/") > 0).select("rule", "verdict", F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER).alias("__host"), F.substr("rule", F.instr("rule", "/")).alias("__path")).distinct()
-    clean = clean.withColumn("__key", key_of(F.col("__host")))
-    low, high = range_of(F.col("__key")), range_of(F.concat("__key", F.lit("￿")))
-    reach = clean.withColumn("__cell", F.explode(F.sequence(F.get(starts, low), F.get(starts, high) + F.get(counts, high) - 1)))
-    union = dealt.withColumn("__kind", F.lit(1)).unionByName(reach.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-    work = union.repartition(len(first) * 2, "__cell").sortWithinPartitions("__cell", "__key", "__kind", "__path", "rule", "verdict")
-    schema = T.StructType([*pages.schema.fields, *[T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]])
-    return work.mapInArrow(_sweep(names, default), schema)
+    at = _range_of(F.col("key"), bounds)
+    dealt = rows.withColumn("cell", F.get(starts, at) + F.pmod("salt", F.get(counts, at)).cast("int")).drop("salt")
+    clean = rules.where(F.instr("rule", "/") > 0).select("rule", "verdict", F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER).alias("host"), F.substr("rule", F.instr("rule", "/")).alias("path")).distinct()
+    clean = clean.withColumn("key", key_of(F.col("host")))
+    low, high = _range_of(F.col("key"), bounds), _range_of(end_of(F.col("key")), bounds)
+    reach = clean.withColumn("cell", F.explode(F.sequence(F.get(starts, low), F.get(starts, high) + F.get(counts, high) - 1)))
+    union = dealt.withColumn("kind", F.lit(1)).unionByName(reach.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    work = union.repartition(len(first) * 2, "cell").sortWithinPartitions("cell", "key", "kind", "path", "rule", "verdict")
+    schema = T.StructType([rows.schema["row"], *[T.StructField(n, T.StringType()) for n in new]])
+    return work.mapInArrow(_sweep(default), schema).select("row.*", *new)
 
 
 def _range_of(key: Column, bounds: list[str]) -> Column:
@@ -107,44 +112,55 @@ def _ranges(sample: list[str], cells: int) -> tuple[list[str], list[int]]:
     return bounds, [max(1, round(n / step)) for n in sizes]
 
 
-def _sweep(names: list[str], default: str):
+class _Host:
+    """The rules of one open host by path; of rules with one path the first stands."""
+
+    def __init__(self, key: str):
+        self.key, self.paths, self.around, self.said = key, [], [], []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if self.paths and self.paths[-1] == path:
+            return
+        k = self._enclosing(path, len(self.paths) - 1)
+        self.paths.append(path)
+        self.around.append(k)
+        self.said.append((rule, verdict))
+
+    def _enclosing(self, path: str, k: int) -> int:
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.around[k]
+        return k
+
+    def find(self, path: str) -> tuple[str, str] | None:
+        """The rule with the longest path that ``path`` starts with: it encloses the last rule at or before ``path``."""
+        k = self._enclosing(path, bisect_right(self.paths, path) - 1)
+        return self.said[k] if k >= 0 else None
+
+
+def _sweep(default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, key = None, None
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # open hosts, each with its rules sorted by path
-        paths: list[tuple[str, str, str]] = []  # rules of all open hosts by path
-        k, opened = 0, []
+        stack: list[_Host] = []  # open hosts, the longest on top
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            pages, found, said = [], [], []
-            cols = (col[c].to_pylist() for c in ("__cell", "__key", "__kind", "__path", "rule", "verdict"))
+            pages, found = [], []
+            cols = (col[c].to_pylist() for c in ("cell", "key", "kind", "path", "rule", "verdict"))
             for row, (c, h, kind, path, rule, verdict) in enumerate(zip(*cols)):
-                if c != cell:
-                    cell, key, stack = c, None, []
-                if h != key:
-                    key = h
-                    while stack and not h.startswith(stack[-1][0]):
+                if c != cell or h != key:
+                    stack = stack if c == cell else []
+                    cell, key = c, h
+                    while stack and not h.startswith(stack[-1].key):
                         stack.pop()
-                    paths = None
                 if kind == 0:
-                    if not stack or stack[-1][0] != h:
-                        stack.append((h, []))
-                    stack[-1][1].append((path, rule, verdict))
-                    continue
-                if paths is None:
-                    # later hosts on the stack are longer; depth decides before the path's length does
-                    paths = sorted((p, depth, r, v) for depth, (_, rules) in enumerate(stack) for p, r, v in rules)
-                    k, opened = 0, []
-                while k < len(paths) and paths[k][0] <= path:
-                    opened.append(paths[k])
-                    k += 1
-                opened = [x for x in opened if path.startswith(x[0])]
-                pages.append(row)
-                best = min(opened, key=lambda x: (-x[1], -len(x[0]), x[2], x[3])) if opened else (None, None, None, default)
-                found.append(best[2])
-                said.append(best[3])
-            part = batch.take(pa.array(pages, pa.int64()))
-            got = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-            yield pa.RecordBatch.from_arrays([*[got[n] for n in names], got["__host"], got["__path"], pa.array(found, pa.string()), pa.array(said, pa.string())], names=[*names, "host", "path", "rule", "verdict"])
+                    if not stack or stack[-1].key != h:
+                        stack.append(_Host(h))
+                    stack[-1].add(path, rule, verdict)
+                else:
+                    pages.append(row)
+                    found.append(next((x for host in reversed(stack) if (x := host.find(path)) is not None), (None, default)))
+            take = pa.array(pages, pa.int64())
+            rules, said = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*[col[n].take(take) for n in ("row", "host", "path")], pa.array(rules, pa.string()), pa.array(said, pa.string())], names=["row", "host", "path", "rule", "verdict"])
 
     return run
 
