@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, settle, tidy
+from .shared import connected_components, settle, tidy, unsettle
 
 THRESHOLD = 0.93
 TABLES = 8
@@ -82,11 +82,13 @@ def _hash(tables: int, probes: int):
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 begin = np.cumsum(sizes) - sizes
-                found = np.zeros((part.num_rows, tables * (1 + probes)), dtype=np.int64)
+                found = np.zeros((part.num_rows, tables * (1 + probes)), dtype=np.int32)
                 for d in np.unique(sizes):
                     rows = np.flatnonzero(sizes == d)
-                    found[rows] = codes(flat[begin[rows][:, None] + np.arange(d)], tables, probes).reshape(len(rows), -1)
-                column = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.int64()))
+                    # below 16,384 dimensions a code fits; above, codes that fall together only add candidates
+                    wide = codes(flat[begin[rows][:, None] + np.arange(d)], tables, probes).reshape(len(rows), -1)
+                    found[rows] = np.where(wide < 0, wide, wide % (2**31 - 1))
+                column = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "codes"])
 
     return run
@@ -119,13 +121,11 @@ class _Rows:
         c = self.c
         good = (c["cid"][a] != c["cid"][b]) & (c["own"][a] | c["own"][b])
         good &= (c["block"][a] != c["block"][b]) | (c["i"][a] == c["j"][a])
-        a_, b_ = a[good], b[good]
-        x, y = c["v"][a_], c["v"][b_]
-        near = np.einsum("ij,ij->i", x, y) >= self.threshold * c["norm"][a_] * c["norm"][b_]
-        where = np.flatnonzero(good)[near]
-        if len(where):
-            where = where[self.first_meeting(a[where], b[where])]
-        return where
+        where = np.flatnonzero(good)
+        where = where[self.first_meeting(a[where], b[where])]  # a pair is verified in one bucket only
+        a, b = a[where], b[where]
+        near = np.einsum("ij,ij->i", c["v"][a], c["v"][b]) >= self.threshold * c["norm"][a] * c["norm"][b]
+        return where[near]
 
     def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """True where no earlier (table, bucket) holds the pair too."""
@@ -227,15 +227,21 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     """(key, n_links, component_id, kept) for every row.
 
     Only rows with equal labels (not null) and usable vectors of one length link. ``n_links``
-    counts other rows found with a cosine of at least ``threshold``; component_id is the
-    smallest key reachable. Other rows have no link and are their own component. Rows that
-    share a key are taken for one vertex in components.
+    counts the other rows found with a cosine of at least ``threshold``; component_id is the
+    smallest key reachable. Other rows have no link and are their own component. Rows are
+    vertices, whatever their keys: rows that repeat a key link, or not, by their own vectors.
+    A row without a key links and counts like any other, but names its component only if no
+    row there has a key (then the component is null, and its rows are kept). An empty table
+    gives an empty result; further columns are left out.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("label", F.when(usable(F.col("v")), F.col("label"))).withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
-    classes, _ = settle(rows.where("label IS NOT NULL AND id IS NOT NULL").groupBy("label", "v").agg(F.min("id").cast("long").alias("cid"), F.count("*").alias("weight")))
-    hashed = classes.withColumn("label", F.xxhash64("label"))
-    coded, _ = settle(hashed.mapInArrow(tidy(_hash(tables, probes)), T.StructType([*hashed.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])))
+    # rows find their class again by two hashes of label and vector, 128 bits, so vectors are shuffled once
+    marks = [F.xxhash64("label", "v").alias("h"), F.xxhash64(F.lit(1), "v", "label").alias("g")]
+    classes = rows.where("label IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes, _ = settle(classes.select(F.monotonically_increasing_id().alias("cid"), "label", "v", "least", "weight", *marks))
+    hashed = classes.select("cid", F.xxhash64("label").alias("label"), "v", "weight")
+    coded, coded_path = settle(hashed.mapInArrow(tidy(_hash(tables, probes)), T.StructType([*hashed.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])))
     each = 1 + probes
     keyed = coded.select("cid", F.posexplode("codes").alias("p", "code"), "label", F.size("v").alias("d")).where("code >= 0")
     keyed = keyed.select("cid", F.floor(F.col("p") / each).cast("int").alias("table"), (F.col("p") % each == 0).alias("own"), "code", F.xxhash64("label", "d", F.floor(F.col("p") / each), "code").alias("key"))
@@ -248,14 +254,31 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     met = live.join(coded, "cid")
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found, _ = settle(dealt.mapInArrow(tidy(_compare(probes, threshold)), "cid long, n long, root long"))
+    unsettle(rows.sparkSession, coded_path)
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     reach = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    vertex = classes.join(counts, "cid", "left").join(reach.withColumnRenamed("node", "cid"), "cid", "left")
-    vertex = vertex.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    out = rows.join(vertex, ["label", "v"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    vertex = classes.select("cid", "h", "g", "least", "weight").join(counts, "cid", "left").join(reach.withColumnRenamed("node", "cid"), "cid", "left")
+    vertex = vertex.select("h", "g", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"))
+    least = vertex.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = vertex.join(least, "root").select("h", "g", "n_links", "component_id")
+    alone = F.col("label").isNull()
+    out = rows.select("id", "label", *[F.when(~alone, m).alias(n) for m, n in zip(marks, "hg")]).join(named, ["h", "g"], "left")
+    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def report(vectors: DataFrame) -> DataFrame:
     return links(vectors)
+
+
+SQL = f"""
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+good AS (SELECT * FROM u WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_dot_product(a.v, b.v) >= {THRESHOLD} * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
+reach AS (SELECT r, r AS o FROM u UNION SELECT reach.r, p.b FROM reach JOIN p ON reach.o = p.a),
+c AS (SELECT reach.r, min(u.vec_id) AS component_id FROM reach JOIN u ON u.r = reach.o GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM p GROUP BY 1)
+SELECT u.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(component_id AS BIGINT) AS component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM u JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontam.SQL,
     "op2_url_filter": urlfilter.SQL,
+    "op4_embeddings": embed.SQL,
     "op5_substring": substring.SQL,
     "op8_chat": chat.SQL,
 }
