@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_OR_HIGH, Texts, Words, slices, tidy
+from .shared import ALNUM_OR_HIGH, Texts, Words, boxed, column, slices, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -99,50 +99,41 @@ def suffix_keys(number: np.ndarray, start: np.ndarray, end: np.ndarray, window:
     return np.ascontiguousarray(rows).view(f"S{4 * window}").ravel() if len(rows) else np.zeros(0, f"S{4 * window}")
 
 
-def _search(words: Words, index: Suffixes, n_docs: int) -> tuple[np.ndarray, list[list], list[list]]:
-    """Hit mask of the words; per document the ids of its items and their longest matches."""
+def _search(words: Words, index: Suffixes, n_docs: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Hit mask of the words; per document the ids of its items, and its longest match with each."""
     window, first = index.occurrences(words)
     step = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(step, first, 1)
     np.add.at(step, first + index.length[window], -1)
     hit = np.cumsum(step)[:-1] > 0
-    items: list[list] = [[] for _ in range(n_docs)]
-    matches: list[list] = [[] for _ in range(n_docs)]
-    if len(window):
-        count = index.which[window + 1] - index.which[window]
-        each = np.repeat(index.which[window], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, place, at = index.item[each], index.place[each], np.repeat(first, count)
-        length = np.repeat(index.length[window], count)
-        doc = np.searchsorted(words.first, at, side="right") - 1
-        order = np.lexsort((place, at - place, item, doc))
-        doc, item, place, at, length = doc[order], item[order], place[order], at[order], length[order]
-        fresh = np.ones(len(doc), dtype=bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) != 1) | (np.diff(place) != 1)
-        head = np.flatnonzero(fresh)
-        tail = np.append(head[1:], len(doc)) - 1
-        span = at[tail] + length[tail] - at[head]
-        best = np.lexsort((at[head], -span, item[head], doc[head]))
-        d, i = doc[head][best], item[head][best]
-        one = np.ones(len(best), dtype=bool)
-        one[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
-        for k in best[one]:
-            h = head[k]
-            name = index.ids[item[h]]
-            items[doc[h]].append(name)
-            matches[doc[h]].append({"item_id": name, "item_start": int(place[h]), "doc_start": int(at[h] - words.first[doc[h]]), "n_words": int(span[k])})
-    return hit, items, matches
+    count = index.which[window + 1] - index.which[window]
+    each = np.repeat(index.which[window], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    item, place, at = index.item[each], index.place[each], np.repeat(first, count)
+    length = np.repeat(index.length[window], count)
+    doc = np.searchsorted(words.first, at, side="right") - 1
+    order = np.lexsort((place, at - place, item, doc))
+    doc, item, place, at, length = doc[order], item[order], place[order], at[order], length[order]
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) != 1) | (np.diff(place) != 1)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(doc))[: len(head)] - 1
+    span = at[tail] + length[tail] - at[head]
+    best = np.lexsort((at[head], -span, item[head], doc[head]))
+    d, i = doc[head][best], item[head][best]
+    one = np.ones(len(best), dtype=bool)
+    one[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+    best = best[one]
+    h = head[best]
+    ends = pa.array(np.searchsorted(doc[h], np.arange(n_docs + 1)), pa.int32())
+    names = pa.array(index.ids, pa.string()).take(pa.array(item[h]))
+    rows = [names, pa.array(place[h], pa.int64()), pa.array(at[h] - words.first[doc[h]], pa.int64()), pa.array(span[best], pa.int64())]
+    return hit, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(rows, names=MATCH.names))
 
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("n_words", T.LongType())])
 _FOUND = {"n_words": T.LongType(), "hits": T.BinaryType(), "items": T.ArrayType(T.StringType()), "matches": T.ArrayType(MATCH)}
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """Adds to each document n_words, n_hit, items, matches and contaminated.
 
@@ -150,53 +141,64 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     occurs; ``matches`` the longest verbatim match with each, with its place in item and
     document, counted in words. A null or wordless text has no words and no hit; an item
     without words has no window; an item without an id counts under the empty string; items
-    that share an id count once. Repeated rows are judged alike. Of columns, ``keep`` (all)
-    stay; former columns of the new names are replaced.
+    that share an id count once, repeated rows of the benchmark are one. Repeated documents
+    are judged alike; an empty table of either kind gives no hit. Of columns, ``keep`` (all)
+    stay; former columns of the five new names are replaced.
     """
-    spark = docs.sparkSession
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in {*_FOUND, "n_hit", "contaminated"}]
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    new = ["n_words", "n_hit", "items", "matches", "contaminated"]
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
+    found = _find(docs.select(F.struct(*map(column, names)).alias("row"), column(text).alias("text")), benchmark, item_id, item_text, window, benchmark_bytes)
+    return found.select("row.*", "n_words", "n_hit", "items", "matches", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _find(out: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """(row, n_words, n_hit, items, matches) from (row, text), in one pass for each block of the benchmark."""
+    spark, row = out.sparkSession, out.schema["row"]
+    items = benchmark.select(F.coalesce(column(item_id).cast("string"), F.lit("")).alias("i"), column(item_text).alias("t")).distinct()
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // benchmark_bytes) + 1
-    part_of = F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.col(item_text)), F.lit(blocks))
-    out = docs.select(*dict.fromkeys([*names, text]))
     for k in range(blocks):
-        rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"), part_of.alias("k")).where(f"k = {k}").toPandas()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toPandas()
         index = spark.sparkContext.broadcast(Suffixes(rows["i"].tolist(), rows["t"].tolist(), window))
-        out = out.mapInArrow(tidy(_pass(index, text, k == 0, k == blocks - 1, names)), T.StructType([f for f in out.select(*(names if k == blocks - 1 else dict.fromkeys([*names, text]))).schema.fields] + [T.StructField(n, t) for n, t in _FOUND.items() if not (n == "hits" and k == blocks - 1)] + [T.StructField("n_hit", T.LongType())] * (k == blocks - 1)))
-    return out.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("contaminated", F.col("n_hit") > 0)
+        last = k == blocks - 1
+        kept = [row] if last else [row, T.StructField("text", T.StringType())]
+        made = [T.StructField(n, t) for n, t in _FOUND.items() if not (n == "hits" and last)] + [T.StructField("n_hit", T.LongType())] * last
+        out = out.mapInArrow(tidy(_pass(index, k == 0, last)), T.StructType([*kept, *made]))
+    return out.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
-def _pass(index, text: str, is_first: bool, is_last: bool, names: list[str]):
+def _pass(index, is_first: bool, is_last: bool):
     """One block of the benchmark against all documents; hits so far travel as packed bits."""
 
+    def joined(old: pa.Array, new: pa.Array) -> pa.Array:
+        return pa.array([a + b for a, b in zip(old.to_pylist(), new.to_pylist())], new.type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = index.value
         for batch in batches:
-            for part in slices(batch, text, BLOCK_BYTES):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-                words = Words(Texts(col[text], fold=True), ALNUM_OR_HIGH)
+                words = Words(Texts(col["text"], fold=True), ALNUM_OR_HIGH)
                 hit, items, matches = _search(words, suffixes, part.num_rows)
                 if not is_first:
                     for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                         hit[a:b] |= np.unpackbits(np.frombuffer(col["hits"][k].as_py(), np.uint8), count=b - a).astype(bool)
-                    items = [old + new for old, new in zip(col["items"].to_pylist(), items)]
-                    matches = [old + new for old, new in zip(col["matches"].to_pylist(), matches)]
-                kept = list(names) if is_last else list(dict.fromkeys([*names, text]))
-                found = {"n_words": pa.array(np.diff(words.first), pa.int64())}
+                    items, matches = joined(col["items"], items), joined(col["matches"], matches)
+                found = {n: col[n] for n in (["row"] if is_last else ["row", "text"])} | {"n_words": pa.array(np.diff(words.first), pa.int64())}
                 if not is_last:
                     found["hits"] = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary())
-                found |= {"items": pa.array(items, _arrow_type(_FOUND["items"])), "matches": pa.array(matches, _arrow_type(_FOUND["matches"]))}
+                found |= {"items": items, "matches": matches}
                 if is_last:
                     total = np.concatenate([[0], np.cumsum(hit)])
                     found["n_hit"] = pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64())
-                yield pa.RecordBatch.from_arrays([*[col[n] for n in kept], *found.values()], names=[*kept, *found])
+                yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
     return run
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents of which no word is hit, with their own columns."""
-    return search(docs, benchmark, text, **options).where("NOT contaminated").select(*docs.columns)
+    """The documents of which no word is hit, with their own columns, whatever these are called."""
+    return _find(boxed(docs, text=column(text)), benchmark, **options).where("n_hit = 0").select("row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
