@@ -19,6 +19,7 @@ def brute_rule(url, rules):
     fits = []
     for rule, verdict in rules:
         h, p = rule.split("/", 1)
+        h = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in h)
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
             fits.append((-len(h), -len(p), rule, verdict))
     best = min(fits) if fits else (0, 0, None, "allow")
@@ -29,11 +30,13 @@ URLS = [
     None, "", "no scheme", "http://", "http://EXAMPLE.org", "http://example.org/", "https://a.b.example.org/es/x?y=/en/1", "http://example.org/es", "http://xexample.org/es/",
     "http://example.org/en/12#f", "http://example.org/en/2", "http://org/x", "http://com/de/", "http://q.com/de/a", "http://q.com/fr/", "http://q.com:80/de/", "http://é.com/de/漢", "a://b://c.com/de/",
     "http://a.com?x=/de/", "http://a.com#/de/", "http://.org/", "http://a..org/", "x://q.net/",
+    "http://example,foo.org/es/x", "http://foo,example.org/es/x", "http://example.org,/es/x", "http://\U0001f600.example.org/es/x", "http://\uffff\U0010ffff.example.org/es/x", "http://\x01.example.org/es/",
+    "http://user@example.org/es/", "http://example.org.:80/es/", "http://nested.org/a/b/c", "http://nested.org/a/bb", "http://nested.org/a/", "http://x.nested.org/a/b", "http://long.org/es/" + "x" * 70000,
 ]
 
 
 def test_rules(spark):
-    more = urlfilter.RULES + [("net/", "block"), ("a.b.example.org/es/x", "allow"), ("q.com/de/a", "allow"), ("q.com/d", "block"), ("nothing", "block"), (None, "block")]
+    more = urlfilter.RULES + [("net/", "block"), ("a.b.example.org/es/x", "allow"), ("q.com/de/a", "allow"), ("q.com/d", "block"), ("nothing", "block"), (None, "block"), ("nested.org/", "block"), ("nested.org/a/b", "allow"), ("nested.org/a/b/", "block"), ("NESTED.org/a/", "allow"), ("nested.org/a/", "block")]
     rules = spark.createDataFrame(more, "rule string, verdict string")
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS * 3)], "page_id long, url string").repartition(5)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
@@ -52,6 +55,16 @@ def test_rules_with_odd_tables(spark):
     assert {r.verdict for r in urlfilter.judge(hot.where("page_id % 3 > 0"), tie).collect()} == {"allow"}
 
 
+def test_rules_of_a_host_with_many_names_and_paths(spark):
+    """Subdomains beyond the basic plane and a blocklist of one domain; names that a caller may use stay."""
+    many = [(f"example.org/p{k}/", "block") for k in range(3000)] + urlfilter.RULES
+    rows = [(k, f"http://\U0001f600{k:05d}.example.org/es/x") for k in range(1500)] + [(k, f"http://h{k}.example.org/p{k}/x") for k in range(1500, 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'mine' AS key", "'mine' AS cell", "'mine' AS row", "1 AS kind", "'mine' AS `a.b`").repartition(4)
+    got = urlfilter.judge(pages, spark.createDataFrame(many, "rule string, verdict string"))
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"] and got.where("key <> 'mine' OR cell <> 'mine' OR row <> 'mine' OR kind <> 1").count() == 0
+    assert {r.page_id: r.rule for r in got.collect()} == {k: "example.org/es/" if k < 1500 else f"example.org/p{k}/" for k, _ in rows}
+
+
 def test_rules_oracle(spark, duck, sf):
     same(urlfilter.report(spark.read.parquet(f"{sf}/pages.parquet")).toPandas(), duck.execute(urlfilter.SQL).df())
 
@@ -127,6 +140,38 @@ def test_vectors_of_doubles_and_integer_keys(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in embed.report(frame).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
 
 
+def test_vectors_that_repeat_a_key_or_lack_one(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.02], 1), (None, [1.0, 0.03], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (None, None, 1), (3, [-1.0, 0.0], 1)]
+    got = embed.report(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (3, 0, 3, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_vectors_oracle(spark):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(25, 32))
+    rows = [(k, [float(np.float32(x)) for x in centres[k % 25] + rng.normal(size=32) * rng.choice([0.0, 0.1, 0.2, 0.28])], int(rng.integers(0, 3))) for k in range(600)]
+    rows += [(700, None, 1), (701, [0.0] * 32, 1), (702, [1.0] + [float("nan")] * 31, 1), (703, [1.0] * 32, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    con = duckdb.connect()
+    con.register("embeddings", frame.toArrow())
+    want = con.execute(embed.SQL).df()
+    assert (want.n_links > 3).sum() > 50
+    same(embed.report(frame).toPandas(), want)
+
+
+def test_no_table_between_stages_stays(spark):
+    import os
+
+    shared.settle(spark.range(3))
+    folder = shared.settled_dir(spark)
+    assert os.listdir(folder)
+    shared.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000)]

@@ -95,6 +95,9 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert best[1]["1"] == (0, 2, 11)
     assert decontam.remove(odd, bench).columns == odd.columns
     assert decontam.report(empty(spark), bench).count() == 0
+    mine = odd.selectExpr("*", "'MINE' AS items", "99 AS n_words", "'m' AS hits", "'m' AS matches", "'m' AS row", "7 AS n_hit")
+    left = decontam.remove(mine, bench)
+    assert left.columns == mine.columns and left.count() == sum(not w[-1] for w in want) and left.where("items <> 'MINE' OR n_words <> 99 OR n_hit <> 7 OR row <> 'm'").count() == 0
     assert decontam.report(odd, bench.where("false")).where("contaminated").count() == 0
 
 
