@@ -1,34 +1,38 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words by the vocabulary's pattern; a block's distinct words are
-looked up in a word table (word -> run in a pool of ids), only words that the table
-lacks are encoded, and ids return to the texts by position. The table lives as long
-as its Python worker and starts anew above ``max_words``, so memory is bounded and
-no id depends on what ran before. Decoding joins ids with the id-to-piece table.
+Texts are split into words by the vocabulary's pattern. A block of texts numbers its own
+distinct words and keeps its texts as numbers, one for each position. Over all blocks the
+distinct words are one table: each is encoded once, by merging, and its ids are joined
+with the id-to-piece table. The table joins back to the words of the blocks, and the ids
+return to the texts by position. Only the blocks' words, numbers and answers are
+shuffled, each compressed; a frequent word costs one row a block.
+
+``decode`` turns any ids into texts the same way: a block numbers its distinct ids, these
+join the id-to-piece table, and the pieces return by position.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, tidy
+from .shared import boxed, column, slices, tidy, tidy_group
 
 #: The split pattern of byte-level BPE vocabularies of this family (a fixed value of the public format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 1 << 20
-#: Ids that are decoded at once.
-BLOCK_IDS = 1 << 18
-MAX_WORDS = 300_000
-
-_encoders: dict[int, "Encoder"] = {}
+#: Text of a block, text that is split at a time, and positions that are filled at a time.
+BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+STEP = 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,154 +42,286 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_vocabulary(path: str) -> dict:
-    """Pieces by id and special strings of a byte-level BPE file; at most its number of ids in size."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, alphabet = spec["model"], byte_alphabet()
-    if model["type"] != "BPE" or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
-        raise ValueError("a plain byte-level BPE vocabulary is needed")
-    vocab = model["vocab"]
-    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    pieces = [b""] * (1 + max([*vocab.values(), *special.values()]))
-    ranks = {}
-    for token, i in vocab.items():
-        if token not in special:
-            pieces[i] = bytes(alphabet[c] for c in token)
-            ranks[pieces[i]] = i
-    for token, i in special.items():
-        pieces[i] = token.encode()
-    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
-    if merged != sorted(merged):
-        raise ValueError("merges must come in the order of their ids")
-    return {"pieces": pieces, "ranks": ranks, "special": special}
-
-
-class Encoder:
-    def __init__(self, vocabulary: dict, max_words: int):
+class Vocabulary:
+    """A byte-level BPE file: pieces by id, special strings, and what two ids merge to; at most its number of ids in size."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, alphabet = spec["model"], byte_alphabet()
+        if model["type"] != "BPE" or model.get("ignore_merges") or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError("a plain byte-level BPE vocabulary is needed")
+        vocab = model["vocab"]
+        self.special: dict[str, int] = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.pieces: dict[int, bytes] = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if token not in self.special}
+        self.pieces |= {i: token.encode() for token, i in self.special.items()}
+        self.bytes = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.merges[vocab[left], vocab[right]] = rank, vocab[left + right]
+
+    def ids(self, word: str) -> list[int]:
+        """Ids of one word: of all neighbours that merge, those of the lowest rank do first, from the left."""
+        if word in self.special:
+            return [self.special[word]]
+        ids: list[int | None] = [self.bytes[b] for b in word.encode()]
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (m := self.merges.get((ids[i], ids[j]))):
+                heapq.heappush(heap, (m[0], i, j, ids[i], ids[j]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, left, right = heapq.heappop(heap)
+            if ids[i] != left or ids[j] != right or after[i] != j:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = self.merges[left, right][1], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return [x for x in ids if x is not None]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(id, piece as hexadecimal digits): the id-to-piece table."""
+        return spark.createDataFrame(pa.table({"id": pa.array(list(self.pieces), pa.int32()), "piece": [p.hex() for p in self.pieces.values()]}))
+
+
+class Splitter:
+    """Words of a text; a special string is a word of its own, and no other word holds one."""
+
+    def __init__(self, special: list[str]):
         import regex
-        import tiktoken
 
-        self.special = vocabulary["special"]
+        self.special = special
         self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.one = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=vocabulary["ranks"], special_tokens={})._encode_single_piece
-        self.max_words = max_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.table: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int32)
-        for token, i in self.special.items():  # a special string is a word of its own
-            self.add("\0special" + token, [i])
-
-    def add(self, word: str, ids: list[int]) -> None:
-        n = len(self.table)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if n == len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n], self.length[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.table[word] = n
-
-    def words(self, text: str) -> list[str]:
-        if not self.special or not any(s in text for s in self.special):
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+
+    def __call__(self, text: str) -> list[str]:
+        if not any(s in text for s in self.special):
             return self.find(text)
         out: list[str] = []
         for k, part in enumerate(self.cut(text)):
-            if k % 2:
-                out.append("\0special" + part)
-            else:
-                out += self.find(part)
+            out += [part] if k % 2 else self.find(part)
         return out
 
-    def block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets per text, and all ids."""
-        flat: list[str] = []
-        ends = [0]
-        for text in texts:
-            if text:
-                flat += self.words(text)
-            ends.append(len(flat))
-        for word in dict.fromkeys(flat):
-            if word not in self.table:
-                self.add(word, self.one(word))
-        at = np.fromiter(map(self.table.__getitem__, flat), dtype=np.int64, count=len(flat))
-        length = self.length[at].astype(np.int64)
-        after = np.concatenate([[0], np.cumsum(length)])
-        where = np.repeat(self.start[at] - after[:-1], length) + np.arange(after[-1])
-        ids = self.pool[where]
-        if len(self.table) > self.max_words:
-            self.clear()
-        return after[np.array(ends)], ids
-
-
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", max_words: int = MAX_WORDS) -> DataFrame:
-    """Adds ``ids`` (array of int) for whole texts; null and empty texts have no ids.
-
-    Rows pass through one for one, so repeated rows, ties and further columns stay.
-    A former column of the name ``ids`` is replaced.
+
+# ---------------------------------------------------------------- blocks
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def _block_schema(row: T.StructField, key: T.DataType) -> T.StructType:
+    kinds = {"block": T.LongType(), "rows": T.ArrayType(row.dataType), "counts": T.ArrayType(T.IntegerType()), "keys": T.ArrayType(key), "places": T.BinaryType()}
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+def _blocks(parts: Callable, key: pa.DataType):
+    """Rows to blocks. ``parts`` gives (rows, keys of all their positions, how many each has, bytes) of a batch, slice by slice.
+
+    A block's number comes from what is in it, so a block that another attempt of its task
+    would cut otherwise finds no answers and fails, instead of taking those of another.
     """
-    docs = docs.drop(ids)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer, max_words)
-        if key not in _encoders:
-            _encoders[key] = Encoder(vocabulary.value, max_words)
-        encoder = _encoders[key]
+        import xxhash
+
+        made, held, size, numbers = 0, [], 0, Numbers()
+
+        def block() -> pa.RecordBatch:
+            nonlocal made, held, size, numbers
+            rows, counts, places = zip(*held)
+            packed, keys = _pack(np.concatenate(places)), pa.array(list(numbers), key)
+            name = xxhash.xxh64(packed, seed=17)
+            for b in (np.concatenate(counts).tobytes(), repr((TaskContext.get().partitionId(), made, len(keys), hash_of(keys))).encode()):
+                name.update(b)
+            made, held, size, numbers = made + 1, [], 0, Numbers()
+            one = pa.ListArray.from_arrays(pa.array([0, sum(map(len, rows))], pa.int32()), pa.concat_arrays(rows))
+            number = pa.array([name.intdigest() - (1 << 63)], pa.int64())
+            return pa.RecordBatch.from_arrays([number, one, pa.array([np.concatenate(counts)], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([packed], pa.binary())], names=["block", "rows", "counts", "keys", "places"])
+
         for batch in batches:
-            for part in slices(batch, text, BLOCK_BYTES):
-                offsets, found = encoder.block(part.column(part.schema.get_field_index(text)).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
+            for rows, found, counts, weight in parts(batch):
+                held.append((rows, counts.astype(np.int32), np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))))
+                size += weight
+                if size >= BLOCK_BYTES:
+                    yield block()
+        if held:
+            yield block()
 
-    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return run
 
 
-def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """Adds ``text``, the pieces of ``ids`` end to end; bytes that are no UTF-8 become U+FFFD.
+def hash_of(keys: pa.Array) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b"".join(x for x in keys.buffers()[1:] if x is not None))
+
+
+def _split(special: list[str]):
+    def parts(batch: pa.RecordBatch):
+        words = Splitter(special)
+        for part in slices(batch, "text", SLICE_BYTES):
+            text, flat, counts = part.column(part.schema.get_field_index("text")), [], []
+            for x in text.to_pylist():
+                flat += (found := words(x) if x else [])
+                counts.append(len(found))
+            yield part.column(part.schema.get_field_index("row")), flat, np.array(counts), text.nbytes
+
+    return parts
+
+
+def _ids_of(batch: pa.RecordBatch):
+    lists = batch.column(batch.schema.get_field_index("ids"))
+    step = max(1, int(batch.num_rows * SLICE_BYTES // (4 * max(1, len(lists.flatten())))))
+    for k in range(0, batch.num_rows, step):
+        part = lists.slice(k, step)
+        flat = part.flatten()
+        yield batch.column(batch.schema.get_field_index("row")).slice(k, step), flat.to_pylist(), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), 4 * len(flat)
+
+
+def _keys(table: pa.Table) -> pa.Table:
+    """The keys of the blocks of one number, each with its place in its block's list."""
+    lists = table.column("keys").combine_chunks()
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return pa.table({"block": pa.array(np.repeat(table.column("block").to_numpy(), counts)), "n": pa.array(place, pa.int32()), "key": lists.flatten()})
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    after = np.cumsum(lengths)
+    return np.repeat(starts - after + lengths, lengths) + np.arange(after[-1] if len(after) else 0)
+
+
+def _fill(with_ids: bool, with_text: bool):
+    """A block and the answers to its keys: its rows with ids, texts, or both."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, ids, texts = [], [], []
+        right = right.sort_by("n") if right.num_rows else pa.table({"ids": pa.array([], pa.list_(pa.int32())), "raw": pa.array([], pa.binary())})
+        answers = {"ids": right.column("ids").combine_chunks()} if with_ids else {}
+        answers |= {"raw": right.column("raw").combine_chunks()} if with_text else {}
+        if with_text and answers["raw"].null_count:
+            raise ValueError("an id is not in the vocabulary")
+        for k in range(left.num_rows):
+            if len(left.column("keys")[k]) != right.num_rows:
+                raise RuntimeError("a block's keys changed between attempts of its task; run the job again")
+            counts = left.column("counts")[k].values.to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            places = _unpack(left.column("places")[k].as_py(), int(ends[-1]))
+            rows.append(left.column("rows")[k].values)
+            a = 0
+            while a < len(counts):  # documents whose positions fit a step, or one longer document
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, side="right")) - 1)
+                here, cut = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                for kind, values in answers.items():
+                    if kind == "ids":
+                        size = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                        pool = values.flatten().to_numpy(zero_copy_only=False)
+                    else:
+                        size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+                        pool = np.frombuffer(b"".join(values.to_pylist()), np.uint8)
+                    start = np.cumsum(size) - size
+                    at = np.concatenate([[0], np.cumsum(size[here])])[cut]
+                    found = pool[_gather(start[here], size[here])]
+                    if kind == "ids":
+                        ids.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32())))
+                    else:
+                        body = found.tobytes()
+                        texts.append(pa.array([body[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at[1:].tolist())], pa.string()))
+                a = b
+        out = {"row": pa.concat_arrays(rows)}
+        out |= {"ids": pa.concat_arrays(ids)} if with_ids else {}
+        out |= {"decoded": pa.concat_arrays(texts)} if with_text else {}
+        return pa.table(out)
+
+    return run
 
-    A null array decodes to an empty text. Unknown or negative ids raise an error.
-    """
-    frame = frame.drop(text) if text != ids else frame
-    vocabulary = frame.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer)["pieces"])
-    kept = [f for f in frame.schema.fields if keep_ids or f.name != ids]
+
+# ---------------------------------------------------------------- operators
+
+
+def word_table(words: DataFrame, vocabulary, pieces: DataFrame | None = None) -> DataFrame:
+    """(key, ids and, by the id-to-piece join, raw): every distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary.value
-        size = np.array([len(p) for p in pieces], dtype=np.int64)
-        start = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         for batch in batches:
-            names = [f.name for f in kept]
-            column = batch.column(batch.schema.get_field_index(ids))
-            step = max(1, int(batch.num_rows * BLOCK_IDS // max(1, len(column.flatten()))))
-            for k in range(0, batch.num_rows, step):
-                part, lists = batch.slice(k, step), column.slice(k, step)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(pieces)):
-                    raise ValueError("an id is not in the vocabulary")
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                length = size[flat]
-                after = np.concatenate([[0], np.cumsum(length)])
-                raw = pool[np.repeat(start[flat] - after[:-1], length) + np.arange(after[-1])].tobytes()
-                cut = after[np.concatenate([[0], np.cumsum(counts)])]
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                columns = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, text])
-
-    return frame.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(text, T.StringType())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vocabulary.value.ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["key", "ids"])
+
+    coded = words.select("key").distinct().mapInArrow(tidy(run), "key string, ids array<int>")
+    if pieces is None:
+        return coded
+    each = coded.select("key", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces), "id")  # bounded by the vocabulary file
+    said = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("p"))
+    return said.select("key", F.transform("p", lambda x: x["id"]).alias("ids"), F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("raw"))
+
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``ids`` (array of int) for whole texts and, if named, ``decoded``: the pieces of those ids as a text.
+
+    Null and empty texts have no ids and decode to an empty text. Rows pass through one for
+    one, so repeated rows, ties and further columns (``keep``, or all) stay; an empty table
+    gives an empty one. Former columns of the new names are replaced; all others keep their
+    names and values.
+    """
+    spark = docs.sparkSession
+    loaded = Vocabulary(tokenizer)
+    vocabulary = spark.sparkContext.broadcast(loaded)
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in (ids, decoded)]
+    box = docs.select(F.struct(*map(column, names)).alias("row"), column(text).alias("text"))
+    row = box.schema["row"]
+    dealt = box.mapInArrow(tidy(_blocks(_split(list(loaded.special)), pa.string())), _block_schema(row, T.StringType()))
+    words = dealt.groupBy("block").applyInArrow(tidy_group(_keys), "block long, n int, key string")
+    table = word_table(words, vocabulary, loaded.table(spark) if decoded else None)
+    answers = words.join(table, "key").drop("key")
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * bool(decoded)
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_fill(True, bool(decoded)), T.StructType([row, *made]))
+    return out.select("row.*", F.col("ids").alias(ids), *([F.col("decoded").alias(decoded)] if decoded else []))
+
+
+def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
+    """Adds ``text``, the pieces of ``ids`` end to end; bytes that are no UTF-8 become U+FFFD.
+
+    A null array decodes to an empty text. Unknown, negative or null ids raise an error.
+    Rows and further columns stay; a former column of the new name is replaced.
+    """
+    spark = frame.sparkSession
+    without = tuple(c for c in frame.columns if c == text or (c == ids and not keep_ids))
+    box = boxed(frame, without, ids=column(ids).cast("array<int>"))
+    row = box.schema["row"]
+    dealt = box.mapInArrow(tidy(_blocks(_ids_of, pa.int32())), _block_schema(row, T.IntegerType()))
+    keys = dealt.groupBy("block").applyInArrow(tidy_group(_keys), "block long, n int, key int")
+    pieces = Vocabulary(tokenizer).table(spark).select(F.col("id").alias("key"), F.unhex("piece").alias("raw"))
+    answers = keys.join(F.broadcast(pieces), "key", "left").drop("key")  # bounded by the vocabulary file
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_fill(False, True), T.StructType([row, T.StructField("decoded", T.StringType())]))
+    return out.select("row.*", F.col("decoded").alias(text))
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: number of ids, and digests of the ids and of the decoded text."""
-    coded = decode(encode(docs.select("doc_id", "text"), tokenizer).drop("text"), tokenizer)
+    coded = encode(docs, tokenizer, decoded="decoded", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontam, embed, langid, lmscore, shard, simhash, substring, urlfilter
 
-TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
