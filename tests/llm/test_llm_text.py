@@ -342,7 +342,10 @@ def library():
     return Tokenizer.from_file(TOKENIZER)
 
 
-def test_bpe_as_the_library(spark, docs, odd, library):
+@pytest.mark.parametrize("block", [1 << 23, 20000])
+def test_bpe_as_the_library(spark, docs, odd, library, block, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", min(block, 1 << 20))
     for frame in (docs, odd):
         got = sorted(tuple(r) for r in bpe.digests(frame.fillna(-1, ["doc_id"]), TOKENIZER).collect())
         want = []
@@ -356,16 +359,21 @@ def test_bpe_words_of_any_script(library):
     rng = np.random.default_rng(3)
     pieces = [" ", "  ", "\n", "\t", "\r\n", "\x85", "\u00a0", "\u3000", "\u200b", "\x1c", "a", "Z", "é", "9", "²", "ⅷ", "क", "漢", "😀", "\u0301", "'s", "'", "<|endoftext|>", "<|end", "\x00", "\ufffd", ".", "…", "İ", "\u180e", "\u2028"]
     texts = ["".join(rng.choice(pieces, rng.integers(0, 30))) for _ in range(1500)]
-    encoder = bpe.Encoder(bpe.load_vocabulary(TOKENIZER), 500)
-    for k in range(0, len(texts), 50):
-        offsets, ids = encoder.block(texts[k : k + 50])
-        for j, e in enumerate(library.encode_batch(texts[k : k + 50], add_special_tokens=False)):
-            assert ids[offsets[j] : offsets[j + 1]].tolist() == e.ids
+    texts += ["ab" * 40000, "".join(rng.choice(list("abcdefghij éß"), 30000)), "x" * 70001]
+    vocabulary = bpe.Vocabulary(TOKENIZER)
+    words = bpe.Splitter(list(vocabulary.special))
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert "".join(words(text)) == text and [i for w in words(text) for i in vocabulary.ids(w)] == e.ids
 
 
 def test_bpe_keeps_columns_and_rejects_unknown_ids(spark, odd):
     coded = bpe.encode(odd.withColumn("ids", odd.doc_id), TOKENIZER)
     assert coded.columns == [*odd.columns, "ids"] and bpe.encode(empty(spark), TOKENIZER).count() == 0
+    clash = odd.selectExpr("*", "doc_id AS block", "text AS key", "text AS row", "n_chars AS n", "text AS `a.b`")
+    both = bpe.decode(bpe.encode(clash, TOKENIZER, decoded="said"), TOKENIZER)
+    assert both.columns == [*clash.columns, "ids", "said", "decoded"] and both.count() == len(ODD)
+    assert both.where("said <> coalesce(text, '') OR decoded <> said OR NOT block <=> doc_id OR NOT row <=> text OR NOT `a.b` <=> text").count() == 0
+    assert bpe.decode(empty(spark).selectExpr("doc_id", "array(1) AS ids"), TOKENIZER).count() == 0
     bad = spark.createDataFrame([(1, [1, 99999999])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(bad, TOKENIZER).collect()
