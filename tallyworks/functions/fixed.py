@@ -91,3 +91,9 @@ POLICY_SECTORS = {
 
 # Detectors that do not run unless asked for.
 DISABLED = ["outperforming_trades", "perfect_timing", "loss_avoidance", "wealth_vs_salary", "rapid_asset_appreciation", "excessive_wealth_growth"]
+
+# Detectors whose findings have no null model.
+UNTESTED = ["sector_concentration", "late_filing", "large_trade", "volume_spikes", "high_trading_frequency", "trade_clustering", "wealth_vs_salary", "excessive_wealth_growth", "rapid_asset_appreciation", "committee_jurisdiction_conflict", "multi_factor_risk"]
+
+# Filing types of annual reports that carry a schedule of travel.
+TRAVEL_FILINGS = ["O", "T"]

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DISABLED
+from ..functions.fixed import DISABLED, TRAVEL_FILINGS
 
 TITLE = 200
 
@@ -104,19 +104,28 @@ def percentile_ranks(findings: DataFrame, least: int = 10) -> DataFrame:
     return out.withColumn("severity", F.when(r >= 90, "high").when(r >= 50, "medium").when(r.isNotNull(), "low").otherwise(F.col("severity")))
 
 
+#: Ranges of [0, 1] that p-values are ranked in.
+RANGES = 4096
+
+
 def bh_qvalues(tests: DataFrame, p: str = "p_value", key: str = "test_id") -> DataFrame:
-    """Benjamini-Hochberg q-values over all tests with a p-value.
+    """Benjamini-Hochberg q-values over all tests with a p-value (from 0 to 1).
 
     Equal p-values share the largest rank, so ranks are running counts of distinct values.
-    A window over all distinct p-values is one task: an N-permutation family has N + 1 of them.
+    Values are counted and ranked within ranges; only one row a range meets in one task, to
+    carry the counts up and the running minimum down.
     """
-    some = tests.where(F.col(p).isNotNull())
-    values = some.groupBy(p).agg(F.count("*").alias("c"))
-    rank = F.sum("c").over(Window.orderBy(p))
-    n = F.sum("c").over(Window.partitionBy(F.lit(1)))
-    raw = values.withColumn("rank", rank).withColumn("n", n).withColumn("raw", F.col(p) * F.col("n") / F.col("rank"))
-    q = F.least(F.lit(1.0), F.min("raw").over(Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
-    return tests.join(raw.select(p, q.alias("q_value")), p, "left").select(*tests.columns, "q_value")
+    values = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col(p) * RANGES).cast("int"))
+    within = Window.partitionBy("range")
+    values = values.withColumn("upto", F.sum("c").over(within.orderBy(p)))
+    counts = values.groupBy("range").agg(F.sum("c").alias("size"))
+    ahead = counts.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("ahead"), F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    raw = values.join(F.broadcast(ahead), "range").withColumn("raw", F.col(p) * F.col("n") / (F.col("ahead") + F.col("upto")))
+    lows = raw.groupBy("range").agg(F.min("raw").alias("low"))
+    later = lows.select("range", F.min("low").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    here = F.min("raw").over(within.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    q = raw.join(F.broadcast(later), "range").select(p, F.least(F.lit(1.0), here, "later").alias("q_value"))
+    return tests.join(q, p, "left").select(*tests.columns, "q_value")
 
 
 def detection_summary(findings: DataFrame, members: DataFrame) -> DataFrame:
@@ -134,21 +143,31 @@ def significance_summary(findings: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def anomaly_summary(findings: DataFrame, members: DataFrame) -> DataFrame:
     """(dimension, value, n) by type, severity, party and chamber, in one pass with grouping sets."""
+    by = [F.col(c) for c in ("anomaly_type", "severity", "party", "chamber")]
     rows = findings.join(members.select("member_id", "party", "chamber"), "member_id")
-    rows.createOrReplaceTempView("__findings")
-    out = rows.sparkSession.sql("SELECT anomaly_type, severity, party, chamber, grouping_id() AS g, count(*) AS n FROM __findings GROUP BY GROUPING SETS ((anomaly_type), (severity), (party), (chamber))")
+    out = rows.groupingSets([[c] for c in by], *by).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     g = F.col("g")
     kind = F.when(g == 0b0111, "type").when(g == 0b1011, "severity").when(g == 0b1101, "party").otherwise("chamber")
     value = F.when(g == 0b0111, F.col("anomaly_type")).when(g == 0b1011, F.col("severity")).when(g == 0b1101, F.col("party")).otherwise(F.col("chamber"))
     return out.select(kind.alias("dimension"), value.alias("value"), "n")
 
 
-def parse_quality(filings: DataFrame) -> DataFrame:
-    """One row: filings, parsed, failed, scanned, mean confidence of the parsed."""
-    return filings.agg(
-        F.count("*").alias("filings"),
+def parse_quality(filings: DataFrame, travel: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: how well filings were read, and how much travel the annual reports gave.
+
+    The mean is over all scored filings. ``nothing`` counts filings read without a row though
+    they have, or may have, a text layer. ``travel`` has filing_id, ``members`` member_id and chamber.
+    """
+    score = F.col("confidence")
+    out = filings.agg(
         F.count_if("parsed").alias("parsed"),
-        F.count_if(F.col("parse_error").isNotNull()).alias("failed"),
+        (F.count_if("parsed") - F.count(score)).alias("never_scored"),
+        F.bround(F.avg(score), 3).alias("mean_confidence"),
+        F.count_if(score < 0.8).alias("poor"),
+        F.count_if((score == 0) & F.coalesce("has_text_layer", F.lit(True))).alias("nothing"),
         F.count_if(~F.col("has_text_layer")).alias("scanned"),
-        F.avg(F.when(F.col("parsed"), F.col("confidence"))).alias("mean_confidence"),
     )
+    trips = travel.agg(F.count("*").alias("travel_rows"), F.countDistinct("filing_id").alias("filings_with_travel"))
+    annual = filings.where(F.col("parsed") & ~F.col("is_ptr") & F.upper(F.trim("filing_type")).isin(TRAVEL_FILINGS))
+    house = annual.join(members.where("chamber = 'house'").select("member_id").distinct(), "member_id", "left_semi").agg(F.count("*").alias("house_annuals"))
+    return out.crossJoin(trips).crossJoin(house)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import DEADLINE_DAYS
 from ..functions.predicates import is_vague
+from .restatements import drop_restatements
 
 
 def overdue(trades: DataFrame, deadline: int = DEADLINE_DAYS) -> DataFrame:
@@ -15,10 +16,19 @@ def overdue(trades: DataFrame, deadline: int = DEADLINE_DAYS) -> DataFrame:
     return trades.where("filed_on IS NOT NULL AND traded_on IS NOT NULL").withColumn("overdue", days - deadline)
 
 
+def reported(trades: DataFrame, label: str | None = "filing_type", label_says: str = "(?i)amend") -> DataFrame:
+    """Trades of transaction reports without those that a later report repeats; what is scored for punctuality."""
+    return drop_restatements(trades.where("is_ptr"), label=label, label_says=label_says)
+
+
 def compliance(trades: DataFrame, deadline: int = DEADLINE_DAYS) -> DataFrame:
-    """Per member: checkable, late and on-time trades, rate, mean, median and largest delay, late value, worst filing."""
+    """Per member: checkable, late and on-time trades, rate, mean, median and largest delay, late value, worst filing.
+
+    ``trades`` are those of transaction reports, restated rows dropped (``reported``). The worst
+    filing is that of the latest trade, the first of several; none where nothing is late.
+    """
     late = F.col("overdue") > 0
-    worst = F.max_by("filing_id", F.struct(F.col("overdue"), -F.col("filing_id")))
+    worst = F.max_by("filing_id", F.when(late, F.struct(F.col("overdue"), -F.col("filing_id"), -F.col("txn_id"))))
     out = overdue(trades, deadline).groupBy("member_id").agg(
         F.count("*").alias("checkable"),
         F.count_if(late).alias("late"),
@@ -46,7 +56,8 @@ def late_rate(trades: DataFrame) -> DataFrame:
 def opacity(filings: DataFrame, trades: DataFrame, assets: DataFrame, least: int = 5) -> DataFrame:
     """Per member the mean of the defined rates: missing tickers, vague and unpriced items, unreadable filings.
 
-    Members with fewer than ``least`` items and no unreadable filing have no score.
+    Members with fewer than ``least`` items and no unreadable filing have no score. Trades
+    are those of all filings, restated rows dropped before.
     """
     unread = ~F.coalesce("parsed", F.lit(False)) | F.col("has_text_layer").eqNullSafe(F.lit(False)) | F.col("confidence").eqNullSafe(F.lit(0.0))
     f = filings.groupBy("member_id").agg(F.count("*").alias("filings"), F.count_if(unread).alias("unreadable"))

@@ -1,4 +1,9 @@
-"""Permutation tests: numpy inside grouped maps, one group per member or ticker."""
+"""Permutation tests of coincidences, and the q-values that findings inherit from them.
+
+Streams are counted by day before they meet, so a test's size is one of days, not rows. A
+test's permutations are dealt out in parts of PART: a group holds the days of one member or
+ticker and shifts them PART times in numpy; the parts' counts are summed in Spark.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,32 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import BILL_DAYS, CLUSTER_DAYS, CLUSTER_MEMBERS, CONTRACT_DAYS, DONATION_DAYS, LOBBYING_DAYS, UNTESTED
+from .findings import bh_qvalues
+from .windows import distinct_in_window
+
 PERMUTATIONS = 1000
 SPAN_DAYS = 30
-
-
-def resolvable(tests: int, permutations: int = PERMUTATIONS, alpha: float = 0.05) -> bool:
+PART = 250
+ALPHA = 0.05
+#: Cells of one step of (permutation, event) or (permutation, row).
+BLOCK = 1 << 20
+
+#: Detectors with a null model: days before and after an event that a trade may lie, and whether purchases alone count.
+DETECTORS = {
+    "donor_conflict": (DONATION_DAYS, DONATION_DAYS, False),
+    "lobbying_overlap": (LOBBYING_DAYS, LOBBYING_DAYS, False),
+    "contract_front_run": (CONTRACT_DAYS, 0, True),
+    "sponsorship_conflict": (BILL_DAYS, BILL_DAYS, False),
+    "bill_jurisdiction_conflict": (BILL_DAYS, BILL_DAYS, False),
+}
+CLUSTER = "cross_member_cluster"
+
+
+def resolvable(tests: int, permutations: int = PERMUTATIONS, alpha: float = ALPHA) -> bool:
     """Whether the smallest possible p-value can pass in a family of ``tests``."""
     return tests / (permutations + 1) <= alpha
 
@@ -23,98 +46,188 @@ def seed_of(*parts) -> int:
     return int.from_bytes(hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()[:8], "big")
 
 
-#: Cells of a block of (permutation, pair) or (permutation, row, row) work.
-BLOCK = 1 << 21
+def _day(c: Column) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def streams(detector: str, trades: DataFrame, events: DataFrame, key: str, event_key: str | None = None) -> DataFrame:
+    """(detector, member_id, key, is_trade, day, n): a detector's trades and events that share a key.
 
+    ``trades`` has member_id, traded_on, direction and ``key``, without restated rows;
+    ``events`` has happened_on, ``key`` and, if they concern one member only, member_id. Keys are
+    trimmed and upper-cased; rows without a key, a member or a day are left out.
+    """
+    def upper(c: str) -> Column:
+        return F.upper(F.trim(F.col(c).cast("string")))
+
+    rows = trades.where(F.col("direction") == "purchase") if DETECTORS[detector][2] else trades
+    rows = rows.select("member_id", upper(key).alias("key"), _day(F.col("traded_on")).alias("day")).dropna().groupBy("member_id", "key", "day").agg(F.count("*").alias("n"))
+    own = [c for c in ("member_id",) if c in events.columns]
+    dated = events.select(*own, upper(event_key or key).alias("key"), _day(F.col("happened_on")).alias("day")).dropna().groupBy(*own, "key", "day").agg(F.count("*").alias("n"))
+    pairs = rows.select("member_id", "key").distinct()
+    met = dated.join(pairs, [*own, "key"])
+    rows = rows.join(met.select("member_id", "key").distinct(), ["member_id", "key"])
+    made = [x.select(F.lit(detector).alias("detector"), "member_id", "key", F.lit(is_trade).alias("is_trade"), "day", "n") for x, is_trade in ((rows, True), (met, False))]
+    return made[0].unionByName(made[1])
+
+
+def observed_pairs(found: DataFrame) -> DataFrame:
+    """(detector, member_id, observed): (event, trade) pairs within the detector's window.
 
-def _shifted_pairs(t: np.ndarray, e: np.ndarray, offsets: np.ndarray, low: int, span: int, before: int, after: int) -> np.ndarray:
-    """For each offset the pairs in the window, of the candidate pairs (t, e) of equal keys."""
+    Trades are counted by a running sum over days that the window's ends enter as queries.
+    """
+    before = F.create_map(*[F.lit(x) for d, (b, _, _) in DETECTORS.items() for x in (d, b)])[F.col("detector")]
+    after = F.create_map(*[F.lit(x) for d, (_, a, _) in DETECTORS.items() for x in (d, a)])[F.col("detector")]
+    keys = ["detector", "member_id", "key"]
+    # at a day, order 0 are window starts (minus the trades before), 1 trades, 2 window ends (plus the trades up to)
+    trades = found.where("is_trade").select(*keys, "day", F.lit(1).alias("o"), "n", F.lit(0).alias("w"))
+    events = found.where("NOT is_trade")
+    starts = events.select(*keys, (F.col("day") - before).alias("day"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("n"), (-F.col("n")).alias("w"))
+    ends = events.select(*keys, (F.col("day") + after).alias("day"), F.lit(2).alias("o"), F.lit(0).cast("long").alias("n"), F.col("n").alias("w"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("day", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = trades.unionByName(starts).unionByName(ends).withColumn("upto", upto)
+    return rows.groupBy("detector", "member_id").agg(F.sum(F.col("w") * F.col("upto")).alias("observed"))
+
+
+def _shifted_pairs(lane: np.ndarray, t: np.ndarray, weight: np.ndarray, event_lane: np.ndarray, e: np.ndarray, times: np.ndarray, offsets: np.ndarray, span: float, before: int, after: int) -> np.ndarray:
+    """For each offset the pairs in the window when all trades are shifted by it around the span.
+
+    Trades stay where they are and the windows move back instead; each lane (key) has a stretch of its own.
+    """
+    t = np.mod(t, span)
+    stride = span + 2.0
+    order = np.argsort(lane * stride + t, kind="stable")
+    at, total = (lane * stride + t)[order], np.concatenate([[0], np.cumsum(weight[order])])
+    low, high, base = np.maximum(e - before, 0.0), np.minimum(e + after, span), event_lane * stride
     out = np.zeros(len(offsets), dtype=np.int64)
-    step = max(1, BLOCK // max(1, len(offsets)))
-    for k in range(0, len(t), step):
-        moved = (t[k : k + step] - low + offsets[:, None]) % span + low
-        apart = moved - e[k : k + step]
-        out += ((apart >= -before) & (apart <= after)).sum(axis=1)
+    step = max(1, BLOCK // max(1, len(e)))
+    for k in range(0, len(offsets), step):
+        back = offsets[k : k + step, None]
+        for turn in (0.0, span):
+            a, b = np.clip(low - back + turn, -0.5, span + 0.5) + base, np.clip(high - back + turn, -0.5, span + 0.5) + base
+            n = total[np.searchsorted(at, b, "right")] - total[np.searchsorted(at, a, "left")]
+            out[k : k + step] += (np.maximum(n, 0) * times).sum(axis=1)
     return out
 
 
-def permutation_pvalues(streams: DataFrame, before: int, after: int, permutations: int = PERMUTATIONS, least_span: int = SPAN_DAYS) -> DataFrame:
-    """(detector, member_id, observed, p_value) from (detector, member_id, key, is_trade, day).
+def permutation_pvalues(found: DataFrame, permutations: int = PERMUTATIONS, least_span: int = SPAN_DAYS) -> DataFrame:
+    """(detector, member_id, observed, p_value) from ``streams``; one test per member and detector.
 
-    All trades of a member are shifted around the member's span by one offset per permutation;
-    the pairs within the window are counted anew, key by key. p is (1 + as many) / (1 + N), or
-    null where there are no trades or events or the span is under ``least_span`` days. A group
-    is one member's days: bounded by what one person files.
+    All trades of a member are shifted around the span of all its days by one offset per
+    permutation, and the pairs are counted anew, key by key. p is (1 + as many) / (1 + N); it
+    is null where the span is under ``least_span`` days. Members without an observed pair
+    have no test.
     """
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        on = rows["is_trade"].to_numpy()
-        day, code = rows["day"].to_numpy(), pd.factorize(rows["key"])[0]
-        order = np.argsort(code[~on], kind="stable")
-        events, at = day[~on][order], code[~on][order]
-        first, last = np.searchsorted(at, code[on], "left"), np.searchsorted(at, code[on], "right")
-        t = np.repeat(day[on], last - first)
-        e = events[np.arange(len(t)) - np.repeat(np.cumsum(last - first) - last, last - first)] if len(t) else t
-        observed = int(((t - e >= -before) & (t - e <= after)).sum())
-        p = None
-        if len(t):
-            low, span = int(day[on].min()), int(day[on].max() - day[on].min()) + 1
-            if span >= least_span:
-                offsets = np.random.default_rng(seed_of(*key)).integers(0, span, permutations)
-                reached = int((_shifted_pairs(t, e, offsets, low, span, before, after) >= observed).sum())
-                p = (1 + reached) / (1 + permutations)
-        return pd.DataFrame({"detector": [key[0]], "member_id": [key[1]], "observed": [observed], "p_value": [p]})
-
-    return streams.groupBy("detector", "member_id").applyInPandas(test, "detector string, member_id long, observed long, p_value double")
-
-
-def _most_members(member: np.ndarray, day: np.ndarray, days: int) -> int:
-    """Most distinct members within ``days`` days; rows sorted by day."""
-    best = left = 0
-    held: dict[int, int] = {}
-    for m, d in zip(member.tolist(), day.tolist()):
-        held[m] = held.get(m, 0) + 1
-        while d - day[left] > days:
-            gone = int(member[left])
-            held[gone] -= 1
-            if not held[gone]:
-                del held[gone]
-            left += 1
-        best = max(best, len(held))
-    return best
-
-
-def _most_in_block(moved: np.ndarray, at: np.ndarray, days: int) -> np.ndarray:
-    """The same for rows of shifted days (permutation, row) of members ``at``."""
-    n, one = moved.shape[1], np.eye(at.max() + 1, dtype=np.float32)[at]
+        detector, member, part = key
+        before, after, _ = DETECTORS[detector]
+        rows = rows.sort_values(["key", "is_trade", "day"])
+        on, lane, day, n = rows["is_trade"].to_numpy(), pd.factorize(rows["key"])[0], rows["day"].to_numpy().astype(float), rows["n"].to_numpy()
+        low, span = day.min(), day.max() - day.min()
+        first = part * PART
+        offsets = np.random.default_rng(seed_of(detector, member, part)).uniform(0, span, min(PART, permutations - first))
+        # the window around an event holds trades from before days ahead of it to after days past it
+        pairs = _shifted_pairs(lane[on], day[on] - low, n[on], lane[~on], day[~on] - low, n[~on], offsets, span, before, after)
+        return pd.DataFrame({"detector": [detector], "member_id": [member], "reached": [int((pairs >= rows["observed"].iloc[0]).sum())]})
+
+    observed = observed_pairs(found).where("observed > 0")
+    span = found.groupBy("detector", "member_id").agg((F.max("day") - F.min("day")).alias("span"))
+    tests = observed.join(span, ["detector", "member_id"])
+    parts = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PART))).alias("part")
+    dealt = found.join(tests.where(F.col("span") >= least_span).drop("span"), ["detector", "member_id"]).select("*", parts)
+    reached = dealt.groupBy("detector", "member_id", "part").applyInPandas(test, "detector string, member_id long, reached long").groupBy("detector", "member_id").agg(F.sum("reached").alias("reached"))
+    p = (F.col("reached") + 1) / float(permutations + 1)
+    return tests.join(reached, ["detector", "member_id"], "left").select("detector", "member_id", "observed", p.alias("p_value"))
+
+
+# ---------------------------------------------------------------- clusters
+
+
+def _most_members(who: np.ndarray, day: np.ndarray, offsets: np.ndarray, span: float, days: int) -> np.ndarray:
+    """For each row of offsets (one per member) the most members with a day within ``days`` days of each other.
+
+    A member counts from each day until ``days`` later or the member's next day, so every day is
+    a step up and a step down, and the most members are the largest running sum.
+    """
     out = []
-    for k in range(0, len(moved), max(1, BLOCK // (n * n))):
-        m = moved[k : k + max(1, BLOCK // (n * n))]
-        apart = m[:, :, None] - m[:, None, :]
-        out.append((((apart >= 0) & (apart <= days)).astype(np.float32) @ one > 0).sum(axis=2).max(axis=1))
+    for k in range(0, len(offsets), max(1, BLOCK // (2 * len(day)))):
+        moved = np.mod(day + offsets[k : k + max(1, BLOCK // (2 * len(day)))][:, who], span)
+        order = np.argsort(who * (2.0 * span) + moved, axis=1)
+        moved = np.take_along_axis(moved, order, 1)
+        member = who[order]
+        following = np.full_like(moved, np.inf)
+        following[:, :-1] = np.where(member[:, 1:] == member[:, :-1], moved[:, 1:], np.inf)
+        again = following <= moved + days
+        at = np.concatenate([moved, np.where(again, following, moved + days)], axis=1)
+        step = np.broadcast_to(np.repeat([1, -1], len(day)), at.shape)
+        # where days meet: a member's step down for its next day comes first, that at the window's end last
+        rank = np.concatenate([np.ones_like(moved), np.where(again, 0.0, 2.0)], axis=1)
+        order = np.lexsort((rank, at), axis=-1)
+        out.append(np.cumsum(np.take_along_axis(step, order, 1), axis=1).max(axis=1))
     return np.concatenate(out)
 
 
-def cluster_pvalues(trades: DataFrame, days: int = 14, members: int = 4, permutations: int = PERMUTATIONS, least_span: int = SPAN_DAYS) -> DataFrame:
-    """(ticker, direction, observed, p_value) for groups that reach ``members``; each member is shifted by an offset of its own."""
+def cluster_pvalues(trades: DataFrame, days: int = CLUSTER_DAYS, members: int = CLUSTER_MEMBERS, permutations: int = PERMUTATIONS, least_span: int = SPAN_DAYS) -> DataFrame:
+    """(ticker, direction, observed, p_value) for groups that reach ``members``; each member is shifted by offsets of its own."""
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["member_id", "day"]).sort_values("day")
-        who, day = rows["member_id"].to_numpy(), rows["day"].to_numpy()
-        observed, p = _most_members(who, day, days), None
-        if observed >= members:
-            low, span = int(day.min()), int(day.max() - day.min()) + 1
-            if span >= least_span:
-                rng = np.random.default_rng(seed_of(*key))
-                ids, at = np.unique(who, return_inverse=True)
-                moved = (day - low + rng.integers(0, span, (permutations, len(ids)))[:, at]) % span
-                if len(day) <= 256:
-                    reached = int((_most_in_block(moved, at, days) >= observed).sum())
-                else:  # long rows: the sweep needs no square of them
-                    order = np.argsort(moved, axis=1, kind="stable")
-                    reached = sum(_most_members(who[o], m[o], days) >= observed for m, o in zip(moved, order))
-                p = (1 + reached) / (1 + permutations)
-        return pd.DataFrame({"ticker": [key[0]], "direction": [key[1]], "observed": [observed], "p_value": [p]})
-
-    rows = trades.where(F.col("direction").isin("purchase", "sale") & F.col("traded_on").isNotNull()).select("ticker", "direction", "member_id", F.datediff("traded_on", F.lit("1970-01-01").cast("date")).alias("day"))
-    return rows.groupBy("ticker", "direction").applyInPandas(test, "ticker string, direction string, observed long, p_value double")
+        ticker, direction, part = key
+        rows = rows.sort_values(["member_id", "day"])
+        who, day = pd.factorize(rows["member_id"])[0], rows["day"].to_numpy().astype(float)
+        span = day.max() - day.min()
+        offsets = np.random.default_rng(seed_of(ticker, direction, part)).uniform(0, span, (min(PART, permutations - part * PART), who.max() + 1))
+        most = _most_members(who, day - day.min(), offsets, span, days)
+        return pd.DataFrame({"ticker": [ticker], "direction": [direction], "reached": [int((most >= rows["observed"].iloc[0]).sum())]})
+
+    rows = trades.where(F.col("direction").isin("purchase", "sale")).select(F.upper(F.trim("ticker")).alias("ticker"), "direction", "member_id", "traded_on").dropna().distinct()
+    at = distinct_in_window(rows, ["ticker", "direction"], "member_id", "traded_on", days)
+    groups = at.groupBy("ticker", "direction").agg(F.max("n").alias("observed")).where(F.col("observed") >= members)
+    dated = rows.select("ticker", "direction", "member_id", _day(F.col("traded_on")).alias("day"))
+    span = dated.groupBy("ticker", "direction").agg((F.max("day") - F.min("day")).alias("span"))
+    tests = groups.join(span, ["ticker", "direction"])
+    parts = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PART))).alias("part")
+    dealt = dated.join(tests.where(F.col("span") >= least_span).drop("span"), ["ticker", "direction"]).select("*", parts)
+    reached = dealt.groupBy("ticker", "direction", "part").applyInPandas(test, "ticker string, direction string, reached long").groupBy("ticker", "direction").agg(F.sum("reached").alias("reached"))
+    p = (F.col("reached") + 1) / float(permutations + 1)
+    return tests.join(reached, ["ticker", "direction"], "left").select("ticker", "direction", "observed", p.alias("p_value"))
+
+
+# ---------------------------------------------------------------- the family
+
+
+def family(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """All tests with a p-value as one family: (anomaly_type, member_id, ticker, p_value, q_value)."""
+    a = members.select(F.col("detector").alias("anomaly_type"), "member_id", F.lit(None).cast("string").alias("ticker"), "p_value")
+    b = clusters.select(F.lit(CLUSTER).alias("anomaly_type"), F.lit(None).cast("long").alias("member_id"), "ticker", "p_value")
+    return bh_qvalues(a.unionByName(b).where("p_value IS NOT NULL"))
+
+
+def annotate(findings: DataFrame, tests: DataFrame) -> DataFrame:
+    """Findings with the p- and q-values of their test, and null where there is none.
+
+    A finding belongs to the test of its type and member; a cluster's to that of the ticker
+    which is a word of its title, the smaller p-value of two directions. Types without a
+    null model never have values.
+    """
+    names = [c for c in findings.columns if c not in ("p_value", "q_value")]
+    best = tests.groupBy("anomaly_type", "member_id", "ticker").agg(F.min(F.struct("p_value", "q_value")).alias("best"))
+    rows = findings.select(*names).withColumn("__at", F.monotonically_increasing_id())
+    open_ = rows.where(~F.col("anomaly_type").isin(UNTESTED))
+    by_member = open_.join(best.where("member_id IS NOT NULL").drop("ticker"), ["anomaly_type", "member_id"]).select("__at", "best")
+    words = open_.where(F.col("anomaly_type") == CLUSTER).select("__at", F.explode(F.split(F.upper(F.coalesce("title", F.lit(""))), " ")).alias("ticker"))
+    by_ticker = words.join(best.where(F.col("ticker") != "").drop("member_id", "anomaly_type"), "ticker").select("__at", "best")
+    found = by_member.unionByName(by_ticker).groupBy("__at").agg(F.min("best").alias("best"))
+    return rows.join(found, "__at", "left").select(*names, "best.p_value", "best.q_value")
+
+
+def significance_run(annotated: DataFrame, tests: DataFrame, permutations: int = PERMUTATIONS, alpha: float = ALPHA) -> DataFrame:
+    """One row: tests, passing, annotated findings and those without a test, and whether any test could pass at all."""
+    best = tests.groupBy("anomaly_type", "member_id", "ticker").agg(F.min(F.struct("p_value", "q_value")).alias("best"))
+    t = tests.agg(F.count("*").alias("tests")).crossJoin(best.agg(F.count_if(F.col("best.q_value") <= alpha).alias("passing")))
+    f = annotated.agg(F.count("p_value").alias("annotated"), F.count_if(F.col("p_value").isNull()).alias("without_test"))
+    floor = 1 / (permutations + 1)
+    return t.crossJoin(f).select("*", F.lit(round(floor, 6)).alias("floor"), (F.col("tests") * floor <= alpha).alias("resolvable"), F.bround(F.col("passing") * alpha, 2).alias("expected_false"))

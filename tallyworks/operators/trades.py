@@ -9,6 +9,7 @@ from ..functions.dates import month_key
 from ..functions.fixed import DEADLINE_DAYS, LARGE_AMOUNT, LATE_AMOUNT, LATE_DAYS
 from ..functions.money import amount_of
 from ..functions.predicates import held_by_member, not_amended, owner_or_self
+from .restatements import drop_restatements
 
 
 def own(trades: DataFrame) -> DataFrame:
@@ -48,12 +49,19 @@ def large_trades(trades: DataFrame, above: int = LARGE_AMOUNT) -> DataFrame:
     return own(trades).where(F.col("amount_min") > above).withColumn("severity", severity)
 
 
-def late_filings(trades: DataFrame, days: int = LATE_DAYS, amount: int = LATE_AMOUNT) -> DataFrame:
-    """Household trades of some size filed more than ``days`` after the trade; graded by days past the deadline."""
+def late_filings(trades: DataFrame, days: int = LATE_DAYS, amount: int = LATE_AMOUNT, label: str | None = "filing_type", label_says: str = "(?i)amend") -> DataFrame:
+    """Household trades of some size that a read transaction report filed more than ``days`` after the trade.
+
+    Restated rows go first, counted among those reports, then amended ones. Graded by days
+    past the deadline, which is the threshold a finding stores.
+    """
     late = F.datediff("filed_on", "traded_on")
     past = F.col("days") - DEADLINE_DAYS
-    rows = trades.where(not_amended(F.col("status")) & (F.coalesce("amount_max", "amount_min") >= amount)).withColumn("days", late).where(F.col("days") > days)
-    return rows.withColumn("severity", F.when(past <= 30, "low").when(past <= 90, "medium").otherwise("high"))
+    rows = drop_restatements(trades.where("is_ptr AND parsed"), label=label, label_says=label_says)
+    size = F.when(F.col("amount_max") != 0, F.col("amount_max")).otherwise(F.col("amount_min"))
+    rows = rows.where(not_amended(F.col("status")) & (size >= amount)).withColumn("days", late).where(F.col("days") > days)
+    rows = rows.withColumn("severity", F.when(past <= 30, "low").when(past <= 90, "medium").otherwise("high"))
+    return rows.withColumn("threshold_value", F.lit(DEADLINE_DAYS).cast("long"))
 
 
 def committee_share(trades: DataFrame, sectors: DataFrame, seats: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:

@@ -40,9 +40,9 @@ def wealth_progression(filings: DataFrame, assets: DataFrame, liabilities: DataF
 
 
 def wealth_growth(worth: DataFrame, above: float = 200.0) -> DataFrame:
-    """Growth between a member's consecutive filings that beats the salary's share of the earlier worth by ``above`` points."""
+    """Growth between a member's consecutive read filings that beats the salary's share of the earlier worth by ``above`` points."""
     order = Window.partitionBy("member_id").orderBy("filing_year", "filed_on", "filing_id")
-    rows = worth.where("mid IS NOT NULL")
+    rows = worth.where("parsed AND mid IS NOT NULL")
     for c in ("filing_year", "mid", "low", "high"):
         rows = rows.withColumn(f"last_{c}", F.lag(c).over(order))
     rows = rows.where((F.col("filing_year") > F.col("last_filing_year")) & (F.col("last_mid") > 0))

@@ -83,12 +83,17 @@ def distinct_in_window(rows: DataFrame, keys: list[str], who: str, day: str, day
 def member_clusters(trades: DataFrame, days: int = CLUSTER_DAYS, members: int = CLUSTER_MEMBERS, share: float = CLUSTER_SHARE) -> DataFrame:
     """(ticker, direction) groups that many members traded within ``days``; exchanges do not count.
 
-    Concentration is the window's members over all who ever traded the ticker, either way;
-    the first of equally full windows is named.
+    Concentration is the window's members over all who ever traded the ticker, either way,
+    and ubiquity those over all traders; the first of equally full windows is named, from its
+    first trade to its last. Of few groups that pass, the window's rows are looked up again.
     """
     rows = trades.where(F.col("direction").isin("purchase", "sale") & F.col("ticker").isNotNull()).withColumn("ticker", F.upper(F.trim("ticker")))
     at = distinct_in_window(rows, ["ticker", "direction"], "member_id", "traded_on", days)
     best = at.groupBy("ticker", "direction").agg(F.max("n").alias("members"), F.max_by("day", F.struct("n", -ordinal_day(F.col("day")))).alias("last_day"))
     ever = rows.groupBy("ticker").agg(F.countDistinct("member_id").alias("ever"))
-    out = best.join(ever, "ticker").withColumn("concentration", F.col("members") / F.col("ever"))
-    return out.where((F.col("members") >= members) & (F.col("concentration") >= share)).select("ticker", "direction", "members", "ever", "concentration", F.date_sub("last_day", days).alias("first_day"), "last_day")
+    all_ = rows.agg(F.countDistinct("member_id").alias("traders"))
+    out = best.where(F.col("members") >= members).join(ever, "ticker").withColumn("concentration", F.col("members") / F.col("ever")).where(F.col("concentration") >= share)
+    inside = rows.select("ticker", "direction", "member_id", "traded_on").join(out, ["ticker", "direction"]).where(F.col("traded_on").between(F.date_sub("last_day", days), F.col("last_day")))
+    named = inside.groupBy("ticker", "direction", "members", "ever", "concentration", "last_day").agg(F.min("traded_on").alias("first_day"), F.sort_array(F.collect_set("member_id")).alias("member_ids"))
+    severity = F.when(F.col("members") >= 6, "HIGH").otherwise("MEDIUM")
+    return named.crossJoin(F.broadcast(all_)).select("ticker", "direction", "members", "ever", "concentration", (F.col("ever") / F.col("traders")).alias("ubiquity"), "first_day", "last_day", "member_ids", severity.alias("severity"))

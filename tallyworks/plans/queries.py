@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, money, predicates, text
 from ..operators import findings as fi
 from ..operators import legislation, lookups, restatements, scores, serving, stats, trades, wealth, windows
-from ..session import scratch
+from ..session import scratch, settled
 from ..sources import html, readers
 from ..streaming import imports as streams
-from .workload import BASE, Workload
+from .workload import AMENDMENT, BASE, CONTENT, Workload, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,39 +39,27 @@ def query(sql: str | None = None):
     return register
 
 
-def _kept(trades_: str = "t", key: str = "flag", label: str = "FALSE") -> str:
-    """J9 in SQL: ``kept`` are the rows of ``trades_`` that no earlier filing has."""
-    return f""", live AS (SELECT *, {key} AS ckey FROM {trades_} WHERE status IS DISTINCT FROM 'Deleted'),
-cnt AS (SELECT member_id, filing_id, filed_on, filing_type, ckey, count(*) AS n FROM live GROUP BY ALL),
-shr AS (SELECT a.member_id, a.ckey, a.filing_id AS later, b.filing_id AS earlier, a.filing_type AS label, least(a.n, b.n) AS common FROM cnt a JOIN cnt b ON a.member_id = b.member_id AND a.ckey = b.ckey
-  AND (b.filed_on < a.filed_on OR (b.filed_on = a.filed_on AND b.filing_id < a.filing_id))),
-tot AS (SELECT *, sum(common) OVER (PARTITION BY member_id, later, earlier) AS total FROM shr),
-alr AS (SELECT member_id, later AS filing_id, ckey, max(common) AS already FROM tot WHERE {label} OR total >= 3 GROUP BY ALL),
-num AS (SELECT live.*, row_number() OVER (PARTITION BY member_id, filing_id, ckey ORDER BY txn_id) AS copy FROM live),
-kept AS (SELECT num.* FROM num LEFT JOIN alr USING (member_id, filing_id, ckey) WHERE copy > coalesce(already, 0))
-"""
-
-
-_CONTENT = "concat_ws('|', traded_on, direction, trim(asset), upper(trim(ticker)), amount_min, amount_max, coalesce(trim(owner), '~'))"
-_SCORED = """, s AS (SELECT *, filed_on - traded_on - 45 AS overdue FROM kept WHERE is_ptr),
+_CONTENT = CONTENT
+_kept = kept
+_AMENDED = f"regexp_matches(label, '{AMENDMENT}')"
+_SCORED = kept("(SELECT * FROM t WHERE is_ptr)", CONTENT, _AMENDED) + """, s AS (SELECT *, filed_on - traded_on - 45 AS overdue FROM kept),
 c AS (SELECT member_id, count(*) AS checkable, count(*) FILTER (overdue > 0) AS late, avg(overdue) FILTER (overdue > 0) AS mean_overdue, median(overdue) FILTER (overdue > 0) AS median_overdue,
-  max(overdue) FILTER (overdue > 0) AS max_overdue, coalesce(sum(amount_max) FILTER (overdue > 0), 0) AS late_value, arg_max(filing_id, (overdue, -filing_id)) AS worst_filing FROM s GROUP BY 1)
+  max(overdue) FILTER (overdue > 0) AS max_overdue, coalesce(sum(amount_max) FILTER (overdue > 0), 0) AS late_value, arg_max(filing_id, (overdue, -filing_id)) FILTER (overdue > 0) AS worst_filing FROM s GROUP BY 1)
 """
 
 
 @query(
-    _kept("t", _CONTENT)
-    + _SCORED
+    _SCORED
     + "SELECT member_id, checkable, late, checkable - late AS on_time, late / checkable * 100 AS late_rate, CAST(mean_overdue AS DOUBLE) AS mean_overdue, CAST(median_overdue AS DOUBLE) AS median_overdue, CAST(max_overdue AS DOUBLE) AS max_overdue, CAST(late_value AS BIGINT) AS late_value, worst_filing FROM c WHERE checkable >= 5"
 )
 def compliance_leaderboard(w: Workload) -> DataFrame:
-    board = scores.compliance_leaderboard(restatements.drop_restatements(w.trades()).where("is_ptr"))
+    board = scores.compliance_leaderboard(scores.reported(w.trades(), label_says=AMENDMENT))
     return board.withColumn("max_overdue", F.col("max_overdue").cast("double"))
 
 
-@query(", s AS (SELECT filed_on - traded_on - 45 AS overdue FROM t WHERE is_ptr) SELECT count(*) AS checkable, count(*) FILTER (overdue > 0) AS late, count(*) FILTER (overdue > 0) / count(*) * 100 AS late_rate FROM s")
+@query(_SCORED + "SELECT count(*) AS checkable, count(*) FILTER (overdue > 0) AS late, count(*) FILTER (overdue > 0) / count(*) * 100 AS late_rate FROM s")
 def late_rate(w: Workload) -> DataFrame:
-    return scores.late_rate(w.trades().where("is_ptr"))
+    return scores.late_rate(scores.reported(w.trades(), label_says=AMENDMENT))
 
 
 @query(
@@ -162,14 +151,16 @@ def same_direction_runs(w: Workload) -> DataFrame:
 _CLUSTER = """, g AS (SELECT DISTINCT 'P' || part_id AS ticker, direction, member_id, traded_on AS day FROM t WHERE direction <> 'exchange'),
 n AS (SELECT a.ticker, a.direction, a.day, count(DISTINCT b.member_id) AS n FROM (SELECT DISTINCT ticker, direction, day FROM g) a JOIN g b ON a.ticker = b.ticker AND a.direction = b.direction AND b.day BETWEEN a.day - 14 AND a.day GROUP BY 1, 2, 3),
 m AS (SELECT ticker, direction, max(n) AS members, arg_max(day, (n, -(day - DATE '1970-01-01'))) AS last_day FROM n GROUP BY 1, 2),
-e AS (SELECT ticker, count(DISTINCT member_id) AS ever FROM g GROUP BY 1)
+e AS (SELECT ticker, count(DISTINCT member_id) AS ever FROM g GROUP BY 1),
+wi AS (SELECT m.ticker, m.direction, min(g.day) AS first_day, string_agg(DISTINCT CAST(member_id AS VARCHAR), ',' ORDER BY CAST(member_id AS VARCHAR)) AS ids FROM m JOIN g ON g.ticker = m.ticker AND g.direction = m.direction AND g.day BETWEEN m.last_day - 14 AND m.last_day GROUP BY 1, 2)
 """
 
 
-@query(_CLUSTER + "SELECT ticker, direction, members, ever, members / ever AS concentration, CAST(last_day - 14 AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day FROM m JOIN e USING (ticker) WHERE members >= 2 AND members / ever >= 0.05")
+@query(_CLUSTER + "SELECT ticker, direction, members, ever, members / ever AS concentration, ever / (SELECT count(DISTINCT member_id) FROM g) AS ubiquity, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, ids AS member_ids, CASE WHEN members >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM m JOIN e USING (ticker) JOIN wi USING (ticker, direction) WHERE members >= 2 AND members / ever >= 0.05")
 def member_clusters(w: Workload) -> DataFrame:
     rows = w.trades().withColumn("ticker", F.concat(F.lit("P"), F.col("part_id").cast("string")))
-    return windows.member_clusters(rows, members=2, share=0.05)
+    found = windows.member_clusters(rows, members=2, share=0.05)
+    return found.withColumn("member_ids", F.array_join(F.sort_array(F.col("member_ids").cast("array<string>")), ","))
 
 
 @query(_CLUSTER + "SELECT ticker, direction, members AS observed FROM m")
@@ -179,21 +170,75 @@ def cluster_observed(w: Workload) -> DataFrame:
     return at.groupBy("ticker", "direction").agg(F.max("n").alias("observed"))
 
 
+_DETECTORS = """, k AS (SELECT * FROM kept WHERE is_ptr),
+award AS (SELECT filing_id, part_id, filed_on, max(amount_max) AS amount FROM t WHERE NOT is_ptr GROUP BY ALL),
+o AS (SELECT 'donor_conflict' AS detector, k.member_id FROM k JOIN ev ON ev.member_id = k.member_id AND ev.ticker = k.ticker AND abs(traded_on - happened_on) <= 90
+UNION ALL SELECT 'lobbying_overlap', k.member_id FROM k JOIN (SELECT DISTINCT filing_id, part_id, filed_on FROM t WHERE NOT is_ptr) e ON e.part_id = k.part_id AND abs(traded_on - e.filed_on) <= 30
+UNION ALL SELECT 'contract_front_run', k.member_id FROM k JOIN award e ON e.part_id = k.part_id AND traded_on BETWEEN e.filed_on - 30 AND e.filed_on WHERE direction = 'purchase' AND (amount IS NULL OR amount > 15000)
+UNION ALL SELECT 'sponsorship_conflict', k.member_id FROM k JOIN (SELECT DISTINCT member_id, filing_id, sector, filed_on FROM t WHERE NOT is_ptr) e ON e.member_id = k.member_id AND e.sector = k.sector AND abs(traded_on - e.filed_on) <= 60
+UNION ALL SELECT 'bill_jurisdiction_conflict', k.member_id FROM k JOIN (SELECT DISTINCT filing_id, sector, filed_on FROM t WHERE NOT is_ptr) e ON e.filing_id % 1000 = k.member_id % 1000 AND e.sector = k.sector AND abs(traded_on - e.filed_on) <= 60)
+"""
+
+
 def _streams(w: Workload) -> DataFrame:
-    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).alias("day")
-    sold = restatements.drop_restatements(w.trades()).where("is_ptr").select(F.lit("donor").alias("detector"), "member_id", F.col("ticker").alias("key"), F.lit(True).alias("is_trade"), day("traded_on"))
-    return sold.unionByName(w.events().select(F.lit("donor").alias("detector"), "member_id", F.col("ticker").alias("key"), F.lit(False).alias("is_trade"), day("happened_on")))
+    """The five detectors' trades and events; trades without restated rows."""
+    t = w.trades()
+    sold = settled(restatements.drop_restatements(t).where("is_ptr"))
+    annual = t.where("NOT is_ptr").withColumn("happened_on", F.col("filed_on"))
+    once = lambda *c: annual.select("filing_id", "happened_on", *c).distinct()
+    awards = annual.groupBy("filing_id", "part_id", "happened_on").agg(F.max("amount_max").alias("amount"))
+    awards = awards.where(predicates.counted_award(F.col("happened_on"), F.col("amount") - 15000))
+    code = F.concat_ws(":", F.lpad((F.col("place") % 1000).cast("string"), 3, "0"), "sector")
+    made = [
+        stats.streams("donor_conflict", sold, w.events(), "ticker"),
+        stats.streams("lobbying_overlap", sold, once("part_id"), "part_id"),
+        stats.streams("contract_front_run", sold, awards, "part_id"),
+        stats.streams("sponsorship_conflict", sold, once("member_id", "sector"), "sector"),
+        stats.streams("bill_jurisdiction_conflict", sold.withColumn("place", F.col("member_id")).withColumn("key", code), once("sector").withColumn("place", F.col("filing_id")).withColumn("key", code), "key"),
+    ]
+    return settled(reduce(DataFrame.unionByName, made))
+
+
+@query(_kept("t", _CONTENT) + _DETECTORS + "SELECT detector, CAST(member_id AS BIGINT) AS member_id, count(*) AS observed FROM o GROUP BY 1, 2")
+def significance_observed(w: Workload) -> DataFrame:
+    return stats.observed_pairs(_streams(w)).where("observed > 0")
 
 
 @query()
 def permutation_pvalues(w: Workload) -> DataFrame:
-    return stats.permutation_pvalues(_streams(w), 90, 90)
+    return stats.permutation_pvalues(_streams(w))
+
+
+def _by_part(w: Workload) -> DataFrame:
+    return settled(restatements.drop_restatements(w.trades()).select("member_id", "direction", "traded_on", F.concat(F.lit("P"), F.col("part_id").cast("string")).alias("ticker")))
 
 
 @query()
 def cluster_pvalues(w: Workload) -> DataFrame:
-    rows = restatements.drop_restatements(w.trades()).withColumn("ticker", F.concat(F.lit("P"), F.col("part_id").cast("string")))
-    return stats.cluster_pvalues(rows, members=2)
+    return stats.cluster_pvalues(_by_part(w))
+
+
+@query(
+    """, te AS (SELECT 'late_purchase' AS anomaly_type, member_id, CAST(NULL AS VARCHAR) AS ticker, (member_id * 7 % 997 + 1) / 1001.0::DOUBLE AS p_value FROM mem WHERE member_id % 3 > 0
+UNION ALL SELECT 'cross_member_cluster', CAST(NULL AS BIGINT), p_brand, (row_number() OVER (ORDER BY p_brand) % 19 + 1) / 1001.0::DOUBLE FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand <> 'Brand#11'),
+rk AS (SELECT *, count(*) OVER (ORDER BY p_value) AS rank, count(*) OVER () AS n FROM te), q AS (SELECT *, least(1.0::DOUBLE, min(p_value * n / rank) OVER (ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING)) AS q FROM rk),
+f2 AS (SELECT *, CASE WHEN anomaly_type = 'late_sale' THEN 'cross_member_cluster' WHEN anomaly_type = 'late_exchange' THEN 'late_filing' ELSE anomaly_type END AS kind FROM fnd)
+SELECT finding_id, kind AS anomaly_type, q.p_value, q.q AS q_value FROM f2 LEFT JOIN q ON q.anomaly_type = kind AND (q.member_id = f2.member_id OR (q.ticker IS NOT NULL AND contains(f2.description, q.ticker || ' ')))"""
+)
+def annotate_findings(w: Workload) -> DataFrame:
+    kind = F.col("anomaly_type")
+    f = w.findings().withColumn("anomaly_type", F.when(kind == "late_sale", stats.CLUSTER).when(kind == "late_exchange", "late_filing").otherwise(kind)).withColumn("title", F.col("description"))
+    members = w.members().where("member_id % 3 > 0").select(F.lit("late_purchase").alias("detector"), "member_id", ((F.col("member_id") * 7 % 997 + 1) / 1001.0).alias("p_value"))
+    brands = w.table("part").select(F.col("p_brand").alias("ticker")).distinct()
+    # one row a brand, of which there are 25
+    clusters = brands.where("ticker <> 'Brand#11'").withColumn("n", F.row_number().over(Window.orderBy("ticker"))).select(F.upper("ticker").alias("ticker"), ((F.col("n") % 19 + 1) / 1001.0).alias("p_value"))
+    return stats.annotate(f, settled(stats.family(members, clusters))).select("finding_id", "anomaly_type", "p_value", "q_value")
+
+
+@query()
+def significance_run(w: Workload) -> DataFrame:
+    tests = settled(stats.family(settled(stats.permutation_pvalues(_streams(w))), settled(stats.cluster_pvalues(_by_part(w)))))
+    return stats.significance_run(stats.annotate(w.findings(), tests), tests)
 
 
 def _sectors(w: Workload) -> DataFrame:
@@ -229,9 +274,9 @@ def large_trades(w: Workload) -> DataFrame:
     return trades.large_trades(w.trades(), above=50_000).select("txn_id", "member_id", "amount_min", "amount_max", "severity")
 
 
-@query("SELECT finding_id AS txn_id, CAST(computed_value AS INTEGER) AS days, severity FROM fnd")
+@query("SELECT finding_id AS txn_id, CAST(computed_value AS INTEGER) AS days, severity, threshold_value FROM fnd")
 def late_filings(w: Workload) -> DataFrame:
-    return trades.late_filings(w.trades()).select("txn_id", "days", "severity")
+    return trades.late_filings(w.trades(), label_says=AMENDMENT).select("txn_id", "days", "severity", "threshold_value")
 
 
 def _seats(w: Workload) -> DataFrame:
@@ -303,7 +348,7 @@ def net_worth(w: Workload) -> DataFrame:
 
 
 _NW = """, nw AS (SELECT filing_id, coalesce(a_min, 0) - coalesce(l_max, 0) AS low, coalesce(a_max, 0) - coalesce(l_min, 0) AS high FROM (SELECT filing_id, sum(value_min) AS a_min, sum(value_max) AS a_max FROM ast GROUP BY 1) FULL JOIN (SELECT filing_id, sum(amount_min) AS l_min, sum(amount_max) AS l_max FROM lia GROUP BY 1) USING (filing_id)),
-wm AS (SELECT fil.*, CAST(low + high AS DOUBLE) / 2 AS mid FROM fil JOIN nw USING (filing_id) WHERE NOT is_ptr AND low <> 0 AND high <> 0)
+wm AS (SELECT fil.*, CAST(low + high AS DOUBLE) / 2 AS mid FROM fil JOIN nw USING (filing_id) WHERE NOT is_ptr AND parsed AND low <> 0 AND high <> 0)
 """
 
 
@@ -393,7 +438,7 @@ def detection_summary(w: Workload) -> DataFrame:
 @query(", ts AS (SELECT txn_id AS test_id, CASE WHEN txn_id % 7 <> 0 THEN (txn_id % 997 + 1) / 1001.0::DOUBLE END AS p_value FROM t), r AS (SELECT p_value, count(*) OVER (ORDER BY p_value) AS rank, count(*) OVER () AS n FROM ts WHERE p_value IS NOT NULL), v AS (SELECT DISTINCT p_value, p_value * n / rank AS raw FROM r), q AS (SELECT p_value, least(1.0::DOUBLE, min(raw) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)) AS q_value FROM v) SELECT test_id, ts.p_value, q_value FROM ts LEFT JOIN q ON ts.p_value = q.p_value")
 def bh_qvalues(w: Workload) -> DataFrame:
     tests = w.trades().select(F.col("txn_id").alias("test_id"), F.when(F.col("txn_id") % 7 != 0, (F.col("txn_id") % 997 + 1) / 1001.0).alias("p_value"))
-    return fi.bh_qvalues(tests)
+    return fi.bh_qvalues(settled(tests))
 
 
 @query("SELECT count(q_value) AS tested, count(*) FILTER (q_value <= 0.05::DOUBLE) AS passing, count(*) FILTER (q_value IS NULL) AS untested, count(*) FILTER (q_value <= 0.05::DOUBLE) * 0.05::DOUBLE AS expected_false FROM fnd")
@@ -464,9 +509,10 @@ def anomaly_summary(w: Workload) -> DataFrame:
     return fi.anomaly_summary(w.findings(), w.members())
 
 
-@query("SELECT count(*) AS filings, count(*) FILTER (parsed) AS parsed, count(parse_error) AS failed, count(*) FILTER (NOT has_text_layer) AS scanned, avg(confidence) FILTER (parsed) AS mean_confidence FROM (SELECT * REPLACE (CASE WHEN confidence > 0 THEN 0.5::DOUBLE ELSE confidence END AS confidence) FROM fil)")
+@query("SELECT count(*) FILTER (parsed) AS parsed, count(*) FILTER (parsed) - count(confidence) AS never_scored, round_even(avg(confidence), 3) AS mean_confidence, count(*) FILTER (confidence < 0.8::DOUBLE) AS poor, count(*) FILTER (confidence = 0 AND coalesce(has_text_layer, true)) AS nothing, count(*) FILTER (NOT has_text_layer) AS scanned, (SELECT count(*) FROM t WHERE NOT is_ptr AND part_id % 20 = 0) AS travel_rows, (SELECT count(DISTINCT filing_id) FROM t WHERE NOT is_ptr AND part_id % 20 = 0) AS filings_with_travel, count(*) FILTER (parsed AND NOT is_ptr AND member_id % 5 <> 0 AND filing_type LIKE '2%') AS house_annuals FROM (SELECT * REPLACE (CASE WHEN confidence > 0 THEN (filing_id % 4 + 1) / 4.0::DOUBLE ELSE confidence END AS confidence) FROM fil)")
 def parse_quality(w: Workload) -> DataFrame:
-    return fi.parse_quality(w.filings().withColumn("confidence", F.when(F.col("confidence") > 0, 0.5).otherwise(F.col("confidence"))))
+    f = w.filings().withColumn("confidence", F.when(F.col("confidence") > 0, (F.col("filing_id") % 4 + 1) / 4.0).otherwise(F.col("confidence")))
+    return fi.parse_quality(f.withColumn("filing_type", F.when(F.col("filing_type").startswith("2"), " o ").otherwise(F.col("filing_type"))), w.travel(), w.members())
 
 
 @query("SELECT member_id, first_name, last_name, party, (SELECT count(*) FROM mem WHERE last_name ILIKE '%1%' AND party = 'D') AS total FROM mem WHERE last_name ILIKE '%1%' AND party = 'D' ORDER BY last_name DESC, member_id LIMIT 20 OFFSET 20")
@@ -528,14 +574,15 @@ def coverage(w: Workload) -> DataFrame:
 
 
 @query(
-    """, ff AS (SELECT member_id, count(*) AS filings, count(*) FILTER (NOT parsed OR has_text_layer IS NOT DISTINCT FROM false OR confidence IS NOT DISTINCT FROM 0.0::DOUBLE) AS unreadable FROM fil GROUP BY 1),
-tf AS (SELECT member_id, count(*) AS nt, count(*) FILTER (part_id % 10 = 0) AS no_ticker, count(*) FILTER (length(trim(asset)) < 3) AS vt, count(*) FILTER (amount_min IS NULL AND amount_max IS NULL) AS ut FROM t GROUP BY 1),
+    _kept("t", _CONTENT, _AMENDED)
+    + """, ff AS (SELECT member_id, count(*) AS filings, count(*) FILTER (NOT parsed OR has_text_layer IS NOT DISTINCT FROM false OR confidence IS NOT DISTINCT FROM 0.0::DOUBLE) AS unreadable FROM fil GROUP BY 1),
+tf AS (SELECT member_id, count(*) AS nt, count(*) FILTER (part_id % 10 = 0) AS no_ticker, count(*) FILTER (length(trim(asset)) < 3) AS vt, count(*) FILTER (amount_min IS NULL AND amount_max IS NULL) AS ut FROM kept GROUP BY 1),
 af AS (SELECT member_id, count(*) AS na, count(*) FILTER (length(trim(asset)) < 3) AS va, count(*) FILTER (value_min IS NULL AND value_max IS NULL) AS ua FROM ast GROUP BY 1),
 jj AS (SELECT ff.*, coalesce(nt, 0) AS nt, coalesce(no_ticker, 0) AS no_ticker, coalesce(vt, 0) + coalesce(va, 0) AS vague, coalesce(ut, 0) + coalesce(ua, 0) AS unpriced, coalesce(nt, 0) + coalesce(na, 0) AS items FROM ff LEFT JOIN tf USING (member_id) LEFT JOIN af USING (member_id))
 SELECT member_id, filings, unreadable, items, no_ticker, vague, unpriced, (0.0::DOUBLE + unreadable / filings * 100 + CASE WHEN nt > 0 THEN no_ticker / nt * 100 ELSE 0 END + CASE WHEN items > 0 THEN vague / items * 100 ELSE 0 END + CASE WHEN items > 0 THEN unpriced / items * 100 ELSE 0 END) / (1 + CAST(nt > 0 AS INTEGER) + 2 * CAST(items > 0 AS INTEGER)) AS score FROM jj WHERE items >= 5 OR unreadable > 0"""
 )
 def opacity_leaderboard(w: Workload) -> DataFrame:
-    rows = w.trades().withColumn("ticker", F.when(F.col("part_id") % 10 != 0, F.col("ticker")))
+    rows = restatements.drop_restatements(w.trades(), label="filing_type", label_says=AMENDMENT).withColumn("ticker", F.when(F.col("part_id") % 10 != 0, F.col("ticker")))
     return scores.opacity_leaderboard(w.filings(), rows, w.assets())
 
 

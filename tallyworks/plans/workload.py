@@ -40,6 +40,7 @@ class Workload:
             F.to_date("o_orderdate").alias("filed_on"),
             F.col("o_orderpriority").alias("filing_type"),
             (F.col("o_orderstatus") != "P").alias("is_ptr"),
+            (F.col("o_orderkey") % 10 != 0).alias("parsed"),
             F.to_date("l_shipdate").alias("traded_on"),
             F.when(F.col("l_returnflag") == "A", "purchase").when(F.col("l_returnflag") == "R", "sale").otherwise("exchange").alias("direction"),
             F.col("p_brand").alias("ticker"),
@@ -90,8 +91,12 @@ class Workload:
         """Dated triggers: annual filings by the tickers they name."""
         return self.trades().where("NOT is_ptr").select(F.col("filing_id").alias("event_id"), "member_id", "ticker", F.col("filed_on").alias("happened_on")).distinct()
 
+    def travel(self) -> DataFrame:
+        """Trips that annual reports list."""
+        return self.trades().where("NOT is_ptr AND part_id % 20 = 0").select("filing_id", F.col("asset").alias("source"))
+
     def findings(self) -> DataFrame:
-        late = late_filings(self.trades())
+        late = late_filings(self.trades(), label_says=AMENDMENT)
         return late.select(
             F.col("txn_id").alias("finding_id"),
             "member_id",
@@ -102,7 +107,7 @@ class Workload:
             F.concat(F.lit("Filed "), F.col("days").cast("string"), F.lit(" days after the trade")).alias("title"),
             F.concat("ticker", F.lit(" in filing "), F.col("filing_id").cast("string")).alias("description"),
             F.col("days").cast("long").alias("computed_value"),
-            F.lit(60).cast("long").alias("threshold_value"),
+            "threshold_value",
             F.when(F.col("filing_id") % 4 != 0, F.col("filing_id") % 100 / 1000).alias("q_value"),
             F.col("filed_on").alias("detected_at"),
         )
@@ -118,10 +123,28 @@ def _band(column: str, end: int) -> str:
     return f"CAST(CASE {' '.join(cases)} END AS BIGINT)"
 
 
+#: Filing types that stand for amendments.
+AMENDMENT = "URGENT"
+CONTENT = "concat_ws('|', traded_on, direction, trim(asset), upper(trim(ticker)), amount_min, amount_max, coalesce(trim(owner), '~'))"
+
+
+def kept(trades: str = "t", key: str = "flag", label: str = "FALSE", p: str = "") -> str:
+    """Restatements in SQL: ``kept`` are the rows of ``trades`` that no earlier filing has; ``p`` prefixes the names."""
+    return f""", {p}live AS (SELECT *, {key} AS ckey FROM {trades} WHERE status IS DISTINCT FROM 'Deleted'),
+{p}cnt AS (SELECT member_id, filing_id, filed_on, filing_type, ckey, count(*) AS n FROM {p}live GROUP BY ALL),
+{p}shr AS (SELECT a.member_id, a.ckey, a.filing_id AS later, b.filing_id AS earlier, a.filing_type AS label, least(a.n, b.n) AS common FROM {p}cnt a JOIN {p}cnt b ON a.member_id = b.member_id AND a.ckey = b.ckey
+  AND (b.filed_on < a.filed_on OR (b.filed_on = a.filed_on AND b.filing_id < a.filing_id))),
+{p}tot AS (SELECT *, sum(common) OVER (PARTITION BY member_id, later, earlier) AS total FROM {p}shr),
+{p}alr AS (SELECT member_id, later AS filing_id, ckey, max(common) AS already FROM {p}tot WHERE {label} OR total >= 3 GROUP BY ALL),
+{p}num AS (SELECT {p}live.*, row_number() OVER (PARTITION BY member_id, filing_id, ckey ORDER BY txn_id) AS copy FROM {p}live),
+{p}kept AS (SELECT {p}num.* FROM {p}num LEFT JOIN {p}alr USING (member_id, filing_id, ckey) WHERE copy > coalesce(already, 0))
+"""
+
+
 #: The projections above as common table expressions; a query's SQL goes on after them.
 BASE = f"""WITH RECURSIVE t AS (
   SELECT l_orderkey * 10000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(LINE)}) AS txn_id,
-    o_orderkey AS filing_id, o_custkey AS member_id, CAST(o_orderdate AS DATE) AS filed_on, o_orderpriority AS filing_type, o_orderstatus <> 'P' AS is_ptr,
+    o_orderkey AS filing_id, o_custkey AS member_id, CAST(o_orderdate AS DATE) AS filed_on, o_orderpriority AS filing_type, o_orderstatus <> 'P' AS is_ptr, o_orderkey % 10 <> 0 AS parsed,
     CAST(l_shipdate AS DATE) AS traded_on, CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale' ELSE 'exchange' END AS direction,
     p_brand AS ticker, p_name AS asset, p_type AS sector, p_partkey AS part_id, {_band('l_extendedprice', 1)} AS amount_min, {_band('l_extendedprice', 2)} AS amount_max,
     CASE l_suppkey % 5 WHEN 0 THEN 'Spouse' WHEN 1 THEN 'Joint' WHEN 2 THEN NULL WHEN 3 THEN ' ' ELSE 'Self' END AS owner,
@@ -136,9 +159,10 @@ mem AS (SELECT c_custkey AS member_id, c_mktsegment AS first_name, c_name AS las
 ast AS (SELECT txn_id AS asset_id, filing_id, member_id, CAST(year(filed_on) AS INTEGER) AS year, asset, part_id, CASE WHEN part_id % 9 <> 0 THEN amount_min END AS value_min, CASE WHEN part_id % 9 <> 0 THEN amount_max END AS value_max FROM t WHERE direction = 'purchase'),
 lia AS (SELECT filing_id, member_id, amount_min, amount_max FROM t WHERE direction = 'sale'),
 ev AS (SELECT DISTINCT filing_id AS event_id, member_id, ticker, filed_on AS happened_on FROM t WHERE NOT is_ptr),
+{kept("(SELECT * FROM t WHERE is_ptr AND parsed)", CONTENT, f"regexp_matches(label, '{AMENDMENT}')", "f_")[2:]},
 fnd AS (SELECT txn_id AS finding_id, member_id, filing_id, CASE WHEN txn_id % 3 <> 0 THEN txn_id END AS txn_id, 'late_' || direction AS anomaly_type,
   CASE WHEN filed_on - traded_on - 45 <= 30 THEN 'low' WHEN filed_on - traded_on - 45 <= 90 THEN 'medium' ELSE 'high' END AS severity,
   'Filed ' || (filed_on - traded_on) || ' days after the trade' AS title, ticker || ' in filing ' || filing_id AS description, CAST(filed_on - traded_on AS BIGINT) AS computed_value,
-  CAST(60 AS BIGINT) AS threshold_value, CASE WHEN filing_id % 4 <> 0 THEN (filing_id % 100) / 1000.0::DOUBLE END AS q_value, filed_on AS detected_at
-  FROM t WHERE status <> 'Amended' AND coalesce(amount_max, amount_min) >= 50000 AND filed_on - traded_on > 60)
+  CAST(45 AS BIGINT) AS threshold_value, CASE WHEN filing_id % 4 <> 0 THEN (filing_id % 100) / 1000.0::DOUBLE END AS q_value, filed_on AS detected_at
+  FROM f_kept WHERE status <> 'Amended' AND coalesce(nullif(amount_max, 0), amount_min) >= 50000 AND filed_on - traded_on > 60)
 """

@@ -2,6 +2,7 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,21 @@ def test_compliance_on_the_deadline_and_one_over(spark):
     got = scores.compliance(frame(spark, rows)).first()
     assert (got.checkable, got.late, got.on_time) == (4, 2, 2)
     assert (got.mean_overdue, got.median_overdue, got.max_overdue, got.late_value) == (50.5, 50.5, 100, 30000)
+    assert got.worst_filing == 1
     assert scores.compliance_leaderboard(frame(spark, rows)).count() == 0
+    assert scores.compliance(frame(spark, [trade(filing=5, filed=9)])).first().worst_filing is None
+    ties = [trade(txn=1, filing=8, filed=60), trade(txn=2, filing=7, filed=60), trade(txn=3, filing=9, filed=50)]
+    assert scores.compliance(frame(spark, ties)).first().worst_filing == 7
+
+
+def test_reports_are_scored_without_annual_filings_and_restatements(spark):
+    first, again = copies(1, 40, "abc", 10), copies(2, 200, "abc", 20)
+    rows = frame(spark, first + again + copies(3, 300, "xyz", 30)).withColumn("is_ptr", F.col("filing_id") != 3)
+    got = scores.compliance(scores.reported(rows)).first()
+    assert (got.checkable, got.late, got.worst_filing) == (3, 0, None)
+    two = frame(spark, first[:2] + [t[:4] + ("Amendment",) + t[5:] for t in again[:2]]).withColumn("is_ptr", F.lit(True))
+    assert scores.late_rate(scores.reported(two)).first().checkable == 2  # the label alone suffices
+    assert scores.late_rate(scores.reported(two, label=None)).first().late == 2
     assert scores.late_rate(frame(spark, [])).first().late_rate is None
 
 
@@ -114,7 +129,8 @@ def test_distinct_in_window_and_clusters(spark):
     got = {r.day: r.n for r in windows.distinct_in_window(frame(spark, rows), ["ticker"], "member_id", "traded_on", 14).collect()}
     assert got == {day(0): 1, day(5): 2, day(14): 3, day(15): 4, day(40): 1}
     cluster = windows.member_clusters(frame(spark, rows)).collect()
-    assert [(c.members, c.ever, c.concentration) for c in cluster] == [(4, 5, 0.8)]
+    assert [(c.members, c.ever, c.concentration, c.ubiquity, c.member_ids, c.severity) for c in cluster] == [(4, 5, 0.8, 1.0, [1, 2, 3, 4], "MEDIUM")]
+    assert (cluster[0].first_day, cluster[0].last_day) == (day(5), day(15))  # from the window's first trade, not 14 days back
     assert windows.member_clusters(frame(spark, rows[:4])).count() == 0
     popular = rows + [trade(txn=50 + k, member=50 + k, traded=200 + 20 * k, direction="sale") for k in range(5)]
     assert windows.member_clusters(frame(spark, popular)).count() == 0
@@ -166,27 +182,80 @@ def test_upserts(spark):
     assert sorted(r.n for r in got.collect()) == [2, 4, 5]
 
 
+def naive_shift(trades, events, offset, span, before, after):
+    """Pairs in the window after all trades are shifted, lane by lane."""
+    return sum(n * m * (-before <= (t + offset) % span - e <= after) for k, t, n in trades for j, e, m in events if k == j)
+
+
+def test_shifted_pairs_are_those_of_a_plain_count():
+    rng = np.random.default_rng(6)
+    for before, after in ((5, 5), (30, 0), (400, 400)):
+        trades = [(int(k), float(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 40), rng.integers(0, 300, 40), rng.integers(1, 4, 40))] + [(0, 300.0, 1)]
+        events = [(int(k), float(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 15), rng.integers(0, 301, 15), rng.integers(1, 3, 15))]
+        offsets = rng.uniform(0, 300, 25)
+        (lane, t, n), (other, e, m) = (map(np.array, zip(*x)) for x in (trades, events))
+        got = stats._shifted_pairs(lane, t, n, other, e, m, offsets, 300.0, before, after)
+        assert got.tolist() == [naive_shift(trades, events, o, 300.0, before, after) for o in offsets]
+
+
 def test_permutation_pvalues(spark):
     def p(rows, **options):
-        s = spark.createDataFrame([("d", 1, k, t, d) for k, t, d in rows], "detector string, member_id long, key string, is_trade boolean, day int")
-        return stats.permutation_pvalues(s, 5, 5, permutations=200, **options).first()
+        s = spark.createDataFrame([("donor_conflict", 1, k, t, d, 1) for k, t, d in rows], "detector string, member_id long, key string, is_trade boolean, day long, n long")
+        return stats.permutation_pvalues(s, **({"permutations": 300} | options)).collect()
 
-    near = [("a", True, d) for d in (100, 337, 512, 781, 903)] + [("a", False, d) for d in (100, 337, 512, 781, 903)]
-    got = p(near)
+    apart = [100, 1337, 2512, 4781, 7903]
+    near = [("a", True, d) for d in apart] + [("a", False, d + 90) for d in apart]
+    got = p(near)[0]
     assert got.observed == 5 and got.p_value < 0.05
-    assert p(near + [("b", False, 100)]).observed == 5  # keys do not mix
-    assert p([("a", True, 1), ("a", True, 9), ("a", False, 3)]).p_value is None  # the span is too short
-    assert p([("a", True, 1)]).observed == 0
-    far = [("a", True, d) for d in range(0, 1000, 50)] + [("a", False, d) for d in range(0, 1000, 10)]
-    assert p(far).p_value > 0.2
-    assert stats.resolvable(50, 1000) and not stats.resolvable(51, 1000)
+    assert p(near) == p(near) and p(near + [("b", False, 100)])[0].observed == 5  # keys do not mix
+    assert p([("a", True, 1), ("a", True, 9), ("a", False, 3)])[0].p_value is None  # the span is too short
+    assert p([("a", True, 1), ("a", False, 92)]) == []  # no pair, no test
+    rng = np.random.default_rng(1)
+    far = [[("a", on, int(d)) for on, size in ((True, 20), (False, 30)) for d in rng.integers(0, 3000, size)] for _ in range(5)]
+    assert sum(p(x)[0].p_value > 0.05 for x in far) >= 4
+    assert stats.resolvable(50, 1000) and not stats.resolvable(51, 1000) and stats.resolvable(0)
+
+
+def test_streams_and_observed_pairs(spark):
+    rows = frame(spark, [trade(txn=1, traded=0), trade(txn=2, traded=0, direction="sale"), trade(txn=3, traded=50), trade(txn=4, member=2, traded=5), trade(txn=5, ticker=" ab ", traded=3), trade(txn=6, ticker=None)])
+    events = spark.createDataFrame([("AB", day(30)), ("AB", day(2)), ("ZZ", day(1)), (None, day(1))], "ticker string, happened_on date")
+    counted = lambda d, e: sorted((r.member_id, r.observed) for r in stats.observed_pairs(stats.streams(d, rows, e, "ticker")).collect())
+    assert counted("lobbying_overlap", events) == [(1, 7), (2, 2)]
+    assert counted("contract_front_run", events) == [(1, 3), (2, 1)]  # purchases, the award on or after the trade
+    own = events.withColumn("member_id", F.lit(2).cast("long"))
+    assert counted("donor_conflict", own) == [(2, 2)]
+
+
+def most_members(rows, days):
+    return max(len({m for m, d in rows if end - days <= d <= end}) for _, end in rows)
+
+
+def test_most_members_is_that_of_a_plain_count():
+    rng = np.random.default_rng(7)
+    who, day_ = np.sort(rng.integers(0, 9, 60)), rng.integers(0, 200, 60).astype(float)
+    offsets = np.concatenate([np.zeros((1, 9)), rng.integers(0, 200, (20, 9)), rng.uniform(0, 200, (20, 9))])
+    got = stats._most_members(who, day_, offsets, 200.0, 14)
+    assert got.tolist() == [most_members(list(zip(who, (day_ + o[who]) % 200)), 14) for o in offsets]
 
 
 def test_cluster_pvalues(spark):
     rows = [trade(txn=k, member=k, traded=500) for k in range(6)] + [trade(txn=100 + k, member=k, traded=40 * k) for k in range(12)]
-    got = stats.cluster_pvalues(frame(spark, rows), permutations=100).first()
-    assert got.observed == 6 and got.p_value < 0.05
-    assert stats._most_in_block(__import__("numpy").array([[0, 5, 14, 15]]), __import__("numpy").array([0, 1, 2, 3]), 14).tolist() == [3]
+    got = stats.cluster_pvalues(frame(spark, rows), permutations=300).collect()
+    assert [g.observed for g in got] == [6] and got[0].p_value < 0.05
+    assert stats.cluster_pvalues(frame(spark, rows[:3] + rows[6:]), permutations=300).count() == 0  # under the bar
+
+
+def test_findings_inherit_from_their_test(spark):
+    members = spark.createDataFrame([("donor_conflict", 1, 0.01), ("donor_conflict", 2, 0.04), ("lobbying_overlap", 1, 0.04)], "detector string, member_id long, p_value double")
+    clusters = spark.createDataFrame([("AB", 0.9), ("AB", 0.8), ("CD", None)], "ticker string, p_value double")
+    tests = stats.family(members, clusters)
+    assert tests.count() == 5
+    kinds = [("donor_conflict", 1, "t"), ("donor_conflict", 3, "t"), ("late_filing", 1, "t"), ("cross_member_cluster", 9, "5 members bought ab within 3 days"), ("cross_member_cluster", 9, "5 members bought ABC within 3 days"), ("cross_member_cluster", 9, None)]
+    rows = spark.createDataFrame([finding(k, kind=t, member=m, title=x) for k, (t, m, x) in enumerate(kinds)], FINDING).selectExpr("*", "0.5D AS p_value", "0.5D AS q_value")
+    got = {r.finding_id: (r.p_value, r.q_value and round(r.q_value, 6)) for r in stats.annotate(rows, tests).collect()}
+    assert got == {0: (0.01, 0.05), 1: (None, None), 2: (None, None), 3: (0.8, 0.9), 4: (None, None), 5: (None, None)}
+    run = stats.significance_run(stats.annotate(rows, tests), tests).first()
+    assert (run.tests, run.passing, run.annotated, run.without_test, run.resolvable) == (5, 1, 2, 4, True)
 
 
 def test_company_names(spark):
@@ -229,7 +298,7 @@ def test_trades_near_bills_count_once_per_bill(spark):
 
 
 def test_wealth_bands(spark):
-    filings = spark.createDataFrame([(1, 1, 2020, D0, False, "A"), (2, 1, 2022, day(700), False, "A"), (3, 1, 2022, day(700), True, "A"), (4, 2, 2022, D0, False, "C")], "filing_id long, member_id long, filing_year int, filed_on date, is_ptr boolean, filing_type string")
+    filings = spark.createDataFrame([(1, 1, 2020, D0, False, "A", True), (2, 1, 2022, day(700), False, "A", True), (3, 1, 2022, day(700), True, "A", True), (4, 2, 2022, D0, False, "C", True)], "filing_id long, member_id long, filing_year int, filed_on date, is_ptr boolean, filing_type string, parsed boolean")
     assets = spark.createDataFrame([(1, 1000, 2000), (2, 9_000_000, None), (3, 5, 6), (4, 5, 6)], "filing_id long, value_min long, value_max long")
     debts = spark.createDataFrame([(1, 100, 300)], "filing_id long, amount_min long, amount_max long")
     worth = {r.filing_id: (r.low, r.high, r.mid) for r in wealth.net_worth(filings, assets, debts).collect()}
@@ -245,8 +314,11 @@ def test_wealth_bands(spark):
 def test_detectors(spark):
     pairs = trades.buy_sell_pairs(frame(spark, [trade(txn=1, traded=0), trade(txn=2, traded=5), trade(txn=3, traded=5, direction="sale"), trade(txn=4, traded=6, direction="sale")]), ["member_id"]).first()
     assert (pairs.buys, pairs.sales, pairs.pairs) == (2, 2, 3)
-    late = trades.late_filings(frame(spark, [trade(txn=1, filed=60, high=60000), trade(txn=2, filed=61, high=60000), trade(txn=3, filed=200, high=40000), trade(txn=4, filed=200, high=60000, status="Amended"), trade(txn=5, filed=200, high=60000, owner="Spouse")]))
-    assert sorted((r.txn_id, r.severity) for r in late.collect()) == [(2, "low"), (5, "high")]
+    rows = [trade(txn=1, filing=1, filed=60, high=60000), trade(txn=2, filing=2, filed=61, high=60000), trade(txn=3, filing=3, filed=200, high=40000), trade(txn=4, filing=4, filed=200, high=60000, status="Amended"), trade(txn=5, filing=5, filed=200, high=60000, owner="Spouse")]
+    rows += [trade(txn=6, filing=6, filed=300, high=90000), trade(txn=7, filing=7, filed=300, high=90000), *copies(2, 61, "ghi", 20, high=90000), *copies(8, 250, "ghi", 30, high=90000)]
+    made = frame(spark, rows).withColumn("is_ptr", F.col("filing_id") != 6).withColumn("parsed", F.col("filing_id") != 7)
+    late = trades.late_filings(made)
+    assert sorted((r.txn_id, r.severity, r.threshold_value) for r in late.collect()) == [(2, "low", 45), (5, "high", 45), (20, "low", 45), (21, "low", 45), (22, "low", 45)]
     big = trades.large_trades(frame(spark, [trade(txn=1, low=1_000_001), trade(txn=2, low=1_000_000), trade(txn=3, low=50_000_001), trade(txn=4, low=9_000_001, owner="Spouse")]))
     assert sorted((r.txn_id, r.severity) for r in big.collect()) == [(1, 5), (3, 10)]
     spikes = trades.volume_spikes(frame(spark, [trade(txn=k, low=10, high=10) for k in range(8)] + [trade(txn=50 + k, low=51, high=51) for k in range(2)])).collect()
