@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, Texts, slices, tidy
+from .shared import LOWER, Texts, boxed, column, slices, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -91,35 +91,39 @@ class Network:
         e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy and its gradients; pooling sends each filter's to the bytes of its maximum."""
+        peaks, tops = [], []
+        for w, t in zip(WIDTHS, self.taps):
+            n = x.shape[1] - w + 1
+            total = sum(t[j][x[:, j : j + n]] for j in range(w))
+            at = total.argmax(axis=1)
+            peaks.append(at)
+            tops.append(np.take_along_axis(total, at[:, None, :], 1)[:, 0])
+        z = np.concatenate(tops, axis=1) + self.bias
+        h = np.maximum(z, 0)
+        p = self.softmax(h @ self.dense + self.out)
+        loss = float(-np.log(p[np.arange(len(y)), y]).mean())
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        dh = (p @ self.dense.T) * (z > 0)
+        grads = []
+        for k, (w, t) in enumerate(zip(WIDTHS, self.taps)):
+            g, part = np.zeros_like(t), dh[:, k * FILTERS : (k + 1) * FILTERS]
+            filters = np.broadcast_to(np.arange(FILTERS), part.shape)
+            for j in range(w):
+                np.add.at(g[j], (np.take_along_axis(x, peaks[k] + j, 1), filters), part)
+            grads.append(g)
+        return loss, grads + [dh.sum(0), h.T @ p, p.sum(0)]
+
     def train(self, rows: np.ndarray, labels: np.ndarray, steps: int, seed: int = 11) -> "Network":
-        """Adam on cross-entropy; pooling sends each filter's gradient to the bytes of its maximum."""
+        """Adam on cross-entropy."""
         rng = np.random.default_rng(seed)
         params = [*self.taps, self.bias, self.dense, self.out]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(rows), BATCH)
-            x, y = rows[pick], labels[pick]
-            peaks, tops = [], []
-            for w, t in zip(WIDTHS, self.taps):
-                n = x.shape[1] - w + 1
-                total = sum(t[j][x[:, j : j + n]] for j in range(w))
-                at = total.argmax(axis=1)
-                peaks.append(at)
-                tops.append(np.take_along_axis(total, at[:, None, :], 1)[:, 0])
-            z = np.concatenate(tops, axis=1) + self.bias
-            h = np.maximum(z, 0)
-            p = self.softmax(h @ self.dense + self.out)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            dh = (p @ self.dense.T) * (z > 0)
-            grads = []
-            for k, (w, t) in enumerate(zip(WIDTHS, self.taps)):
-                g, part = np.zeros_like(t), dh[:, k * FILTERS : (k + 1) * FILTERS]
-                filters = np.broadcast_to(np.arange(FILTERS), part.shape)
-                for j in range(w):
-                    np.add.at(g[j], (np.take_along_axis(x, peaks[k] + j, 1), filters), part)
-                grads.append(g)
-            grads += [dh.sum(0), h.T @ p, p.sum(0)]
+            _, grads = self.gradients(rows[pick], labels[pick])
             rate = 0.01 * (1 - 0.9 * step / steps)
             for v, g, m, s in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
@@ -129,7 +133,8 @@ class Network:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 4 == 2
+    """The quarter that nothing is learned from; a null key is not in it."""
+    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
 def has_letter(text: Column) -> Column:
@@ -139,19 +144,23 @@ def has_letter(text: Column) -> Column:
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", docs_each: int = SAMPLE_DOCS, steps: int = STEPS) -> Network:
     """Train on a bounded sample of the labelled rows.
 
-    A row with a label and a letter enters by a hash of its key, with the odds that
-    give ``docs_each`` rows of each label; up to SAMPLE_WINDOWS windows of it are taken
-    at even steps over the whole text. Counts of labels are over all rows. No labelled
-    row at all gives a network without labels, which calls everything ``und``.
+    A row with a label and a letter enters by a hash of its key and text, with the odds that
+    give ``docs_each`` rows of each label, and those of the lowest hashes stay if more do; rows
+    alike in key and text are one. Up to SAMPLE_WINDOWS windows of each are taken at even
+    steps over the whole text, so the driver gets docs_each x SAMPLE_WINDOWS windows a label
+    at most. Counts of labels are over all rows. No labelled row at all gives a network
+    without labels, which calls everything ``und``.
     """
     good = rows.where(F.col(label).isNotNull() & has_letter(F.col(text)))
     counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     labels = sorted(counts)
     if not labels:
         return Network([])
-    u = F.shiftrightunsigned(F.xxhash64(F.col(key)), 11) / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 11) / float(1 << 53)
     odds = F.coalesce(*[F.when(F.col(label) == x, docs_each / n) for x, n in counts.items()])
-    picked = good.where(u < odds).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    picked = good.where(u < odds).groupBy(u.alias("u"), F.col(label).alias("label")).agg(F.min(text).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("u", "text"))
+    picked = picked.withColumn("nth", nth).where(F.col("nth") <= docs_each).select("text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,21 +182,21 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 def predict(docs: DataFrame, network: Network, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the language and its probability; ``und`` with score 0 where text is null or has no letter.
 
-    Rows pass through one for one with all their columns; former columns of the two
-    names are replaced. Between equal probabilities the first label in order wins.
+    Rows pass through one for one with all their columns, so repeated rows are predicted
+    alike and an empty table gives an empty one; former columns of the two names are
+    replaced. Between equal probabilities the first label in order wins.
     """
-    docs = docs.drop(to, score)
     model = docs.sparkSession.sparkContext.broadcast(network)  # a few MB, whatever the corpus
-    mark, names_in = "__letter", docs.columns
+    box = boxed(docs, (to, score), text=column(text), letter=has_letter(column(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value.prepare()
         for batch in batches:
-            for part in slices(batch, text, BLOCK_BYTES):
-                texts = Texts(part.column(part.schema.get_field_index(text)))
+            for part in slices(batch, "text", BLOCK_BYTES):
+                texts = Texts(part.column(1))
                 texts.bytes = LOWER[texts.bytes]
                 rows, owner, length = windows(texts)
-                letter = part.column(part.schema.get_field_index(mark)).to_numpy(zero_copy_only=False)
+                letter = part.column(2).to_numpy(zero_copy_only=False)
                 names, scores = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
                 if net.labels:
                     p = net.probabilities(rows) * length[:, None]
@@ -196,14 +205,13 @@ def predict(docs: DataFrame, network: Network, text: str = "text", to: str = "la
                     best = mean.argmax(axis=1)
                     names[letter] = np.array(net.labels, dtype=object)[best[letter]]
                     scores[letter] = np.clip(mean[np.arange(len(best)), best][letter], 0, 1)
-                kept = [part.column(part.schema.get_field_index(f)) for f in names_in]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*names_in, to, score])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["row", "lang", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(mark, has_letter(F.col(text))).mapInArrow(tidy(run), schema)
+    out = box.mapInArrow(tidy(run), T.StructType([box.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select("row.*", F.col("lang").alias(to), F.col("score").alias(score))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """The query's columns; learns only from rows outside the held-out quarter."""
+    """The query's columns; learns only from rows outside the held-out quarter. A null doc_id is not held out."""
     network = fit(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), network).drop("text")
