@@ -3,8 +3,9 @@
 Each shard draws a number for each key from a hash of both; -ln(u) / weight is smallest
 for the winner, so a shard wins in proportion to its weight. A further shard changes
 only the keys that it wins itself. Slots number a shard's rows without a gap: rows are
-counted by shard and slice (two hex digits of the key's hash, so shards x slices counts
-in all), the counts become offsets, and only the rows of one slice are ranked together.
+counted by shard and slice (a hash of what they are ordered by), the counts become
+offsets, and only the rows of one slice are ranked together. Slices grow in number with
+the rows; one that is large all the same, as its rows are alike, is parted further.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import boxed, column, settle
 
 OVERHEAD = 16
 SHARDS = 40
-SLICE_DIGITS = 2
+#: Slices of a shard at least, and rows of a slice that are ranked together.
+SLICES, ROOM = 256, 50_000
 
 
 def draw(key: Column, shard: Column) -> Column:
@@ -35,21 +37,32 @@ def winner(key: Column, weights: list[float]) -> Column:
 
 
 def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", to: str = "shard") -> DataFrame:
-    """Adds the shard by ``key`` alone: rows with one key share a shard, null keys count as one key."""
-    return docs.withColumn(to, winner(F.coalesce(F.col(key).cast("string"), F.lit("")), weights))
+    """Adds the shard by ``key`` alone: rows with one key share a shard, null keys count as one key.
+
+    Repeated rows, null and empty texts and an empty table are taken as they are; a former
+    column of the name ``to`` is replaced, all others stay.
+    """
+    return docs.withColumn(to, winner(F.coalesce(column(key).cast("string"), F.lit("")), weights))
 
 
-def number(rows: DataFrame, key: str, order: list[str], shard: str = "shard", to: str = "slot") -> DataFrame:
-    """Adds slots from 0 without a gap in each shard, ordered by slice of the key's hash and ``order``.
+def number(rows: DataFrame, order: list[str], shard: str = "shard", to: str = "slot") -> DataFrame:
+    """Adds slots from 0 without a gap in each shard, ordered by a hash of ``order`` and ``order``.
 
-    Rows alike in all of ``order`` may take each other's slots.
+    Rows alike in all of ``order`` may take each other's slots. A former column of the name
+    ``to`` is replaced, all others stay.
     """
-    rows, _ = settle(rows.withColumn("__slice", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, SLICE_DIGITS)))
-    counts = rows.groupBy(shard, "__slice").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(shard).orderBy("__slice")) - F.col("__n")
-    offsets = counts.select(shard, "__slice", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "__slice").orderBy(*order)) - 1
-    return rows.withColumn("__rank", rank).join(offsets, [shard, "__slice"]).withColumn(to, (F.col("__before") + F.col("__rank")).cast("long")).drop("__slice", "__rank", "__before")
+    by = [column(c) for c in order]
+    box = boxed(rows, (to,), shard=column(shard), at=F.monotonically_increasing_id(), key=F.struct(*by), hash=F.xxhash64(*by))
+    box, _ = settle(box)
+    shares = box.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    box = box.withColumn("slice", F.pmod("hash", F.lit(max(SLICES, 4 * shares // ROOM))))
+    large = box.groupBy("shard", "slice").agg(F.count("*").alias("n")).where(F.col("n") > ROOM).select("shard", "slice", F.ceil(F.col("n") / ROOM).alias("parts"))
+    box = box.join(large, ["shard", "slice"], "left").withColumn("part", F.coalesce(F.pmod("at", "parts"), F.lit(0)))
+    counts = box.groupBy("shard", "slice", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("slice", "part")) - F.col("n")
+    offsets = counts.select("shard", "slice", "part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "slice", "part").orderBy("key")) - 1
+    return box.withColumn("rank", rank).join(offsets, ["shard", "slice", "part"]).select("row.*", (F.col("before") + F.col("rank")).cast("long").alias(to))
 
 
 def write_shards(docs: DataFrame, path: str, weights: list[float], key: str = "doc_id") -> None:
@@ -65,6 +78,6 @@ def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     last = draw(key, F.lit(shards)) > draw(key, F.col("shard"))  # equal weights: the larger draw wins
     rows = rows.withColumn("grown_shard", F.when(last, F.lit(shards)).otherwise(F.col("shard")).cast("int"))
-    out = number(rows, "doc_id", ["doc_id", "text_crc32", "size"])
+    out = number(rows, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", "grown_shard")
 
