@@ -27,6 +27,8 @@ DELTA = 0.1
 VOCABULARY = 1 << 22
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+#: Rows of one key above which it is dealt over several blocks.
+FREQUENT = 1000
 BEGIN = np.uint64(0xB5AD4ECEDA1CE2A9)
 
 
@@ -182,20 +184,28 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", weigh
     background model from all others. Losses are nats per word; score is background loss
     minus target loss, so higher is more like the target. A text without words (or null)
     has no tokens and zero losses. Labels without a document count nowhere; of several
-    label rows one that fits suffices; null keys share a block and match no label. Each row of a
-    repeated document is counted and scored for itself.
+    label rows one that fits suffices; null keys match no label. Each row of a repeated
+    document is counted and scored for itself. An empty table gives an empty result; further
+    columns are left out. Rows of a null or very frequent key are dealt over several blocks.
     """
     size = text_bytes(docs, "text")
     blocks = max(unit_count(docs.sparkSession), size // BLOCK_BYTES)
     buckets = max(unit_count(docs.sparkSession), size // BUCKET_BYTES)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64("id", "salt"), F.lit(blocks)).alias("block")
     chosen = labels.where(target).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = texts.mapInArrow(tidy(_count), "doc_id long, n long").join(chosen, F.col("doc_id") == F.col("id"), "left")
     sums = counted.agg(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.sum(F.when(F.col("id").isNull(), F.col("n")))).first()
     sizes = {"target": int(sums[0] or 0), "back": int(sums[1] or 0)}
-    rows = texts.select(block, F.col("doc_id").alias("id"), "text", F.lit(0).alias("label_row"), F.lit(False).alias("target"))
-    marks = chosen.select(F.col("id").alias("doc_id")).select(block, F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("label_row"), F.lit(True).alias("target"))
+    # keys with a ten-thousandth of all rows, and a thousand at least: ten thousand keys at most
+    each = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    many = max(FREQUENT, (each.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    hot = each.where((F.col("n") > many) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.ceil(F.col("n") / many).alias("salts"))
+    rows = texts.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("at")).join(F.broadcast(hot), "id", "left")
+    salt = F.when(F.col("id").isNull(), F.pmod("at", F.lit(blocks))).otherwise(F.coalesce(F.pmod("at", "salts"), F.lit(0)))
+    rows = rows.withColumn("salt", salt).select(block, "id", "text", F.lit(0).alias("label_row"), F.lit(False).alias("target"))
+    marks = chosen.join(F.broadcast(hot), "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
+    marks = marks.select(block, "id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("label_row"), F.lit(True).alias("target"))
     dealt = rows.unionByName(marks)
     sent = dealt.groupBy("block").applyInArrow(tidy_group(_send(buckets)), "bucket long, block long, n long, keys binary, target binary, back binary")
     answers = sent.groupBy("bucket").applyInArrow(tidy_group(_sum), "bucket long, block long, n long, target binary, back binary")
