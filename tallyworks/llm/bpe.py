@@ -2,10 +2,10 @@
 
 Texts are split into words by the vocabulary's pattern. A block of texts numbers its own
 distinct words and keeps its texts as numbers, one for each position. Over all blocks the
-distinct words are one table: each is encoded once, by merging, and its ids are joined
-with the id-to-piece table. The table joins back to the words of the blocks, and the ids
+distinct words are one table: each is encoded once, by merging, and its ids join the
+id-to-piece table, which decodes it. The table joins back to the words of the blocks, and the ids
 return to the texts by position. Only the blocks' words, numbers and answers are
-shuffled, each compressed; a frequent word costs one row a block.
+shuffled; a frequent word costs one row a block.
 
 ``decode`` turns any ids into texts the same way: a block numbers its distinct ids, these
 join the id-to-piece table, and the pieces return by position.
@@ -18,6 +18,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -30,9 +31,11 @@ from .shared import boxed, column, slices, tidy, tidy_group
 #: The split pattern of byte-level BPE vocabularies of this family (a fixed value of the public format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text of a block, text that is split at a time, and positions that are filled at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 STEP = 1 << 17
+#: Bytes of a word up to which its merges are searched one by one, not through a heap.
+SHORT = 24
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,6 +70,16 @@ class Vocabulary:
             return [self.special[word]]
         ids: list[int | None] = [self.bytes[b] for b in word.encode()]
         n = len(ids)
+        if n <= SHORT:
+            never = (len(self.merges), 0)
+            while len(ids) > 1:
+                found = [self.merges.get(p, never) for p in zip(ids, ids[1:])]
+                best = min(found)
+                if best is never:
+                    break
+                k = found.index(best)
+                ids[k : k + 2] = [best[1]]
+            return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -133,12 +146,21 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-def _block_schema(row: T.StructField, key: T.DataType) -> T.StructType:
-    kinds = {"block": T.LongType(), "rows": T.ArrayType(row.dataType), "counts": T.ArrayType(T.IntegerType()), "keys": T.ArrayType(key), "places": T.BinaryType()}
+def _block_schema(row: T.StructField) -> T.StructType:
+    kinds = {"block": T.LongType(), "rows": T.ArrayType(row.dataType), "counts": T.ArrayType(T.IntegerType()), "n_keys": T.IntegerType(), "keys": T.BinaryType(), "places": T.BinaryType()}
     return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
 
 
-def _blocks(parts: Callable, key: pa.DataType):
+def _pack_keys(keys: list[str] | list[int]) -> bytes:
+    """An Arrow stream, compressed."""
+    table = pa.table({"key": keys})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _blocks(parts: Callable):
     """Rows to blocks. ``parts`` gives (rows, keys of all their positions, how many each has, bytes) of a batch, slice by slice.
 
     A block's number comes from what is in it, so a block that another attempt of its task
@@ -153,18 +175,18 @@ def _blocks(parts: Callable, key: pa.DataType):
         def block() -> pa.RecordBatch:
             nonlocal made, held, size, numbers
             rows, counts, places = zip(*held)
-            packed, keys = _pack(np.concatenate(places)), pa.array(list(numbers), key)
+            counts, packed, keys = np.concatenate(counts), _pack(np.concatenate(places)), _pack_keys(list(numbers))
             name = xxhash.xxh64(packed, seed=17)
-            for b in (np.concatenate(counts).tobytes(), repr((TaskContext.get().partitionId(), made, len(keys), hash_of(keys))).encode()):
+            for b in (counts.tobytes(), keys, b"%d %d" % (TaskContext.get().partitionId(), made)):
                 name.update(b)
+            one = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.concat_arrays(rows))
+            columns = [pa.array([name.intdigest() - (1 << 63)], pa.int64()), one, pa.array([counts], pa.list_(pa.int32())), pa.array([len(numbers)], pa.int32()), pa.array([keys]), pa.array([packed])]
             made, held, size, numbers = made + 1, [], 0, Numbers()
-            one = pa.ListArray.from_arrays(pa.array([0, sum(map(len, rows))], pa.int32()), pa.concat_arrays(rows))
-            number = pa.array([name.intdigest() - (1 << 63)], pa.int64())
-            return pa.RecordBatch.from_arrays([number, one, pa.array([np.concatenate(counts)], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([packed], pa.binary())], names=["block", "rows", "counts", "keys", "places"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "counts", "n_keys", "keys", "places"])
 
         for batch in batches:
             for rows, found, counts, weight in parts(batch):
-                held.append((rows, counts.astype(np.int32), np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))))
+                held.append((rows, counts.astype(np.int32), np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found))))
                 size += weight
                 if size >= BLOCK_BYTES:
                     yield block()
@@ -174,12 +196,6 @@ def _blocks(parts: Callable, key: pa.DataType):
     return run
 
 
-def hash_of(keys: pa.Array) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(b"".join(x for x in keys.buffers()[1:] if x is not None))
-
-
 def _split(special: list[str]):
     def parts(batch: pa.RecordBatch):
         words = Splitter(special)
@@ -202,12 +218,18 @@ def _ids_of(batch: pa.RecordBatch):
         yield batch.column(batch.schema.get_field_index("row")).slice(k, step), flat.to_pylist(), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), 4 * len(flat)
 
 
-def _keys(table: pa.Table) -> pa.Table:
-    """The keys of the blocks of one number, each with its place in its block's list."""
-    lists = table.column("keys").combine_chunks()
-    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return pa.table({"block": pa.array(np.repeat(table.column("block").to_numpy(), counts)), "n": pa.array(place, pa.int32()), "key": lists.flatten()})
+def _unpack_keys(raw: bytes, kind: pa.DataType) -> pa.ChunkedArray:
+    return pa.ipc.open_stream(raw).read_all().column("key").cast(kind)
+
+
+def _keys(kind: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        """The keys of a block, each with its number."""
+        keys = pa.chunked_array([c for raw in table.column("keys") for c in _unpack_keys(raw.as_py(), kind).chunks], kind)
+        place = np.concatenate([np.arange(n) for n in table.column("n_keys").to_pylist()])
+        return pa.table({"block": pa.array(np.repeat(table.column("block").to_numpy(), table.column("n_keys").to_numpy())), "n": pa.array(place, pa.int32()), "key": keys})
+
+    return run
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -216,46 +238,47 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _fill(with_ids: bool, with_text: bool):
-    """A block and the answers to its keys: its rows with ids, texts, or both."""
+    """A block and the answers to its keys: its rows with ids, texts, or both.
+
+    An answer without ``raw`` is one whose pieces are the key's own bytes.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, ids, texts = [], [], []
+        rows, made = [], {"ids": [], "decoded": []}
         right = right.sort_by("n") if right.num_rows else pa.table({"ids": pa.array([], pa.list_(pa.int32())), "raw": pa.array([], pa.binary())})
-        answers = {"ids": right.column("ids").combine_chunks()} if with_ids else {}
-        answers |= {"raw": right.column("raw").combine_chunks()} if with_text else {}
-        if with_text and answers["raw"].null_count:
-            raise ValueError("an id is not in the vocabulary")
         for k in range(left.num_rows):
-            if len(left.column("keys")[k]) != right.num_rows:
+            if left.column("n_keys")[k].as_py() != right.num_rows:
                 raise RuntimeError("a block's keys changed between attempts of its task; run the job again")
+            values = []
+            if with_ids:
+                lists = right.column("ids").combine_chunks()
+                values.append(("ids", lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)))
+            if with_text:
+                raw = right.column("raw").combine_chunks()
+                if with_ids:
+                    raw = pc.coalesce(raw, _unpack_keys(left.column("keys")[k].as_py(), pa.string()).combine_chunks().cast(pa.binary()))
+                elif raw.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                values.append(("decoded", pc.binary_length(raw).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(raw.to_pylist()), np.uint8)))
             counts = left.column("counts")[k].values.to_numpy().astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(counts)])
             places = _unpack(left.column("places")[k].as_py(), int(ends[-1]))
             rows.append(left.column("rows")[k].values)
-            a = 0
-            while a < len(counts):  # documents whose positions fit a step, or one longer document
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, side="right")) - 1)
-                here, cut = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-                for kind, values in answers.items():
-                    if kind == "ids":
-                        size = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                        pool = values.flatten().to_numpy(zero_copy_only=False)
-                    else:
-                        size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-                        pool = np.frombuffer(b"".join(values.to_pylist()), np.uint8)
-                    start = np.cumsum(size) - size
-                    at = np.concatenate([[0], np.cumsum(size[here])])[cut]
+            for kind, size, pool in values:
+                size = size.astype(np.int64)
+                start, a = np.cumsum(size) - size, 0
+                while a < len(counts):  # documents whose positions fit a step, or one longer document
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, side="right")) - 1)
+                    here = places[ends[a] : ends[b]]
+                    cut = np.concatenate([[0], np.cumsum(size[here])])[ends[a : b + 1] - ends[a]]
                     found = pool[_gather(start[here], size[here])]
                     if kind == "ids":
-                        ids.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32())))
+                        made[kind].append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found, pa.int32())))
                     else:
-                        body = found.tobytes()
-                        texts.append(pa.array([body[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at[1:].tolist())], pa.string()))
-                a = b
-        out = {"row": pa.concat_arrays(rows)}
-        out |= {"ids": pa.concat_arrays(ids)} if with_ids else {}
-        out |= {"decoded": pa.concat_arrays(texts)} if with_text else {}
-        return pa.table(out)
+                        body, cut = found.tobytes(), cut.tolist()
+                        made[kind].append(pa.array([body[x:y].decode("utf-8", "replace") for x, y in zip(cut, cut[1:])], pa.string()))
+                    a = b
+        return pa.table({"row": pa.concat_arrays(rows)} | {n: pa.concat_arrays(x) for n, x in made.items() if x})
 
     return run
 
@@ -264,18 +287,22 @@ def _fill(with_ids: bool, with_text: bool):
 
 
 def word_table(words: DataFrame, vocabulary, pieces: DataFrame | None = None) -> DataFrame:
-    """(key, ids and, by the id-to-piece join, raw): every distinct word once."""
+    """(key, ids): every distinct word once; with ``pieces`` also raw, what its ids decode to if that is not the word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vocabulary.value.ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["key", "ids"])
+    @F.pandas_udf("array<int>")
+    def ids_of(word: pd.Series) -> pd.Series:
+        return word.map(vocabulary.value.ids)
 
-    coded = words.select("key").distinct().mapInArrow(tidy(run), "key string, ids array<int>")
+    # it asks for all columns, so the exchange of the words serves this table and the join with it
+    once = words.groupBy("key").agg(F.min("block").alias("b"), F.min("n").alias("m")).where("b + m IS NOT NULL")
+    coded = once.select("key", ids_of("key").alias("ids"))
     if pieces is None:
         return coded
-    each = coded.select("key", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces), "id")  # bounded by the vocabulary file
+    # outer: from a plain explode a filter would be inferred that encodes every word of every block
+    each = coded.select("key", F.posexplode_outer("ids").alias("k", "id")).join(F.broadcast(pieces), "id")  # bounded by the vocabulary file
     said = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("p"))
-    return said.select("key", F.transform("p", lambda x: x["id"]).alias("ids"), F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("raw"))
+    raw = F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), ""))
+    return said.select("key", F.transform("p", lambda x: x["id"]).alias("ids"), F.when(raw != F.col("key").cast("binary"), raw).alias("raw"))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -292,10 +319,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     names = [c for c in (keep if keep is not None else docs.columns) if c not in (ids, decoded)]
     box = docs.select(F.struct(*map(column, names)).alias("row"), column(text).alias("text"))
     row = box.schema["row"]
-    dealt = box.mapInArrow(tidy(_blocks(_split(list(loaded.special)), pa.string())), _block_schema(row, T.StringType()))
-    words = dealt.groupBy("block").applyInArrow(tidy_group(_keys), "block long, n int, key string")
-    table = word_table(words, vocabulary, loaded.table(spark) if decoded else None)
-    answers = words.join(table, "key").drop("key")
+    dealt = box.mapInArrow(tidy(_blocks(_split(list(loaded.special)))), _block_schema(row))
+    words = dealt.groupBy("block").applyInArrow(tidy_group(_keys(pa.string())), "block long, n int, key string").repartition("key")
+    answers = words.join(word_table(words, vocabulary, loaded.table(spark) if decoded else None), "key").drop("key")
     made = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * bool(decoded)
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_fill(True, bool(decoded)), T.StructType([row, *made]))
     return out.select("row.*", F.col("ids").alias(ids), *([F.col("decoded").alias(decoded)] if decoded else []))
@@ -311,8 +337,8 @@ def decode(frame: DataFrame, tokenizer: str, ids: str = "ids", text: str = "deco
     without = tuple(c for c in frame.columns if c == text or (c == ids and not keep_ids))
     box = boxed(frame, without, ids=column(ids).cast("array<int>"))
     row = box.schema["row"]
-    dealt = box.mapInArrow(tidy(_blocks(_ids_of, pa.int32())), _block_schema(row, T.IntegerType()))
-    keys = dealt.groupBy("block").applyInArrow(tidy_group(_keys), "block long, n int, key int")
+    dealt = box.mapInArrow(tidy(_blocks(_ids_of)), _block_schema(row))
+    keys = dealt.groupBy("block").applyInArrow(tidy_group(_keys(pa.int32())), "block long, n int, key int")
     pieces = Vocabulary(tokenizer).table(spark).select(F.col("id").alias("key"), F.unhex("piece").alias("raw"))
     answers = keys.join(F.broadcast(pieces), "key", "left").drop("key")  # bounded by the vocabulary file
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_fill(False, True), T.StructType([row, T.StructField("decoded", T.StringType())]))
