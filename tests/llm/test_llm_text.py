@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import same
 from tallyworks.llm import bpe, decontam, langid, lmscore, queries, shard, simhash, substring
@@ -313,11 +314,16 @@ def test_shards(spark, docs):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def test_shards_of_odd_rows(spark, odd, tmp_path):
+def test_shards_of_odd_rows(spark, odd, tmp_path, monkeypatch):
     rows = shard.report(odd).collect()
     assert len(rows) == len(ODD) and shard.report(empty(spark)).count() == 0
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    same = spark.createDataFrame([(1, "x", "mine")] * 3000 + [(None, "y", "mine")] * 500, "doc_id long, text string, slice string").selectExpr("*", "'mine' AS row", "9 AS slot").repartition(3)
+    monkeypatch.setattr(shard, "ROOM", 100)
+    slots = shard.number(shard.assign(same, [1.0] * 3), ["doc_id"])
+    assert slots.columns == ["doc_id", "text", "slice", "row", "shard", "slot"] and slots.where("slice <> 'mine' OR row <> 'mine'").count() == 0
+    assert all(sorted(r.s) == list(range(len(r.s))) for r in slots.groupBy("shard").agg(F.collect_list("slot").alias("s")).collect())
     weighted = shard.assign(spark.range(4000).withColumnRenamed("id", "doc_id"), [1.0, 3.0]).groupBy("shard").count().collect()
     assert abs({r["shard"]: r["count"] for r in weighted}[1] - 3000) < 150
     with pytest.raises(ValueError):
@@ -366,6 +372,15 @@ def test_lm_scores_of_odd_rows(spark, odd):
     assert lmscore.score(odd, labels.where("false")).count() == len(ODD)
 
 
+def test_lm_scores_of_frequent_keys_are_dealt_and_stay(spark, monkeypatch):
+    rows = [(1, f"alpha beta {k % 7}") for k in range(300)] + [(None, f"gamma beta {k % 5}") for k in range(200)] + [(2, "alpha gamma")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in lmscore.score(docs, labels).collect())
+    whole = once()
+    monkeypatch.setattr(lmscore, "FREQUENT", 20)
+    assert once() == whole and len(whole) == len(rows)
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -425,6 +440,60 @@ def test_language_on_held_out_rows(spark):
     assert len(held) > 150 and (held.lang == held.lang_pred).mean() > 0.97
 
 
+def network():
+    """A small network in double precision, and windows that its filters meet."""
+    rng = np.random.default_rng(2)
+    net = langid.Network(["a", "b", "c"])
+    net.taps, net.bias, net.dense, net.out = [t.astype(float) for t in net.taps], rng.normal(0, 0.1, net.bias.shape), net.dense.astype(float), rng.normal(0, 0.1, 3)
+    return net, rng.integers(0, 256, (7, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 7)
+
+
+def test_the_network_is_a_convolution_with_pooling():
+    net, x, _ = network()
+    got = net.prepare().pooled(x)
+    for r in range(len(x)):
+        want = []
+        for w, t in zip(langid.WIDTHS, net.taps):
+            want += [max(sum(t[j, x[r, p + j], f] for j in range(w)) for p in range(langid.WINDOW - w + 1)) for f in range(langid.FILTERS)]
+        assert np.allclose(got[r], want, atol=1e-5)
+
+
+def test_gradients_are_those_of_finite_differences():
+    net, x, y = network()
+    _, grads = net.gradients(x, y)
+    rng = np.random.default_rng(3)
+    for v, g in zip([*net.taps, net.bias, net.dense, net.out], grads):
+        for at in [tuple(k) for k in np.argwhere(g != 0)[rng.permutation(int((g != 0).sum()))[:6]]]:
+            old = v[at]
+            losses = []
+            for step in (1e-6, -1e-6):
+                v[at] = old + step
+                losses.append(net.gradients(x, y)[0])
+            v[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-5
+
+
+def test_language_by_plain_windows(spark, docs):
+    """predict() against the mean over windows, document by document."""
+    net = langid.fit(docs, steps=60)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.limit(40), net).collect()}
+    for r in docs.where(docs.doc_id.isin(list(got))).collect():
+        raw = low(r.text).encode()
+        total = np.zeros(len(net.labels))
+        for k in range(0, len(raw), langid.WINDOW):
+            one = np.frombuffer(raw[k : k + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)[None]
+            total += net.prepare().probabilities(one)[0] * len(raw[k : k + langid.WINDOW])
+        assert got[r.doc_id][0] == net.labels[total.argmax()] and abs(got[r.doc_id][1] - total.max() / len(raw)) < 1e-5
+
+
+def test_the_sample_has_a_bound_however_rows_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, rows, labels, steps: seen.append(np.bincount(labels)) or self)
+    rows = [(None, "the same text of everyone", "en")] * 3000 + [(7, f"another text {k}", "en") for k in range(3000)] + [(k, f"ein text {k}", "de") for k in range(50)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), docs_each=20)
+    assert (seen[0] <= 20 * langid.SAMPLE_WINDOWS).all() and seen[0].min() > 5
+
+
 def test_language_of_odd_rows(spark, odd):
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(odd, langid.fit(odd, steps=20)).collect()}
     assert got[(2, None)] == got[(3, "")] == got[(8, "123 456 !!! ...")] == ("und", 0.0)
@@ -432,6 +501,7 @@ def test_language_of_odd_rows(spark, odd):
     nothing = langid.fit(odd.where("lang = 'xx'"))
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
     assert langid.predictions(empty(spark)).count() == 0
+    assert {r.held_out for r in langid.predictions(odd).where("doc_id IS NULL").collect()} == {False}
     assert langid.predict(odd.withColumn("score", odd.n_chars), nothing).columns == [*odd.columns, "lang_pred", "score"]
 
 
@@ -461,11 +531,25 @@ def test_pipeline(spark, sf, library):
             cut.append((r[0], text, r[2], r[3], len(text)))
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     hit = {h[0] for h in brute_hits([(r[0], r[1]) for r in cut], bench) if h[-1]}
-    want = sorted((*r, library.encode(r[1], add_special_tokens=False).ids) for r in cut if r[0] not in hit)
+    want = sorted((r[0], *r[2:], library.encode(r[1], add_special_tokens=False).ids) for r in cut if r[0] not in hit)
     got = corpus_pipeline.run(spark, sf)
-    assert sorted((*tuple(r)[:5], list(r.ids)) for r in got.collect()) == want
+    assert sorted((r.doc_id, r.lang, r.source, r.n_chars, list(r.ids)) for r in got.collect()) == want
     assert got.where("NOT round_trip OR n_tokens <> size(ids)").count() == 0 and len(want) < len(rows)
 
 
+def test_stages_keep_any_columns_and_take_odd_tables(spark, sf, odd):
+    import corpus_pipeline
+
+    mine = odd.selectExpr("*", "'mine' AS kept", "'mine' AS n_words", "'mine' AS ids", "'mine' AS row", "'mine' AS score", "'mine' AS items", "'mine' AS v")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, mine, sf)
+        assert out.columns == mine.columns and 0 < out.count() <= len(ODD), name
+        assert out.where(" OR ".join(f"{c} <> 'mine'" for c in ("kept", "n_words", "ids", "row", "score", "items", "v"))).count() == 0, name
+        assert stage(spark, mine.where("false"), sf).count() == 0, name
+    out = corpus_pipeline.tokens(spark, mine, sf)
+    assert out.columns.count("ids") == 1 and out.count() == len(ODD) and out.where("NOT round_trip OR v <> 'mine'").count() == 0
+    assert corpus_pipeline.tokens(spark, mine.where("false"), sf).count() == 0
+
+
 def test_every_query_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
