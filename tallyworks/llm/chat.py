@@ -1,9 +1,11 @@
 """Chat formatting in windows of a token budget, with DataFrame functions only.
 
-A conversation becomes an array of turns (one row, as it is one record of the output).
-Prefix sums of turn tokens choose spans of whole turns that fit the budget; every window
-repeats the system turn and as many of the latest earlier turns as fit a history budget.
-Only assistant turns that are new in a window carry loss, so each is a target once.
+Prefix sums of turn tokens, by window functions over the turns, choose spans of whole turns
+that fit the budget; every window repeats the system turn and as many of the latest
+earlier turns as fit a history budget, which each turn finds in a range of the sums. A
+conversation's turns then meet in one row, where the cuts are walked once and each window
+takes its own slice. Only assistant turns that are new in a window carry loss, so each is a
+target once.
 
 Template: ``<|role|>text</s>`` for each turn. In role and text ``&``, ``<`` and ``|`` are
 written ``&amp;``, ``&lt;`` and ``&#124;``, so no text can spell a mark, and reading back
@@ -12,7 +14,7 @@ is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 384
@@ -45,53 +47,40 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv:
     without a conversation form one. A turn above the budget stands in a window alone.
     Only a first turn of role ``system`` is kept in every window.
     """
-    body = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    convs = rows.groupBy(F.col(conv).alias(conv)).agg(F.sort_array(F.collect_list(body)).alias("turns"))
-    convs = convs.select(
-        conv,
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.concat(F.lit("<|"), escape(t["role"]), F.lit("|>")).alias("head"),
-                escape(t["text"]).alias("text"),
-                (t["role"] == TARGET).alias("target"),
-                turn_tokens(t["text"]).alias("tokens"),
-            ),
-        ).alias("turns"),
-        F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0).alias("lead"),
-    )
-    # sums[i]: tokens of the turns before turn i, without the system turn
-    convs = convs.withColumn(
-        "sums",
-        F.aggregate(
-            F.sequence(F.lit(0), F.size("turns") - 1),
-            F.array(F.lit(0)),
-            lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(i < F.col("lead"), 0).otherwise(F.get("turns", i)["tokens"]))),
-        ),
-    ).withColumn("room", F.lit(budget) - F.when(F.col("lead") == 1, F.col("turns")[0]["tokens"]).otherwise(0))
-
-    def at(i: Column) -> Column:
-        return F.get(F.col("sums"), i)
+    one = rows.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
+    order = Window.partitionBy("conv").orderBy("t")
+    first = F.first("t").over(order)
+    one = one.select("conv", "t", (F.row_number().over(order) - 1).alias("k"), turn_tokens(F.col("t.text")).alias("tokens"), (first["role"] == "system").cast("int").alias("lead"), turn_tokens(first["text"]).alias("first_tokens"))
+    # before: tokens of the earlier turns, without the system turn
+    counted = F.when(F.col("k") < F.col("lead"), 0).otherwise(F.col("tokens")).cast("long")
+    one = one.withColumn("before", F.sum(counted).over(Window.partitionBy("conv").orderBy("k")) - counted).withColumn("room", (F.lit(budget) - F.col("lead") * F.col("first_tokens")).cast("long"))
+    # history: the first turn that a window may repeat whose first new turn is this one
+    after = F.col("before") + counted
+    span = Window.partitionBy("conv").orderBy("before").rangeBetween(-history, 0)
+    one = one.withColumn("near", F.collect_list(F.struct("before", "k")).over(span))
+    fits = F.filter("near", lambda x: (after - x["before"] <= F.col("room")) & (x["k"] >= F.col("lead")))
+    back = F.least(F.coalesce(F.array_min(F.transform(fits, lambda x: x["k"])), F.col("k")), F.col("k"))
+    shown = F.struct("k", F.concat(F.lit("<|"), escape(F.col("t.role")), F.lit("|>")).alias("head"), escape(F.col("t.text")).alias("text"), (F.col("t.role") == TARGET).alias("target"), "tokens", "before", after.alias("after"), F.greatest(back, F.col("lead")).alias("back"))
+    convs = one.groupBy(F.col("conv").alias(conv)).agg(F.sort_array(F.collect_list(shown)).alias("turns"), F.max("lead").alias("lead"), F.max("room").alias("room"))
+
+    # a cut is (first turn of history, tokens before that, first new turn); the first window begins after the system turn
+    def step(acc: Column, t: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits_ = t["after"] - last["before"] <= F.col("room")
+        cut = F.struct(t["back"].alias("h"), F.get("turns", t["back"])["before"].alias("before"), t["k"].alias("i"))
+        return F.when(fits_ | (t["k"] <= last["i"]), acc).otherwise(F.concat(acc, F.array(cut)))
 
-    def back(i: Column) -> Column:
-        """First turn of the history of a window whose first new turn is i."""
-        over = F.filter(F.slice("sums", F.lit(1), i + 1), lambda p: (at(i) - p > history) | (at(i + 1) - p > F.col("room")))
-        return F.greatest(F.least(F.size(over), i), F.col("lead"))
+    start = F.array(F.struct(F.col("lead").alias("h"), F.lit(0).cast("long").alias("before"), F.col("lead").alias("i")))
+    convs = convs.withColumn("cuts", F.aggregate("turns", start, step))
 
-    # a cut is (first turn of history, first new turn); the first window begins after the system turn
-    def step(acc: Column, i: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = at(i + 1) - at(last["h"]) <= F.col("room")
-        return F.when(fits | (i <= last["i"]), acc).otherwise(F.concat(acc, F.array(F.struct(back(i).alias("h"), i.alias("i")))))
+    def window(c: Column, w: Column) -> Column:
+        stop = F.coalesce(F.get("cuts", w + 1)["i"], F.size("turns"))
+        rows_ = F.concat(F.slice("turns", F.lit(1), F.col("lead")), F.slice("turns", c["h"] + 1, stop - c["h"]))
+        return F.struct(w.cast("long").alias("window"), F.when(w == 0, 0).otherwise(F.col("lead") + c["i"] - c["h"]).alias("n_context"), rows_.alias("shown"))
 
-    first = F.array(F.struct(F.col("lead").alias("h"), F.col("lead").alias("i")))
-    convs = convs.withColumn("cuts", F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), first, step))
     # outer: every conversation has a cut, and a filter inferred from a plain explode would evaluate all of the above once more
-    convs = convs.select("*", F.size("turns").cast("long").alias("n_turns"), F.posexplode_outer("cuts").alias("window", "cut"))
-    stop = F.coalesce(F.get("cuts", F.col("window") + 1)["i"], F.size("turns"))
-    shown = F.concat(F.slice("turns", F.lit(1), F.col("lead")), F.slice("turns", F.col("cut.h") + 1, stop - F.col("cut.h")))
-    n_context = F.when(F.col("window") == 0, 0).otherwise(F.col("lead") + F.col("cut.i") - F.col("cut.h"))
-    out = convs.select(conv, F.col("window").cast("long").alias("window"), "n_turns", n_context.alias("n_context"), shown.alias("shown"))
+    out = convs.select(conv, F.size("turns").cast("long").alias("n_turns"), F.explode_outer(F.transform("cuts", window)).alias("w"))
+    out = out.select(conv, "w.window", "n_turns", "w.n_context", "w.shown")
     widths = F.transform("shown", lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END))
     out = out.withColumn("begin", F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w))))
     spans = F.transform(
