@@ -224,6 +224,20 @@ def test_windows_keep_budget_history_and_system(spark):
     assert sum(len(r.loss) for r in eight) == 6
 
 
+def test_a_long_conversation_takes_linear_work(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('some words ', 10) AS text")
+        began = time.time()
+        got = chat.report(rows).where("conv_id = 1").first()
+        assert got.n_turns == n and got.loss_chars == n // 2 * 110
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16000) < 4 * seconds(4000) + 4
+
+
 def test_chat_oracle(spark, duck, sf):
     same(chat.report(spark.read.parquet(f"{sf}/conversations.parquet")).toPandas(), duck.execute(chat.SQL).df())
 
