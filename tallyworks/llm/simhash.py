@@ -22,7 +22,7 @@ discarded by the pivot table and their fingerprints at WIDE bits (which one pair
 of similarity 0.8 exceeds), then by parity sketches, and the rest is verified on whole sets.
 First every set is compared with the nearest of the centres of its keys, one pair for
 each set, which joins groups of copies of any size; only sets that are then in different
-components meet again, in blocks inside tasks, which emit what pivots and fingerprints leave.
+components meet again, in blocks inside tasks, which emit what all but the last test leave.
 """
 
 from __future__ import annotations
@@ -278,12 +278,13 @@ def _reachable(n: Column, p: Column, m: Column, q: Column, similarity: float) ->
 
 
 def _compare(similarity: float):
-    """Partition sorted by (k, i, j): pairs of a group in different components that sizes, places, pivots and fingerprints leave."""
+    """Partition sorted by (k, i, j): pairs of a group in different components that sizes, places, pivots, fingerprints and sketches leave."""
     pivots = np.array(PIVOTS, dtype=np.uint64)
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        c = {n: table.column(n).to_numpy() for n in table.schema.names}
+        c = {n: table.column(n).to_numpy() for n in table.schema.names if n != "sketch"}
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
         group = np.stack([c[n] for n in ("k", "i", "j")], axis=1)
         head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
         stop = np.repeat(np.append(head[1:], len(group)), np.diff(np.append(head, len(group))))
@@ -304,6 +305,10 @@ def _compare(similarity: float):
             ok = np.abs(table_of[a] - table_of[b]).max(axis=1, initial=0) <= WIDE
             a, b = a[ok], b[ok]
             ok = np.bitwise_count(fp[a] ^ fp[b]) <= WIDE
+            a, b = a[ok], b[ok]
+            n, o = c["n"][a], c["n"][b]
+            most = n + o - 2 * np.ceil((n + o) * (similarity / (1 + similarity)) - _SLACK)
+            ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
             pairs.append(np.stack([c["v"][a[ok]], c["v"][b[ok]]]))
         found = np.sort(np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1), axis=0)
         found = np.unique(found, axis=1)
@@ -344,12 +349,15 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     met, met_path = settle(met.join(several, "k").join(fps, "v"))
     unsettle(spark, some_path)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those of the similarity: by sketches, then on whole sets."""
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that their sketches leave."""
         a, b = (prints.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).dropDuplicates([x]) for x in "ab")
         differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        close = differ <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), similarity)
-        left, left_path = settle(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"))
+        return pairs.join(a, "a").join(b, "b").where(differ <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those of the similarity, on whole sets."""
+        left, left_path = settle(pairs)
         sets, sets_path = settle(sets_of(left.select(F.explode(F.array("a", "b")).alias("v")).distinct()))
         a, b = (sets.select(F.col("v").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -362,12 +370,12 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp")))
     near = _reachable(F.col("n"), F.col("p"), F.col("o.n"), F.col("o.p"), similarity)
     star = met.join(centre, "k").where(F.col("v") != F.col("o.v")).where(near & (apart <= WIDE)).groupBy("v").agg(F.min(F.struct(apart.alias("d"), F.col("o.v").alias("v"))).alias("o"))
-    star = verified(star.select(F.least("v", "o.v").alias("a"), F.greatest("v", "o.v").alias("b")).distinct())
+    star = verified(close(star.select(F.least("v", "o.v").alias("a"), F.greatest("v", "o.v").alias("b")).distinct()))
     reach = connected_components(star).withColumnRenamed("node", "v")
     named = met.join(reach, "v", "left").select("k", "v", "n", "p", "fp", F.coalesce("component", "v").alias("c"))
     open_ = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows")).where("c0 < c1").select("k", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = named.join(open_, "k").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", "v", "n", "p", "fp", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = named.join(open_, "k").join(one.select("v", "sketch"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("k", "v", "n", "p", "fp", "sketch", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     left = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidy(_compare(similarity)), "a long, b long").distinct()
     out = star.union(verified(left))
     unsettle(spark, met_path)
