@@ -97,3 +97,26 @@ UNTESTED = ["sector_concentration", "late_filing", "large_trade", "volume_spikes
 
 # Filing types of annual reports that carry a schedule of travel.
 TRAVEL_FILINGS = ["O", "T"]
+
+# Kinds of assets that are stored; all others are "other".
+STORED_ASSET_TYPES = ["stock", "bond", "mutual_fund", "real_estate", "retirement", "bank_account", "other"]
+
+# Asset types by word on annual reports and in their XML, in order of precedence.
+ANNUAL_ASSET_TYPES = [
+    ("stock", ["stock", "shares", "equity"]),
+    ("bond", ["bond", "treasury", "note"]),
+    ("mutual_fund", ["mutual fund", "index fund", "etf"]),
+    ("real_estate", ["real estate", "property", "land"]),
+    ("retirement", ["401k", "ira", "retirement", "pension"]),
+    ("bank_account", ["bank", "checking", "savings", "cd"]),
+]
+XML_ASSET_TYPES = [
+    ("stock", ["stock", "share", "equity"]),
+    ("bond", ["bond", "treasury", "note"]),
+    ("mutual_fund", ["fund", "mutual", "etf"]),
+    ("real_estate", ["property", "real estate", "home", "house", "land"]),
+    ("retirement", ["401k", "ira", "retirement", "pension", "roth"]),
+    ("bank_account", ["bank", "savings", "checking", "account", "cash"]),
+]
+ANNUAL_STOCK_WORDS = ["common stock", "stock", "shares", "equity"]
+ANNUAL_NOT_TICKERS = ["THE", "AND", "INC", "LLC", "LP", "NA", "CO", "US", "USA"]

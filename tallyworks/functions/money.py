@@ -31,6 +31,41 @@ def band(text: Column) -> Column:
     return F.struct(low.alias("low"), high.alias("high"))
 
 
+def annual_band(text: Column) -> Column:
+    """struct(low, high) on an annual report: a printed band, else the amounts that occur, with their decimals."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    found = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"\$?\s*([\d,]+(?:\.\d{1,2})?)"), 1), _number), lambda x: x.isNotNull())
+    low, high = F.array_min(found), F.array_max(found)
+    for label, a, b in reversed([("$1 - $1,000", 1, 1000), *(x for x in PTR_BANDS if x[0] != "Over $1,000,000")]):
+        hit = t.contains(label.lower())
+        low, high = (F.when(hit, F.lit(end).cast("decimal(15,2)")).otherwise(old) for end, old in ((a, low), (b, high)))
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def _ends(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Of an amount without signs: whether it is a range, the text of both ends, and that of the whole."""
+    t = F.trim(F.translate(F.coalesce(text, F.lit("")), "$,", ""))
+    parts = F.split(t, "-", -1)
+    return t.contains("-"), F.trim(F.get(parts, 0)), F.trim(F.coalesce(F.get(parts, 1), F.lit(""))), t
+
+
+def xml_band(text: Column) -> Column:
+    """struct(low, high) of "a - b" or one amount in a report's XML; an empty end is null, and so is all that cannot be read."""
+    is_range, a, b, t = _ends(text)
+    kind = "decimal(15,2)"
+    bad = is_range & (((a != "") & a.try_cast(kind).isNull()) | ((b != "") & b.try_cast(kind).isNull()))
+    low = F.when(~bad, F.when(is_range, a.try_cast(kind)).otherwise(t.try_cast(kind)))
+    high = F.when(~bad, F.when(is_range, b.try_cast(kind)).otherwise(t.try_cast(kind)))
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def xml_income(text: Column) -> Column:
+    """An amount, or the mean of a range whose empty ends are zero."""
+    is_range, a, b, t = _ends(text)
+    end = lambda x: F.when(x == "", F.lit(0).cast("decimal(15,2)")).otherwise(x.try_cast("decimal(15,2)"))
+    return F.when(is_range, (end(a) + end(b)) / 2).otherwise(t.try_cast("decimal(15,2)")).cast("decimal(15,2)")
+
+
 def senate_band(text: Column) -> Column:
     """struct(low, high) of the other chamber's labels; unknown text has neither."""
     t = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))

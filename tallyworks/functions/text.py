@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import ASSET_TYPES, ASSET_WORDS, BUY_WORDS, CLASS_CODES, COMPANY_WORDS, EMPTY_COMMENTS, EXCHANGE_WORDS, NAME_SUFFIXES, NAME_TITLES, NOT_TICKERS, PAC_WORDS, SELL_WORDS
+from .fixed import ANNUAL_ASSET_TYPES, ANNUAL_NOT_TICKERS, ANNUAL_STOCK_WORDS, ASSET_TYPES, ASSET_WORDS, BUY_WORDS, CLASS_CODES, COMPANY_WORDS, EMPTY_COMMENTS, EXCHANGE_WORDS, NAME_SUFFIXES, NAME_TITLES, NOT_TICKERS, PAC_WORDS, SELL_WORDS, SENATE_ASSET_TYPES, XML_ASSET_TYPES
 
 
 def _word(words: list[str]) -> str:
@@ -102,6 +102,44 @@ def ticker_in(description: Column) -> Column:
     return F.coalesce(bracket, head, shares)
 
 
+def annual_ticker_in(description: Column) -> Column:
+    """The ticker on an annual report: in parentheses first, then in brackets that hold no two-letter class, then near a word for shares."""
+    text = F.coalesce(description, F.lit(""))
+    plain = F.regexp_replace(text, r"\[[A-Z]{2}\]", " ")
+    some = lambda c: F.nullif(c, F.lit(""))
+    bare = F.filter(F.regexp_extract_all(plain, F.lit(r"\b([A-Z]{1,5})\b"), 1), lambda t: ~t.isin(*ANNUAL_NOT_TICKERS))
+    near = F.when(F.lower(plain).rlike("|".join(ANNUAL_STOCK_WORDS)), F.try_element_at(bare, F.lit(1)))
+    return F.coalesce(some(F.regexp_extract(text, r"\(([A-Z]{1,5})\)", 1)), some(F.regexp_extract(plain, r"\[([A-Z]{1,5})\]", 1)), near)
+
+
+def annual_direction(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(t.rlike("purchase|buy"), "purchase").when(t.rlike("sale|sell|sold"), "sale").when(t.contains("exchange"), "exchange")
+
+
+def rejoin_wrapped(lines: Column) -> Column:
+    """Lines in which an amount that breaks off ("$15,001 -", "over") has its other end again, taken from the next line.
+
+    The next line's class tag goes, its first figure moves up, and the rest follows; a line
+    left open at the end stays as it is.
+    """
+    opens = lambda x: x.rlike(r"\$[\d,]+\s*[-–—]\s*$") | x.rlike(r"(?i)\b(over|above|more than)\s*$")
+
+    def step(acc: Column, raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"\s+$", "")
+        tail = F.trim(F.regexp_replace(line, r"^\s*\[[A-Z]{1,5}\]\s*", ""))
+        bound = F.regexp_extract(tail, r"(\$[\d,]+)", 1)
+        rest = F.trim(F.regexp_replace(tail, r"^(.*?)\$[\d,]+(.*)$", "$1 $2"))
+        met = F.trim(F.when(bound == "", F.concat(acc["open"], F.lit(" "), tail)).otherwise(F.concat(acc["open"], F.lit(" "), bound, F.lit(" "), rest)))
+        none = F.lit(None).cast("string")
+        with_open = F.struct(F.concat(acc["done"], F.array(met)).alias("done"), none.alias("open"))
+        fresh = F.struct(F.when(opens(line), acc["done"]).otherwise(F.concat(acc["done"], F.array(line))).alias("done"), F.when(opens(line), line).alias("open"))
+        return F.when(acc["open"].isNotNull(), with_open).otherwise(fresh)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(lines, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
 def kind_by_words(text: Column, kinds: list[tuple[str, list[str]]], other: str = "other") -> Column:
     """The first kind of which a word occurs."""
     lower, out = F.lower(F.coalesce(text, F.lit(""))), None
@@ -117,6 +155,18 @@ def asset_type(description: Column) -> Column:
     return kind_by_words(description, ASSET_TYPES)
 
 
+def annual_asset_type(description: Column) -> Column:
+    return kind_by_words(description, ANNUAL_ASSET_TYPES)
+
+
+def xml_asset_type(description: Column) -> Column:
+    return kind_by_words(description, XML_ASSET_TYPES)
+
+
+def senate_asset_type(label: Column) -> Column:
+    return kind_by_words(F.regexp_replace(label, r"\s+", " "), SENATE_ASSET_TYPES)
+
+
 def owner_name(owner: Column) -> Column:
     """Self, Spouse, Joint or Dependent Child from a code or words; anything else is the filer."""
     o = F.lower(F.trim(F.coalesce(owner, F.lit(""))))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dates, money, predicates, text
+from ..functions import dates, money, predicates, text, wording
 from ..operators import findings as fi
-from ..operators import legislation, lookups, restatements, scores, serving, stats, trades, wealth, windows
+from ..operators import legislation, lookups, restatements, scores, serving, stats, trades, upkeep, wealth, windows
 from ..session import scratch, settled
 from ..sources import html, readers
 from ..streaming import imports as streams
@@ -656,6 +656,169 @@ def html_table_rows(w: Workload) -> DataFrame:
     return html.table_rows(w.table("pages"), "page_id").select("page_id", "table", "row", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
 
 
+# ---------------------------------------------------------------- scopes and upkeep
+
+
+@query("SELECT member_id FROM mem WHERE member_id IN (SELECT member_id FROM t)")
+def members_who_traded(w: Workload) -> DataFrame:
+    return upkeep.who_traded(w.members(), w.trades()).select("member_id")
+
+
+@query("SELECT member_id FROM mem WHERE member_id IN (SELECT member_id FROM fil WHERE NOT is_ptr GROUP BY 1 HAVING count(*) >= 2)")
+def members_with_annual_filings(w: Workload) -> DataFrame:
+    return upkeep.with_annual_filings(w.members(), w.filings()).select("member_id")
+
+
+@query("SELECT member_id FROM mem WHERE member_id % 6 = 0 OR member_id IN (SELECT member_id FROM fil WHERE filing_id % 3 = 0)")
+def members_worth_asking(w: Workload) -> DataFrame:
+    return upkeep.worth_asking(w.members().withColumn("in_office", F.col("member_id") % 6 == 0), w.filings().where("filing_id % 3 = 0")).select("member_id")
+
+
+@query("SELECT DISTINCT upper(p_name) AS ticker FROM part WHERE p_partkey IN (SELECT part_id FROM t) AND upper(p_name) NOT IN (SELECT upper(p_name) FROM part WHERE p_size > 25)")
+def uncached_tickers(w: Workload) -> DataFrame:
+    part = w.table("part")
+    traded = part.join(w.trades().select("part_id").distinct(), F.col("p_partkey") == F.col("part_id"))
+    return upkeep.uncached(traded.select(F.concat(F.lit(" "), "p_name").alias("ticker")), part.where("p_size > 25").select(F.lower("p_name").alias("ticker")))
+
+
+_AREAS = [("AUTOMOBILE", "Health"), ("BUILDING", "Science, Technology, Communications"), ("FURNITURE", "Energy"), ("HOUSEHOLD", "Law")]
+
+
+@query(f", ar(segment, area) AS (VALUES {', '.join(map(str, _AREAS))}), ps(area, sector) AS (VALUES ('Health', 'healthcare'), ('Science, Technology, Communications', 'technology'), ('Science, Technology, Communications', 'telecom'), ('Energy', 'energy')) SELECT c_custkey AS bill_id, sector FROM customer JOIN ar ON segment = c_mktsegment JOIN ps USING (area)")
+def bill_sectors(w: Workload) -> DataFrame:
+    segment = F.col("c_mktsegment")
+    area = F.coalesce(*[F.when(segment == s, F.lit(f" {a} ")) for s, a in _AREAS])
+    return upkeep.bill_sectors(w.table("customer").select(F.col("c_custkey").alias("bill_id"), area.alias("policy_area")))
+
+
+@query("SELECT filing_id FROM fil ORDER BY filed_on, filing_id LIMIT 100")
+def longest_untouched(w: Workload) -> DataFrame:
+    return upkeep.longest_untouched(w.filings().withColumn("updated_at", F.col("filed_on")), 100).select("filing_id")
+
+
+@query("SELECT txn_id, CAST(least(CASE WHEN flag LIKE 'R%' THEN filed_on ELSE traded_on END, DATE '2000-01-01') AS VARCHAR) AS traded_on, direction FROM t WHERE status <> 'Amended'")
+def storable_trades(w: Workload) -> DataFrame:
+    read = w.trades().withColumn("direction", F.when(F.col("status") == "Amended", "gift").otherwise(F.upper("direction"))).withColumn("traded_on", F.when(~F.col("flag").startswith("R"), F.col("traded_on")))
+    return upkeep.storable_trades(read, F.lit("2000-01-01").cast("date")).select("txn_id", "traded_on", "direction")
+
+
+@query("SELECT finding_id, anomaly_type FROM fnd WHERE anomaly_type <> 'late_sale' UNION ALL SELECT finding_id + 1, anomaly_type FROM fnd WHERE anomaly_type = 'late_sale' AND severity = 'high'")
+def regenerated_findings(w: Workload) -> DataFrame:
+    f = w.findings()
+    made = f.where("severity = 'high'").withColumn("finding_id", F.col("finding_id") + 1)
+    return upkeep.regenerate(f, made, ["late_sale"]).select("finding_id", "anomaly_type")
+
+
+@query("SELECT finding_id FROM fnd WHERE finding_id IN (SELECT min(finding_id) FROM fnd GROUP BY member_id, anomaly_type, title)")
+def first_of_each_finding(w: Workload) -> DataFrame:
+    return upkeep.first_of_group(w.findings(), ["member_id", "anomaly_type", "title"]).select("finding_id")
+
+
+_LARGE = """, lk AS (SELECT *, 'Large transaction: ' || ticker || ' ' || direction || ' (more than $1,000,000)' AS say FROM kept WHERE amount_min > 50000 AND coalesce(nullif(trim(owner), ''), 'Self') IN ('Self', 'Joint')),
+st AS (SELECT txn_id AS finding_id, member_id, filing_id, CASE WHEN txn_id % 2 = 0 THEN txn_id END AS txn_id, CASE WHEN txn_id % 2 = 0 THEN 'old' ELSE 'Large transaction: ' || ticker || ' ' || direction || ' (more than $1,000,000)' END AS title FROM t WHERE amount_min > 50000),
+o AS (SELECT *, row_number() OVER (PARTITION BY member_id, filing_id, say ORDER BY txn_id) AS n FROM lk WHERE txn_id % 2 = 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY member_id, filing_id, title ORDER BY finding_id DESC) AS n FROM st WHERE txn_id IS NULL)
+SELECT finding_id, coalesce(st.txn_id, hit.t) AS txn_id, coalesce(lk.say, st.title) AS title FROM st LEFT JOIN lk ON lk.txn_id = st.txn_id
+LEFT JOIN (SELECT s.finding_id AS f, o.txn_id AS t FROM s JOIN o ON s.member_id = o.member_id AND s.filing_id = o.filing_id AND s.title = o.say WHERE s.n = 1 AND o.n = 1) hit ON hit.f = st.finding_id"""
+
+
+@query(_kept("t", _CONTENT) + _LARGE)
+def sync_large_trades(w: Workload) -> DataFrame:
+    t = w.trades()
+    title, _ = wording.large_trade_text(F.col("ticker"), F.col("asset"), F.col("direction"))
+    known = F.col("txn_id") % 2 == 0
+    stored = t.where("amount_min > 50000").select(F.col("txn_id").alias("finding_id"), "member_id", "filing_id", F.when(known, F.col("txn_id")).alias("txn_id"), F.lit("large_trade").alias("anomaly_type"), F.when(known, "old").otherwise(title).alias("title"), F.lit("old").alias("description"))
+    return upkeep.sync_large_trades(stored, t, above=50_000).select("finding_id", "txn_id", "title")
+
+
+@query("SELECT filing_id, CASE WHEN filing_id % 5 = 0 AND filing_id % 10 <> 0 AND filing_id % 3 <> 0 THEN member_id + 1 ELSE member_id END AS member_id FROM fil")
+def moved_filings(w: Workload) -> DataFrame:
+    f = w.filings().withColumn("document_id", F.col("filing_id").cast("string"))
+    people = f.where("filing_id % 5 = 0 AND filing_id % 3 <> 0").select((F.col("member_id") + 1).alias("member_id")).distinct().withColumn("bioguide_id", F.col("member_id").cast("string"))
+    asked = f.where("filing_id % 5 = 0").select("document_id", (F.col("member_id") + 1).cast("string").alias("bioguide_id"), "filing_id")
+    twice = asked.where("filing_id % 10 = 0").withColumn("bioguide_id", F.lit("another"))  # two answers: not moved
+    known = asked.where("filing_id % 3 <> 0").unionByName(twice).drop("filing_id")
+    return upkeep.move_filings(f, known, people).select("filing_id", "member_id")
+
+
+@query("SELECT filing_id, member_id, member_id + 1 AS to FROM fil WHERE filing_id % 4 = 1")
+def repaired_attribution(w: Workload) -> DataFrame:
+    f = w.filings()
+    one = f.where("filing_id % 4 = 1").select("filing_id", (F.col("member_id") + 1).alias("candidate"))
+    same = f.where("filing_id % 4 = 2").select("filing_id", F.col("member_id").alias("candidate"))
+    two = f.where("filing_id % 4 = 3").select("filing_id", F.explode(F.array(F.col("member_id") + 1, F.col("member_id") + 2)).alias("candidate"))
+    return upkeep.repaired(f, one.union(one).union(same).union(two))
+
+
+# ---------------------------------------------------------------- what findings say
+
+
+@query(
+    """, d AS (SELECT *, filed_on - traded_on - 45 AS past, CASE txn_id % 3 WHEN 0 THEN traded_on + 10 WHEN 1 THEN traded_on + 50 END AS told FROM t),
+x AS (SELECT *, CASE WHEN past <= 30 THEN 'moderately late (1-4 weeks)' WHEN past <= 90 THEN 'significantly late (1-3 months)' ELSE 'severely late (over 3 months)' END AS late FROM d)
+SELECT txn_id, 'Late PTR filing: ' || late AS title, 'Transaction on ' || strftime(traded_on, '%Y-%m-%d') || ' was filed ' || late || ' on ' || strftime(filed_on, '%Y-%m-%d') || '. The STOCK Act requires filing within 45 days. Trade reported: ' || direction || ' of ' || ticker
+|| CASE WHEN owner = 'Spouse' THEN ', which the filing reports for their spouse. The STOCK Act deadline is the member''s for every transaction their household must report, so this row is scored against them' ELSE '' END || '.'
+|| coalesce(' The filer reports being notified of it on ' || strftime(told, '%Y-%m-%d') || CASE WHEN told - traded_on > 45 THEN ', ' || (told - traded_on) || ' days after the trade -- itself past the 45-day cap, so no filing could have met the deadline' ELSE ', and filed ' || (filed_on - told) || ' days after that' END
+|| '. The deadline runs from the transaction regardless: the statute allows 30 days from notification but in no case more than 45 days from the trade.', '') AS description FROM x"""
+)
+def late_filing_text(w: Workload) -> DataFrame:
+    k = F.col("txn_id") % 3
+    told = F.when(k == 0, F.date_add("traded_on", 10)).when(k == 1, F.date_add("traded_on", 50))
+    title, said = wording.late_filing_text(F.col("traded_on"), F.col("filed_on"), F.col("direction"), wording.asset_name(F.col("ticker"), F.col("asset")), F.col("owner"), told)
+    return w.trades().select("txn_id", title.alias("title"), said.alias("description"))
+
+
+@query(
+    """, mk AS (SELECT *, strftime(traded_on, '%Y-%m') AS month, coalesce(nullif(trim(owner), ''), 'Self') IN ('Self', 'Joint') AS mine FROM t),
+g AS (SELECT member_id, month, count(*) FILTER (mine AND direction <> 'exchange') AS n, count(DISTINCT traded_on) FILTER (mine AND direction <> 'exchange') AS days, min(traded_on) FILTER (mine AND direction <> 'exchange') AS first, count(*) FILTER (NOT mine) AS hh FROM mk GROUP BY 1, 2)
+SELECT member_id, month, 'High trading activity: ' || n || ' trades in ' || strftime(first, '%B %Y') AS title, CAST(least(10, n - 2 + 4) AS INTEGER) AS severity, n || ' transactions were attributed to this member in ' || strftime(first, '%B %Y') || ', above the threshold of 2 per month.'
+|| CASE WHEN days = 1 THEN ' All of them are dated ' || CAST(day(first) AS VARCHAR) || strftime(first, ' %B %Y') || '; a PTR records a date but no time of day, so this is one day''s batch rather than trading spread through the month.' ELSE ' They fall on ' || days || ' days of trading.' END
+|| CASE WHEN hh > 0 THEN ' The filings covering that month also report ' || hh || ' transaction(s) belonging to their spouse, which this count excludes.' ELSE '' END AS description FROM g WHERE n > 2"""
+)
+def frequency_text(w: Workload) -> DataFrame:
+    t = w.trades()
+    first = trades.own(t).where("direction <> 'exchange'").groupBy("member_id", dates.month_key(F.col("traded_on")).alias("month")).agg(F.min("traded_on").alias("first"))
+    found = trades.trading_frequency(t, least=2).join(first, ["member_id", "month"])
+    title, said = wording.frequency_text(F.col("trades"), F.col("month"), F.col("first"), F.col("days"), F.col("household"), F.col("household"), F.lit(0), 2)
+    return found.select("member_id", "month", title.alias("title"), wording.frequency_severity(F.col("trades"), 2).alias("severity"), said.alias("description"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN p_brand WHEN length(n) <= 14 THEN n ELSE regexp_replace(regexp_replace(substr(n, 1, 14), '^(.*) [^ ]*$', '\\1'), '[ ,;:-]+$', '') || '...' END AS name FROM (SELECT *, p_name || ' ' || p_type AS n FROM part)")
+def asset_names(w: Workload) -> DataFrame:
+    said = F.concat("p_name", F.lit("  [ST]\n"), "p_type")
+    return w.table("part").select(F.col("p_partkey").alias("id"), wording.asset_name(F.when(F.col("p_size") < 10, F.col("p_brand")), said, 14).alias("name"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_extendedprice < 100000 THEN 'tens of thousands of dollars' ELSE '$100,000-$500,000' END AS amount, CASE WHEN l_quantity * 12 < 100 THEN 'significantly' WHEN l_quantity * 12 < 200 THEN 'substantially (100-200%)' WHEN l_quantity * 12 < 500 THEN 'dramatically (200-500%)' ELSE 'extremely (over 500%)' END AS share, CASE WHEN abs(l_discount * 1000 - round_even(l_discount * 1000, 0)) < 0.05 THEN printf('%.0f%%', l_discount * 1000) ELSE printf('%.1f%%', l_discount * 1000) END AS percent FROM lineitem")
+def growth_wording(w: Workload) -> DataFrame:
+    share, amount = wording.growth_wording(F.col("l_quantity") * 12, F.col("l_extendedprice"))
+    return w.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), amount.alias("amount"), share.alias("share"), wording.percent(F.col("l_discount") * 1000).alias("percent"))
+
+
+# ---------------------------------------------------------------- values that reports print
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS low, o_totalprice AS high, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE round(o_totalprice) END AS xml_low, round(o_totalprice + 1000, 2) AS xml_high FROM (SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders)")
+def exact_amounts(w: Workload) -> DataFrame:
+    """Amounts with cents, printed with signs and commas, are read back as they are."""
+    price = F.round("o_totalprice", 2)
+    shown = F.concat(F.lit("$ "), F.format_number(price, 2))
+    low = F.when(F.col("o_orderkey") % 2 == 0, price).otherwise(F.round(price, 0))
+    pair = F.concat(F.lit("$"), F.format_number(low, 2), F.lit(" - $"), F.format_number(price + 1000, 2))
+    one, two = money.annual_band(shown), money.xml_band(pair)
+    return w.table("orders").select(F.col("o_orderkey").alias("id"), *[c.cast("double").alias(n) for n, c in (("low", one["low"]), ("high", one["high"]), ("xml_low", two["low"]), ("xml_high", two["high"]))])
+
+
+@query("SELECT txn_id, CAST(amount_min AS DOUBLE) AS low, CAST(amount_max AS DOUBLE) AS high FROM t WHERE amount_min > 1000")
+def printed_bands(w: Workload) -> DataFrame:
+    """Bands printed in words, with a line break within, are read back as they are."""
+    whole = lambda c: F.format_number(c, 0)
+    shown = F.when(F.col("amount_max").isNull(), F.concat(F.lit("Over $"), whole(F.col("amount_min") - 1))).otherwise(F.concat(F.lit("$"), whole("amount_min"), F.lit(" - $"), whole("amount_max")))
+    lines = text.rejoin_wrapped(F.split(F.regexp_replace(shown, r"( -|Over) ", "$1\n[ST] "), "\n"))
+    got = money.band(F.element_at(lines, 1))
+    return w.trades().where("amount_min > 1000").select("txn_id", got["low"].cast("double").alias("low"), got["high"].cast("double").alias("high"))
+
+
 @query("SELECT DISTINCT event_type AS source, user_id AS external_id FROM events")
 def stream_import(w: Workload) -> DataFrame:
     schema = w.table("events").schema

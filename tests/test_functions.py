@@ -114,3 +114,35 @@ def test_confidence(spark):
     assert c(True, 10, 5, 5, 15, 15, False, True) == 0.5
     assert c(True, 10, 10, 10, 30, 30, True, True) == 0.7 and c(True, 0, 0, 10, 30, 30, False, False) == 0.5
     assert c(False, 10, 10, 10, 30, 30, False, True) == 0.0 and c(True, 10, 0, 0, 0, 0, False, True) == 0.0
+
+
+@pytest.mark.parametrize("shown,want", [("$209,630.10", ("209630.10", "209630.10")), ("$16,508.00", ("16508.00", "16508.00")), ("$15,001 - $50,000", ("15001", "50000")), ("Over $50,000,000", ("50000001", None)), ("$1 - $1,000", ("1", "1000")), ("5 to 9.5", ("5", "9.5")), (None, (None, None)), ("none", (None, None))])
+def test_annual_band(spark, shown, want):
+    got = value(spark, money.annual_band, shown)
+    assert (got.low, got.high) == tuple(x and Decimal(x) for x in want)
+
+
+@pytest.mark.parametrize("shown,band,income", [("$100,001 - $250,000", (100001, 250000), 175000.5), ("5", (5, 5), 5), ("5 -", (5, None), 2.5), ("x - 5", (None, None), None), ("", (None, None), None), (None, (None, None), None)])
+def test_amounts_in_xml(spark, shown, band, income):
+    got = value(spark, money.xml_band, shown)
+    assert (got.low, got.high) == band and value(spark, money.xml_income, shown) == (None if income is None else Decimal(str(income)))
+
+
+@pytest.mark.parametrize("shown,want", [("Lazard Shs (LISIX) [MF]", "LISIX"), ("Fifth-Third Bank [BA]", None), ("Microsoft [MSFT] stock", "MSFT"), ("i shares tr gbl msci [CS]", None), ("ACME Equity XYZ", "ACME"), ("THE US stock", None), (None, None)])
+def test_annual_ticker(spark, shown, want):
+    assert value(spark, text.annual_ticker_in, shown) == want
+
+
+def test_asset_types_differ_by_source(spark):
+    assert [value(spark, f, "Home cash fund") for f in (text.annual_asset_type, text.xml_asset_type, text.asset_type)] == ["other", "mutual_fund", "mutual_fund"]
+    assert value(spark, text.senate_asset_type, "Corporate  Securities Stock") == "stock" and value(spark, text.senate_asset_type, "Exchange Traded Fund/Note") == "mutual_fund"
+    assert [value(spark, text.annual_direction, x) for x in ("Buy", "sold", "Exchanged", "gift", None)] == ["purchase", "sale", "exchange", None, None]
+
+
+@pytest.mark.parametrize("lines,want", [
+    (["P 1/2/2024 $15,001 -", "Common Stock (ACI) [ST] $50,000", "next"], ["P 1/2/2024 $15,001 - $50,000 Common Stock (ACI) [ST]", "next"]),
+    (["$1,001 -  ", "[ST] $15,000"], ["$1,001 - $15,000"]), (["Over", "$50,000,000 more"], ["Over $50,000,000 more"]), (["a", "$5 -"], ["a", "$5 -"]), (["$5 -", "no figure"], ["$5 - no figure"]), ([], []),
+])
+def test_wrapped_amounts(spark, lines, want):
+    row = spark.createDataFrame([(lines,)], "x array<string>")
+    assert row.select(text.rejoin_wrapped(F.col("x"))).first()[0] == want
