@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import NO_SCHEDULE, VAGUE_WORDS
+from .fixed import DEBT_WORDING, NO_SCHEDULE, VAGUE_WORDS
 
 
 def owner_or_self(owner: Column) -> Column:
@@ -72,13 +72,10 @@ def class_code(description: Column) -> Column:
     return F.try_element_at(codes, F.lit(-1))
 
 
-_DEBT = r"(?i)treasury|municipal|\bmuni\b|\bbond\b|\bdebenture\b|\bt-bill\b|certificate of deposit|savings bond|\bnote due\b|\b(due|matures|maturity)\b\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
-
-
 def is_fixed_income(description: Column) -> Column:
     """The printed code decides; wording counts only where there is none."""
     code = class_code(description)
-    return F.when(code.isNotNull(), code == "GS").otherwise(F.coalesce(description, F.lit("")).rlike(_DEBT))
+    return F.when(code.isNotNull(), code == "GS").otherwise(F.coalesce(description, F.lit("")).rlike(DEBT_WORDING))
 
 
 def is_option(description: Column) -> Column:
@@ -94,10 +91,16 @@ def may_have_travel(filing_type: Column, chamber: Column, parsed: Column, is_ptr
     return F.coalesce(F.upper(F.trim(filing_type)).isin("O", "T") & (F.lower(chamber) == "house") & parsed & ~is_ptr, F.lit(False))
 
 
-def needs_parse(parsed: Column, error: Column, confidence: Column, has_text: Column, below: float | None = None, failed_only: bool = False) -> Column:
-    """Queue of filings to parse: failed ones, weak ones (known scans aside), or all without a parse."""
+def needs_parse(parsed: Column, error: Column, confidence: Column, has_text: Column, below: float | None = None, failed_only: bool = False, electronic: Column | None = None) -> Column:
+    """Queue of filings to parse: failed ones, weak ones (known scans aside), or all without a parse.
+
+    ``electronic`` marks filings that were never on paper: for them a missing text layer is no
+    scan, so they stay in the queue of weak ones.
+    """
     if failed_only:
         return error.isNotNull()
     if below is not None:
-        return (confidence.isNull() | (confidence < below)) & ~has_text.eqNullSafe(F.lit(False))
+        scan = has_text.eqNullSafe(F.lit(False))
+        scan = scan if electronic is None else scan & ~F.coalesce(electronic, F.lit(False))
+        return (confidence.isNull() | (confidence < below)) & ~scan
     return ~F.coalesce(parsed, F.lit(False))

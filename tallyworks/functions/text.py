@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import ANNUAL_ASSET_TYPES, ANNUAL_NOT_TICKERS, ANNUAL_STOCK_WORDS, ASSET_TYPES, ASSET_WORDS, BUY_WORDS, CLASS_CODES, COMPANY_WORDS, EMPTY_COMMENTS, EXCHANGE_WORDS, NAME_SUFFIXES, NAME_TITLES, NOT_TICKERS, PAC_WORDS, SELL_WORDS, SENATE_ASSET_TYPES, XML_ASSET_TYPES
+from .fixed import ANNUAL_ASSET_TYPES, ANNUAL_NOT_TICKERS, ANNUAL_STOCK_WORDS, ASSET_TYPES, ASSET_WORDS, BUY_WORDS, CLASS_CODES, COMPANY_WORDS, EMPTY_COMMENTS, EXCHANGE_WORDS, NAME_SUFFIXES, NAME_TITLES, NOT_TICKERS, PAC_WORDS, SELL_WORDS, SENATE_ASSET_TYPES, STATE_MARKER, XML_ASSET_TYPES
 
 
 def _word(words: list[str]) -> str:
@@ -27,7 +27,7 @@ def asset_key(description: Column) -> Column:
 
 def company_key(name: Column, political: bool = False) -> Column:
     """A company's name as a key; ``political`` also drops a committee's aliases and words."""
-    text = F.regexp_replace(F.coalesce(name, F.lit("")), r"/[A-Za-z][A-Za-z ]{0,18}/", " ")
+    text = F.regexp_replace(F.coalesce(name, F.lit("")), STATE_MARKER, " ")
     if political:
         text = F.trim(F.regexp_replace(text, r"(\s*\([^()]*\)\s*)+$", ""))
     text = F.regexp_replace(F.lower(text), r"[^a-z0-9 ]+", " ")

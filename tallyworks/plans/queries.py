@@ -13,7 +13,7 @@ from ..functions import dates, money, predicates, text, wording
 from ..operators import findings as fi
 from ..operators import legislation, lookups, restatements, scores, serving, stats, trades, upkeep, wealth, windows
 from ..session import scratch, settled
-from ..sources import html, readers
+from ..sources import readers
 from ..streaming import imports as streams
 from .workload import AMENDMENT, BASE, CONTENT, Workload, kept
 
@@ -651,11 +651,6 @@ def xml_index(w: Workload) -> DataFrame:
     return rows.select(F.col("document_id").cast("long").alias("id"), "document_id", "first", "last", "state", "district", "is_ptr")
 
 
-@query()
-def html_table_rows(w: Workload) -> DataFrame:
-    return html.table_rows(w.table("pages"), "page_id").select("page_id", "table", "row", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
-
-
 # ---------------------------------------------------------------- scopes and upkeep
 
 
@@ -839,3 +834,6 @@ def _events_stream(w: Workload, schema) -> DataFrame:
     folder = scratch(w.spark, "events")
     w.table("events").repartition(4, "user_id").write.parquet(folder)
     return streams.read_events(w.spark, folder, "*.parquet", schema)
+
+
+from . import payloads  # noqa: E402, F401  (registers its queries here)

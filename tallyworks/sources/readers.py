@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.dates import iso_date, not_after, parse_date
-from ..functions.text import award_key, client_names, committee_code, in_one_string, party_letter
+from ..functions.text import award_key, client_names, committee_code, company_key, in_one_string, party_letter
 
 
 def house_index(spark: SparkSession, path: str, ptr: bool = False) -> DataFrame:
@@ -88,6 +88,12 @@ def committee_seats(spark: SparkSession, text: str, index: DataFrame, members: D
     return seats.join(index, "committee_id").join(members.select("bioguide_id", "member_id"), "bioguide_id").dropDuplicates(["member_id", "committee_id"])
 
 
+def seat_gaps(seats: DataFrame, index: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: seats on committees that the index lacks, and seats of people who are no members."""
+    marked = seats.join(index.select("committee_id").distinct().withColumn("known", F.lit(True)), "committee_id", "left").join(members.select("bioguide_id").distinct().withColumn("member", F.lit(True)), "bioguide_id", "left")
+    return marked.agg(F.count_if(F.col("known").isNull()).alias("unknown_committees"), F.count_if(F.col("known").isNotNull() & F.col("member").isNull()).alias("unknown_members"))
+
+
 def receipts(pages: DataFrame, recipients: DataFrame) -> DataFrame:
     """Donations to committees of members: no memo rows, positive amounts. ``recipients``: committee_id, member_id."""
     r = pages.select(F.explode("results").alias("r")).select("r.*")
@@ -165,6 +171,14 @@ def ticker_register(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p").cast("int").alias("position"), F.col("v.cik_str").alias("cik"), F.col("v.ticker").alias("ticker"), F.col("v.title").alias("title"))
 
 
+def first_of_register(register: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, ticker) and (ticker, title): the first position of the register stands for each name's key and for each ticker."""
+    rows = register.withColumn("key", company_key(F.col("title"))).withColumn("ticker", F.upper(F.trim("ticker")))
+    by_name = rows.where("key <> ''").groupBy("key").agg(F.min_by("ticker", "position").alias("ticker"))
+    by_ticker = rows.where("ticker <> ''").groupBy("ticker").agg(F.min_by("title", "position").alias("title"))
+    return by_name, by_ticker
+
+
 def company_sic(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """Industry code, its description and the company's name from a company page; entities are decoded twice."""
 
