@@ -124,3 +124,12 @@ ANNUAL_NOT_TICKERS = ["THE", "AND", "INC", "LLC", "LP", "NA", "CO", "US", "USA"]
 # Wording of debt in descriptions without a class code; a company name's mark of its state.
 DEBT_WORDING = r"(?i)treasury|municipal|\bmuni\b|\bbond\b|\bdebenture\b|\bt-bill\b|certificate of deposit|savings bond|\bnote due\b|\b(due|matures|maturity)\b\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
 STATE_MARKER = r"/[A-Za-z][A-Za-z ]{0,18}/"
+
+# Sources of income by word, in order of precedence.
+INCOME_SOURCES = [
+    ("salary", ["salary", "wages", "compensation", "government"]),
+    ("investment", ["dividend", "interest", "capital gains", "investment"]),
+    ("real_estate", ["rental", "real estate", "property", "lease"]),
+    ("business", ["business", "consulting", "self-employment", "partnership"]),
+    ("other", ["other", "misc", "pension", "retirement distribution"]),
+]

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates, text
+from ..functions.money import band_of
 from ..operators import lookups
+from ..session import settled
 from ..sources import grids, html, readers
 from .queries import query
-from .workload import Workload
+from .workload import Workload, band_sql
 
 _MONTH = "MM/dd/yyyy"
 
@@ -28,23 +30,45 @@ def html_table_rows(w: Workload) -> DataFrame:
     return html.table_rows(pages, "page_id").select("page_id", "table", "row", F.array_join("cells", "|").alias("cells"))
 
 
-def _printed(w: Workload) -> DataFrame:
+def _printed(trades: DataFrame) -> DataFrame:
     """Trades of bands of the form, with their cells as printed."""
     whole = lambda c: F.format_number(c, 0)
     band = F.when(F.col("amount_max").isNull(), F.concat(F.lit("Over $"), whole(F.col("amount_min") - 1))).otherwise(F.concat(F.lit("$"), whole("amount_min"), F.lit(" - $"), whole("amount_max")))
     kind = F.when(F.col("direction") == "purchase", "Purchase").when(F.col("direction") == "sale", "Sale (Partial)").otherwise("Exchange")
-    return w.trades().where("amount_min > 1000").withColumn("band", band).withColumn("kind", kind)
+    return trades.where("amount_min > 1000").withColumn("band", band).withColumn("kind", kind)
+
+
+def _parts(w: Workload) -> DataFrame:
+    """A trade for every part, with its band as printed."""
+    p, k = w.table("part"), F.col("p_partkey")
+    band = band_of(F.col("p_retailprice") * 30)
+    rows = p.select(
+        k.alias("part_id"),
+        F.col("p_brand").alias("ticker"),
+        F.col("p_name").alias("asset"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("traded_on"),
+        F.when(F.col("p_size") % 3 == 0, "Spouse").when(F.col("p_size") % 3 == 1, "Joint").alias("owner"),
+        F.when(k % 3 == 0, "purchase").when(k % 3 == 1, "sale").otherwise("exchange").alias("direction"),
+        band["low"].cast("long").alias("amount_min"),
+        band["high"].cast("long").alias("amount_max"),
+    )
+    return _printed(rows)
+
+
+_PARTS = f""", pt AS (SELECT p_partkey AS part_id, p_brand AS ticker, p_name AS asset, CAST(DATE '2020-01-01' + p_size AS VARCHAR) AS traded_on, CASE p_size % 3 WHEN 0 THEN 'Spouse' WHEN 1 THEN 'Joint' ELSE 'Self' END AS owner,
+CASE p_partkey % 3 WHEN 0 THEN 'purchase' WHEN 1 THEN 'sale' ELSE 'exchange' END AS direction, CAST({band_sql('p_retailprice * 30', 1)} AS DOUBLE) AS amount_min, CAST({band_sql('p_retailprice * 30', 2)} AS DOUBLE) AS amount_max FROM part)
+"""
 
 
-@query("SELECT txn_id, CAST(traded_on AS VARCHAR) AS traded_on, CASE WHEN owner = 'Spouse' THEN 'Spouse' WHEN owner = 'Joint' THEN 'Joint' ELSE 'Self' END AS owner, CASE WHEN part_id % 4 > 0 THEN ticker END AS ticker, asset, direction, CAST(amount_min AS DOUBLE) AS amount_min, CAST(amount_max AS DOUBLE) AS amount_max, CASE WHEN part_id % 3 = 0 THEN 'note ' || part_id END AS comment FROM t WHERE amount_min > 1000")
+@query(_PARTS + "SELECT part_id, traded_on, owner, CASE WHEN part_id % 4 > 0 THEN ticker END AS ticker, asset, direction, amount_min, amount_max, CASE WHEN part_id % 3 = 0 THEN 'note ' || part_id END AS comment FROM pt WHERE amount_min > 1000")
 def senate_report_trades(w: Workload) -> DataFrame:
     head = _row("th", "#", "Transaction Date", "Owner", "Ticker", "Asset Name", "Asset Type", "Type", "Amount", "Comment")
     ticker = F.when(F.col("part_id") % 4 > 0, F.col("ticker")).otherwise("--")
     note = F.when(F.col("part_id") % 3 == 0, F.concat(F.lit("note "), F.col("part_id").cast("string"))).otherwise("--")
     row = _row("td", "1", F.date_format("traded_on", _MONTH), F.coalesce("owner", F.lit("")), ticker, F.col("asset"), "Stock", F.col("kind"), F.col("band"), note)
-    pages = _printed(w).select("txn_id", F.concat(F.lit("<table><tr><th>Other</th></tr><tr><td>none</td></tr></table><table>"), head, row, F.lit("</table>")).alias("html"))
-    got = html.senate_trades(html.table_rows(pages, "txn_id"), "txn_id")
-    return got.select("txn_id", "traded_on", "owner", "ticker", "asset", "direction", F.col("amount_min").cast("double").alias("amount_min"), F.col("amount_max").cast("double").alias("amount_max"), "comment")
+    pages = _parts(w).select("part_id", F.concat(F.lit("<table><tr><th>Other</th></tr><tr><td>none</td></tr></table><table>"), head, row, F.lit("</table>")).alias("html"))
+    got = html.senate_trades(settled(html.table_rows(pages, "part_id")), "part_id")
+    return got.select("part_id", "traded_on", "owner", "ticker", "asset", "direction", F.col("amount_min").cast("double").alias("amount_min"), F.col("amount_max").cast("double").alias("amount_max"), "comment")
 
 
 @query("SELECT txn_id, CAST(traded_on AS VARCHAR) AS traded_on, CASE WHEN owner IN ('Spouse', 'Joint') THEN owner ELSE 'Self' END AS owner, asset || ' (AB) [ST]' AS asset, 'AB' AS ticker, direction, CAST(amount_min AS DOUBLE) AS amount_min, CAST(amount_max AS DOUBLE) AS amount_max, status FROM t WHERE amount_min > 1000")
@@ -55,7 +79,7 @@ def grid_report_trades(w: Workload) -> DataFrame:
     head = cells("ID", "Owner", "Asset", "Transaction\nType", "Date", "Notification\nDate", "Amount")
     row = cells("", "", F.concat(code, "asset", F.lit(" \x00(AB)\n[ST]")), mark, F.date_format("traded_on", _MONTH), F.date_format("filed_on", _MONTH), F.col("band"))
     note = cells(F.concat(F.lit("F\x00 S\x00: "), "status"), "", "", "", "", "", "")
-    pages = _printed(w).select(F.col("txn_id").alias("document_id"), F.array(F.array(cells("Name:"), head, row, note)).alias("tables"))
+    pages = _printed(w.trades()).select(F.col("txn_id").alias("document_id"), F.array(F.array(cells("Name:"), head, row, note)).alias("tables"))
     got = grids.grid_trades(grids.grid_rows(pages))
     return got.select(F.col("document_id").alias("txn_id"), "traded_on", "owner", "asset", "ticker", "direction", F.col("amount_min").cast("double").alias("amount_min"), F.col("amount_max").cast("double").alias("amount_max"), "status")
 
@@ -253,3 +277,52 @@ def seat_gaps(w: Workload) -> DataFrame:
     k = F.col("c_custkey")
     seats = w.table("customer").select(F.concat(F.lit("C"), (k % 3).cast("string")).alias("committee_id"), k.cast("string").alias("bioguide_id"))
     return readers.seat_gaps(seats, w.spark.createDataFrame([("C1",), ("C2",)], "committee_id string"), seats.where("bioguide_id % 5 > 0").select("bioguide_id"))
+
+
+def _annuals(w: Workload) -> DataFrame:
+    """Annual reports of one container, what it holds, another holding and a debt; a third of the contents have no value."""
+    t = _parts(w)
+    inner = F.when(F.col("part_id") % 3 > 0, F.col("band")).otherwise("--")
+    head = _row("th", "#", "Asset", "Asset Type", "Owner", "Value", "Income Type", "Income")
+    name = lambda c: F.concat(F.lit("<strong> "), c, F.lit("\n(AB)</strong> Company: x (CD)"))
+    rows = F.concat(
+        head,
+        _row("td", "7", name(F.lit("Holding")), "Real Estate", "Self", F.col("band"), "Rent", "None (or less than $201)"),
+        _row("td", "7.1", name(F.col("asset")), "Corporate Securities Stock", "Self", inner, "None,", "$201 - $1,000"),
+        _row("td", "8", "no name", "Stock", "Self", F.col("band"), "", ""),
+    )
+    debts = F.concat(_row("th", "#", "Incurred", "Debtor", "Type", "Points", "Rate (APR)", "Amount", "Creditor"), _row("td", "1", "2020", "Self", "Mortgage", "", "", F.col("band"), F.col("ticker")), _row("td", "2", "2020", "Self", "Loan", "", "", "Unknown", F.col("ticker")))
+    table = lambda part, x: F.concat(F.lit(f"<h3> {part} </h3><div><table>"), x, F.lit("</table></div>"))
+    page = F.concat(table("Part 2. Income", _row("th", "Value")), table("Part 3.\n Assets", rows), table("Part 7. Liabilities", debts))
+    return settled(html.table_rows(t.select("part_id", page.alias("html")), "part_id"))
+
+
+@query(_PARTS + "SELECT part_id, 'Holding (AB)' AS asset, 'real_estate' AS asset_type, 'AB' AS ticker, CASE WHEN part_id % 3 = 0 THEN amount_min END AS value_min, CASE WHEN part_id % 3 = 0 THEN amount_max END AS value_max, 0.0::DOUBLE AS income_min, 200.0::DOUBLE AS income_max FROM pt WHERE amount_min > 1000 UNION ALL SELECT part_id, asset || ' (AB)', 'stock', 'AB', CASE WHEN part_id % 3 > 0 THEN amount_min END, CASE WHEN part_id % 3 > 0 THEN amount_max END, 201.0::DOUBLE, 1000.0::DOUBLE FROM pt WHERE amount_min > 1000")
+def senate_annual_assets(w: Workload) -> DataFrame:
+    got = html.senate_assets(_annuals(w), "part_id")
+    return got.select("part_id", "asset", "asset_type", "ticker", *[F.col(c).cast("double").alias(c) for c in ("value_min", "value_max", "income_min", "income_max")])
+
+
+@query(_PARTS + "SELECT part_id, ticker AS creditor, 'Mortgage' AS description, amount_min, amount_max FROM pt WHERE amount_min > 1000")
+def senate_annual_debts(w: Workload) -> DataFrame:
+    got = html.senate_debts(_annuals(w), "part_id")
+    return got.select("part_id", "creditor", "description", *[F.col(c).cast("double").alias(c) for c in ("amount_min", "amount_max")])
+
+
+def _reports(w: Workload) -> DataFrame:
+    whole = lambda c: F.format_number(c, 0)
+    pair = F.concat(F.lit("$"), whole("p_size"), F.lit(" - $"), whole(F.col("p_size") + 5000))
+    asset = F.concat(F.lit("<Asset>\n<Description> "), "p_name", F.lit(" Real Estate &amp; Co</Description><Value>"), pair, F.lit("</Value><Income>$1,000</Income></Asset><Asset><Description/><Value>5</Value></Asset>"))
+    income = F.concat(F.lit("<Income><Source>"), F.when(F.col("p_partkey") % 2 == 0, "Rental of ").otherwise("Book "), "p_name", F.lit("</Source><Amount>"), pair, F.lit("</Amount><Type>Rent</Type></Income>"))
+    return w.table("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("<Report><Assets>"), asset, F.lit("</Assets>"), income, F.lit("</Report>")).alias("xml"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' Real Estate & Co' AS asset, 'real_estate' AS asset_type, CAST(p_size AS DOUBLE) AS value_min, CAST(p_size + 5000 AS DOUBLE) AS value_max, 1000.0::DOUBLE AS income_min, 1000.0::DOUBLE AS income_max FROM part")
+def xml_report_assets(w: Workload) -> DataFrame:
+    got = readers.xml_assets(_reports(w))
+    return got.select("id", "asset", "asset_type", *[F.col(c).cast("double").alias(c) for c in ("value_min", "value_max", "income_min", "income_max")])
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Rental of ' ELSE 'Book ' END || p_name AS source, CASE WHEN p_partkey % 2 = 0 THEN 'real_estate' ELSE 'other' END AS source_type, p_size + 2500.0::DOUBLE AS amount, 'Rent' AS income_type FROM part")
+def xml_report_incomes(w: Workload) -> DataFrame:
+    return readers.xml_incomes(_reports(w)).select("id", "source", "source_type", F.col("amount").cast("double").alias("amount"), "income_type")

@@ -113,7 +113,7 @@ class Workload:
         )
 
 
-def _band(column: str, end: int) -> str:
+def band_sql(column: str, end: int) -> str:
     bands = sorted((b for b in PTR_BANDS if b[0] != "Over $1,000,000"), key=lambda b: b[1])
     first = bands[0][1]
     cases = [f"WHEN {column} < {first} THEN {0 if end == 1 else first - 1}"]
@@ -146,7 +146,7 @@ BASE = f"""WITH RECURSIVE t AS (
   SELECT l_orderkey * 10000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(LINE)}) AS txn_id,
     o_orderkey AS filing_id, o_custkey AS member_id, CAST(o_orderdate AS DATE) AS filed_on, o_orderpriority AS filing_type, o_orderstatus <> 'P' AS is_ptr, o_orderkey % 10 <> 0 AS parsed,
     CAST(l_shipdate AS DATE) AS traded_on, CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale' ELSE 'exchange' END AS direction,
-    p_brand AS ticker, p_name AS asset, p_type AS sector, p_partkey AS part_id, {_band('l_extendedprice', 1)} AS amount_min, {_band('l_extendedprice', 2)} AS amount_max,
+    p_brand AS ticker, p_name AS asset, p_type AS sector, p_partkey AS part_id, {band_sql('l_extendedprice', 1)} AS amount_min, {band_sql('l_extendedprice', 2)} AS amount_max,
     CASE l_suppkey % 5 WHEN 0 THEN 'Spouse' WHEN 1 THEN 'Joint' WHEN 2 THEN NULL WHEN 3 THEN ' ' ELSE 'Self' END AS owner,
     CASE WHEN l_quantity <= 2 THEN 'Deleted' WHEN l_quantity <= 4 THEN 'Amended' ELSE 'New' END AS status, l_returnflag || l_linestatus AS flag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),

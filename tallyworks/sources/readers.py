@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.dates import iso_date, not_after, parse_date
-from ..functions.text import award_key, client_names, committee_code, company_key, in_one_string, party_letter
+from ..functions.fixed import INCOME_SOURCES
+from ..functions.money import xml_band, xml_income
+from ..functions.text import award_key, client_names, committee_code, company_key, in_one_string, kind_by_words, party_letter, xml_asset_type
 
 
 def house_index(spark: SparkSession, path: str, ptr: bool = False) -> DataFrame:
@@ -194,3 +196,25 @@ def company_sic(pages: DataFrame, xml: str = "xml") -> DataFrame:
 
 def clamp_filing_dates(filings: DataFrame, now) -> DataFrame:
     return filings.withColumn("filed_on", not_after(F.col("filed_on"), F.lit(now)))
+
+
+def _elements(pages: DataFrame, xml: str, tag: str, schema: str) -> DataFrame:
+    """One row for each element of a tag, at any depth, with its texts."""
+    found = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)(<{tag}>(?:(?!<{tag}>).)*?</{tag}>)"), 1)
+    rows = pages.select(*[c for c in pages.columns if c != xml], F.posexplode(found).alias("n", "part"))
+    return rows.withColumn("e", F.from_xml("part", schema, {"mode": "PERMISSIVE"})).drop("part")
+
+
+def xml_assets(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """Holdings of reports in XML that have a description: kind, value and income, each as a range."""
+    rows = _elements(pages, xml, "Asset", "Description string, Value string, Income string")
+    value, income = xml_band(F.col("e.Value")), xml_band(F.col("e.Income"))
+    out = rows.withColumn("asset", F.trim("e.Description")).where("asset <> ''")
+    return out.select(*[c for c in pages.columns if c != xml], "n", "asset", xml_asset_type(F.col("asset")).alias("asset_type"), *[b[e].alias(f"{n}_{m}") for n, b in (("value", value), ("income", income)) for e, m in (("low", "min"), ("high", "max"))])
+
+
+def xml_incomes(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """Incomes of reports in XML that have a source: its kind, the amount (a range's mean) and the stated type."""
+    rows = _elements(pages, xml, "Income", "Source string, Amount string, Type string")
+    out = rows.withColumn("source", F.trim("e.Source")).where("source <> ''")
+    return out.select(*[c for c in pages.columns if c != xml], "n", "source", kind_by_words(F.col("source"), INCOME_SOURCES).alias("source_type"), xml_income(F.col("e.Amount")).alias("amount"), F.trim("e.Type").alias("income_type"))
