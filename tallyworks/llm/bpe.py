@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import boxed, column, slices, tidy, tidy_group
+from .shared import boxed, column, release, slices, tidy, tidy_group
 
 #: The split pattern of byte-level BPE vocabularies of this family (a fixed value of the public format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text of a block, text that is split at a time, and positions that are filled at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 STEP = 1 << 17
 #: Bytes of a word up to which its merges are searched one by one, not through a heap.
@@ -280,7 +280,12 @@ def _fill(with_ids: bool, with_text: bool):
                     a = b
         return pa.table({"row": pa.concat_arrays(rows)} | {n: pa.concat_arrays(x) for n, x in made.items() if x})
 
-    return run
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    return tidied
 
 
 # ---------------------------------------------------------------- operators
