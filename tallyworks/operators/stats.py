@@ -21,6 +21,8 @@ from .windows import distinct_in_window
 PERMUTATIONS = 1000
 SPAN_DAYS = 30
 PART = 250
+#: Days of a test above which its permutations are dealt over several groups.
+LARGE = 5000
 ALPHA = 0.05
 #: Cells of one step of (permutation, event) or (permutation, row).
 BLOCK = 1 << 20
@@ -95,21 +97,17 @@ def observed_pairs(found: DataFrame) -> DataFrame:
 def _shifted_pairs(lane: np.ndarray, t: np.ndarray, weight: np.ndarray, event_lane: np.ndarray, e: np.ndarray, times: np.ndarray, offsets: np.ndarray, span: float, before: int, after: int) -> np.ndarray:
     """For each offset the pairs in the window when all trades are shifted by it around the span.
 
-    Trades stay where they are and the windows move back instead; each lane (key) has a stretch of its own.
+    Each lane (key) has a stretch of its own, so one sorted array of events serves all.
     """
-    t = np.mod(t, span)
-    stride = span + 2.0
-    order = np.argsort(lane * stride + t, kind="stable")
-    at, total = (lane * stride + t)[order], np.concatenate([[0], np.cumsum(weight[order])])
-    low, high, base = np.maximum(e - before, 0.0), np.minimum(e + after, span), event_lane * stride
+    stride = span + before + after + 2.0
+    order = np.argsort(event_lane * stride + e, kind="stable")
+    at, total = (event_lane * stride + e)[order], np.concatenate([[0], np.cumsum(times[order])])
     out = np.zeros(len(offsets), dtype=np.int64)
-    step = max(1, BLOCK // max(1, len(e)))
+    step = max(1, BLOCK // max(1, len(t)))
     for k in range(0, len(offsets), step):
-        back = offsets[k : k + step, None]
-        for turn in (0.0, span):
-            a, b = np.clip(low - back + turn, -0.5, span + 0.5) + base, np.clip(high - back + turn, -0.5, span + 0.5) + base
-            n = total[np.searchsorted(at, b, "right")] - total[np.searchsorted(at, a, "left")]
-            out[k : k + step] += (np.maximum(n, 0) * times).sum(axis=1)
+        moved = np.mod(t + offsets[k : k + step, None], span) + lane * stride
+        n = total[np.searchsorted(at, moved + before, "right")] - total[np.searchsorted(at, moved - after, "left")]
+        out[k : k + step] = (n * weight).sum(axis=1)
     return out
 
 
@@ -123,22 +121,23 @@ def permutation_pvalues(found: DataFrame, permutations: int = PERMUTATIONS, leas
     """
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        detector, member, part = key
+        detector, member, first = key
         before, after, _ = DETECTORS[detector]
         rows = rows.sort_values(["key", "is_trade", "day"])
         on, lane, day, n = rows["is_trade"].to_numpy(), pd.factorize(rows["key"])[0], rows["day"].to_numpy().astype(float), rows["n"].to_numpy()
         low, span = day.min(), day.max() - day.min()
-        first = part * PART
-        offsets = np.random.default_rng(seed_of(detector, member, part)).uniform(0, span, min(PART, permutations - first))
+        parts = range(first, (permutations - 1) // PART + 1, int(rows["shares"].iloc[0]))
+        offsets = np.concatenate([np.random.default_rng(seed_of(detector, member, p)).uniform(0, span, min(PART, permutations - p * PART)) for p in parts])
         # the window around an event holds trades from before days ahead of it to after days past it
         pairs = _shifted_pairs(lane[on], day[on] - low, n[on], lane[~on], day[~on] - low, n[~on], offsets, span, before, after)
         return pd.DataFrame({"detector": [detector], "member_id": [member], "reached": [int((pairs >= rows["observed"].iloc[0]).sum())]})
 
     observed = observed_pairs(found).where("observed > 0")
-    span = found.groupBy("detector", "member_id").agg((F.max("day") - F.min("day")).alias("span"))
+    # a test of many days is dealt over groups, each with some of the parts
+    shares = F.least(F.lit((permutations - 1) // PART + 1), F.floor(F.count("*") / LARGE) + 1).alias("shares")
+    span = found.groupBy("detector", "member_id").agg((F.max("day") - F.min("day")).alias("span"), shares)
     tests = observed.join(span, ["detector", "member_id"])
-    parts = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PART))).alias("part")
-    dealt = found.join(tests.where(F.col("span") >= least_span).drop("span"), ["detector", "member_id"]).select("*", parts)
+    dealt = found.join(tests.where(F.col("span") >= least_span).drop("span"), ["detector", "member_id"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
     reached = dealt.groupBy("detector", "member_id", "part").applyInPandas(test, "detector string, member_id long, reached long").groupBy("detector", "member_id").agg(F.sum("reached").alias("reached"))
     p = (F.col("reached") + 1) / float(permutations + 1)
     return tests.join(reached, ["detector", "member_id"], "left").select("detector", "member_id", "observed", p.alias("p_value"))
@@ -175,11 +174,12 @@ def cluster_pvalues(trades: DataFrame, days: int = CLUSTER_DAYS, members: int =
     """(ticker, direction, observed, p_value) for groups that reach ``members``; each member is shifted by offsets of its own."""
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ticker, direction, part = key
+        ticker, direction, first = key
         rows = rows.sort_values(["member_id", "day"])
         who, day = pd.factorize(rows["member_id"])[0], rows["day"].to_numpy().astype(float)
         span = day.max() - day.min()
-        offsets = np.random.default_rng(seed_of(ticker, direction, part)).uniform(0, span, (min(PART, permutations - part * PART), who.max() + 1))
+        parts = range(first, (permutations - 1) // PART + 1, int(rows["shares"].iloc[0]))
+        offsets = np.concatenate([np.random.default_rng(seed_of(ticker, direction, p)).uniform(0, span, (min(PART, permutations - p * PART), who.max() + 1)) for p in parts])
         most = _most_members(who, day - day.min(), offsets, span, days)
         return pd.DataFrame({"ticker": [ticker], "direction": [direction], "reached": [int((most >= rows["observed"].iloc[0]).sum())]})
 
@@ -187,10 +187,10 @@ def cluster_pvalues(trades: DataFrame, days: int = CLUSTER_DAYS, members: int =
     at = distinct_in_window(rows, ["ticker", "direction"], "member_id", "traded_on", days)
     groups = at.groupBy("ticker", "direction").agg(F.max("n").alias("observed")).where(F.col("observed") >= members)
     dated = rows.select("ticker", "direction", "member_id", _day(F.col("traded_on")).alias("day"))
-    span = dated.groupBy("ticker", "direction").agg((F.max("day") - F.min("day")).alias("span"))
+    shares = F.least(F.lit((permutations - 1) // PART + 1), F.floor(F.count("*") / LARGE) + 1).alias("shares")
+    span = dated.groupBy("ticker", "direction").agg((F.max("day") - F.min("day")).alias("span"), shares)
     tests = groups.join(span, ["ticker", "direction"])
-    parts = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // PART))).alias("part")
-    dealt = dated.join(tests.where(F.col("span") >= least_span).drop("span"), ["ticker", "direction"]).select("*", parts)
+    dealt = dated.join(tests.where(F.col("span") >= least_span).drop("span"), ["ticker", "direction"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
     reached = dealt.groupBy("ticker", "direction", "part").applyInPandas(test, "ticker string, direction string, reached long").groupBy("ticker", "direction").agg(F.sum("reached").alias("reached"))
     p = (F.col("reached") + 1) / float(permutations + 1)
     return tests.join(reached, ["ticker", "direction"], "left").select("ticker", "direction", "observed", p.alias("p_value"))
