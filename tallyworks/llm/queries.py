@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embed, langid, lmscore, shard, simhash, substring, urlfilter
+from . import bpe, chat, decontam, elkan, embed, hardneg, langid, lmscore, mixture, shard, simhash, substring, urlfilter
 
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +56,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_mixture": op11_mixture,
+    "op12_centroids": op12_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +90,7 @@ ORACLES: dict[str, str] = {
     "op4_embeddings": embed.SQL,
     "op5_substring": substring.SQL,
     "op8_chat": chat.SQL,
+    "op11_mixture": mixture.SQL,
+    "op12_centroids": elkan.SQL,
+    "op13_hard_negatives": hardneg.SQL,
 }
