@@ -1,20 +1,25 @@
 """Permutation tests of coincidences, and the q-values that findings inherit from them.
 
-Streams are counted by day before they meet, so a test's size is one of days, not rows. A
-test's permutations are dealt out in parts of PART: a group holds the days of one member or
-ticker and shifts them PART times in numpy; the parts' counts are summed in Spark.
+Streams are counted by day before they meet, so a test's size is one of days, not rows. The
+events of a key are kept once, as running sums by day, for all members who trade it. Many
+tests share a task, in Arrow batches; a large test's permutations are dealt out in parts of
+PART, and the parts' counts are summed in Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BILL_DAYS, CLUSTER_DAYS, CLUSTER_MEMBERS, CONTRACT_DAYS, DONATION_DAYS, LOBBYING_DAYS, UNTESTED
+from ..session import settled
 from .findings import bh_qvalues
 from .windows import distinct_in_window
 
@@ -26,6 +31,8 @@ LARGE = 5000
 ALPHA = 0.05
 #: Cells of one step of (permutation, event) or (permutation, row).
 BLOCK = 1 << 20
+#: Tests of a group, and rows that a task holds before it counts them.
+TESTS, CHUNK = 2048, 1 << 14
 
 #: Detectors with a null model: days before and after an event that a trade may lie, and whether purchases alone count.
 DETECTORS = {
@@ -56,91 +63,222 @@ def _day(c: Column) -> Column:
 
 
 def streams(detector: str, trades: DataFrame, events: DataFrame, key: str, event_key: str | None = None) -> DataFrame:
-    """(detector, member_id, key, is_trade, day, n): a detector's trades and events that share a key.
+    """(detector, member_id, key, is_trade, day, n): a detector's trades, and its events once a key and day.
 
     ``trades`` has member_id, traded_on, direction and ``key``, without restated rows;
-    ``events`` has happened_on, ``key`` and, if they concern one member only, member_id. Keys are
-    trimmed and upper-cased; rows without a key, a member or a day are left out.
+    ``events`` has happened_on, ``key`` and, if they concern one member only, member_id, which then
+    is part of the key. Keys are trimmed and upper-cased; rows without a key, a member or a
+    day are left out. Events have no member: whoever trades the key meets them there.
     """
-    def upper(c: str) -> Column:
-        return F.upper(F.trim(F.col(c).cast("string")))
-
     rows = trades.where(F.col("direction") == "purchase") if DETECTORS[detector][2] else trades
-    rows = rows.select("member_id", upper(key).alias("key"), _day(F.col("traded_on")).alias("day")).dropna().groupBy("member_id", "key", "day").agg(F.count("*").alias("n"))
-    own = [c for c in ("member_id",) if c in events.columns]
-    dated = events.select(*own, upper(event_key or key).alias("key"), _day(F.col("happened_on")).alias("day")).dropna().groupBy(*own, "key", "day").agg(F.count("*").alias("n"))
-    pairs = rows.select("member_id", "key").distinct()
-    met = dated.join(pairs, [*own, "key"])
-    rows = rows.join(met.select("member_id", "key").distinct(), ["member_id", "key"])
-    made = [x.select(F.lit(detector).alias("detector"), "member_id", "key", F.lit(is_trade).alias("is_trade"), "day", "n") for x, is_trade in ((rows, True), (met, False))]
-    return made[0].unionByName(made[1])
+    whose = [F.col("member_id").cast("string")] if "member_id" in events.columns else []
+
+    def counted(df: DataFrame, column: str, day: str, who: Column, is_trade: bool) -> DataFrame:
+        lane = F.concat(*[x for w in whose for x in (w, F.lit("\x1f"))], F.upper(F.trim(F.col(column).cast("string"))))
+        dated = df.select(who.alias("member_id"), lane.alias("key"), _day(F.col(day)).alias("day"))
+        dated = dated.dropna(subset=["member_id", "key", "day"] if is_trade else ["key", "day"]).groupBy("member_id", "key", "day").agg(F.count("*").alias("n"))
+        return dated.select(F.lit(detector).alias("detector"), "member_id", "key", F.lit(is_trade).alias("is_trade"), "day", "n")
+
+    return counted(rows, key, "traded_on", F.col("member_id"), True).unionByName(counted(events, event_key or key, "happened_on", F.lit(None).cast("long"), False))
+
+
+def _window_days(k: int) -> Column:
+    return F.create_map(*[F.lit(x) for d, window in DETECTORS.items() for x in (d, window[k])])[F.col("detector")]
 
 
 def observed_pairs(found: DataFrame) -> DataFrame:
     """(detector, member_id, observed): (event, trade) pairs within the detector's window.
 
-    Trades are counted by a running sum over days that the window's ends enter as queries.
-    """
-    before = F.create_map(*[F.lit(x) for d, (b, _, _) in DETECTORS.items() for x in (d, b)])[F.col("detector")]
-    after = F.create_map(*[F.lit(x) for d, (_, a, _) in DETECTORS.items() for x in (d, a)])[F.col("detector")]
-    keys = ["detector", "member_id", "key"]
-    # at a day, order 0 are window starts (minus the trades before), 1 trades, 2 window ends (plus the trades up to)
-    trades = found.where("is_trade").select(*keys, "day", F.lit(1).alias("o"), "n", F.lit(0).alias("w"))
-    events = found.where("NOT is_trade")
-    starts = events.select(*keys, (F.col("day") - before).alias("day"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("n"), (-F.col("n")).alias("w"))
-    ends = events.select(*keys, (F.col("day") + after).alias("day"), F.lit(2).alias("o"), F.lit(0).cast("long").alias("n"), F.col("n").alias("w"))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("day", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = trades.unionByName(starts).unionByName(ends).withColumn("upto", upto)
-    return rows.groupBy("detector", "member_id").agg(F.sum(F.col("w") * F.col("upto")).alias("observed"))
-
-
-def _shifted_pairs(lane: np.ndarray, t: np.ndarray, weight: np.ndarray, event_lane: np.ndarray, e: np.ndarray, times: np.ndarray, offsets: np.ndarray, span: float, before: int, after: int) -> np.ndarray:
-    """For each offset the pairs in the window when all trades are shifted by it around the span.
-
-    Each lane (key) has a stretch of its own, so one sorted array of events serves all.
+    Each event is a step up where its window begins and a step down past its end. The running
+    sum over a key's days, at most one row for each day there is, gives the number of events
+    whose windows hold a day, and trades look theirs up.
     """
-    stride = span + before + after + 2.0
-    order = np.argsort(event_lane * stride + e, kind="stable")
-    at, total = (event_lane * stride + e)[order], np.concatenate([[0], np.cumsum(times[order])])
-    out = np.zeros(len(offsets), dtype=np.int64)
-    step = max(1, BLOCK // max(1, len(t)))
-    for k in range(0, len(offsets), step):
-        moved = np.mod(t + offsets[k : k + step, None], span) + lane * stride
-        n = total[np.searchsorted(at, moved + before, "right")] - total[np.searchsorted(at, moved - after, "left")]
-        out[k : k + step] = (n * weight).sum(axis=1)
+    day, keys = F.col("day"), ["detector", "key", "day"]
+    steps = F.array(F.struct((day - _window_days(0)).alias("day"), F.col("n").alias("up")), F.struct((day + _window_days(1) + 1).alias("day"), (-F.col("n")).alias("up")))
+    steps = found.where("NOT is_trade").select("detector", "key", F.explode(steps).alias("s")).select("detector", "key", "s.day", "s.up", F.lit(False).alias("asked"))
+    trades = found.where("is_trade")
+    days = steps.unionByName(trades.select(*keys, F.lit(0).cast("long").alias("up"), F.lit(True).alias("asked"))).groupBy(*keys).agg(F.sum("up").alias("up"), F.max("asked").alias("asked"))
+    held = days.withColumn("held", F.sum("up").over(Window.partitionBy("detector", "key").orderBy("day"))).where("asked AND held > 0")
+    return trades.join(held.select(*keys, "held"), keys).groupBy("detector", "member_id").agg(F.sum(F.col("n") * F.col("held")).alias("observed"))
+
+
+class _Lanes:
+    """Running sums of events by day, key after key in one array: ``upto(lane, day)`` events up to a day."""
+
+    def __init__(self, lane: np.ndarray, day: np.ndarray, n: np.ndarray, lanes: int):
+        self.first = np.full(lanes, np.iinfo(np.int64).max)
+        last = np.full(lanes, np.iinfo(np.int64).min)
+        np.minimum.at(self.first, lane, day)
+        np.maximum.at(last, lane, day)
+        some = last >= self.first
+        self.first = np.where(some, self.first, 0)
+        self.length = np.where(some, last - self.first + 1, 0)
+        self.base = np.cumsum(self.length + 1) - (self.length + 1)
+        flat = np.zeros(int((self.length + 1).sum()), dtype=np.int64)
+        np.add.at(flat, self.base[lane] + day - self.first[lane] + 1, n)
+        total = np.cumsum(flat)
+        self.sums = total - np.repeat(total[self.base], self.length + 1)
+
+    def upto(self, lane: np.ndarray, day: np.ndarray) -> np.ndarray:
+        at = day - (self.first[lane] - 1)[:, None]
+        np.clip(at, 0, self.length[lane][:, None], out=at)
+        at += self.base[lane][:, None]
+        return self.sums[at]
+
+
+def shifted_pairs(lanes: _Lanes, lane: np.ndarray, day: np.ndarray, weight: np.ndarray, low: np.ndarray, span: np.ndarray, offsets: np.ndarray, before: int, after: int) -> np.ndarray:
+    """(rows, permutations): pairs of each row of trades when it is shifted by its offsets around its span."""
+    moved = (day - low)[:, None] + offsets
+    moved -= np.where(moved >= span[:, None], span[:, None], 0.0)
+    down = np.floor(moved)
+    whole = down.astype(np.int64) + low[:, None]
+    # the window around an event holds trades from before days ahead of it to after days past it
+    out = lanes.upto(lane, whole + before)
+    out -= lanes.upto(lane, whole + (moved > down) - after - 1)
+    out *= weight[:, None]
     return out
 
 
+class _Tests:
+    """Permuted counts of the tests of one group and detector, a row each."""
+
+    def __init__(self, detector: str, permutations: int):
+        self.detector, self.permutations, self.parts = detector, permutations, (permutations - 1) // PART + 1
+        self.at: dict[int, int] = {}
+        self.offsets = np.zeros((0, permutations))
+        self.counts = np.zeros((0, permutations), dtype=np.int64)
+        self.used = np.zeros((0, self.parts), dtype=bool)
+        self.observed = np.zeros(0, dtype=np.int64)
+
+    def rows(self, member: np.ndarray, span: np.ndarray, observed: np.ndarray) -> np.ndarray:
+        """Row of each of these (different) members, made where it is new."""
+        new = [k for k, m in enumerate(member.tolist()) if m not in self.at]
+        if new:
+            if len(self.at) + len(new) > len(self.counts):
+                more = max(len(new), len(self.counts), 64)
+                self.offsets, self.counts, self.used = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.offsets, self.counts, self.used))
+                self.observed = np.concatenate([self.observed, np.zeros(more, np.int64)])
+            for k in new:
+                row = self.at[int(member[k])] = len(self.at)
+                self.observed[row] = observed[k]
+                for p in range(self.parts):
+                    size = min(PART, self.permutations - p * PART)
+                    self.offsets[row, p * PART : p * PART + size] = np.random.default_rng(seed_of(self.detector, member[k], p)).uniform(0, span[k], size)
+        return np.array([self.at[m] for m in member.tolist()], dtype=np.int64)
+
+    def add(self, lanes: _Lanes, c: dict[str, np.ndarray]) -> None:
+        """Trades, in columns; those of one share of the permutations at a time."""
+        before, after, _ = DETECTORS[self.detector]
+        for share, shares in sorted(set(zip(c["share"].tolist(), c["shares"].tolist()))):
+            mine = np.flatnonzero((c["share"] == share) & (c["shares"] == shares))
+            mine = mine[np.argsort(c["member_id"][mine], kind="stable")]
+            parts = np.arange(share, self.parts, shares)
+            columns = np.concatenate([np.arange(p * PART, min(self.permutations, (p + 1) * PART)) for p in parts])
+            step = max(1, BLOCK // len(columns))
+            for k in range(0, len(mine), step):
+                at = mine[k : k + step]
+                member, head = np.unique(c["member_id"][at], return_index=True)
+                rows = self.rows(member, c["span"][at[head]].astype(float), c["observed"][at[head]])
+                self.used[np.ix_(rows, parts)] = True
+                every = np.repeat(rows, np.diff(np.append(head, len(at))))
+                offsets = self.offsets[every] if len(columns) == self.permutations else self.offsets[np.ix_(every, columns)]
+                pairs = shifted_pairs(lanes, c["lane"][at], c["day"][at], c["n"][at], c["low"][at], c["span"][at].astype(float), offsets, before, after)
+                self.counts[np.ix_(rows, columns)] += np.add.reduceat(pairs, head, axis=0)
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.at)
+        used = np.repeat(self.used[:n], PART, axis=1)[:, : self.permutations]
+        reached = ((self.counts[:n] >= self.observed[:n, None]) & used).sum(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array([self.detector] * n, pa.string()), pa.array(list(self.at), pa.int64()), pa.array(reached.astype(np.int64))], names=["detector", "member_id", "reached"])
+
+
+def _permuted(permutations: int) -> Callable:
+    """Partition sorted by (group, detector, key, is_trade): chunks of whole keys, or of one key's events with some of its trades."""
+
+    def chunk(rows: pa.Table, tests: _Tests | None) -> Iterator[tuple[_Tests, pa.RecordBatch | None]]:
+        c = {n: rows.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in rows.schema.names if n not in ("detector", "key")}
+        kind = rows.column("detector").combine_chunks().dictionary_encode()
+        names, kind = kind.dictionary.to_pylist(), kind.indices.to_numpy()
+        key = rows.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+        turn = lambda *by: np.append(True, np.any([x[1:] != x[:-1] for x in by], axis=0)) if len(key) else np.zeros(0, bool)
+        head = np.flatnonzero(turn(c["part"], kind))
+        c["lane"] = np.cumsum(turn(c["part"], kind, key)) - 1
+        for a, b in zip(head, np.append(head[1:], len(key))):
+            if tests is None or (tests.detector, tests.part) != (names[kind[a]], int(c["part"][a])):
+                if tests is not None:
+                    yield tests, tests.batch()
+                tests = _Tests(names[kind[a]], permutations)
+                tests.part = int(c["part"][a])
+            here = {n: x[a:b] for n, x in c.items()}
+            lane = here["lane"] - here["lane"][0]
+            on = here["is_trade"].astype(bool)
+            lanes = _Lanes(lane[~on], here["day"][~on], here["n"][~on], int(lane[-1]) + 1)
+            tests.add(lanes, {n: x[on].astype(np.int64) for n, x in (here | {"lane": lane}).items() if n not in ("is_trade", "part")})
+        yield tests, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tests = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < CHUNK:
+                continue
+            last = [held.column(n)[held.num_rows - 1].as_py() for n in ("part", "detector", "key")]
+            same = np.logical_and.reduce([pc.equal(held.column(n), pa.scalar(x, held.schema.field(n).type)).to_numpy(zero_copy_only=False) for n, x in zip(("part", "detector", "key"), last)])
+            cut = int(np.argmax(same))  # rows are sorted: the last key's begin here
+            events = held.slice(cut).filter(pc.invert(held.slice(cut).column("is_trade")))
+            if cut:
+                now, held = held.slice(0, cut), held.slice(cut)
+            elif events.num_rows < held.num_rows:
+                now, held = held, events  # one key alone: its events stay for its further trades
+            else:
+                continue
+            for tests, out in chunk(now.combine_chunks(), tests):
+                if out is not None:
+                    yield out
+        if held is not None and held.num_rows:
+            for tests, out in chunk(held.combine_chunks(), tests):
+                if out is not None:
+                    yield out
+        if tests is not None:
+            yield tests.batch()
+
+    return run
+
+
 def permutation_pvalues(found: DataFrame, permutations: int = PERMUTATIONS, least_span: int = SPAN_DAYS) -> DataFrame:
     """(detector, member_id, observed, p_value) from ``streams``; one test per member and detector.
 
-    All trades of a member are shifted around the span of all its days by one offset per
-    permutation, and the pairs are counted anew, key by key. p is (1 + as many) / (1 + N); it
-    is null where the span is under ``least_span`` days. Members without an observed pair
-    have no test.
-    """
-
-    def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        detector, member, first = key
-        before, after, _ = DETECTORS[detector]
-        rows = rows.sort_values(["key", "is_trade", "day"])
-        on, lane, day, n = rows["is_trade"].to_numpy(), pd.factorize(rows["key"])[0], rows["day"].to_numpy().astype(float), rows["n"].to_numpy()
-        low, span = day.min(), day.max() - day.min()
-        parts = range(first, (permutations - 1) // PART + 1, int(rows["shares"].iloc[0]))
-        offsets = np.concatenate([np.random.default_rng(seed_of(detector, member, p)).uniform(0, span, min(PART, permutations - p * PART)) for p in parts])
-        # the window around an event holds trades from before days ahead of it to after days past it
-        pairs = _shifted_pairs(lane[on], day[on] - low, n[on], lane[~on], day[~on] - low, n[~on], offsets, span, before, after)
-        return pd.DataFrame({"detector": [detector], "member_id": [member], "reached": [int((pairs >= rows["observed"].iloc[0]).sum())]})
+    All trades of a member are shifted around the span of all its days, those of the events
+    of its keys among them, by one offset per permutation, and the pairs are counted anew, key
+    by key. p is (1 + as many) / (1 + N); it is null where the span is under ``least_span`` days.
+    Members without an observed pair have no test.
 
+    Tests are dealt to groups; a key's events go once to each group that has a trade there, and a
+    task walks its keys in order, with one chunk of running sums and the group's counts at hand.
+    """
+    keys, test = ["detector", "key"], ["detector", "member_id"]
     observed = observed_pairs(found).where("observed > 0")
+    events = found.where("NOT is_trade").drop("member_id", "is_trade")
+    ends = events.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    met = found.where("is_trade").drop("is_trade").join(ends, keys)
+    low = F.least(F.min("day"), F.min("first"))
     # a test of many days is dealt over groups, each with some of the parts
-    shares = F.least(F.lit((permutations - 1) // PART + 1), F.floor(F.count("*") / LARGE) + 1).alias("shares")
-    span = found.groupBy("detector", "member_id").agg((F.max("day") - F.min("day")).alias("span"), shares)
-    tests = observed.join(span, ["detector", "member_id"])
-    dealt = found.join(tests.where(F.col("span") >= least_span).drop("span"), ["detector", "member_id"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"))
-    reached = dealt.groupBy("detector", "member_id", "part").applyInPandas(test, "detector string, member_id long, reached long").groupBy("detector", "member_id").agg(F.sum("reached").alias("reached"))
+    shares = F.least(F.lit((permutations - 1) // PART + 1), F.floor(F.count("*") / LARGE) + 1).cast("long")
+    spans = met.groupBy(*test).agg(low.alias("low"), (F.greatest(F.max("day"), F.max("last")) - low).alias("span"), shares.alias("shares"))
+    tests = settled(observed.join(spans, test), "tests")
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    parts = max(parts, -(-(tests.agg(F.sum("shares")).first()[0] or 0) // TESTS))
+    dealt = met.drop("first", "last").join(tests.where(F.col("span") >= least_span), test).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    dealt = settled(dealt.withColumn("part", F.pmod(F.xxhash64(*test, "share"), F.lit(parts)).cast("int")).withColumn("is_trade", F.lit(True)), "dealt")
+    told = events.join(dealt.select(*keys, "part").distinct(), keys).withColumn("is_trade", F.lit(False))
+    rows = dealt.unionByName(told, allowMissingColumns=True).fillna(0, ["member_id", "observed", "low", "span", "share", "shares"])
+    rows = rows.select("part", *keys, "is_trade", "day", "n", "member_id", "observed", "low", "span", "share", "shares")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", *keys, "is_trade")
+    reached = rows.mapInArrow(_permuted(permutations), "detector string, member_id long, reached long").groupBy(*test).agg(F.sum("reached").alias("reached"))
     p = (F.col("reached") + 1) / float(permutations + 1)
-    return tests.join(reached, ["detector", "member_id"], "left").select("detector", "member_id", "observed", p.alias("p_value"))
+    return tests.join(reached, test, "left").select(*test, "observed", p.alias("p_value"))
 
 
 # ---------------------------------------------------------------- clusters

@@ -187,17 +187,53 @@ def naive_shift(trades, events, offset, span, before, after):
     return sum(n * m * (-before <= (t + offset) % span - e <= after) for k, t, n in trades for j, e, m in events if k == j)
 
 
-def test_shifted_pairs_are_those_of_a_plain_count():
+@pytest.mark.parametrize("low", [0, -700])
+def test_shifted_pairs_are_those_of_a_plain_count(low):
     rng = np.random.default_rng(6)
     for before, after in ((5, 5), (30, 0), (400, 400)):
-        trades = [(int(k), float(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 40), rng.integers(0, 300, 40), rng.integers(1, 4, 40))] + [(0, 300.0, 1)]
-        events = [(int(k), float(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 15), rng.integers(0, 301, 15), rng.integers(1, 3, 15))]
-        offsets = rng.uniform(0, 300, 25)
+        trades = [(int(k), int(t), int(n)) for k, t, n in zip(rng.integers(0, 4, 40), rng.integers(0, 300, 40), rng.integers(1, 4, 40))] + [(0, 300, 1)]
+        events = [(int(k), int(t), int(n)) for k, t, n in zip(rng.integers(0, 3, 15), rng.integers(0, 301, 15), rng.integers(1, 3, 15))]
+        offsets = np.concatenate([[0.0, 1.0, 299.0], rng.uniform(0, 300, 25)])
         (lane, t, n), (other, e, m) = (map(np.array, zip(*x)) for x in (trades, events))
-        got = stats._shifted_pairs(lane, t, n, other, e, m, offsets, 300.0, before, after)
+        lanes = stats._Lanes(other, e + low, m, 4)
+        every = np.ones(len(t), dtype=np.int64)
+        got = stats.shifted_pairs(lanes, lane, t + low, n, every * low, every * 300.0, np.tile(offsets, (len(t), 1)), before, after).sum(axis=0)
         assert got.tolist() == [naive_shift(trades, events, o, 300.0, before, after) for o in offsets]
 
 
+def plain_pvalue(detector, member, trades, events, permutations):
+    """The p-value of (key, day) trades among (key, day) events, one loop after another."""
+    before, after, _ = stats.DETECTORS[detector]
+    events = [(k, d) for k, d in events if k in {j for j, _ in trades}]
+    trades = [(k, d) for k, d in trades if k in {j for j, _ in events}]
+    days = [d for _, d in trades + events]
+    low, span = min(days), max(days) - min(days)
+    offsets = np.concatenate([np.random.default_rng(stats.seed_of(detector, member, p)).uniform(0, span, min(stats.PART, permutations - p * stats.PART)) for p in range((permutations - 1) // stats.PART + 1)])
+    plain = [(k, d - low, 1) for k, d in trades]
+    those = [(k, d - low, 1) for k, d in events]
+    observed = sum(-before <= t - e <= after for k, t, _ in plain for j, e, _ in those if j == k)
+    return observed, (1 + sum(naive_shift(plain, those, o, float(span), before, after) >= observed for o in offsets)) / (permutations + 1)
+
+
+@pytest.mark.parametrize("chunk,large", [(1 << 14, 5000), (16, 20)])
+def test_pvalues_of_planted_groups(spark, monkeypatch, chunk, large):
+    """Members with planted coincidences and without, keys that many share, large tests and small chunks."""
+    monkeypatch.setattr(stats, "CHUNK", chunk)
+    monkeypatch.setattr(stats, "LARGE", large)
+    rng = np.random.default_rng(12)
+    events = [("a", int(d)) for d in rng.integers(0, 4000, 60)] + [("b", int(d)) for d in rng.integers(0, 4000, 8)] + [("unmet", 9)]
+    trades = {m: [(k, int(d)) for k in "abc" for d in rng.integers(0, 4000, 12)] for m in (1, 2, 3)}
+    trades[4] = [("b", d + 3) for k, d in events if k == "b"]  # each trade three days after an event
+    trades[5] = [("b", 100)]
+    rows = [(d, m, k, True, t) for d in ("lobbying_overlap", "contract_front_run") for m, x in trades.items() for k, t in x]
+    rows += [(d, None, k, False, t) for d in ("lobbying_overlap", "contract_front_run") for k, t in events]
+    found = spark.createDataFrame(rows, "detector string, member_id long, key string, is_trade boolean, day long").groupBy("detector", "member_id", "key", "is_trade", "day").agg(F.count("*").alias("n"))
+    got = {(r.detector, r.member_id): (r.observed, round(r.p_value, 9)) for r in stats.permutation_pvalues(found, permutations=300).collect()}
+    want = {(d, m): plain_pvalue(d, m, x, events, 300) for d in ("lobbying_overlap", "contract_front_run") for m, x in trades.items()}
+    assert got == {k: (n, round(p, 9)) for k, (n, p) in want.items() if n}
+    assert got["lobbying_overlap", 4][1] < stats.ALPHA and max(p for _, p in got.values()) > 0.1
+
+
 def test_permutation_pvalues(spark):
     def p(rows, **options):
         s = spark.createDataFrame([("donor_conflict", 1, k, t, d, 1) for k, t, d in rows], "detector string, member_id long, key string, is_trade boolean, day long, n long")
