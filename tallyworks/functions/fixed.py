@@ -133,3 +133,14 @@ INCOME_SOURCES = [
     ("business", ["business", "consulting", "self-employment", "partnership"]),
     ("other", ["other", "misc", "pension", "retirement distribution"]),
 ]
+
+# First words of the headings above an annual report's schedules, longer forms first.
+SCHEDULE_HEADINGS = {
+    "A": [("Asset", "Owner", "Value", "Income", "Income", "Tx."), ("Asset", "Owner", "Value", "Income", "Income")],
+    "B": [("Asset", "Owner", "Date", "Tx.", "Amount", "Cap.")],
+    "C": [("Source", "Type", "Amount")],
+    "D": [("Owner", "Creditor", "Date", "Type", "Amount")],
+    "H": [("Source", "Start", "End", "Itinerary", "Days", "Lodging?", "Food?", "Family?")],
+}
+# Forms that print no schedule of transactions.
+NO_SCHEDULE_B = ["candidate report", "amendment report", "new filer report"]
