@@ -1,25 +1,30 @@
 """SimHash near-duplicates through a pivot distance table.
 
 The pivot table holds every distinct fingerprint's Hamming distances to reference
-fingerprints spread over the space. By the triangle inequality two fingerprints whose
-distances to any one pivot differ by more than a limit are further apart than it, so a
-candidate pair is discarded by its largest coordinate difference, and survivors are
-verified.
-
-``classes`` links fingerprints within two bits. Two bits lie in two bands at most, so
-candidates meet on all bands but two; the number of bands, and with it the width of the
-keys, grows with the number of fingerprints, so keys stay selective at any size. A key
-under which more than CROWD fingerprints meet emits no pairs: fingerprints within two bits
-have a common neighbour within one bit, so its members are joined on their 65 neighbours,
-and at most 65 distinct fingerprints can meet there. That way is exact too.
+fingerprints: zero, one for each pair of neighbouring bits, and some spread over the space.
+By the triangle inequality two fingerprints whose distances to any one pivot differ by more
+than a limit are further apart than it, so a candidate pair is discarded by its largest
+coordinate difference, and survivors are verified.
+
+``classes`` links fingerprints within two bits. Of the distances to the references of bit
+pairs, taken from that to zero, two bits change two at most. So with these coordinates dealt
+to groups, two linked fingerprints have the same coordinates in all groups but two: that
+is the key on which candidates meet, and nothing else of a fingerprint is in it. The number
+of groups, and with it the width of the keys, grows with the number of fingerprints, so
+keys stay selective at any size. A key under which more than CROWD fingerprints meet emits
+no pairs: fingerprints within two bits have a common neighbour within one bit, so its members
+are joined on their 65 neighbours, and at most 65 distinct fingerprints can meet there. That
+way is exact too.
 
 ``near_classes`` links texts by the Jaccard similarity of their word shingles. Texts alike
 by 0.8 differ in ten bits of 64 or so, which no band of bits could be the key of; so they
 meet on shingles that are rare: with all shingles in one order, common ones last, two sets
 of n and m shingles and a similarity of t share one of the first n - ceil(t n) + 1 of the
 one and of the first m - ceil(t m) + 1 of the other, and no pair is missed. Candidates are
-discarded by the pivot table and their fingerprints at WIDE bits (which one pair in 30,000
-of similarity 0.8 exceeds), then by parity sketches, and the rest is verified on whole sets.
+discarded by parity sketches, which never lose a pair, and the rest is verified on whole
+sets. Where two sets have more than SKETCHED shingles, so that sketches fill up, the pivot table
+and the fingerprints discard what differs in more than WIDE bits instead; one pair in 80 billion
+of similarity 0.8 does (the tail of 64 bits that differ with odds of 0.1515 each).
 First every set is compared with the nearest of the centres of its keys, one pair for
 each set, which joins groups of copies of any size; only sets that are then in different
 components meet again, in blocks inside tasks, which emit what all but the last test leave.
@@ -42,21 +47,26 @@ SHINGLE = 3
 #: Differing bits; bands and common neighbours are proofs for two.
 LIMIT = 2
 CROWD = 64
-#: Bands by the number of fingerprints, as powers of two: keys have 32, 42 and 48 bits.
-BANDS = {0: 4, 24: 6, 34: 8}
-#: Reference fingerprints: well mixed words of 64 bits.
-PIVOTS = [int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+#: Groups of coordinates by the number of fingerprints, as powers of two: a key has 16, 21 or 24 of the 32.
+GROUPS = {0: 4, 22: 6, 30: 8}
+#: References spread over the space, well mixed words of 64 bits; and those of the pairs of neighbouring bits.
+SPREAD = [int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+BIT_PAIRS = [3 << k for k in range(0, 64, 2)]
+PIVOTS = [0, *BIT_PAIRS, *SPREAD]
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Differing bits of fingerprints of similar sets: 9.7 on average at 0.8, 12 for the smallest sets, with a deviation of 3.
-WIDE = 24
+#: Differing bits of fingerprints of similar large sets (9.7 on average at 0.8, with a deviation of 2.9), and shingles of
+#: two sets up to which sketches tell them apart: they differ in 400 of 1,024 bits then.
+WIDE, SKETCHED = 32, 3600
+#: Differing bits up to which a set is compared with the centre of a key first; it sets the amount of work, never the result.
+CENTRAL = 24
 #: Texts hashed at a time, bytes.
 SLICE = 2 << 20
 #: Text, expected, that is asked for common shingles; at most HOT are told to all tasks. They set the amount of work, never the result.
 SAMPLE_BYTES, HOT = 64 << 20, 100_000
 #: Rows of a key that are compared by one group, and pairs at a time.
-BLOCK, STEP = 1024, 1 << 18
+BLOCK, STEP, PART = 1024, 1 << 18, 1 << 15
 #: Words of 64 bits of a parity sketch, and the most bits of the filter of candidates (8 MB).
 SKETCH, FILTER_BITS = 16, 1 << 26
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,21 +117,28 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint", k
 
 
 def pivot_distances(fp: Column) -> Column:
+    """The fingerprint's row of the pivot table."""
     return F.transform(F.array(*[F.lit(_signed(p)) for p in PIVOTS]), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("tinyint"))
 
 
-def bands_of(n: int) -> int:
-    return [b for power, b in BANDS.items() if n >= 1 << power or not power][-1]
+def groups_of(n: int) -> int:
+    return [g for power, g in GROUPS.items() if n >= 1 << power or not power][-1]
 
 
-def links(distinct: DataFrame, fp: str = "fingerprint", crowd: int = CROWD, bands: int | None = None) -> DataFrame:
+def pivot_keys(distances: Column, groups: int) -> Column:
+    """For each two groups of coordinates a key of all others; a coordinate is a bit pair's distance beyond that to zero."""
+    n = len(BIT_PAIRS)
+    beyond = F.transform(F.slice(distances, 2, n), lambda x: (x - F.get(distances, 0)).cast("tinyint"))
+    edges = [n * k // groups for k in range(groups + 1)]
+    part = [F.slice(beyond, edges[k] + 1, edges[k + 1] - edges[k]) for k in range(groups)]
+    return F.array(*[F.xxhash64(F.lit(k), *[part[g] for g in range(groups) if g not in two]) for k, two in enumerate(combinations(range(groups), 2))])
+
+
+def links(distinct: DataFrame, fp: str = "fingerprint", crowd: int = CROWD, groups: int | None = None) -> DataFrame:
     """Edges (a, b) over distinct fingerprints whose closure is that of all pairs within LIMIT bits."""
-    bands = bands or bands_of(distinct.count())
+    groups = groups or groups_of(distinct.count())
     table = distinct.select(F.col(fp).alias("fp")).withColumn("d", pivot_distances(F.col("fp")))
-    edges = [64 * k // bands for k in range(bands + 1)]
-    masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in range(bands) if k not in pair) for pair in combinations(range(bands), 2)]
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
-    rows = table.select("fp", "d", F.explode(keys).alias("key"))
+    rows = table.select("fp", "d", F.explode(pivot_keys(F.col("d"), groups)).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met, _ = settle(rows.join(shared, "key"))
     few = met.where(F.col("n") <= crowd)
@@ -136,12 +153,12 @@ def links(distinct: DataFrame, fp: str = "fingerprint", crowd: int = CROWD, band
 
 
 def _named(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, v) with component_id: the smallest id of the component of v."""
+    """``prints`` (id, v, ...) with component_id, the smallest id of the component of v, and ``root``, which tells components apart."""
     least = prints.groupBy("v").agg(F.min("id").alias("least"))
     reach = connected_components(edges)
     rooted = least.join(reach.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("component", "v"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("v", "component_id"), "v")
+    return prints.join(rooted.join(ids, "root").select("v", "root", "component_id"), "v")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,9 +261,14 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     return rows["k"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
 
 
+def _mark(text: Column) -> Column:
+    """Tells texts under one key apart; a null text is not an empty one."""
+    return F.xxhash64(text, text.isNull())
+
+
 def prefixes(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, v, n, fp, sketch, first): n is the size of the set, fp its SimHash, first its prefix in the common order."""
-    texts = docs.select(column(key).alias("id"), column(text).alias("text"))
+    """(id, mark, v, n, fp, sketch, first): n is the size of the set, fp its SimHash, first its prefix in the common order."""
+    texts = docs.select(column(key).alias("id"), _mark(column(text)).alias("mark"), column(text).alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +283,10 @@ def prefixes(docs: DataFrame, key: str, text: str, shingle: int, similarity: flo
                         x = x[np.argsort(np.where(hot[at] == x, often[at], 0), kind="stable")]
                     firsts.append(x[: prefix(len(x), similarity)])
                 made = [pa.array(_set_ids(found)), pa.array(sizes), pa.array(_prints(found)), _lists([_sketch(x) for x in found]), _lists(firsts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "v", "n", "fp", "sketch", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "mark", "v", "n", "fp", "sketch", "first"])
 
     kinds = {"v": T.LongType(), "n": T.IntegerType(), "fp": T.LongType(), "sketch": T.ArrayType(T.LongType()), "first": T.ArrayType(T.LongType())}
-    return texts.mapInArrow(tidy(run), T.StructType([texts.schema[0], *[T.StructField(n, k) for n, k in kinds.items()]]))
+    return texts.mapInArrow(tidy(run), T.StructType([*texts.schema[:2], *[T.StructField(n, k) for n, k in kinds.items()]]))
 
 
 def _overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -279,7 +301,7 @@ def _reachable(n: Column, p: Column, m: Column, q: Column, similarity: float) ->
 
 def _compare(similarity: float):
     """Partition sorted by (k, i, j): pairs of a group in different components that sizes, places, pivots, fingerprints and sketches leave."""
-    pivots = np.array(PIVOTS, dtype=np.uint64)
+    pivots = np.array(SPREAD, dtype=np.uint64)
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
@@ -302,14 +324,17 @@ def _compare(similarity: float):
             least = np.ceil((n + o) * (similarity / (1 + similarity)) - _SLACK)
             ok = np.minimum(n - c["p"][a], o - c["p"][b]) >= least
             a, b = a[ok], b[ok]
-            ok = np.abs(table_of[a] - table_of[b]).max(axis=1, initial=0) <= WIDE
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fp[a] ^ fp[b]) <= WIDE
-            a, b = a[ok], b[ok]
+            # sketches fill up where sets are large; there the pivot table and the fingerprints decide
+            large = np.flatnonzero(c["n"][a] + c["n"][b] > SKETCHED)
+            far = np.abs(table_of[a[large]] - table_of[b[large]]).max(axis=1, initial=0) > WIDE
+            far |= np.bitwise_count(fp[a[large]] ^ fp[b[large]]) > WIDE
+            a, b = np.delete(a, large[far]), np.delete(b, large[far])
             n, o = c["n"][a], c["n"][b]
             most = n + o - 2 * np.ceil((n + o) * (similarity / (1 + similarity)) - _SLACK)
-            ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
-            pairs.append(np.stack([c["v"][a[ok]], c["v"][b[ok]]]))
+            for words in (slice(0, 2), slice(0, SKETCH)):  # differing bits of a part are differing bits
+                ok = np.concatenate([np.bitwise_count(sketch[a[k : k + PART], words] ^ sketch[b[k : k + PART], words]).sum(axis=1, dtype=np.int64) <= most[k : k + PART] for k in range(0, len(a), PART)] or [np.zeros(0, bool)])
+                a, b, most = a[ok], b[ok], most[ok]
+            pairs.append(np.stack([c["v"][a], c["v"][b]]))
         found = np.sort(np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1), axis=0)
         found = np.unique(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
@@ -369,7 +394,7 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     centre = met.groupBy("k").agg(F.min(F.struct("p", "v", "n", "fp")).alias("o"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp")))
     near = _reachable(F.col("n"), F.col("p"), F.col("o.n"), F.col("o.p"), similarity)
-    star = met.join(centre, "k").where(F.col("v") != F.col("o.v")).where(near & (apart <= WIDE)).groupBy("v").agg(F.min(F.struct(apart.alias("d"), F.col("o.v").alias("v"))).alias("o"))
+    star = met.join(centre, "k").where(F.col("v") != F.col("o.v")).where(near & (apart <= CENTRAL)).groupBy("v").agg(F.min(F.struct(apart.alias("d"), F.col("o.v").alias("v"))).alias("o"))
     star = verified(close(star.select(F.least("v", "o.v").alias("a"), F.greatest("v", "o.v").alias("b")).distinct()))
     reach = connected_components(star).withColumnRenamed("node", "v")
     named = met.join(reach, "v", "left").select("k", "v", "n", "p", "fp", F.coalesce("component", "v").alias("c"))
@@ -401,6 +426,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     have one. Rows that repeat a key are rows of their own. A null key belongs to its
     component but names it only if no other key does. An empty table gives an empty result.
     """
+    return _near(docs, key, text, shingle, similarity).select(F.col("id").alias(key), "component_id")
+
+
+def _near(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, mark, root, component_id) of every row."""
     prints, _ = settle(prefixes(docs, key, text, shingle, similarity))
     total = prints.count()
     texts = docs.select(column(text).alias("text"))
@@ -408,12 +438,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingle_sets(texts, shingle, _bits(ids, total)).join(ids, "v", "left_semi").dropDuplicates(["v"])
 
-    return _named(prints.select("id", "v"), near_links(prints, sets_of, similarity)).select(F.col("id").alias(key), "component_id")
+    return _named(prints.select("id", "mark", "v"), near_links(prints, sets_of, similarity)).select("id", "mark", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest key of each component of near copies; of rows that repeat its key, all stay, with their own columns."""
-    found = near_classes(docs, key, text, shingle, similarity)
-    kept = found.where(column(key).eqNullSafe(F.col("component_id"))).select(column(key).alias("kept")).distinct()
-    box = boxed(docs, key=column(key))
-    return box.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    """One row of each component of near copies: that of the smallest key, null keys last.
+
+    Of several texts under that key the one with the smallest hash stays, of rows alike in key
+    and text any one.
+    """
+    found, _ = settle(_near(docs, key, text, shingle, similarity))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("first")).select("first.id", "first.mark")
+    kept, _ = settle(first)
+    same = [F.col("key").eqNullSafe(F.col("id")), F.col("its") == F.col("mark")]
+    box = boxed(docs, key=column(key), its=_mark(column(text)))
+    rows = box.join(kept, same, "left_semi")
+    again, _ = settle(found.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").join(kept.select(F.col("id").alias("i"), F.col("mark").alias("m")), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi").select("id", "mark"))
+    if again.isEmpty():
+        return rows.select("row.*")
+    # rows alike in key and text, which are few or none: one of each stays
+    once = box.join(again, same, "left_semi").groupBy("key", "its").agg(F.first("row").alias("row"))
+    return rows.join(again, same, "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -162,6 +162,18 @@ def test_vectors_oracle(spark):
     same(embed.report(frame).toPandas(), want)
 
 
+def test_vectors_of_very_small_and_large_components(spark):
+    import duckdb
+
+    rows = [(1, [1e-200, 0.0], 1), (2, [0.0, 1e-200], 1), (3, [0.0, 1.0], 1), (4, [1e200, 1e199], 1), (5, [1.0, 0.1], 1), (6, [5e-324, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    con = duckdb.connect()
+    con.register("embeddings", frame.toArrow())
+    got = embed.report(frame).toPandas()
+    same(got, con.execute(embed.SQL).df())
+    assert sorted(zip(got.vec_id, got.n_links, got.component_id)) == [(1, 3, 1), (2, 1, 2), (3, 1, 2), (4, 3, 1), (5, 3, 1), (6, 3, 1)]
+
+
 def test_no_table_between_stages_stays(spark):
     import os
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,8 +141,8 @@ def test_simhash(spark, docs):
     assert sorted(tuple(r) for r in simhash.report(docs).collect()) == want
 
 
-@pytest.mark.parametrize("crowd,bands", [(64, 4), (3, 4), (1, 4), (64, 6), (64, 8)])
-def test_links_of_near_prints(spark, crowd, bands):
+@pytest.mark.parametrize("crowd,groups", [(64, 4), (3, 4), (1, 4), (64, 6), (64, 8)])
+def test_links_of_near_prints(spark, crowd, groups):
     rng = np.random.default_rng(crowd)
     prints = {0, (1 << 64) - 1}
     for _ in range(12):
@@ -151,7 +152,7 @@ def test_links_of_near_prints(spark, crowd, bands):
             prints.add(base ^ sum(1 << int(b) for b in flips))
     signed = {p - (1 << 64) if p >> 63 else p: p for p in prints}
     frame = spark.createDataFrame([(s,) for s in signed], "fingerprint long")
-    reach = {signed[r.node]: signed[r.component] for r in simhash.connected_components(simhash.links(frame, crowd=crowd, bands=bands)).collect()}
+    reach = {signed[r.node]: signed[r.component] for r in simhash.connected_components(simhash.links(frame, crowd=crowd, groups=groups)).collect()}
     want = brute_components(prints)
     mine = {p: reach.get(p, p) for p in prints}
     pairs = lambda m: {frozenset(q for q in prints if m[q] == m[p]) for p in prints}
@@ -239,18 +240,61 @@ def test_near_copies_in_blocks(spark, block, monkeypatch):
     assert got == brute_near(rows) and len(set(got.values())) > 10
 
 
-def test_wide_fingerprints_lose_no_similar_pair():
-    """Sets at the threshold, of every size: the odds of more than WIDE bits."""
-    rng, worst = np.random.default_rng(4), 0
-    for n in (5, 6, 10, 30, 300):
+def test_pivot_table_chooses_the_candidates(spark, monkeypatch):
+    """Without the distances to the references of bit pairs, keys say nothing and every fingerprint meets every other."""
+    rng = np.random.default_rng(3)
+    prints = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)]
+    frame = spark.createDataFrame([(p,) for p in prints + [prints[0] ^ 5]], "fp long").withColumn("d", simhash.pivot_distances(F.col("fp")))
+
+    def met():
+        keyed = frame.select("fp", F.explode(simhash.pivot_keys(F.col("d"), 4)).alias("key"))
+        return keyed.alias("a").join(keyed.alias("b"), "key").where("a.fp < b.fp").select("a.fp", "b.fp").distinct().count()
+
+    assert 1 <= met() < 20
+    assert frame.select(F.size("d")).first()[0] == len(simhash.PIVOTS) == 49
+    frame = frame.withColumn("d", F.transform("d", lambda x: F.lit(0).cast("tinyint")))
+    assert met() == 301 * 300 // 2
+
+
+def test_sketches_and_fingerprints_lose_no_similar_pair():
+    """Sets at the threshold: sketches never differ in more than the sets, and fingerprints of large sets stay within WIDE."""
+    rng = np.random.default_rng(4)
+    for n, m, common in ((4, 5, 4), (9, 9, 8), (8, 9, 8), (30, 30, 27), (300, 300, 267), (1900, 1900, 1689), (1700, 2000, 1645)):
         sets = []
-        for _ in range(400):
-            s = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
-            c = int(np.ceil(n * 8 / 9))
-            sets += [s[:n], np.concatenate([s[:c], s[n : 2 * n - c]])]
+        for _ in range(400 if n < 1000 else 150):
+            s = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            sets += [s[:n], np.concatenate([s[:common], s[n : n + m - common]])]
+        sketch = np.stack([simhash._sketch(x) for x in sets])
+        assert np.bitwise_count(sketch[::2] ^ sketch[1::2]).sum(axis=1).max() <= n + m - 2 * common
         fp = simhash._prints(sets).view(np.uint64)
-        worst = max(worst, int(np.bitwise_count(fp[::2] ^ fp[1::2]).max()))
-    assert worst <= simhash.WIDE
+        if n + m > simhash.SKETCHED:
+            assert int(np.bitwise_count(fp[::2] ^ fp[1::2]).max()) <= simhash.WIDE
+
+
+@pytest.mark.parametrize("n,m,common", [(4, 5, 4), (9, 9, 8)])
+def test_similar_texts_with_far_fingerprints_are_linked(spark, n, m, common):
+    """Short texts at the threshold, those of many tries whose fingerprints differ most."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts, pool = [], ["".join(x) for x in rng.choice(list("abcdefghij"), (4000, 6))]
+    for _ in range(3000):
+        w = [str(x) for x in rng.choice(pool, n + 4)]
+        texts.append((" ".join(w), " ".join([*w[: common + 4], *[word() for _ in range(m - common)]])))
+    sets = simhash._shingles(pa.RecordBatch.from_pydict({"text": [t for two in texts for t in two]}), 5)
+    fp = simhash._prints(sets).view(np.uint64)
+    apart = np.bitwise_count(fp[::2] ^ fp[1::2])
+    worst = np.argsort(-apart.astype(int), kind="stable")[:8]
+    assert apart[worst[0]] > 18
+    rows = [(int(2 * k + j), texts[int(i)][j]) for k, i in enumerate(worst) for j in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k, _ in rows} == brute_near(rows)
+
+
+def test_one_row_of_repeated_keys_stays(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (1, a, "x"), (None, a, "x"), (None, "alone in this one here", "x"), (9, None, "x"), (9, "", "y")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) in ([(0, "alone in this one here"), (1, a), (5, b), (9, "")],)
 
 
 def test_near_copies_of_odd_rows(spark, odd):
@@ -265,6 +309,27 @@ def test_substring_oracle(spark, duck, docs):
     same(substring.report(docs).toPandas(), duck.execute(substring.SQL).df())
 
 
+def test_substring_with_clashing_names(spark):
+    passage = " ".join(f"w{k}" for k in range(25))
+    frame = spark.createDataFrame([(1, passage, "x"), (2, "a " + passage, "x")], "doc_id int, text string, id string").selectExpr("*", "id AS mark", "id AS `a.b`", "id AS row", "id AS removed", "id AS bucket")
+    got = substring.dedup(frame)
+    assert got.columns == ["doc_id", "text", "id", "mark", "a.b", "row", "bucket", *substring.NEW]
+    assert sorted((r.doc_id, r.text, r.id, r.mark, r["a.b"], r.row, r.kept) for r in got.collect()) == [(1, passage, *"xxxx", passage), (2, "a " + passage, *"xxxx", "a")]
+    assert [r.kept for r in substring.dedup(frame, keep=["text"]).collect() if r.kept != passage] == ["a"]
+    with pytest.raises(ValueError, match="no integer"):
+        substring.dedup(frame, key="id")
+
+
+def test_documents_in_no_language_go(spark, docs):
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(10**6 + k, x, None, "s", 1) for k, x in enumerate(["", None, "12 34", "?!"])], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(odd), "")
+    assert kept.columns == docs.columns and kept.where(f"doc_id >= {10**6}").count() == 0
+    assert kept.count() == docs.where(langid.has_letter(F.col("text"))).count()  # no clean document goes
+    assert langid.least_score(docs.where("false"), langid.Network([])) == 0
+
+
 @pytest.mark.parametrize("block", [1 << 22, 300])
 def test_substring_blocks(spark, block):
     passage = " ".join(f"w{k}" for k in range(30))
