@@ -31,6 +31,8 @@ PROBES = 3
 BLOCK = 1024
 STEP = 1 << 15
 SEED = 20
+#: Components below this, or above its inverse, are scaled before they are squared.
+TINY = 1e-100
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,6 +49,7 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarr
     """(rows, tables, 1 + probes) buckets: the own one, then the probed ones; -1 where a short vector has no more."""
     n, d = x.shape
     wide = 1 << max(0, d - 1).bit_length()
+    x = scaled(x)
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, wide - d)))
     rng = np.random.default_rng([SEED, wide])
     take = min(3, wide)
@@ -110,6 +113,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component where its square would leave the range of doubles; all others as they are."""
+    most = np.abs(v).max(axis=1, initial=0.0)
+    return v / np.where((most > 0) & ((most < TINY) | (most > 1 / TINY)), most, 1.0)[:, None]
+
+
 class _Rows:
     """Sorted rows of one partition, group after group."""
 
@@ -162,6 +171,7 @@ def _compare(probes: int, threshold: float):
         at = np.arange(v.shape[1])
         inside = at < sizes[:, None]
         v[inside] = flat[(begin[:, None] + at)[inside]]
+        v = scaled(v)
         # i, j: the blocks whose pairs this group compares; pairs within a block belong to i == j
         c = {n: col[n].to_numpy(zero_copy_only=False) for n in ("cid", "weight", "table", "code", "own", "block", "label")}
         c["codes"] = col["codes"].flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
@@ -273,7 +283,8 @@ def report(vectors: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH RECURSIVE u AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-good AS (SELECT * FROM u WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+fine AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS most FROM u WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+good AS (SELECT r, vec_id, label, CASE WHEN most < {TINY} OR most > {1 / TINY} THEN list_transform(v, lambda x: x / most) ELSE v END AS v FROM fine),
 p AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
   WHERE list_dot_product(a.v, b.v) >= {THRESHOLD} * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
 reach AS (SELECT r, r AS o FROM u UNION SELECT reach.r, p.b FROM reach JOIN p ON reach.o = p.a),
