@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import NOT_SPACE, Texts, Words, mix, slices, text_bytes, tidy, tidy_group, unit_count
+from .shared import NOT_SPACE, Texts, Words, boxed, column, mix, slices, text_bytes, tidy, tidy_group, unit_count
 
 WINDOW = 20
 #: Text of a block when sent and when cut, and text for each bucket.
@@ -181,22 +181,25 @@ def _merge(window: int):
         spans = pa.StructArray.from_arrays([pa.array(places[head]), pa.array(places[last] + window)], names=["start", "end"])
         first = np.flatnonzero(doc)
         offsets = np.append(np.searchsorted(head, first), len(head)).astype(np.int32)
-        return pa.table({"id": ids[first], "mark": marks[first], "__removed": pa.ListArray.from_arrays(pa.array(offsets), spans)})
+        return pa.table({"id": ids[first], "mark": marks[first], "removed": pa.ListArray.from_arrays(pa.array(offsets), spans)})
 
     return run
 
 
+NEW = ("n_words", "n_removed", "removed", "kept")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _cut(window: int, text: str, names: list[str]):
+def _cut(window: int, whole: bool):
+    """Rows (row, text, removed) with the words counted and cut; the ``whole`` text goes along if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, CUT_BYTES):
+            for part in slices(batch, "text", CUT_BYTES):
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-                texts = Texts(col[text])
+                texts = Texts(col["text"])
                 words = Words(texts, NOT_SPACE)
-                lists = col["__removed"]
+                lists = col["removed"]
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 spans = lists.flatten()
                 ends = [words.first[:-1].repeat(counts) + spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
@@ -214,13 +217,14 @@ def _cut(window: int, text: str, names: list[str]):
                     kept[k] = b" ".join(raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[col[n] for n in names],
+                        col["row"],
+                        *([col["text"]] if whole else []),
                         pa.array(np.diff(words.first), pa.int64()),
                         pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                     ],
-                    names=[*names, "n_words", "n_removed", "removed", "kept"],
+                    names=["row", *(["text"] if whole else []), *NEW],
                 )
 
     return run
@@ -230,23 +234,30 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """Adds n_words, n_removed, removed (maximal word intervals, end exclusive) and kept (words by one space).
 
     A word goes if a window of ``window`` words over it also starts earlier: under a smaller
-    key, or earlier in the same document. A null text has no words; a null key comes
-    first. Rows that share key and text are one document and are cut alike; rows that share
-    a key but not the text go by a hash of the text. Texts shorter than a window stay whole.
-    Former columns of the new names are replaced.
+    key, or earlier in the same document. Keys are integers, as their order decides. A null text
+    has no words; a null key comes first. Rows that share key and text are one document and
+    are cut alike; rows that share a key but not the text go by a hash of the text. Texts
+    shorter than a window stay whole. Of columns, ``keep`` (all) stay, whatever their names;
+    former columns of the new names are replaced.
     """
     spark = docs.sparkSession
-    buckets = max(unit_count(spark), text_bytes(docs, text) // BUCKET_BYTES)
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in {"n_words", "n_removed", "removed", "kept"}]
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    mark = F.hash(F.col(text))
-    sent = docs.select(ident.alias("id"), mark.alias("mark"), F.col(text).alias("text")).mapInArrow(tidy(_send(window, buckets)), "bucket long, repeat boolean, payload binary")
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} is no integer: keys say which of two documents is the earlier")
+    buckets = max(unit_count(spark), text_bytes(docs.select(column(text).alias("text")), "text") // BUCKET_BYTES)
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in NEW]
+    ident = F.coalesce(column(key).cast("long"), F.lit(NO_ID))
+    mark = F.hash(column(text))
+    sent = docs.select(ident.alias("id"), mark.alias("mark"), column(text).alias("text")).mapInArrow(tidy(_send(window, buckets)), "bucket long, repeat boolean, payload binary")
     later = sent.groupBy("bucket").applyInArrow(tidy_group(_answer(buckets)), "group long, payload binary")
-    spans = later.groupBy("group").applyInArrow(tidy_group(_merge(window)), T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("__removed", SPAN)]))
-    rows = docs.select(*dict.fromkeys([*names, text]), ident.alias("__id"), mark.alias("__mark"))
-    joined = rows.join(spans, (F.col("__id") == F.col("id")) & (F.col("__mark") == F.col("mark")), "left").drop("id", "mark", "__id", "__mark")
-    new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPAN), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(tidy(_cut(window, text, names)), T.StructType([*docs.select(*names).schema.fields, *new]))
+    spans = later.groupBy("group").applyInArrow(tidy_group(_merge(window)), T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("removed", SPAN)]))
+    # a text among the caller's columns travels once, beside its row
+    whole = text in names
+    box = boxed(docs.select(*map(column, dict.fromkeys([*names, key, text]))), (text,), text=column(text), id=ident, mark=mark)
+    cut = box.join(spans, ["id", "mark"], "left").select("row", "text", "removed")
+    new = [T.StructField(n, k) for n, k in zip(NEW, (T.LongType(), T.LongType(), SPAN, T.StringType()))]
+    extra = [T.StructField("text", T.StringType())] if whole else []
+    out = cut.mapInArrow(tidy(_cut(window, whole)), T.StructType([cut.schema["row"], *extra, *new]))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], *NEW)
 
 
 def report(docs: DataFrame) -> DataFrame:
