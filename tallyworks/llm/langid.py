@@ -141,6 +141,22 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def _sample(rows: DataFrame, text: str, label: str, key: str, docs_each: int) -> tuple[list[str], DataFrame | None]:
+    """All labels, and (text, label) of at most ``docs_each`` rows of each; None where no row has a label.
+
+    Labels are languages: their counts come to the driver.
+    """
+    good = rows.where(F.col(label).isNotNull() & has_letter(F.col(text)))
+    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    if not counts:
+        return [], None
+    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 11) / float(1 << 53)
+    odds = F.coalesce(*[F.when(F.col(label) == x, docs_each / n) for x, n in counts.items()])
+    picked = good.where(u < odds).groupBy(u.alias("u"), F.col(label).alias("label")).agg(F.min(text).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("u", "text"))
+    return sorted(counts), picked.withColumn("nth", nth).where(F.col("nth") <= docs_each).select("text", "label")
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", docs_each: int = SAMPLE_DOCS, steps: int = STEPS) -> Network:
     """Train on a bounded sample of the labelled rows.
 
@@ -151,16 +167,9 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     at most. Counts of labels are over all rows. No labelled row at all gives a network
     without labels, which calls everything ``und``.
     """
-    good = rows.where(F.col(label).isNotNull() & has_letter(F.col(text)))
-    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    labels = sorted(counts)
-    if not labels:
+    labels, picked = _sample(rows, text, label, key, docs_each)
+    if picked is None:
         return Network([])
-    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 11) / float(1 << 53)
-    odds = F.coalesce(*[F.when(F.col(label) == x, docs_each / n) for x, n in counts.items()])
-    picked = good.where(u < odds).groupBy(u.alias("u"), F.col(label).alias("label")).agg(F.min(text).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("u", "text"))
-    picked = picked.withColumn("nth", nth).where(F.col("nth") <= docs_each).select("text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,6 +220,18 @@ def predict(docs: DataFrame, network: Network, text: str = "text", to: str = "la
     return out.select("row.*", F.col("lang").alias(to), F.col("score").alias(score))
 
 
+def least_score(rows: DataFrame, network: Network, text: str = "text", label: str = "lang", key: str = "doc_id", docs_each: int = SAMPLE_DOCS) -> float:
+    """Half the lowest score of a rightly predicted row in a bounded sample of labelled rows, which the network should not know.
+
+    A text that scores less is like none of the languages. Zero without such a row.
+    """
+    _, picked = _sample(rows, text, label, key, docs_each)
+    if picked is None or not network.labels:
+        return 0.0
+    found = predict(picked.select(F.col("text").alias("text"), F.col("label").alias("label")), network).where(F.col("lang_pred") == F.col("label"))
+    return (found.agg(F.min("score")).first()[0] or 0.0) / 2
+
+
 def predictions(docs: DataFrame) -> DataFrame:
     """The query's columns; learns only from rows outside the held-out quarter. A null doc_id is not held out."""
     network = fit(docs.where(~held_out(F.col("doc_id"))))
