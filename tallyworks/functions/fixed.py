@@ -144,3 +144,9 @@ SCHEDULE_HEADINGS = {
 }
 # Forms that print no schedule of transactions.
 NO_SCHEDULE_B = ["candidate report", "amendment report", "new filer report"]
+
+# Words of a periodic report's header, how many make one and in how many rows it may be; words that a line of no trade has.
+HEADER_WORDS = ["asset", "transaction", "notification", "amount", "owner", "date"]
+HEADER_WORDS_NEEDED, HEADER_ROWS = 2, 4
+READABLE_WORDS = ["asset", "transaction", "date", "amount", "owner"]
+NO_TRADE_WORDS = ["transaction", "asset", "owner", "amount", "date", "periodic", "report", "page", "filing"]
