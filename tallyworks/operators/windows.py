@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ordinal_day
 from ..functions.fixed import CLUSTER_DAYS, CLUSTER_MEMBERS, CLUSTER_SHARE, RUN_DAYS, RUN_TRADES
+from ..session import settled
 
 
 def event_window_join(trades: DataFrame, events: DataFrame, keys: list[str], before: int, after: int, trade_day: str = "traded_on", event_day: str = "happened_on") -> DataFrame:
@@ -39,6 +40,28 @@ def within_window(rows: DataFrame, events: DataFrame, keys: list[str], before: i
     return left.join(right, on, "left_anti" if anti else "left_semi").drop("__cell")
 
 
+def within_own_window(rows: DataFrame, events: DataFrame, keys: list[str], ahead: str, day: str, event_day: str, anti: bool = False) -> DataFrame:
+    """Rows with (or, if ``anti``, without) an event of equal keys from their day to as many days later as ``ahead`` says.
+
+    Windows of one power of two share cells as wide as that power, so a row meets two cells
+    at most however wide its window is, and an event has one cell for each power that
+    occurs. Rows without a day or a window have no event, and neither has a negative window.
+    """
+    level = F.length(F.bin(F.col(ahead)))
+    wide = rows.where(f"{ahead} >= 0").select(level.alias("level")).distinct()
+    powers = sorted(r.level for r in wide.collect())  # at most 63 numbers
+    cell = lambda c, power: F.floor(c / F.pow(F.lit(2.0), power)).cast("long")
+    at = ordinal_day(F.col(day))
+    left = settled(rows.withColumn("__at", F.monotonically_increasing_id()))
+    asked = left.where(F.col(day).isNotNull() & (F.col(ahead) >= 0)).select("__at", *[F.col(k).alias(f"__{k}") for k in keys], at.alias("__from"), (at + F.col(ahead)).alias("__to"), level.alias("__level"))
+    asked = asked.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(F.col("__from"), F.col("__level")), cell(F.col("__to"), F.col("__level"))))))
+    told = events.where(F.col(event_day).isNotNull()).select(*keys, ordinal_day(F.col(event_day)).alias("__day")).distinct()
+    told = told.withColumn("__power", F.explode(F.array(*[F.lit(p) for p in powers]).cast("array<int>"))).withColumn("__c", cell(F.col("__day"), F.col("__power")))
+    same = [F.col(f"__{k}") == F.col(k) for k in keys] + [F.col("__level") == F.col("__power"), F.col("__cell") == F.col("__c"), F.col("__day").between(F.col("__from"), F.col("__to"))]
+    hit = settled(asked.join(told, reduce(lambda a, b: a & b, same), "left_semi").select("__at").distinct())
+    return left.join(hit, "__at", "left_anti" if anti else "left_semi").drop("__at")
+
+
 def same_direction_runs(trades: DataFrame, days: int = RUN_DAYS, least: int = RUN_TRADES) -> DataFrame:
     """Per member the longest run of trades of one direction within ``days``.
 

@@ -837,4 +837,4 @@ def _events_stream(w: Workload, schema) -> DataFrame:
     return streams.read_events(w.spark, folder, "*.parquet", schema)
 
 
-from . import layouts, payloads  # noqa: E402, F401  (register their queries here)
+from . import layouts, payloads, upkeep  # noqa: E402, F401  (register their queries here)
