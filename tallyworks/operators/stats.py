@@ -29,10 +29,10 @@ PART = 250
 #: Days of a test above which its permutations are dealt over several groups.
 LARGE = 5000
 ALPHA = 0.05
-#: Cells of one step of (permutation, event) or (permutation, row).
+#: Cells of one step of (permutation, day of a cluster).
 BLOCK = 1 << 20
-#: Tests of a group, and rows that a task holds before it counts them.
-TESTS, CHUNK = 2048, 1 << 14
+#: Tests of a group, rows that a task holds before it counts them, and (row, permutation) cells of a step, which stay in a core's cache.
+TESTS, CHUNK, CELLS = 2048, 1 << 14, 1 << 15
 
 #: Detectors with a null model: days before and after an event that a trade may lie, and whether purchases alone count.
 DETECTORS = {
@@ -119,22 +119,26 @@ class _Lanes:
         total = np.cumsum(flat)
         self.sums = total - np.repeat(total[self.base], self.length + 1)
 
-    def upto(self, lane: np.ndarray, day: np.ndarray) -> np.ndarray:
-        at = day - (self.first[lane] - 1)[:, None]
+    def upto(self, lane: np.ndarray, day: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """(rows, n): events of each row's lane up to its days, which are ``day`` moved by the row's ``shift``."""
+        at = day + (shift - self.first[lane] + 1)[:, None]
         np.clip(at, 0, self.length[lane][:, None], out=at)
         at += self.base[lane][:, None]
         return self.sums[at]
 
 
-def shifted_pairs(lanes: _Lanes, lane: np.ndarray, day: np.ndarray, weight: np.ndarray, low: np.ndarray, span: np.ndarray, offsets: np.ndarray, before: int, after: int) -> np.ndarray:
-    """(rows, permutations): pairs of each row of trades when it is shifted by its offsets around its span."""
-    moved = (day - low)[:, None] + offsets
-    moved -= np.where(moved >= span[:, None], span[:, None], 0.0)
-    down = np.floor(moved)
-    whole = down.astype(np.int64) + low[:, None]
+def shifted_pairs(lanes: _Lanes, lane: np.ndarray, day: np.ndarray, weight: np.ndarray, low: np.ndarray, span: np.ndarray, whole: np.ndarray, part: np.ndarray, before: int, after: int) -> np.ndarray:
+    """(rows, permutations): pairs of each row of trades when it is shifted by its offsets around its span.
+
+    Days and spans are whole, so an offset counts by its ``whole`` days and whether a ``part`` of
+    one is left (0 or 1): shifted trades lie between that day and the next.
+    """
+    at = whole + (day - low)[:, None]
+    at -= np.where(at >= span[:, None], span[:, None], 0)
     # the window around an event holds trades from before days ahead of it to after days past it
-    out = lanes.upto(lane, whole + before)
-    out -= lanes.upto(lane, whole + (moved > down) - after - 1)
+    out = lanes.upto(lane, at, low + before)
+    at += part
+    out -= lanes.upto(lane, at, low - after - 1)
     out *= weight[:, None]
     return out
 
@@ -145,7 +149,8 @@ class _Tests:
     def __init__(self, detector: str, permutations: int):
         self.detector, self.permutations, self.parts = detector, permutations, (permutations - 1) // PART + 1
         self.at: dict[int, int] = {}
-        self.offsets = np.zeros((0, permutations))
+        self.whole = np.zeros((0, permutations), dtype=np.int64)
+        self.rest = np.zeros((0, permutations), dtype=np.int8)
         self.counts = np.zeros((0, permutations), dtype=np.int64)
         self.used = np.zeros((0, self.parts), dtype=bool)
         self.observed = np.zeros(0, dtype=np.int64)
@@ -156,14 +161,15 @@ class _Tests:
         if new:
             if len(self.at) + len(new) > len(self.counts):
                 more = max(len(new), len(self.counts), 64)
-                self.offsets, self.counts, self.used = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.offsets, self.counts, self.used))
+                self.whole, self.rest, self.counts, self.used = (np.concatenate([x, np.zeros((more, x.shape[1]), x.dtype)]) for x in (self.whole, self.rest, self.counts, self.used))
                 self.observed = np.concatenate([self.observed, np.zeros(more, np.int64)])
             for k in new:
                 row = self.at[int(member[k])] = len(self.at)
                 self.observed[row] = observed[k]
-                for p in range(self.parts):
-                    size = min(PART, self.permutations - p * PART)
-                    self.offsets[row, p * PART : p * PART + size] = np.random.default_rng(seed_of(self.detector, member[k], p)).uniform(0, span[k], size)
+                parts = [np.random.default_rng(seed_of(self.detector, member[k], p)).uniform(0, span[k], min(PART, self.permutations - p * PART)) for p in range(self.parts)]
+                offsets = np.concatenate(parts)
+                self.whole[row] = offsets
+                self.rest[row] = offsets > self.whole[row]
         return np.array([self.at[m] for m in member.tolist()], dtype=np.int64)
 
     def add(self, lanes: _Lanes, c: dict[str, np.ndarray]) -> None:
@@ -174,16 +180,22 @@ class _Tests:
             mine = mine[np.argsort(c["member_id"][mine], kind="stable")]
             parts = np.arange(share, self.parts, shares)
             columns = np.concatenate([np.arange(p * PART, min(self.permutations, (p + 1) * PART)) for p in parts])
-            step = max(1, BLOCK // len(columns))
+            every = len(columns) == self.permutations
+            member, head, place = np.unique(c["member_id"][mine], return_index=True, return_inverse=True)
+            rows = self.rows(member, c["span"][mine[head]].astype(float), c["observed"][mine[head]])
+            self.used[np.ix_(rows, parts)] = True
+            row = rows[place]
+            step = max(1, CELLS // len(columns))
             for k in range(0, len(mine), step):
-                at = mine[k : k + step]
-                member, head = np.unique(c["member_id"][at], return_index=True)
-                rows = self.rows(member, c["span"][at[head]].astype(float), c["observed"][at[head]])
-                self.used[np.ix_(rows, parts)] = True
-                every = np.repeat(rows, np.diff(np.append(head, len(at))))
-                offsets = self.offsets[every] if len(columns) == self.permutations else self.offsets[np.ix_(every, columns)]
-                pairs = shifted_pairs(lanes, c["lane"][at], c["day"][at], c["n"][at], c["low"][at], c["span"][at].astype(float), offsets, before, after)
-                self.counts[np.ix_(rows, columns)] += np.add.reduceat(pairs, head, axis=0)
+                at, its = mine[k : k + step], row[k : k + step]
+                whole, part = (self.whole[its], self.rest[its]) if every else (self.whole[np.ix_(its, columns)], self.rest[np.ix_(its, columns)])
+                pairs = shifted_pairs(lanes, c["lane"][at], c["day"][at], c["n"][at], c["low"][at], c["span"][at], whole, part, before, after)
+                first = np.flatnonzero(np.append(True, its[1:] != its[:-1]))
+                sums = np.add.reduceat(pairs, first, axis=0)
+                if every:
+                    self.counts[its[first]] += sums
+                else:
+                    self.counts[np.ix_(its[first], columns)] += sums
 
     def batch(self) -> pa.RecordBatch:
         n = len(self.at)

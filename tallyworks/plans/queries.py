@@ -182,7 +182,7 @@ UNION ALL SELECT 'bill_jurisdiction_conflict', k.member_id FROM k JOIN (SELECT D
 
 def _streams(w: Workload) -> DataFrame:
     """The five detectors' trades and events; trades without restated rows."""
-    t = w.trades()
+    t = settled(w.trades())
     sold = settled(restatements.drop_restatements(t).where("is_ptr"))
     annual = t.where("NOT is_ptr").withColumn("happened_on", F.col("filed_on"))
     once = lambda *c: annual.select("filing_id", "happened_on", *c).distinct()

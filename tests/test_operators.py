@@ -197,7 +197,8 @@ def test_shifted_pairs_are_those_of_a_plain_count(low):
         (lane, t, n), (other, e, m) = (map(np.array, zip(*x)) for x in (trades, events))
         lanes = stats._Lanes(other, e + low, m, 4)
         every = np.ones(len(t), dtype=np.int64)
-        got = stats.shifted_pairs(lanes, lane, t + low, n, every * low, every * 300.0, np.tile(offsets, (len(t), 1)), before, after).sum(axis=0)
+        whole = np.tile(offsets.astype(np.int64), (len(t), 1))
+        got = stats.shifted_pairs(lanes, lane, t + low, n, every * low, every * 300, whole, np.tile(offsets, (len(t), 1)) > whole, before, after).sum(axis=0)
         assert got.tolist() == [naive_shift(trades, events, o, 300.0, before, after) for o in offsets]
 
 
