@@ -41,10 +41,6 @@ def month_key(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
-def month_label(day: Column) -> Column:
-    return F.date_format(day, "MMMM yyyy")
-
-
 def ordinal_day(day: Column) -> Column:
     """Days counted from 0001-01-01 as day 1."""
     return F.datediff(day, F.lit("0001-01-01").cast("date")) + 1

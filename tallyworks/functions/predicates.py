@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import DEBT_WORDING, NO_SCHEDULE, VAGUE_WORDS
+from .fixed import DEBT_WORDING, NO_SCHEDULE, VAGUE_WORDS, TRAVEL_FILINGS
 
 
 def owner_or_self(owner: Column) -> Column:
@@ -88,7 +88,7 @@ def no_schedule(filing_type: Column) -> Column:
 
 def may_have_travel(filing_type: Column, chamber: Column, parsed: Column, is_ptr: Column) -> Column:
     """Parsed annual House filings of the types that carry a travel schedule."""
-    return F.coalesce(F.upper(F.trim(filing_type)).isin("O", "T") & (F.lower(chamber) == "house") & parsed & ~is_ptr, F.lit(False))
+    return F.coalesce(F.upper(F.trim(filing_type)).isin(TRAVEL_FILINGS) & (F.lower(chamber) == "house") & parsed & ~is_ptr, F.lit(False))
 
 
 def needs_parse(parsed: Column, error: Column, confidence: Column, has_text: Column, below: float | None = None, failed_only: bool = False, electronic: Column | None = None) -> Column:

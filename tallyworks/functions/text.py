@@ -223,13 +223,6 @@ def comment(text: Column) -> Column:
     return F.when(~F.lower(t).isin(*EMPTY_COMMENTS), t)
 
 
-def display_name(ticker: Column, description: Column, limit: int = 60) -> Column:
-    """The ticker, else the description without tags, cut at a word with an ellipsis."""
-    text = squeeze(F.regexp_replace(F.coalesce(description, F.lit("")), r"\[[A-Z0-9]{2}\]", " "))
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*$", ""), F.lit("..."))
-    return F.coalesce(F.nullif(F.trim(ticker), F.lit("")), F.when(F.length(text) <= limit, text).otherwise(cut))
-
-
 def committee_code(system_code: Column) -> Column:
     """A system code upper-cased, without a full committee's ending zeros."""
     code = F.nullif(F.upper(F.trim(system_code)), F.lit(""))

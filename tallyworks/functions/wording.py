@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import DEADLINE_DAYS
+from .predicates import is_option
 
 NAME_LENGTH = 60
 
@@ -67,10 +68,6 @@ def late_filing_text(traded: Column, filed: Column, direction: Column, name: Col
     return _text("Late PTR filing: ", late), said
 
 
-def is_option(asset: Column) -> Column:
-    return F.coalesce(asset.contains("[OP]"), F.lit(False))
-
-
 def large_trade_text(ticker: Column, asset: Column, direction: Column) -> tuple[Column, Column]:
     noun = F.concat(asset_name(ticker, asset), F.when(is_option(asset), " options").otherwise(""))
     option = " The form marks this row `[OP]`, so the asset named is the underlying and the trade is in options on it. The amount is the value the filing reports for the transaction, not the value of the underlying shares."

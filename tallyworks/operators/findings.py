@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DISABLED, TRAVEL_FILINGS
+from ..functions.fixed import DISABLED
+from ..functions.predicates import may_have_travel
+from ..functions.wording import plain_title
 
 TITLE = 200
 
@@ -29,7 +31,7 @@ def persist(new: DataFrame, stored: DataFrame, order: list[str], disabled: list[
     rows = rows.withColumn("__n", first).where("__n = 1").drop("__n")
     known = stored.select(identity().alias("__id")).distinct()
     out = rows.join(known, rows["__id"] == known["__id"], "left_anti").drop("__id")
-    return out.withColumn("title", F.substring(F.coalesce("title", "anomaly_type"), 1, TITLE)).withColumn("description", F.coalesce("description", "title"))
+    return out.withColumn("title", F.substring(F.coalesce("title", plain_title(F.col("anomaly_type"))), 1, TITLE)).withColumn("description", F.coalesce("description", "title"))
 
 
 def restate(stored: DataFrame, derived: DataFrame, columns: list[str]) -> DataFrame:
@@ -168,6 +170,6 @@ def parse_quality(filings: DataFrame, travel: DataFrame, members: DataFrame) ->
         F.count_if(~F.col("has_text_layer")).alias("scanned"),
     )
     trips = travel.agg(F.count("*").alias("travel_rows"), F.countDistinct("filing_id").alias("filings_with_travel"))
-    annual = filings.where(F.col("parsed") & ~F.col("is_ptr") & F.upper(F.trim("filing_type")).isin(TRAVEL_FILINGS))
+    annual = filings.where(may_have_travel(F.col("filing_type"), F.lit("house"), F.col("parsed"), F.col("is_ptr")))
     house = annual.join(members.where("chamber = 'house'").select("member_id").distinct(), "member_id", "left_semi").agg(F.count("*").alias("house_annuals"))
     return out.crossJoin(trips).crossJoin(house)

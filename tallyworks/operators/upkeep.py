@@ -87,8 +87,9 @@ def sync_large_trades(findings: DataFrame, trades: DataFrame, above: int = 1_000
     """Findings of large trades with the trade's id, filing, title and description as they would be written now.
 
     A finding is found by its trade's id, else (where it has none) by member, filing and title;
-    of several such findings of one text the latest gets the id, once. Restated trades and those
-    of others in the household are left out.
+    of several such findings of one text the latest gets the id, once, and of several trades
+    of one text it is that with the highest id, as if they were gone through in order and
+    each took the finding over. Restated trades and those of others in the household are left out.
     """
     rows = drop_restatements(trades).where(F.col("amount_min") > above).where(held_by_member(F.col("owner")))
     title, description = large_trade_text(F.col("ticker"), F.col("asset"), F.col("direction"))
@@ -97,7 +98,7 @@ def sync_large_trades(findings: DataFrame, trades: DataFrame, above: int = 1_000
     by_id = large.where("txn_id IS NOT NULL").join(rows, F.col("txn_id") == F.col("t_id"))
     by_id = by_id.select(*[{"title": F.col("t_title"), "description": F.col("t_description"), "filing_id": F.col("t_filing")}.get(c, F.col(c)).alias(c) for c in findings.columns])
     open_rows = rows.join(by_id.select(F.col("txn_id").alias("t_id")), "t_id", "left_anti")
-    once = open_rows.withColumn("nth", F.row_number().over(Window.partitionBy("t_member", "t_filing", "t_title").orderBy("t_id"))).where("nth = 1")
+    once = open_rows.withColumn("nth", F.row_number().over(Window.partitionBy("t_member", "t_filing", "t_title").orderBy(F.desc("t_id")))).where("nth = 1")
     loose = large.where("txn_id IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("member_id", "filing_id", "title").orderBy(F.desc("finding_id")))).where("nth = 1").drop("nth")
     by_text = loose.join(once, (F.col("member_id") == F.col("t_member")) & (F.col("filing_id") == F.col("t_filing")) & (F.col("title") == F.col("t_title")))
     by_text = by_text.select(*[{"txn_id": F.col("t_id"), "description": F.col("t_description")}.get(c, F.col(c)).alias(c) for c in findings.columns])

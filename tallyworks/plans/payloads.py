@@ -195,23 +195,39 @@ def company_pages(w: Workload) -> DataFrame:
 # ---------------------------------------------------------------- names and codes
 
 
-@query("SELECT f.c_custkey AS filer_id, r.c_custkey AS member_id FROM customer f JOIN customer r ON f.c_custkey = r.c_custkey WHERE f.c_custkey % 4 > 0")
+_ROSTER = """, fr AS (SELECT c_custkey AS id, c_custkey // 4 AS fam, c_custkey % 4 AS nth, c_nationkey % 3 AS area, c_acctbal > 3000 AS sits, left(c_mktsegment, 1) AS lead FROM customer)
+"""
+
+
+@query(
+    _ROSTER
+    + """, c AS (SELECT f.id AS filer_id, r.id AS member_id, r.sits, r.nth = f.nth AS near, f.lead = r.lead AS named FROM fr f JOIN fr r ON r.fam = f.fam AND r.area = f.area WHERE r.sits OR f.lead = r.lead),
+b AS (SELECT *, bool_or(sits) OVER (PARTITION BY filer_id) AS sat FROM c QUALIFY sits = sat),
+n AS (SELECT *, count(*) OVER (PARTITION BY filer_id) AS n, count(*) FILTER (near) OVER (PARTITION BY filer_id) AS n_near FROM b)
+SELECT filer_id, member_id FROM n WHERE n = 1 OR (n_near = 1 AND near)"""
+)
 def matched_filers(w: Workload) -> DataFrame:
-    """Filers printed with suffixes and marks find their member; those without one find none."""
-    c = w.table("customer")
+    """Families of four share a surname, three areas a state: sitting members first, given names among former ones, districts among several."""
     k = F.col("c_custkey")
-    surname = F.concat(F.lit("Núñez"), k.cast("string"))
-    roster = c.where("c_custkey % 4 > 0").select(k.alias("member_id"), surname.alias("last"), F.lit("José María").alias("first"), F.lit("AK").alias("state"), F.lit("1").alias("district"), (k % 3 > 0).alias("in_office"))
-    filers = c.select(k.alias("filer_id"), F.concat(F.lit("NUNEZ"), k.cast("string"), F.when(k % 2 == 0, ", Jr.").otherwise(" III")).alias("last"), F.lit("Jose").alias("first"), F.lit("AK").alias("state"), F.lit("01").alias("district"))
+    family, nth = F.floor(k / 4).cast("string"), (k % 4).cast("string")
+    c = w.table("customer").withColumn("area", F.concat(F.lit("A"), (F.col("c_nationkey") % 3).cast("string")))
+    roster = c.select(k.alias("member_id"), F.concat(F.lit("Núñez"), family).alias("last"), F.concat(F.initcap("c_mktsegment"), F.lit(" María")).alias("first"), F.col("area").alias("state"), nth.alias("district"), (F.col("c_acctbal") > 3000).alias("in_office"))
+    filers = c.select(k.alias("filer_id"), F.concat(F.lit("NUNEZ"), family, F.when(k % 2 == 0, ", Jr.").otherwise(" III")).alias("last"), F.substring("c_mktsegment", 1, 1).alias("first"), F.col("area").alias("state"), F.concat(F.lit("0"), nth).alias("district"))
     return lookups.match_filers(filers, roster)
 
 
-@query("SELECT c_custkey AS filer_id, c_custkey AS member_id FROM customer WHERE c_custkey % 4 > 0")
+@query(
+    _ROSTER
+    + """, c AS (SELECT f.id AS filer_id, r.id AS member_id, CASE WHEN r.sits THEN 0 ELSE 2 END + CASE WHEN f.area = 0 THEN 0 ELSE 1 END AS tier FROM fr f JOIN fr r ON r.fam = f.fam AND f.lead = r.lead),
+b AS (SELECT *, min(tier) OVER (PARTITION BY filer_id) AS best FROM c QUALIFY tier = best) SELECT filer_id, member_id FROM b QUALIFY count(*) OVER (PARTITION BY filer_id) = 1"""
+)
 def matched_senators(w: Workload) -> DataFrame:
+    """Families of four share a surname: sitting members first, then a given name's beginning, then its initial alone."""
     k = F.col("c_custkey")
+    family = F.floor(k / 4).cast("string")
     c = w.table("customer")
-    roster = c.where("c_custkey % 4 > 0").select(k.alias("member_id"), F.concat(F.lit("Núñez"), k.cast("string")).alias("last"), F.lit("Margaret").alias("first"), (k % 3 > 0).alias("in_office"))
-    filers = c.select(k.alias("filer_id"), F.concat(F.lit("Nunez"), k.cast("string")).alias("last"), F.when(k % 2 == 0, "Margaret Ann").otherwise("Maggie").alias("first"))
+    roster = c.select(k.alias("member_id"), F.concat(F.lit("Núñez"), family).alias("last"), F.initcap("c_mktsegment").alias("first"), (F.col("c_acctbal") > 3000).alias("in_office"))
+    filers = c.select(k.alias("filer_id"), F.concat(F.lit("Nunez"), family).alias("last"), F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.substring("c_mktsegment", 1, 1), F.lit(" B."))).otherwise(F.concat(F.substring("c_mktsegment", 1, 1), F.lit("zzz"))).alias("first"))
     return lookups.match_senators(filers, roster)
 
 

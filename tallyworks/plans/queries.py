@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dates, money, predicates, text, wording
+from ..functions import dates, fixed, money, predicates, text, wording
 from ..operators import findings as fi
 from ..operators import legislation, lookups, restatements, scores, serving, stats, trades, upkeep, wealth, windows
 from ..session import scratch, settled
@@ -592,9 +593,13 @@ def text_vagueness(w: Workload) -> DataFrame:
     return w.table("documents").select("doc_id", predicates.is_vague(F.col("text")).alias("vague"))
 
 
-@query("SELECT txn_id, amount_min, amount_max, CASE WHEN amount_max IS NULL THEN amount_min ELSE CAST(amount_min + amount_max AS DOUBLE) / 2 END AS amount FROM t")
+@query("SELECT txn_id, CAST(amount_min AS DOUBLE) AS amount_min, CAST(amount_max AS DOUBLE) AS amount_max, CASE WHEN amount_max IS NULL THEN amount_min ELSE CAST(amount_min + amount_max AS DOUBLE) / 2 END AS amount FROM t")
 def amount_bands(w: Workload) -> DataFrame:
-    return w.trades().select("txn_id", "amount_min", "amount_max", money.amount_of(F.col("amount_min"), F.col("amount_max")).cast("double").alias("amount"))
+    """Bands as printed, and below the first band a range of the form's own kind, are read and valued."""
+    whole = lambda c: F.format_number(c, 0)
+    shown = F.when(F.col("amount_max").isNull(), F.concat(F.lit("over $"), whole(F.col("amount_min") - 1))).otherwise(F.concat(F.lit("$"), whole("amount_min"), F.lit(" - $"), whole("amount_max")))
+    rows = w.trades().select("txn_id", money.band(shown).alias("b"))
+    return rows.select("txn_id", F.col("b.low").cast("double").alias("amount_min"), F.col("b.high").cast("double").alias("amount_max"), money.amount_of(F.col("b.low"), F.col("b.high")).cast("double").alias("amount"))
 
 
 @query(r"SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), '(?i)\b(inc|inc\.|corp|corporation|co|company|llc|l\.l\.c|ltd|plc|the|common|stock|shares|class [a-c]|series [a-c])\b', ' ', 'g'), '\s+', ' ', 'g')) AS asset_key FROM part")
@@ -602,11 +607,27 @@ def name_normalisation(w: Workload) -> DataFrame:
     return w.table("part").select(F.col("p_partkey").alias("id"), text.asset_key(F.col("p_name")).alias("asset_key"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'AB' WHEN 1 THEN 'XYZ' WHEN 3 THEN 'QQ' END AS ticker FROM orders")
+_TICKERS = r""", d AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN p_name || ' (' || left(p_type, 1 + p_size % 6) || ') [' || left(p_type, 2) || ']' WHEN 1 THEN left(p_type, 1 + p_size % 6) || ' - ' || p_name WHEN 2 THEN '[' || left(p_type, 1 + p_size % 4) || '] ' || upper(p_name) || ' Common'
+  WHEN 3 THEN p_name || ' ' || p_type || ' shares' ELSE 'the ' || p_type || ' ' || p_name END AS said FROM part),
+e AS (SELECT id, regexp_replace(said, '\[[A-Z0-9]{2}\]', ' ', 'g') AS x FROM d),
+f AS (SELECT id, x, list_filter(list_transform(list_filter(regexp_extract_all(x, '[\(\[][A-Z]{1,5}[\)\]]'), lambda m: NOT (m[1] = '[' AND list_contains(CODES, m[2:-2]))), lambda m: m[2:-2]), lambda m: NOT list_contains(WORDS, m)) AS marked,
+  nullif(regexp_extract(x, '^([A-Z]{1,5})\s*[-–—]\s', 1), '') AS head, list_filter(regexp_extract_all(x, '\b[A-Z]{1,5}\b'), lambda m: length(m) > 1 AND NOT list_contains(WORDS, m)) AS bare FROM e)
+SELECT id, coalesce(marked[1], CASE WHEN NOT list_contains(WORDS, head) THEN head END, CASE WHEN regexp_matches(lower(x), 'stock|common|shares') THEN bare[1] END) AS ticker FROM f"""
+
+
+@query(_TICKERS.replace("CODES", str(fixed.CLASS_CODES)).replace("WORDS", str(fixed.NOT_TICKERS)))
 def ticker_extraction(w: Workload) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    words = F.when(k == 0, "Abacus Co (AB) [ST]").when(k == 1, "XYZ - Xylo Inc").when(k == 2, "A bond of [GS] no symbol").otherwise("Quick QQ common shares [PS]")
-    return w.table("orders").select(F.col("o_orderkey").alias("id"), text.ticker_in(words).alias("ticker"))
+    """Tickers of descriptions made of parts' names and types, marked, leading, bare or none at all."""
+    z, kind = F.col("p_size"), F.col("p_type")
+    cut = lambda n: F.substr(kind, F.lit(1), 1 + z % n)
+    said = (
+        F.when(z % 5 == 0, F.concat("p_name", F.lit(" ("), cut(6), F.lit(") ["), F.substring(kind, 1, 2), F.lit("]")))
+        .when(z % 5 == 1, F.concat(cut(6), F.lit(" - "), "p_name"))
+        .when(z % 5 == 2, F.concat(F.lit("["), cut(4), F.lit("] "), F.upper("p_name"), F.lit(" Common")))
+        .when(z % 5 == 3, F.concat("p_name", F.lit(" "), kind, F.lit(" shares")))
+        .otherwise(F.concat(F.lit("the "), kind, F.lit(" "), "p_name"))
+    )
+    return w.table("part").select(F.col("p_partkey").alias("id"), text.ticker_in(said).alias("ticker"))
 
 
 @query("SELECT c_name AS name, 'T' || c_custkey AS ticker FROM customer UNION SELECT s_name, NULL FROM supplier")
@@ -624,10 +645,11 @@ def parse_confidence(w: Workload) -> DataFrame:
     return f.select("filing_id", c.alias("confidence"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders")
+@query("SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END AS VARCHAR) AS day FROM orders")
 def date_parsing(w: Workload) -> DataFrame:
+    """Order dates in every form; where day and month change places, what comes out is another date or none."""
     k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
-    shown = F.when(k == 0, F.date_format(d, "MM/dd/yyyy")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.date_format(d, "MM-dd-yyyy")).when(k == 4, F.concat(F.lit(" "), F.date_format(d, "yyyy-M-d"), F.lit(" "))).otherwise("13/45/1999")
+    shown = F.when(k == 0, F.date_format(d, "MM/dd/yyyy")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.date_format(d, "MM-dd-yyyy")).when(k == 4, F.concat(F.lit(" "), F.date_format(d, "yyyy-M-d"), F.lit(" "))).otherwise(F.date_format(d, "dd/MM/yyyy"))
     return w.table("orders").select(F.col("o_orderkey").alias("id"), dates.parse_date(shown).alias("day"))
 
 
@@ -636,20 +658,46 @@ def income_analysis(w: Workload) -> DataFrame:
     return wealth.income_by_class(w.table("lineitem").select(F.col("l_returnflag").alias("income_type"), F.col("l_quantity").cast("long").alias("amount")))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'medium' WHEN 5 THEN 'low' ELSE 'medium' END AS label FROM orders")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN price >= 8 THEN 'high' WHEN price >= 5 THEN 'medium' ELSE 'low' END
+  ELSE CASE WHEN word IN ('low', 'medium', 'high') THEN word WHEN word = 'urgent' THEN 'medium' ELSE 'medium' END END AS label FROM (SELECT *, round(o_totalprice / 40000, 2) AS price, lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) AS word FROM orders)""")
 def severity_labels(w: Workload) -> DataFrame:
-    k = F.col("o_orderkey") % 7
-    shown = F.when(k == 0, " HIGH").when(k == 1, "critical").when(k == 2, "5.5").when(k == 3, "4").when(k == 4, "severe").when(k == 5, "low")
+    """Scores made of prices and the words of priorities, in any case and with blanks around."""
+    word = F.concat(F.lit(" "), F.regexp_replace("o_orderpriority", "^[0-9]-", ""), F.lit(" "))
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.round(F.col("o_totalprice") / 40000, 2).cast("string")).otherwise(word)
     return w.table("orders").select(F.col("o_orderkey").alias("id"), money.severity_label(shown).alias("label"))
 
 
-@query("SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS document_id, c_mktsegment AS first, c_name AS last, 'AB' AS state, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS district, CASE WHEN c_custkey % 3 = 0 THEN 'P' END IS NOT NULL AS is_ptr FROM customer WHERE c_custkey % 3 = 0")
+@query("""SELECT c_custkey AS id, letter IN ('X', 'D', 'W', 'E') AS no_schedule, letter IN ('O', 'T') AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AS may_have_travel, c_nationkey % 4 = 0 OR c_nationkey % 4 = 1 AS no_district,
+  CAST(least(DATE '2001-01-01' + c_nationkey * 100, DATE '2005-01-01') AS VARCHAR) AS filed_on, CASE c_mktsegment WHEN 'FURNITURE' THEN 'other' ELSE 'stock' END AS asset_type, c_nationkey || ' members ' || CASE WHEN c_custkey % 2 = 0 THEN 'bought' ELSE 'sold' END || ' AB within ' || CASE WHEN c_nationkey <= 1 THEN '1 day' ELSE c_nationkey || ' days' END AS title
+  FROM (SELECT *, substr(' xdweOTP', 1 + length(c_mktsegment) % 8, 1) AS kind, upper(kind) AS letter FROM customer)""")
+def filing_labels(w: Workload) -> DataFrame:
+    """Scopes of filings by type, district and date, stored kinds of assets, and titles of clusters, from customers' columns."""
+    k, n, segment = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
+    kind = F.substr(F.lit(" xdweOTP"), 1 + F.length(segment) % 8, F.lit(1))
+    district = F.when(n % 4 == 1, "-1").when(n % 4 > 1, n.cast("string"))
+    rows = w.table("customer").select(
+        k.alias("id"),
+        predicates.no_schedule(kind).alias("no_schedule"),
+        predicates.may_have_travel(kind, F.when(k % 5 == 0, "senate").otherwise("House"), k % 7 > 0, F.lit(False)).alias("may_have_travel"),
+        predicates.no_district(district).alias("no_district"),
+        F.date_add(F.lit("2001-01-01").cast("date"), (n * 100).cast("int")).alias("filed_on"),
+        F.when(segment == "FURNITURE", "Sofa").when(k % 2 == 0, "STOCK").otherwise("stock").alias("asset_type"),
+        F.lit(None).cast("string").alias("asset"),
+        wording.cluster_title(n, F.when(k % 2 == 0, "purchase").otherwise("sale"), F.lit("AB"), n).alias("title"),
+    )
+    return upkeep.storable_assets(readers.clamp_filing_dates(rows, date(2005, 1, 1))).drop("asset")
+
+
+@query("""SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS document_id, c_mktsegment AS first, c_name AS last, upper(substr(n_name, 1, 2)) AS state, CASE WHEN c_nationkey > 4 THEN lpad(CAST(c_nationkey AS VARCHAR), 2, '0') END AS district, upper(substr(c_mktsegment, 1, 1)) AS filing_type,
+  CAST(DATE '2020-02-03' + CAST(c_custkey % 900 AS INTEGER) AS VARCHAR) AS filed_on, CAST(year(DATE '2020-02-03' + CAST(c_custkey % 900 AS INTEGER)) AS INTEGER) AS filing_year FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE substr(c_mktsegment, 1, 1) NOT IN ('P', 'C')""")
 def xml_index(w: Workload) -> DataFrame:
-    tags = {"Last": "c_name", "First": "c_mktsegment", "DocID": "cast(c_custkey AS string)", "FilingType": "if(c_custkey % 3 = 0, 'P', 'O')", "StateDst": "concat('AB', lpad(cast(c_nationkey AS string), 2, '0'))", "FilingDate": "'02/03/2024'", "Year": "'2024'"}
+    """The index printed from customers, read as XML; types are the segments' letters."""
+    day = "date_add(DATE'2020-02-03', cast(c_custkey % 900 AS int))"
+    tags = {"Last": "c_name", "First": "c_mktsegment", "DocID": "concat(' ', c_custkey)", "FilingType": "lower(substr(c_mktsegment, 1, 1))", "StateDst": "concat(upper(substr(n_name, 1, 2)), if(c_nationkey > 4, lpad(cast(c_nationkey AS string), 2, '0'), ''))", "FilingDate": f"date_format({day}, 'M/d/yyyy')", "Year": f"date_format({day}, 'yyyy')"}
     xml = F.expr("concat('<Member>', " + ", ".join(f"'<{t}>', {e}, '</{t}>'" for t, e in tags.items()) + ", '</Member>')")
-    parsed = w.table("customer").select(F.from_xml(xml, schemas.HOUSE_MEMBER).alias("m")).select("m.*")
-    rows = readers.house_rows(parsed, ptr=True)
-    return rows.select(F.col("document_id").cast("long").alias("id"), "document_id", "first", "last", "state", "district", "is_ptr")
+    rows = w.table("customer").join(w.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parsed = rows.select(F.from_xml(xml, schemas.HOUSE_MEMBER).alias("m")).select("m.*")
+    return readers.house_rows(parsed).select(F.col("document_id").cast("long").alias("id"), "document_id", "first", "last", "state", "district", "filing_type", "filed_on", "filing_year")
 
 
 # ---------------------------------------------------------------- scopes and upkeep
@@ -712,7 +760,7 @@ def first_of_each_finding(w: Workload) -> DataFrame:
 
 _LARGE = """, lk AS (SELECT *, 'Large transaction: ' || ticker || ' ' || direction || ' (more than $1,000,000)' AS say FROM kept WHERE amount_min > 50000 AND coalesce(nullif(trim(owner), ''), 'Self') IN ('Self', 'Joint')),
 st AS (SELECT txn_id AS finding_id, member_id, filing_id, CASE WHEN txn_id % 2 = 0 THEN txn_id END AS txn_id, CASE WHEN txn_id % 2 = 0 THEN 'old' ELSE 'Large transaction: ' || ticker || ' ' || direction || ' (more than $1,000,000)' END AS title FROM t WHERE amount_min > 50000),
-o AS (SELECT *, row_number() OVER (PARTITION BY member_id, filing_id, say ORDER BY txn_id) AS n FROM lk WHERE txn_id % 2 = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY member_id, filing_id, say ORDER BY txn_id DESC) AS n FROM lk WHERE txn_id % 2 = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY member_id, filing_id, title ORDER BY finding_id DESC) AS n FROM st WHERE txn_id IS NULL)
 SELECT finding_id, coalesce(st.txn_id, hit.t) AS txn_id, coalesce(lk.say, st.title) AS title FROM st LEFT JOIN lk ON lk.txn_id = st.txn_id
 LEFT JOIN (SELECT s.finding_id AS f, o.txn_id AS t FROM s JOIN o ON s.member_id = o.member_id AND s.filing_id = o.filing_id AND s.title = o.say WHERE s.n = 1 AND o.n = 1) hit ON hit.f = st.finding_id"""
@@ -837,4 +885,4 @@ def _events_stream(w: Workload, schema) -> DataFrame:
     return streams.read_events(w.spark, folder, "*.parquet", schema)
 
 
-from . import layouts, payloads, upkeep  # noqa: E402, F401  (register their queries here)
+from . import layouts, payloads, stored  # noqa: E402, F401  (register their queries here)
