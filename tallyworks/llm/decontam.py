@@ -9,8 +9,10 @@ ranges. A suffix enters the array only if it can begin a match: its first words
 all be words of the benchmark, for as long as the shortest window that begins with its
 first word. No occurrence is lost by that, and the sort touches few suffixes.
 
-The benchmark is taken in blocks of bounded size, each broadcast by itself; the
-documents are never shuffled.
+The benchmark is taken in blocks of bounded size, each in a job of its own that broadcasts
+that block alone: what a task holds does not grow with the benchmark. Between two blocks
+the documents, with the hits so far, are a table in the shared folder; they are never
+shuffled. Items and matches are made only where they are asked for.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_OR_HIGH, Texts, Words, boxed, column, slices, tidy
+from .shared import ALNUM_OR_HIGH, Texts, Words, boxed, column, settle, slices, tidy, unsettle
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -99,13 +101,27 @@ def suffix_keys(number: np.ndarray, start: np.ndarray, end: np.ndarray, window:
     return np.ascontiguousarray(rows).view(f"S{4 * window}").ravel() if len(rows) else np.zeros(0, f"S{4 * window}")
 
 
-def _search(words: Words, index: Suffixes, n_docs: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Hit mask of the words; per document the ids of its items, and its longest match with each."""
-    window, first = index.occurrences(words)
+def _hits(words: Words, index: Suffixes, window: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words lie in an occurrence."""
     step = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(step, first, 1)
     np.add.at(step, first + index.length[window], -1)
-    hit = np.cumsum(step)[:-1] > 0
+    return np.cumsum(step)[:-1] > 0
+
+
+def _items(words: Words, index: Suffixes, window: np.ndarray, first: np.ndarray, n_docs: int) -> pa.Array:
+    """Per document the ids of its items; a window that it repeats counts once."""
+    n, m = max(1, len(index.keys)), max(1, len(index.ids))
+    pair = np.unique((np.searchsorted(words.first, first, side="right") - 1) * n + window)
+    doc, window = pair // n, pair % n
+    count = index.which[window + 1] - index.which[window]
+    each = np.repeat(index.which[window], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    pair = np.unique(np.repeat(doc, count) * m + index.item[each])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // m, np.arange(n_docs + 1)), pa.int32()), pa.array(index.ids, pa.string()).take(pa.array(pair % m)))
+
+
+def _matches(words: Words, index: Suffixes, window: np.ndarray, first: np.ndarray, n_docs: int) -> pa.Array:
+    """Per document its longest match with each of its items."""
     count = index.which[window + 1] - index.which[window]
     each = np.repeat(index.which[window], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     item, place, at = index.item[each], index.place[each], np.repeat(first, count)
@@ -127,11 +143,12 @@ def _search(words: Words, index: Suffixes, n_docs: int) -> tuple[np.ndarray, pa.
     ends = pa.array(np.searchsorted(doc[h], np.arange(n_docs + 1)), pa.int32())
     names = pa.array(index.ids, pa.string()).take(pa.array(item[h]))
     rows = [names, pa.array(place[h], pa.int64()), pa.array(at[h] - words.first[doc[h]], pa.int64()), pa.array(span[best], pa.int64())]
-    return hit, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(rows, names=MATCH.names))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(rows, names=MATCH.names))
 
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("n_words", T.LongType())])
-_FOUND = {"n_words": T.LongType(), "hits": T.BinaryType(), "items": T.ArrayType(T.StringType()), "matches": T.ArrayType(MATCH)}
+_FOUND = {"n_words": T.LongType(), "hits": T.BinaryType()}
+_TOLD = {"items": T.ArrayType(T.StringType()), "matches": T.ArrayType(MATCH)}
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
@@ -151,23 +168,30 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     return found.select("row.*", "n_words", "n_hit", "items", "matches", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _find(out: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """(row, n_words, n_hit, items, matches) from (row, text), in one pass for each block of the benchmark."""
-    spark, row = out.sparkSession, out.schema["row"]
+def _find(out: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, benchmark_bytes: int = BENCHMARK_BYTES, told: tuple[str, ...] = tuple(_TOLD)) -> DataFrame:
+    """(row, n_words, n_hit) from (row, text), in one job for each block of the benchmark; with those of items and matches that are ``told``."""
+    spark, row, path = out.sparkSession, out.schema["row"], None
     items = benchmark.select(F.coalesce(column(item_id).cast("string"), F.lit("")).alias("i"), column(item_text).alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // benchmark_bytes) + 1
+    if blocks > 1:
+        items, _ = settle(items)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toPandas()
         index = spark.sparkContext.broadcast(Suffixes(rows["i"].tolist(), rows["t"].tolist(), window))
         last = k == blocks - 1
         kept = [row] if last else [row, T.StructField("text", T.StringType())]
-        made = [T.StructField(n, t) for n, t in _FOUND.items() if not (n == "hits" and last)] + [T.StructField("n_hit", T.LongType())] * last
-        out = out.mapInArrow(tidy(_pass(index, k == 0, last)), T.StructType([*kept, *made]))
-    return out.withColumn("items", F.array_sort(F.array_distinct("items")))
+        made = [T.StructField(n, t) for n, t in (_FOUND | {n: _TOLD[n] for n in told}).items() if not (n == "hits" and last)] + [T.StructField("n_hit", T.LongType())] * last
+        out = out.mapInArrow(tidy(_pass(index, k == 0, last, told)), T.StructType([*kept, *made]))
+        if not last:
+            before, (out, path) = path, settle(out)
+            index.unpersist()
+            if before is not None:
+                unsettle(spark, before)
+    return out.withColumn("items", F.array_sort(F.array_distinct("items"))) if "items" in told else out
 
 
-def _pass(index, is_first: bool, is_last: bool):
+def _pass(index, is_first: bool, is_last: bool, told: tuple[str, ...]):
     """One block of the benchmark against all documents; hits so far travel as packed bits."""
 
     def joined(old: pa.Array, new: pa.Array) -> pa.Array:
@@ -179,15 +203,17 @@ def _pass(index, is_first: bool, is_last: bool):
             for part in slices(batch, "text", BLOCK_BYTES):
                 col = {n: part.column(k) for k, n in enumerate(part.schema.names)}
                 words = Words(Texts(col["text"], fold=True), ALNUM_OR_HIGH)
-                hit, items, matches = _search(words, suffixes, part.num_rows)
+                met = suffixes.occurrences(words)
+                hit = _hits(words, suffixes, *met)
                 if not is_first:
                     for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                         hit[a:b] |= np.unpackbits(np.frombuffer(col["hits"][k].as_py(), np.uint8), count=b - a).astype(bool)
-                    items, matches = joined(col["items"], items), joined(col["matches"], matches)
                 found = {n: col[n] for n in (["row"] if is_last else ["row", "text"])} | {"n_words": pa.array(np.diff(words.first), pa.int64())}
                 if not is_last:
                     found["hits"] = pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary())
-                found |= {"items": items, "matches": matches}
+                for name in told:
+                    new = {"items": _items, "matches": _matches}[name](words, suffixes, *met, part.num_rows)
+                    found[name] = new if is_first else joined(col[name], new)
                 if is_last:
                     total = np.concatenate([[0], np.cumsum(hit)])
                     found["n_hit"] = pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64())
@@ -198,7 +224,7 @@ def _pass(index, is_first: bool, is_last: bool):
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents of which no word is hit, with their own columns, whatever these are called."""
-    return _find(boxed(docs, text=column(text)), benchmark, **options).where("n_hit = 0").select("row.*")
+    return _find(boxed(docs, text=column(text)), benchmark, told=(), **options).where("n_hit = 0").select("row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -196,8 +196,7 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dimensi
     The first centroids are the k vectors with the smallest sha256 of ``seed:key`` (a null key
     is empty there; ties: smaller integer vector). Rows that repeat a key are vectors of their
     own. With fewer vectors than k there are as many clusters as vectors, with none the
-    result is empty. A round that moves no vector ends the rounds, as all further ones would
-    give the same. Components times ``scale`` must lie within 2^26 either way and sums within
+    result is empty. Components times ``scale`` must lie within 2^26 either way and sums within
     64 bits, else the job fails. Further columns are left out.
     """
     spark = vectors.sparkSession
