@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import severity_label
 from ..functions.predicates import name_contains, same_text, survives_fdr
+from .scores import late_rate
 
 
 def page(rows: DataFrame, order: list[Column | str], size: int, number: int = 1) -> DataFrame:
@@ -27,6 +28,22 @@ def members_page(members: DataFrame, findings: DataFrame, search: str | None = N
     return page(rows, [first, F.asc("member_id")], size, number)
 
 
+#: Columns that a listing of members may be sorted by; names come after all of them.
+MEMBER_SORTS = {"name": [], "party": ["party"], "state": ["state"], "chamber": ["chamber"], "district": ["district"], "status": ["in_office"], "anomalies": ["anomaly_count"], "disclosures": ["disclosure_count"]}
+
+
+def member_order(by: str = "name", descending: bool = False) -> list[Column]:
+    """The total order of a listing: the column asked for, either way, then names and ids; an unknown column is the name.
+
+    Names themselves turn with the direction only where they are what is sorted by. Missing
+    values are the largest.
+    """
+    turned = F.desc_nulls_first if descending else F.asc_nulls_last
+    names, first = ["first_name", "last_name"], MEMBER_SORTS.get(by, [])
+    rest = [F.asc_nulls_last(c) for c in names] if first else [turned(c) for c in names]
+    return [*map(turned, first), *rest, F.asc("member_id")]
+
+
 def findings_page(findings: DataFrame, members: DataFrame, filings: DataFrame, alpha: float | None = 0.05, kind: str | None = None, size: int = 50, number: int = 1) -> DataFrame:
     """Findings with member and, if any, filing: worst severity first, then newest, then highest id."""
     rows = findings.join(members, "member_id").join(filings.select("filing_id", "filing_type"), "filing_id", "left")
@@ -52,12 +69,12 @@ def filing_type_histogram(filings: DataFrame) -> DataFrame:
 
 
 def net_worth_history(filings: DataFrame, assets: DataFrame, liabilities: DataFrame) -> DataFrame:
-    """Per filing the sums of bounds, nulls as 0, in order of filing."""
+    """Per filing the sums of bounds, nulls as 0; a page of it has its own order."""
     a = assets.groupBy("filing_id").agg(F.sum("value_min").alias("assets_min"), F.sum("value_max").alias("assets_max"))
     d = liabilities.groupBy("filing_id").agg(F.sum("amount_min").alias("debts_min"), F.sum("amount_max").alias("debts_max"))
     names = ["assets_min", "assets_max", "debts_min", "debts_max"]
     out = filings.join(a, "filing_id", "left").join(d, "filing_id", "left").na.fill(0, names)
-    return out.select("member_id", "filing_id", "filed_on", *names).orderBy("member_id", "filed_on", "filing_id")
+    return out.select("member_id", "filing_id", "filed_on", *names)
 
 
 def filing_totals(filings: DataFrame, trades: DataFrame) -> DataFrame:
@@ -72,12 +89,26 @@ def recent_findings(findings: DataFrame, each: int = 5) -> DataFrame:
     return findings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each)
 
 
-def insights(trades: DataFrame, findings: DataFrame, filings: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row of headline numbers."""
-    t = trades.agg(F.count("*").alias("trades"), F.countDistinct("member_id").alias("traders"), F.max("amount_max").alias("largest_band"))
+def insights(trades: DataFrame, findings: DataFrame, filings: DataFrame, reported: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row of headline numbers.
+
+    Filings that were not read yet, that are scans without a text layer, and that were read
+    and gave nothing are three things. The largest band has both its ends, an open one the
+    lower alone. ``reported`` are the trades that the late rate is of.
+    """
+    low, high = F.col("amount_min"), F.col("amount_max")
+    largest = F.max(F.struct(F.coalesce(high, low).alias("by"), low.alias("low"), high.alias("high")))
+    t = trades.agg(F.count("*").alias("trades"), F.countDistinct("member_id").alias("traders"), largest.alias("top")).select("trades", "traders", F.col("top.low").alias("largest_low"), F.col("top.high").alias("largest_high"))
     f = findings.agg(F.count("*").alias("findings"), F.count_if(F.col("q_value") <= alpha).alias("survivors"))
-    d = filings.agg(F.count("*").alias("filings"), F.count_if("is_ptr").alias("reports"))
-    return t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(d))
+    scan = F.col("has_text_layer").eqNullSafe(F.lit(False))
+    d = filings.agg(
+        F.count("*").alias("filings"),
+        F.count_if("is_ptr").alias("reports"),
+        F.count_if(~F.col("parsed")).alias("unread"),
+        F.count_if(F.col("parsed") & scan).alias("scans"),
+        F.count_if(F.col("parsed") & ~scan & (F.col("confidence") == 0)).alias("gave_nothing"),
+    )
+    return t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(d)).crossJoin(F.broadcast(late_rate(reported)))
 
 
 def asset_listing(assets: DataFrame, size: int = 50, number: int = 1) -> DataFrame:

@@ -288,6 +288,20 @@ def first_of_register(w: Workload) -> DataFrame:
     return readers.first_of_register(register)[1]
 
 
+@query("SELECT 'HS' || n_nationkey || lpad(CAST(c_custkey % 3 AS VARCHAR), 2, '0') AS committee_id, n_name || ' - Part ' || c_custkey % 3 AS name, 'HS' || n_nationkey AS parent_id, c_custkey AS member_id, CAST(c_custkey AS INTEGER) AS rank, CASE WHEN c_custkey % 2 = 0 THEN 'Chair' END AS title FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 < 2 AND c_custkey % 5 > 0")
+def committee_documents(w: Workload) -> DataFrame:
+    """Committees and their seats as YAML, a document for each nation: seats of unknown people and parts go, a second seat does too."""
+    k, nation = F.col("c_custkey"), F.concat(F.lit("HS"), F.col("n_nationkey").cast("string"))
+    n = w.table("nation")
+    parts = F.concat(*[F.lit(f"  - {{name: Part {i}, thomas_id: '0{i}'}}\n") for i in (0, 1)])
+    index = readers.committees(n.select(F.concat(F.lit("- thomas_id: "), nation, F.lit("\n  name: "), "n_name", F.lit("\n  type: house\n  subcommittees:\n"), parts).alias("text")))
+    seat = F.concat(F.lit("  - {bioguide: B"), k.cast("string"), F.lit(", rank: "), k.cast("string"), F.when(k % 2 == 0, ", title: Chair}").otherwise("}"), F.lit("\n  - {bioguide: B"), k.cast("string"), F.lit(", rank: 99999999}\n"))
+    seats = w.table("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.concat(nation, F.lpad((k % 3).cast("string"), 2, "0")).alias("at"), "n_nationkey").agg(F.concat_ws("", F.collect_list(seat)).alias("seats"))
+    documents = seats.groupBy("n_nationkey").agg(F.concat_ws("", F.collect_list(F.concat("at", F.lit(":\n"), "seats"))).alias("text"))
+    members = w.table("customer").where("c_custkey % 5 > 0").select(F.concat(F.lit("B"), k.cast("string")).alias("bioguide_id"), k.alias("member_id"))
+    return readers.committee_seats(documents, index, members).select("committee_id", "name", "parent_id", "member_id", "rank", "title")
+
+
 @query("SELECT count(*) FILTER (c_custkey % 3 = 0) AS unknown_committees, count(*) FILTER (c_custkey % 3 > 0 AND c_custkey % 5 = 0) AS unknown_members FROM customer")
 def seat_gaps(w: Workload) -> DataFrame:
     k = F.col("c_custkey")

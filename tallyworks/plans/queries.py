@@ -557,9 +557,44 @@ def recent_findings(w: Workload) -> DataFrame:
     return serving.recent_findings(w.findings()).select("member_id", "finding_id", "place")
 
 
-@query("SELECT (SELECT count(*) FROM t) AS trades, (SELECT count(DISTINCT member_id) FROM t) AS traders, (SELECT max(amount_max) FROM t) AS largest_band, (SELECT count(*) FROM fnd) AS findings, (SELECT count(*) FROM fnd WHERE q_value <= 0.05::DOUBLE) AS survivors, (SELECT count(*) FROM fil) AS filings, (SELECT count(*) FROM fil WHERE is_ptr) AS reports")
+@query(
+    _SCORED
+    + """, top AS (SELECT amount_min, amount_max FROM t ORDER BY coalesce(amount_max, amount_min) DESC, amount_min DESC, amount_max DESC NULLS LAST LIMIT 1)
+SELECT (SELECT count(*) FROM t) AS trades, (SELECT count(DISTINCT member_id) FROM t) AS traders, (SELECT amount_min FROM top) AS largest_low, (SELECT amount_max FROM top) AS largest_high, (SELECT count(*) FROM fnd) AS findings, (SELECT count(*) FROM fnd WHERE q_value <= 0.05::DOUBLE) AS survivors,
+  (SELECT count(*) FROM fil) AS filings, (SELECT count(*) FROM fil WHERE is_ptr) AS reports, (SELECT count(*) FROM fil WHERE NOT parsed) AS unread, (SELECT count(*) FROM fil WHERE parsed AND has_text_layer IS false) AS scans,
+  (SELECT count(*) FROM fil WHERE parsed AND has_text_layer IS NOT false AND confidence = 0) AS gave_nothing, count(*) AS checkable, count(*) FILTER (overdue > 0) AS late, count(*) FILTER (overdue > 0) / count(*) * 100 AS late_rate FROM s"""
+)
 def insights(w: Workload) -> DataFrame:
-    return serving.insights(w.trades(), w.findings(), w.filings())
+    return serving.insights(w.trades(), w.findings(), w.filings(), scores.reported(w.trades(), label_says=AMENDMENT))
+
+
+_SORTS = {"name": ["first_name", "last_name"], "party": ["party"], "state": ["state"], "chamber": ["chamber"], "district": ["district"], "status": ["in_office"], "anomalies": ["anomaly_count"], "disclosures": ["disclosure_count"]}
+
+
+def _sorts_sql() -> str:
+    def order(by: str, way: str) -> str:
+        nulls = "NULLS LAST" if way == "ASC" else "NULLS FIRST"
+        rest = [] if by == "name" else ["first_name ASC NULLS LAST", "last_name ASC NULLS LAST"]
+        return ", ".join([*(f"{c} {way} {nulls}" for c in _SORTS[by]), *rest, "member_id"])
+
+    pages = [f"SELECT '{by} {way}' AS sort, member_id, row_number() OVER (ORDER BY {order(by, way)}) AS place FROM m QUALIFY place BETWEEN 16 AND 30" for by in _SORTS for way in ("ASC", "DESC")]
+    return """, m AS (SELECT member_id, first_name, last_name, party, state, chamber, CASE WHEN member_id % 7 > 0 THEN CAST(member_id % 7 AS VARCHAR) END AS district, member_id % 3 > 0 AS in_office, (SELECT count(*) FROM fnd WHERE fnd.member_id = mem.member_id) AS anomaly_count,
+  (SELECT count(*) FROM fil WHERE fil.member_id = mem.member_id) AS disclosure_count FROM mem) """ + " UNION ALL ".join(f"({p})" for p in pages)
+
+
+@query(_sorts_sql())
+def member_listing_sorts(w: Workload) -> DataFrame:
+    """The second page of fifteen of every sort of members, either way."""
+    k = F.col("member_id")
+    rows = fi.member_counts(w.members(), w.findings(), w.filings()).withColumn("district", F.when(k % 7 > 0, (k % 7).cast("string"))).withColumn("in_office", k % 3 > 0)
+    rows = settled(rows)
+
+    def one(by: str, descending: bool) -> DataFrame:
+        shown = serving.page(rows, serving.member_order(by, descending), 15, 2)
+        place = F.row_number().over(Window.orderBy(*serving.member_order(by, descending))) + 15  # over the page's rows
+        return shown.select(F.lit(f"{by} {'DESC' if descending else 'ASC'}").alias("sort"), "member_id", place.alias("place"))
+
+    return reduce(DataFrame.unionByName, [one(by, way) for by in serving.MEMBER_SORTS for way in (False, True)])
 
 
 @query("SELECT asset_id, filing_id, CAST(value_max AS DOUBLE) AS value_max, (SELECT count(*) FROM ast) AS total FROM ast ORDER BY asset_id DESC LIMIT 50")

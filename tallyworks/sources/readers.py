@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.dates import iso_date, not_after, parse_date
@@ -70,24 +74,45 @@ def roster(current: DataFrame, historical: DataFrame, today) -> DataFrame:
     )
 
 
-def committees(spark: SparkSession, text: str) -> DataFrame:
-    """(committee_id, name, chamber, parent_id) of a committees YAML document; a small file, read on the driver."""
-    import yaml
+def _yaml_rows(documents: DataFrame, text: str, schema: str, rows_of) -> DataFrame:
+    """Rows that ``rows_of`` makes of each YAML document, parsed in the task that has it; null documents have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            rows = [row for x in batch.column(0).to_pylist() if x for row in rows_of(yaml.safe_load(x))]
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+    kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.string() for f in T.StructType.fromDDL(schema)}
+    return documents.select(text).mapInArrow(run, schema)
+
+
+def committees(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(committee_id, name, chamber, parent_id) of YAML documents of committees with their subcommittees."""
+
+    def rows(document):
+        for c in document or []:
+            yield c["thomas_id"], c["name"], c.get("type"), None
+            for s in c.get("subcommittees") or []:
+                yield c["thomas_id"] + s["thomas_id"], f"{c['name']} - {s['name']}", c.get("type"), c["thomas_id"]
+
+    return _yaml_rows(documents, text, "committee_id string, name string, chamber string, parent_id string", rows)
 
-    rows = []
-    for c in yaml.safe_load(text) or []:
-        rows.append((c["thomas_id"], c["name"], c.get("type"), None))
-        rows += [(c["thomas_id"] + s["thomas_id"], f"{c['name']} - {s['name']}", c.get("type"), c["thomas_id"]) for s in c.get("subcommittees") or []]
-    return spark.createDataFrame(rows, "committee_id string, name string, chamber string, parent_id string")
 
+def committee_seats(documents: DataFrame, index: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
+    """Seats of known members on known committees, each once: that of the best rank, then the first title."""
 
-def committee_seats(spark: SparkSession, text: str, index: DataFrame, members: DataFrame) -> DataFrame:
-    """Seats of known members on known committees, each once."""
-    import yaml
+    def rows(document):
+        for committee, people in (document or {}).items():
+            for p in people or []:
+                yield committee, p.get("bioguide"), p.get("title"), p.get("rank"), p.get("party")
 
-    rows = [(cid, p.get("bioguide"), p.get("title"), p.get("rank"), p.get("party")) for cid, people in (yaml.safe_load(text) or {}).items() for p in people]
-    seats = spark.createDataFrame(rows, "committee_id string, bioguide_id string, title string, rank int, side string")
-    return seats.join(index, "committee_id").join(members.select("bioguide_id", "member_id"), "bioguide_id").dropDuplicates(["member_id", "committee_id"])
+    seats = _yaml_rows(documents, text, "committee_id string, bioguide_id string, title string, rank int, side string", rows)
+    found = seats.join(index, "committee_id").join(members.select("bioguide_id", "member_id"), "bioguide_id")
+    nth = F.row_number().over(Window.partitionBy("member_id", "committee_id").orderBy(F.asc_nulls_last("rank"), F.asc_nulls_last("title"), F.asc_nulls_last("side")))
+    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
 def seat_gaps(seats: DataFrame, index: DataFrame, members: DataFrame) -> DataFrame:

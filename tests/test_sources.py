@@ -41,11 +41,12 @@ def test_roster(spark, tmp_path):
 
 
 def test_committees(spark):
-    index = readers.committees(spark, "- {type: house, name: Arms, thomas_id: HSAS, subcommittees: [{name: Sea, thomas_id: '28'}]}")
+    documents = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    index = readers.committees(documents("- {type: house, name: Arms, thomas_id: HSAS, subcommittees: [{name: Sea, thomas_id: '28'}]}", "", None))
     assert sorted((r.committee_id, r.name, r.parent_id) for r in index.collect()) == [("HSAS", "Arms", None), ("HSAS28", "Arms - Sea", "HSAS")]
     members = spark.createDataFrame([("A1", 1)], "bioguide_id string, member_id long")
-    seats = readers.committee_seats(spark, "HSAS: [{bioguide: A1, rank: 1}, {bioguide: A1, rank: 2}, {bioguide: ZZ}]\nXX: [{bioguide: A1}]", index, members)
-    assert [(r.member_id, r.committee_id) for r in seats.collect()] == [(1, "HSAS")]
+    seats = readers.committee_seats(documents("HSAS: [{bioguide: A1, rank: 2}, {bioguide: A1, rank: 1}, {bioguide: ZZ}]\nXX: [{bioguide: A1}]", "HSAS28:"), index, members)
+    assert [(r.member_id, r.committee_id, r["rank"]) for r in seats.collect()] == [(1, "HSAS", 1)]
 
 
 def test_events(spark, tmp_path):
