@@ -150,3 +150,6 @@ HEADER_WORDS = ["asset", "transaction", "notification", "amount", "owner", "date
 HEADER_WORDS_NEEDED, HEADER_ROWS = 2, 4
 READABLE_WORDS = ["asset", "transaction", "date", "amount", "owner"]
 NO_TRADE_WORDS = ["transaction", "asset", "owner", "amount", "date", "periodic", "report", "page", "filing"]
+
+# Words of a table's first row that open a schedule of an annual report, in the order they are tried.
+SCHEDULE_WORDS = [("A", ["asset", "value of asset"]), ("B", ["asset", "tx.", "amount"]), ("C", ["source", "type", "amount"]), ("D", ["creditor", "date incurred"]), ("E", ["position", "organization"]), ("G", ["source", "value"])]
