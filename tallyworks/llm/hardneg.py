@@ -31,6 +31,8 @@ SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 DIGIT, ROOM = 8, 16
 #: Rows of a pack and of a group, anchors of a block, and scores at a time.
 PACK, GROUP, ANCHORS, STEP = 1024, 1 << 16, 2048, 1 << 19
+#: Tasks of a pass; where there are more cells a task takes several, one after another.
+TASKS = 1 << 15
 ROWS = "mark array<long>, key array<long>, label array<long>, d int, v array<long>"
 #: A window's integers: number, top score, first and last place of scores, of keys (from the least key), rows to find there.
 FIELDS = ("j", "top", "a", "b", "c", "d", "need")
@@ -192,7 +194,7 @@ class _Grid:
         some = some.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))))
         rows = self.packs.select("mark", "key", "label", "d", "v", F.lit(None).cast("array<long>").alias("w"), F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("q"), "p")
         both = some.unionByName(rows)
-        return both.repartition(self.groups * self.blocks, "p", "q").sortWithinPartitions("p", "q", "d", "kind")
+        return both.repartition(min(TASKS, self.groups * self.blocks), "p", "q").sortWithinPartitions("p", "q", "d", "kind")
 
 
 def select(grid: _Grid, windows: DataFrame, want: int, same: bool, keys: tuple[int, int]) -> DataFrame:
