@@ -295,6 +295,15 @@ def test_findings_inherit_from_their_test(spark):
     assert (run.tests, run.passing, run.annotated, run.without_test, run.resolvable) == (5, 1, 2, 4, True)
 
 
+def test_annotation_does_not_follow_the_order_in_which_findings_are_computed(spark):
+    """Rows that arrive in another order each time they are computed, as after a shuffle, keep their own values."""
+    rows = spark.range(400).selectExpr("id AS finding_id", "IF(id % 2 = 0, 'donor_conflict', 'cross_member_cluster') AS anomaly_type", "id AS member_id", "concat('T', id, ' was bought') AS title").coalesce(1)
+    shuffled = rows.mapInPandas(lambda frames: (f.sample(frac=1) for f in frames), rows.schema)
+    tests = spark.range(400).selectExpr("IF(id % 2 = 0, 'donor_conflict', 'cross_member_cluster') AS anomaly_type", "IF(id % 2 = 0, id, NULL) AS member_id", "IF(id % 2 = 1, concat('T', id), NULL) AS ticker", "id / 1000.0D AS p_value", "id / 500.0D AS q_value")
+    got = stats.annotate(shuffled, tests).collect()
+    assert len(got) == 400 and all(r.p_value == r.finding_id / 1000 and r.q_value == r.finding_id / 500 for r in got)
+
+
 def test_company_names(spark):
     register = spark.createDataFrame([(0, "LOCKHEED MARTIN CORP", "LMT"), (1, "NORTHROP GRUMMAN CORP /DE/", "NOC"), (2, "UNIVERSAL CORP", "UVV"), (3, "Archer Aviation Inc.", "ACHR"), (4, "Archer Aviation Parts Inc.", "APAR")], "position int, title string, ticker string")
     over = spark.createDataFrame([(0, "bechtel", ""), (1, "electric boat", "GD")], "position int, fragment string, ticker string")
