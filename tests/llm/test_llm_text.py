@@ -538,6 +538,15 @@ def test_gradients_are_those_of_finite_differences():
             assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-5
 
 
+def test_least_score_is_that_of_all_rows(spark, monkeypatch):
+    def scored(rows, network):
+        return rows.select("*", F.lit("x").alias("lang_pred"), F.regexp_extract("text", r"\d+", 0).cast("double").alias("score"))
+
+    monkeypatch.setattr(langid, "predict", scored)
+    rows = spark.range(5000).selectExpr("id AS doc_id", "concat('a', id + 10) AS text", "IF(id = 0, 'y', IF(id = 1, NULL, 'x')) AS lang")
+    assert langid.least_score(rows, langid.Network(["x", "y"])) == 6.0
+
+
 def test_language_by_plain_windows(spark, docs):
     """predict() against the mean over windows, document by document."""
     net = langid.fit(docs, steps=60)
