@@ -275,6 +275,19 @@ def test_most_members_is_that_of_a_plain_count():
     assert got.tolist() == [most_members(list(zip(who, (day_ + o[who]) % 200)), 14) for o in offsets]
 
 
+@pytest.mark.parametrize("rows, members, span", [(40, 12, 200), (300, 250, 90), (5000, 900, 365), (6, 1, 30)])
+def test_members_reach_what_ordered_days_say(rows, members, span):
+    """Counts by bins agree with the days put in order, at and around the largest count."""
+    rng = np.random.default_rng(rows)
+    who, day = rng.integers(0, members, rows), rng.integers(0, span + 1, rows)
+    day[:2] = 0, span
+    who = np.unique(who, return_inverse=True)[1]
+    group = stats._Members(who, day, span, 14)
+    for offsets in rng.uniform(0, span, (30, who.max() + 1)):
+        most = stats._most_members(who, day.astype(float), offsets[None], float(span), 14)[0]
+        assert [group.reach(offsets, int(most) + k) for k in (-1, 0, 1, 2)] == [True, True, False, False]
+
+
 def test_cluster_pvalues(spark):
     rows = [trade(txn=k, member=k, traded=500) for k in range(6)] + [trade(txn=100 + k, member=k, traded=40 * k) for k in range(12)]
     got = stats.cluster_pvalues(frame(spark, rows), permutations=300).collect()
