@@ -10,8 +10,10 @@ from ..functions.money import proximity
 from .windows import event_window_join, within_window
 
 
-def _near(trades: DataFrame, events: DataFrame, by: list[str], days: int) -> DataFrame:
-    met = event_window_join(trades, events, ["member_id", "sector"], days, days)
+def _near(trades: DataFrame, events: DataFrame, keys: list[str], by: list[str], days: int) -> DataFrame:
+    rows = trades.select(*dict.fromkeys(["member_id", "txn_id", "ticker", "traded_on", *keys]))
+    # pairs travel once: a trade's and a bill's counts are both taken where all pairs of ``by`` are
+    met = event_window_join(rows, events, keys, days, days).select(*by, "txn_id", "ticker", "days_apart").repartition(*by)
     # a trade counts once for a bill, however many sectors it shares with it
     one = met.groupBy(*by, "txn_id").agg(F.min("days_apart").alias("days_apart"), F.first("ticker").alias("ticker"))
     out = one.groupBy(*by).agg(F.count("*").alias("trades"), F.min("days_apart").alias("closest"), F.array_join(F.sort_array(F.collect_set(F.upper("ticker"))), ",").alias("tickers"))
@@ -23,7 +25,7 @@ def sponsorship_window(trades: DataFrame, sponsored: DataFrame, days: int = BILL
 
     ``trades`` has a row for each sector of a trade, ``sponsored`` (member_id, bill_id, sector, happened_on).
     """
-    return _near(trades, sponsored, ["member_id", "bill_id"], days)
+    return _near(trades, sponsored, ["member_id", "sector"], ["member_id", "bill_id"], days)
 
 
 def jurisdiction_window(trades: DataFrame, referrals: DataFrame, seats: DataFrame, days: int = BILL_DAYS) -> DataFrame:
@@ -31,7 +33,8 @@ def jurisdiction_window(trades: DataFrame, referrals: DataFrame, seats: DataFram
     parent = F.upper(F.substring("committee_id", 1, 4))
     r = referrals.withColumn("parent", parent).drop("committee_id")
     s = seats.select("member_id", parent.alias("parent")).distinct()
-    return _near(trades, r.join(s, "parent"), ["member_id", "referral_id"], days)
+    # trades take their members' committees along, so a referral is not multiplied by all who sit on its committee
+    return _near(trades.join(s, "member_id"), r, ["parent", "sector"], ["member_id", "referral_id"], days)
 
 
 def bills_worth_lookup(bills: DataFrame, trades: DataFrame, days: int = BILL_DAYS) -> DataFrame:

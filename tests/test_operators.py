@@ -275,6 +275,23 @@ def test_most_members_is_that_of_a_plain_count():
     assert got.tolist() == [most_members(list(zip(who, (day_ + o[who]) % 200)), 14) for o in offsets]
 
 
+def test_events_go_to_few_groups_however_many_members_trade_the_key(spark, monkeypatch):
+    import pyarrow as pa
+
+    def events_only(permutations):
+        def run(batches):
+            n = sum(b.num_rows - sum(b.column("is_trade").to_pylist()) for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(["lobbying_overlap"]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["detector", "member_id", "reached"])
+
+        return run
+
+    monkeypatch.setattr(stats, "_permuted", events_only)
+    trades = spark.range(600).selectExpr("id % 300 AS member_id", "date_add(DATE '2020-01-01', CAST(id AS INT) % 200) AS traded_on", "'purchase' AS direction", "'AB' AS ticker")
+    events = spark.range(20).selectExpr("date_add(DATE '2020-01-01', CAST(id AS INT) * 10) AS happened_on", "'AB' AS ticker")
+    found = stats.permutation_pvalues(stats.streams("lobbying_overlap", trades, events, "ticker"))
+    assert round(found.where("member_id = 0").first().p_value * 1001) - 1 == 20
+
+
 @pytest.mark.parametrize("rows, members, span", [(40, 12, 200), (300, 250, 90), (5000, 900, 365), (6, 1, 30)])
 def test_members_reach_what_ordered_days_say(rows, members, span):
     """Counts by bins agree with the days put in order, at and around the largest count."""
@@ -356,6 +373,18 @@ def test_trades_near_bills_count_once_per_bill(spark):
     assert [(g.trades, g.closest, g.tickers, g.severity) for g in got] == [(1, 3, "AB", "HIGH")]
 
 
+def test_a_referral_is_not_multiplied_by_the_seats_of_its_committee(spark):
+    """Referrals meet the trades of a committee, on its key: no join makes a row for each referral and each seat."""
+    trades = spark.range(300).selectExpr("id AS member_id", "id AS txn_id", "'AB' AS ticker", "concat('s', id % 1) AS sector", "date_add(DATE '2020-01-01', CAST(id % 1 AS INT)) AS traded_on")
+    referrals = spark.range(40).selectExpr("id AS referral_id", "'HS01' AS committee_id", "concat('s', id) AS sector", "date_add(DATE '2020-01-05', CAST(id % 1 AS INT)) AS happened_on")
+    seats = spark.range(300).selectExpr("id AS member_id", "'hs0100' AS committee_id")
+    found = legislation.jurisdiction_window(trades, referrals, seats)
+    assert [(r.trades, r.closest, r.tickers) for r in found.select("trades", "closest", "tickers").distinct().collect()] == [(1, 4, "AB")] and found.count() == 300
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and sum("sector" in line for line in joins) == 1
+    assert all("sector" in line for line in joins if "parent" in line)
+
+
 def test_wealth_bands(spark):
     filings = spark.createDataFrame([(1, 1, 2020, D0, False, "A", True), (2, 1, 2022, day(700), False, "A", True), (3, 1, 2022, day(700), True, "A", True), (4, 2, 2022, D0, False, "C", True)], "filing_id long, member_id long, filing_year int, filed_on date, is_ptr boolean, filing_type string, parsed boolean")
     assets = spark.createDataFrame([(1, 1000, 2000), (2, 9_000_000, None), (3, 5, 6), (4, 5, 6)], "filing_id long, value_min long, value_max long")
