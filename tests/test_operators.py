@@ -411,3 +411,18 @@ def test_detectors(spark):
     assert sorted((r.txn_id, r.severity) for r in big.collect()) == [(1, 5), (3, 10)]
     spikes = trades.volume_spikes(frame(spark, [trade(txn=k, low=10, high=10) for k in range(8)] + [trade(txn=50 + k, low=51, high=51) for k in range(2)])).collect()
     assert [(s.n, s.above, s.threshold) for s in spikes] == [(10, 2, 50.0)]
+
+
+def test_trades_travel_twice_and_contents_are_short(spark, sf):
+    from tallyworks.plans.workload import Workload
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trades = Workload(spark, sf).trades()
+        plan = trades._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # lines to parts and to orders; parts and orders; nothing more for their numbers
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert trades.select(F.max(F.length(restatements.content_key()))).first()[0] == 16
