@@ -13,6 +13,8 @@ from .queries import query
 from .workload import Workload
 
 DAY = "2 days"
+#: Rows of a batch where streams are dealt into batches by time, and how many batches there are at most.
+BATCH_ROWS, MOST_BATCHES = 1_000_000, 64
 
 
 def _detectors() -> list[registry.Detector]:
@@ -81,10 +83,15 @@ def award_support(w: Workload) -> DataFrame:
 
 
 def _landed(w: Workload, rows: DataFrame, parts: int) -> DataFrame:
-    """Rows as a stream of files, which arrive one after another by ``part``."""
-    folder = scratch(w.spark, "landing")
+    """Rows as a stream of files, which arrive one after another by ``part``.
+
+    The rows are computed once, in as many tasks as they take, and stored by part; the task that lands a part only copies it.
+    """
+    by_part, folder = scratch(w.spark, "parts"), scratch(w.spark, "landing")
+    rows.repartition(parts, "part").write.partitionBy("part").parquet(by_part)
+    stored = w.spark.read.schema(rows.schema).parquet(by_part).select(*rows.columns)
     for k in range(parts):
-        rows.where(f"part = {k}").coalesce(1).write.mode("append").parquet(folder)
+        stored.where(f"part = {k}").coalesce(1).write.mode("append").parquet(folder)
     return w.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -157,14 +164,16 @@ def _by_time(w: Workload, rows: DataFrame, time: str, batches: int) -> DataFrame
 @query("SELECT own.txn_id, ev.event_id FROM own JOIN ev ON ev.member_id = own.member_id AND ev.ticker = own.ticker AND abs(traded_on - happened_on) <= 5")
 def stream_window_join(w: Workload) -> DataFrame:
     """Trades and donations as two streams in the order of their days; rows meet as in the batch join."""
-    t = trades.own(w.trades()).select("txn_id", "member_id", "ticker", F.col("traded_on").cast("timestamp").alias("traded_at"))
-    e = w.events().select("event_id", "member_id", "ticker", F.col("happened_on").cast("timestamp").alias("happened_at"))
-    days = F.col("at")
-    both = t.select(F.col("traded_at").alias("at")).union(e.select(F.col("happened_at").alias("at"))).agg(F.min(F.unix_timestamp(days)), F.max(F.unix_timestamp(days))).first()
-    part = lambda c: F.floor((F.unix_timestamp(c) - both[0]) * 4 / (both[1] - both[0] + 1)).cast("int")
-    left, right = (_landed(w, df.withColumn("part", part(c)), 4).drop("part") for df, c in ((t, "traded_at"), (e, "happened_at")))
-    # files of both sides come by quarters of all time, so no row is later than a quarter
-    delay = f"{(both[1] - both[0]) // 4 // 86400 + 10} days"
+    t = settled(trades.own(w.trades()).select("txn_id", "member_id", "ticker", F.col("traded_on").cast("timestamp").alias("traded_at")))
+    e = settled(w.events().select("event_id", "member_id", "ticker", F.col("happened_on").cast("timestamp").alias("happened_at")))
+    days = F.unix_timestamp("at")
+    low, high, n = t.select(F.col("traded_at").alias("at")).union(e.select(F.col("happened_at").alias("at"))).agg(F.min(days), F.max(days), F.count("*")).first()
+    # more rows come in more batches of shorter times, so that a batch and the state stay of a size
+    parts = min(max(4, n // BATCH_ROWS), MOST_BATCHES)
+    part = lambda c: F.floor((F.unix_timestamp(c) - low) * parts / (high - low + 1)).cast("int")
+    left, right = (_landed(w, df.withColumn("part", part(c)), parts).drop("part") for df, c in ((t, "traded_at"), (e, "happened_at")))
+    # files of both sides come by equal parts of all time, so no row is later than a part
+    delay = f"{(high - low) // parts // 86400 + 10} days"
     return streams.run_once(streams.window_join(left, right, ["member_id", "ticker"], 5, delay).select("txn_id", "event_id"))
 
 

@@ -96,3 +96,24 @@ def test_filings_read_again(spark):
     shown = lambda x: (sorted(map(tuple, x["rows"].collect())), sorted(r.finding_id for r in x["findings"].collect()), sorted(map(tuple, x["members"].select("member_id", "anomaly_count", "disclosure_count").collect())))
     assert shown(ledger.replace_filings(rows, found, members, filings, read)) == ([(1, 12), (2, 20)], [2, 3], [(7, 1, 2), (8, 1, 0)])
     assert shown(ledger.replace_filings(rows, found, members, filings, read.where("false"))) == ([(1, 10), (1, 11), (2, 20)], [1, 2, 3], [(7, 2, 2), (8, 1, 0)])
+
+
+def test_landing_only_copies(spark):
+    """What is landed was computed before, so no landing task sorts or aggregates; files come by part, one for an empty part too."""
+    from tallyworks.plans.stored import _landed
+    from tallyworks.plans.workload import Workload
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40).selectExpr("id", "CAST(id % 4 AS INT) AS part").where("part <> 2").repartition(3).mapInArrow(count, "id long, part int")
+    stream = _landed(Workload(spark, ""), rows, 4)
+    assert seen.value == 30  # each row once, not once for each part
+    got = []
+    query = stream.writeStream.foreachBatch(lambda df, n: got.append(sorted(r.part for r in df.collect()))).option("checkpointLocation", str(__import__("tempfile").mkdtemp())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert got == [[0] * 10, [1] * 10, [], [3] * 10]
