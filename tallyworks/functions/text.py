@@ -214,7 +214,7 @@ def filing_status(note: Column) -> Column:
 
 
 def strip_nul(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "\x00", "")
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\x00"), F.lit(""))
 
 
 def comment(text: Column) -> Column:

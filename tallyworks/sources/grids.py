@@ -24,21 +24,22 @@ def grid_trades(rows: DataFrame, key: str = "document_id") -> DataFrame:
     """
     lower = F.transform("cells", lambda c: F.lower(c))
     is_head = (F.col("line") < 4) & F.exists(lower, lambda c: c.contains("amount")) & F.exists(lower, lambda c: c.contains("date"))
-    heads = rows.where(is_head).groupBy(key, "page").agg(F.min_by("cells", "line").alias("head"), F.min("line").alias("at"))
-    heads = heads.withColumn("head", F.transform("head", lambda c: F.lower(c)))
-    body = rows.join(heads, [key, "page"]).where("line > at")
+    # header, rows and footnotes come from one pass over a table: the header by its least line, a footnote from the next line
+    table = Window.partitionBy(key, "page")
     note = filing_status(F.array_join("cells", "\n"))
-    after = Window.partitionBy(key, "page").orderBy("line")
-    body = body.withColumn("note", F.lead(note).over(after))
+    marked = rows.select(key, "page", "line", "cells", F.when(F.col("line") < 4, F.when(is_head, F.struct(F.col("line").alias("at"), lower.alias("head")))).alias("h"), note.alias("said"))
+    marked = marked.withColumn("note", F.lead("said").over(table.orderBy("line"))).withColumn("h", F.min("h").over(table))
+    body = marked.where(F.col("line") > F.col("h.at")).select(key, "page", "line", "cells", "note", F.col("h.head").alias("head"))
 
     def cell(*words: str):
         hit = F.transform("head", lambda c: F.coalesce(*[F.when(c.contains(w), True) for w in words], F.lit(False)))
         return F.get("cells", (F.nullif(F.array_position(hit, True), F.lit(0)) - 1).cast("int"))
 
-    asset = cell("asset", "description")
-    amount = band(cell("amount"))
-    kind = direction(cell("transaction type", "type"))
-    owner = F.nullif(cell("owner"), F.lit(""))
+    named = {"owner": ("owner",), "asset": ("asset", "description"), "type": ("transaction type", "type"), "day": ("date",), "amount": ("amount",)}
+    body = body.select(key, "page", "line", "note", *[cell(*words).alias(name) for name, words in named.items()])
+    # the cells and both ends are columns of their own, so that each is computed once
+    body = body.withColumns({"kind": direction(F.col("type")), "band": band(F.col("amount"))}).where("kind IS NOT NULL AND band.low IS NOT NULL")
+    asset, amount, kind, owner = F.col("asset"), F.col("band"), F.col("kind"), F.nullif("owner", F.lit(""))
     out = body.select(
         key,
         "page",
@@ -47,9 +48,9 @@ def grid_trades(rows: DataFrame, key: str = "document_id") -> DataFrame:
         without_owner(asset).alias("asset"),
         ticker_in(asset).alias("ticker"),
         kind.alias("direction"),
-        parse_date(F.regexp_extract(F.coalesce(cell("date"), F.lit("")), r"\d{1,2}/\d{1,2}/\d{2,4}", 0)).alias("traded_on"),
+        parse_date(F.regexp_extract(F.coalesce("day", F.lit("")), r"\d{1,2}/\d{1,2}/\d{2,4}", 0)).alias("traded_on"),
         amount["low"].alias("amount_min"),
         amount["high"].alias("amount_max"),
         F.coalesce("note", F.lit("New")).alias("status"),
     )
-    return out.where("direction IS NOT NULL AND amount_min IS NOT NULL")
+    return out

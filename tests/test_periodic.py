@@ -76,3 +76,16 @@ def test_printed_trades_that_no_table_has(spark):
     assert [tuple(r) for r in quality.collect()] == [("a", 5, 5, 3, False, True, 1.0)]
     _, quality = periodic.trades(spark.createDataFrame([("b", None), ("c", None), ("z", None)], DOCUMENT), lines_of(spark, b=line + "\nF S: Deleted", c=" "))
     assert {r.document_id: (r.rows_read, r.used_lines, r.confidence) for r in quality.collect()} == {"b": (1, True, 0.5), "c": (0, False, 0.0), "z": (0, False, 0.0)}
+
+
+def test_grids_are_read_in_one_pass(spark):
+    """Rows meet their header and their footnote without a second pass over the tables; a table without a header has no trades."""
+    from tallyworks.sources import grids
+
+    head = ["Asset", "Type", "Date", "Amount"]
+    grid = [["x"] * 4, head, ["AB\x00 Co", "P", "1/2/2020", "$1,001 - $15,000"], ["F S: Amended", "", "", ""], ["CD Co", "S", "2/2/2020", "Over $50,000,000"], ["none", "", "", "$5"]]
+    rows = grids.grid_rows(spark.createDataFrame([(1, [grid, grid[2:]]), (2, None)], "document_id long, tables array<array<array<string>>>"))
+    found = grids.grid_trades(rows)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.page, r.line, r.asset, r.direction, r.amount_min, r.amount_max, r.status) for r in found.collect())
+    assert got == [(0, 2, "AB Co", "purchase", 1001, 15000, "Amended"), (0, 4, "CD Co", "sale", 50000001, None, "New")]
