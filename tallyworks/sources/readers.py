@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ from ..functions.fixed import INCOME_SOURCES
 from ..functions.money import xml_band, xml_income
 from ..functions.text import award_key, client_names, committee_code, company_key, in_one_string, kind_by_words, party_letter, xml_asset_type
 
+#: Rows that a reader of whole documents holds at once.
+BATCH = 10_000
+
 
 def house_index(spark: SparkSession, path: str, ptr: bool = False) -> DataFrame:
     """The House clerk's XML index: periodic reports (type P) or everything else but candidates' (type C)."""
@@ -74,16 +78,73 @@ def roster(current: DataFrame, historical: DataFrame, today) -> DataFrame:
     )
 
 
+def _yaml_seats(text: str) -> Iterator[tuple]:
+    """(name, item) of a document that maps names to lists, an item at a time, so that only one is held; of equal names the last stands."""
+    last = {name: n for n, name, item in _yaml_items(text) if item is None}
+    for n, name, item in _yaml_items(text):
+        if item is not None and last[name] == n:
+            yield name, item()
+
+
+def _yaml_items(text: str) -> Iterator[tuple]:
+    """(number, name, None) of each name of a YAML mapping, then (number, name, function that makes it) of each item of its list."""
+    import yaml
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)(text)
+    anchors: dict = {}
+
+    def node():
+        event = loader.get_event()
+        if isinstance(event, yaml.AliasEvent):
+            return anchors[event.anchor]
+        tag = getattr(event, "tag", None)
+        if isinstance(event, yaml.ScalarEvent):
+            made = yaml.ScalarNode(tag if tag not in (None, "!") else loader.resolve(yaml.ScalarNode, event.value, event.implicit), event.value)
+        elif isinstance(event, yaml.SequenceStartEvent):
+            made = yaml.SequenceNode(tag if tag not in (None, "!") else loader.resolve(yaml.SequenceNode, None, event.implicit), [])
+            while not loader.check_event(yaml.SequenceEndEvent):
+                made.value.append(node())
+            loader.get_event()
+        else:
+            made = yaml.MappingNode(tag if tag not in (None, "!") else loader.resolve(yaml.MappingNode, None, event.implicit), [])
+            while not loader.check_event(yaml.MappingEndEvent):
+                made.value.append((node(), node()))
+            loader.get_event()
+        if event.anchor is not None:
+            anchors[event.anchor] = made
+        return made
+
+    loader.get_event(), loader.get_event()  # the stream's and the document's beginning
+    if not loader.check_event(yaml.MappingStartEvent):
+        return
+    loader.get_event()
+    number = 0
+    while not loader.check_event(yaml.MappingEndEvent):
+        name = loader.construct_document(node())
+        yield number, name, None
+        if loader.check_event(yaml.SequenceStartEvent) and loader.peek_event().anchor is None:
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                item = node()
+                yield number, name, lambda item=item: loader.construct_document(item)
+            loader.get_event()
+        else:
+            for item in loader.construct_document(node()) or []:
+                yield number, name, lambda item=item: item
+        number += 1
+
+
 def _yaml_rows(documents: DataFrame, text: str, schema: str, rows_of) -> DataFrame:
-    """Rows that ``rows_of`` makes of each YAML document, parsed in the task that has it; null documents have none."""
+    """Rows that ``rows_of`` makes of each YAML document's text, in the task that has it; null documents have none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
+    Rows leave in batches of BATCH, so what a task holds does not follow a document's length but for its text.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for x in batch.column(0).to_pylist() if x for row in rows_of(yaml.safe_load(x))]
-            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+            found = (row for x in batch.column(0) if (source := x.as_py()) for row in rows_of(source))
+            while rows := list(islice(found, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.string() for f in T.StructType.fromDDL(schema)}
     return documents.select(text).mapInArrow(run, schema)
@@ -92,8 +153,10 @@ def _yaml_rows(documents: DataFrame, text: str, schema: str, rows_of) -> DataFra
 def committees(documents: DataFrame, text: str = "text") -> DataFrame:
     """(committee_id, name, chamber, parent_id) of YAML documents of committees with their subcommittees."""
 
-    def rows(document):
-        for c in document or []:
+    def rows(source):
+        import yaml
+
+        for c in yaml.load(source, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or []:
             yield c["thomas_id"], c["name"], c.get("type"), None
             for s in c.get("subcommittees") or []:
                 yield c["thomas_id"] + s["thomas_id"], f"{c['name']} - {s['name']}", c.get("type"), c["thomas_id"]
@@ -104,10 +167,9 @@ def committees(documents: DataFrame, text: str = "text") -> DataFrame:
 def committee_seats(documents: DataFrame, index: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
     """Seats of known members on known committees, each once: that of the best rank, then the first title."""
 
-    def rows(document):
-        for committee, people in (document or {}).items():
-            for p in people or []:
-                yield committee, p.get("bioguide"), p.get("title"), p.get("rank"), p.get("party")
+    def rows(source):
+        for committee, p in _yaml_seats(source):
+            yield committee, p.get("bioguide"), p.get("title"), p.get("rank"), p.get("party")
 
     seats = _yaml_rows(documents, text, "committee_id string, bioguide_id string, title string, rank int, side string", rows)
     found = seats.join(index, "committee_id").join(members.select("bioguide_id", "member_id"), "bioguide_id")

@@ -103,3 +103,22 @@ def test_sinks(spark, tmp_path):
         sinks.write_table(df, str(tmp_path / "t"), by=["part"])
         sinks.append_failures(df, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10 and spark.read.option("header", True).csv(str(tmp_path / "f")).count() == 20
+
+
+def test_seats_are_read_one_at_a_time():
+    """The same seats as the whole document gives, without building it."""
+    import tracemalloc
+
+    import yaml
+
+    from tallyworks.sources.readers import _yaml_seats
+
+    text = "A1: &all\n  - {bioguide: B1, rank: 1, title: &t 'Chair, x'}\n  - bioguide: '007'\n    title: *t\n    rank: ~\nA2:\nA3: [{bioguide: gone}]\nA4: *all\n'5':\n- !!map {bioguide: no, extra: [1, {a: 2.5}]}\nA3: [{bioguide: stays}]\n"
+    want = sorted((c, repr(p)) for c, people in yaml.safe_load(text).items() for p in people or [])
+    assert sorted((c, repr(p)) for c, p in _yaml_seats(text)) == want and len(want) == 6
+    assert list(_yaml_seats("")) == list(_yaml_seats("~")) == list(_yaml_seats("{}")) == []
+    long = "A:\n" + "".join(f"  - {{bioguide: B{k}, rank: {k}}}\n" for k in range(20_000))
+    tracemalloc.start()
+    assert sum(p["rank"] for _, p in _yaml_seats(long)) == sum(range(20_000))
+    assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
