@@ -40,7 +40,8 @@ def _printed(trades: DataFrame) -> DataFrame:
 
 def _parts(w: Workload) -> DataFrame:
     """A trade for every part, with its band as printed."""
-    p, k = w.table("part"), F.col("p_partkey")
+    # the table is a small file, whose pages one task would print and parse
+    p, k = w.table("part").repartition(2 * w.spark.sparkContext.defaultParallelism, "p_partkey"), F.col("p_partkey")
     band = band_of(F.col("p_retailprice") * 30)
     rows = p.select(
         k.alias("part_id"),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,9 +90,9 @@ def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def senate_trades(rows: DataFrame, key: str) -> DataFrame:
     """Trades from tables whose header names a date, an asset and an amount; other tables are none of theirs."""
-    head = rows.where("row = 0").select(key, "table", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("head"))
+    head = F.max(F.when(F.col("row") == 0, F.transform("cells", lambda c: F.lower(F.trim(c))))).over(Window.partitionBy(key, "table"))
     need = F.exists("head", lambda c: c.contains("amount")) & F.exists("head", lambda c: c.contains("date")) & F.exists("head", lambda c: c.contains("asset") | c.contains("description"))
-    body = rows.where("row > 0").join(head.where(need), [key, "table"])
+    body = rows.where(F.col(key).isNotNull()).withColumn("head", head).where("row > 0").where(need)
 
     def cell(*words: str):
         position = None
@@ -101,7 +101,8 @@ def senate_trades(rows: DataFrame, key: str) -> DataFrame:
             position = p if position is None else F.coalesce(position, p)
         return F.get("cells", (position - 1).cast("int"))
 
-    band = senate_band(cell("amount"))
+    body = body.withColumn("amount", cell("amount")).withColumn("band", senate_band(F.col("amount")))
+    band = F.col("band")
     return body.select(
         key,
         "table",
@@ -119,11 +120,11 @@ def senate_trades(rows: DataFrame, key: str) -> DataFrame:
 
 def _part(rows: DataFrame, key: str, part: str) -> DataFrame:
     """Body rows of the first table under a numbered part's heading, with the header's labels."""
-    under = rows.where(F.col("heading").startswith(part))
-    first = under.groupBy(key).agg(F.min("table").alias("table"))
-    here = under.join(first, [key, "table"])
-    head = here.where("row = 0").select(key, F.transform("cells", lambda c: F.lower(c)).alias("head"))
-    return here.where("row > 0").join(head, key)
+    page = Window.partitionBy(key)
+    under = rows.where(F.col("heading").startswith(part) & F.col(key).isNotNull())
+    here = under.withColumn("first", F.min("table").over(page)).where("table = first").drop("first")
+    head = F.max(F.when(F.col("row") == 0, F.transform("cells", lambda c: F.lower(c)))).over(page)
+    return here.withColumn("head", head).where("row > 0 AND head IS NOT NULL")
 
 
 def _named(label: str) -> Column:
@@ -136,16 +137,17 @@ def senate_assets(rows: DataFrame, key: str) -> DataFrame:
     A holding whose contents the report lists below it with values (7, then 7.1) keeps no
     value of its own, so nothing is counted twice.
     """
-    value, income = senate_band(_named("value")), senate_band(_named("income"))
-    body = _part(rows, key, "Part 3").where(F.array_contains("head", "value")).withColumn("number", F.get("cells", 0)).withColumn("v", value).withColumn("i", income)
-    inner = body.where(F.contains("number", F.lit(".")) & F.col("v.low").isNotNull()).select(key, F.substring_index("number", ".", 1).alias("number")).distinct().withColumn("itemised", F.lit(True))
-    body = body.join(inner, [key, "number"], "left").where(F.coalesce("strong", F.lit("")) != "")
+    body = _part(rows, key, "Part 3").where(F.array_contains("head", "value")).withColumn("number", F.get("cells", 0))
+    body = body.withColumns({"said": _named("value"), "earned": _named("income"), "kind": _named("asset type")})
+    body = body.withColumns({"v": senate_band(F.col("said")), "i": senate_band(F.col("earned")), "within": F.substring_index("number", ".", 1)})
+    listed = F.max(F.when(F.contains("number", F.lit(".")) & F.col("v.low").isNotNull(), True)).over(Window.partitionBy(key, "within"))
+    body = body.withColumn("itemised", F.when(F.col("number") == F.col("within"), listed)).where(F.coalesce("strong", F.lit("")) != "")
     own = lambda c: F.when(F.col("itemised").isNull(), F.col(c))
-    return body.select(key, "row", F.col("strong").alias("asset"), ticker_in(F.col("strong")).alias("ticker"), senate_asset_type(_named("asset type")).alias("asset_type"), own("v.low").alias("value_min"), own("v.high").alias("value_max"), F.col("i.low").alias("income_min"), F.col("i.high").alias("income_max"))
+    return body.select(key, "row", F.col("strong").alias("asset"), ticker_in(F.col("strong")).alias("ticker"), senate_asset_type(F.col("kind")).alias("asset_type"), own("v.low").alias("value_min"), own("v.high").alias("value_max"), F.col("i.low").alias("income_min"), F.col("i.high").alias("income_max"))
 
 
 def senate_debts(rows: DataFrame, key: str) -> DataFrame:
     """Debts of annual reports (Part 7) with a creditor and an amount that can be read."""
-    body = _part(rows, key, "Part 7").withColumn("a", senate_band(_named("amount"))).withColumn("creditor", _named("creditor"))
+    body = _part(rows, key, "Part 7").withColumns({"amount": _named("amount"), "creditor": _named("creditor")}).withColumn("a", senate_band(F.col("amount")))
     body = body.where((F.coalesce("creditor", F.lit("")) != "") & F.col("a.low").isNotNull())
     return body.select(key, "row", "creditor", _named("type").alias("description"), F.col("a.low").alias("amount_min"), F.col("a.high").alias("amount_max"))

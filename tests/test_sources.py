@@ -122,3 +122,29 @@ def test_seats_are_read_one_at_a_time():
     assert sum(p["rank"] for _, p in _yaml_seats(long)) == sum(range(20_000))
     assert tracemalloc.get_traced_memory()[1] < 3_000_000
     tracemalloc.stop()
+
+
+def test_senate_tables_are_read_in_one_pass(spark):
+    """Rows meet their header without a join, and the printed parts are dealt over tasks."""
+    from tallyworks.plans.queries import payloads
+    from tallyworks.plans.workload import Workload
+    from tallyworks.sources import html
+
+    rows = [
+        (1, 0, 0, ["#", "Asset", "Asset Type", "Value", "Income"], None, "Part 3. Assets"),
+        (1, 0, 1, ["7", "Fund", "Stock", "$1,001 - $15,000", ""], "Fund", "Part 3. Assets"),
+        (1, 0, 2, ["7.1", "In", "Stock", "$1,001 - $15,000", ""], "In", "Part 3. Assets"),
+        (1, 0, 3, ["8", "Alone", "Stock", "Over $50,000,000", "None (or less than $201)"], "Alone", "Part 3. Assets"),
+        (1, 0, 4, ["9", "Outer", "Stock", "$1,001 - $15,000", ""], "Outer", "Part 3. Assets"),
+        (1, 0, 5, ["9.1", "Empty", "Stock", "--", ""], "Empty", "Part 3. Assets"),
+        (1, 1, 1, ["7", "Later", "Stock", "$5 - $6", ""], "Later", "Part 3. Assets"),
+        (2, 0, 1, ["7", "Headless", "Stock", "$5 - $6", ""], "Headless", "Part 3. Assets"),
+        (None, 0, 0, ["#", "Value"], None, "Part 3. Assets"),
+        (None, 0, 1, ["7", "$5 - $6"], "Lost", "Part 3. Assets"),
+    ]
+    table = spark.createDataFrame(rows, "k long, table int, row int, cells array<string>, strong string, heading string")
+    found = html.senate_assets(table, "k")
+    assert "Join " not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.asset, r.value_min, r.value_max, r.income_max) for r in found.collect())
+    assert got == [("Alone", 50000001, None, 200), ("Empty", None, None, None), ("Fund", None, None, None), ("In", 1001, 15000, None), ("Outer", 1001, 15000, None)]
+    assert payloads._parts(Workload(spark, "/root/testdata/sf0.001")).select("part_id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
