@@ -17,10 +17,11 @@ def longest_prefix(rows: DataFrame, table: DataFrame, code: str, prefix: str, le
     """Rows with the columns of the table row whose prefix is the longest that begins the code; others keep nulls.
 
     Distinct codes are exploded into their prefixes and joined on equality, so neither side is
-    broadcast or compared pairwise. Of table rows with one prefix all are kept.
+    broadcast or compared pairwise; the hint says so, as a file of codes looks small before its
+    prefixes are made. Of table rows with one prefix all are kept.
     """
     codes = rows.select(F.trim(F.col(code).cast("string")).alias("__code")).where("__code IS NOT NULL").distinct()
-    found = codes.withColumn("__p", F.explode(F.filter(prefixes(F.col("__code")), lambda p: F.length(p) >= least))).join(table.withColumnRenamed(prefix, "__p"), "__p")
+    found = codes.withColumn("__p", F.explode(F.filter(prefixes(F.col("__code")), lambda p: F.length(p) >= least))).join(table.withColumnRenamed(prefix, "__p").hint("shuffle_hash"), "__p")
     longest = F.max(F.length("__p")).over(Window.partitionBy("__code"))
     best = found.withColumn("__l", longest).where(F.length("__p") == F.col("__l")).drop("__p", "__l")
     return rows.join(best, F.trim(rows[code].cast("string")) == best["__code"], "left").drop("__code")

@@ -426,3 +426,16 @@ def test_trades_travel_twice_and_contents_are_short(spark, sf):
     # lines to parts and to orders; parts and orders; nothing more for their numbers
     assert plan.count("Exchange hashpartitioning") == 4
     assert trades.select(F.max(F.length(restatements.content_key()))).first()[0] == 16
+
+
+def test_prefixes_of_codes_are_not_broadcast(spark, sf):
+    """Exploded codes of a small file stay dealt over tasks, in the first plan too."""
+    from tallyworks.operators import lookups
+
+    codes = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS code")
+    table = spark.createDataFrame([("1", "one"), ("12", "twelve")], "prefix string, sector string")
+    found = lookups.longest_prefix(codes, table, "code", "prefix")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [__p" in plan and "BroadcastHashJoin [__p" not in plan
+    got = {r.code: r.sector for r in found.where("code IN (1, 12, 13, 2)").collect()}
+    assert got == {1: "one", 12: "twelve", 13: "one", 2: None}
