@@ -58,40 +58,44 @@ def line_trade(line: Column) -> Column:
     """
 
     def dates(x: Column) -> Column:
-        anchor = F.regexp_instr(x, F.lit(_ANCHOR))
-        past = F.when(anchor > 0, anchor + F.length(F.regexp_substr(x, F.lit(_ANCHOR)))).otherwise(F.regexp_instr(x, F.lit(DATE)))
-        return _let(F.struct(x.alias("line"), past.alias("past"), F.nullif(F.regexp_extract(x, _AMOUNT, 1), F.lit("")).alias("amount")), parts)
+        past = _let(F.regexp_instr(x, F.lit(_ANCHOR)), lambda at: F.when(at > 0, at + F.length(F.regexp_extract(x, _ANCHOR, 0))).otherwise(F.regexp_instr(x, F.lit(DATE))))
+        return _let(F.struct(x.alias("line"), past.alias("past"), F.regexp_extract(x, _AMOUNT, 1).alias("amount")), parts)
 
     def parts(a: Column) -> Column:
         line, past, dated = a["line"], a["past"], a["past"] > 0
         before = F.when(dated, F.substr(line, F.lit(1), past - 1)).otherwise("")
         rest = F.when(dated, F.substr(line, past, F.lit(1 << 30))).otherwise("")
         days = F.regexp_extract_all(rest, F.lit(f"({DATE})"), 1)
-        head = F.when(dated, before).when(a["amount"].isNotNull(), F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(_AMOUNT)) - 1)).otherwise(line)
-        word = F.nullif(F.regexp_extract(before, r"([A-Za-z]+)\s*$", 1), F.lit(""))
+        head = F.when(dated, before).when(a["amount"] != "", F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(_AMOUNT)) - 1)).otherwise(line)
+        word = F.regexp_extract(before, r"([A-Za-z]+)\s*$", 1)
         asset = squeeze(F.regexp_replace(F.trim(head), _LAST_TYPE, ""))
-        worth = (F.length(line) >= 20) & (line.contains("$") | dated)
-        # without a date nothing stands in front of one
-        return F.when(worth, _let(F.struct(line.alias("line"), a["amount"].alias("amount"), days.alias("days"), word.alias("word"), asset.alias("asset"), without_owner(asset).alias("own")), fields))
+        return _let(F.struct(line.alias("line"), a["amount"].alias("amount"), days.alias("days"), word.alias("word"), asset.alias("asset")), kinds)
 
-    def fields(c: Column) -> Column:
+    def kinds(c: Column) -> Column:
         words = [F.when(_word_in(w, c["line"]), F.lit(name)) for name, w in (("purchase", BUY_WORDS), ("sale", SELL_WORDS), ("exchange", EXCHANGE_WORDS))]
-        kind = F.coalesce(direction(c["word"]), *words)
-        ends = F.when(c["amount"].isNotNull(), band(c["amount"]))
+        # a letter of the form has become one of these words
+        known = F.when(c["word"].isin("purchase", "sale", "exchange"), c["word"])
+        kind = F.coalesce(known, F.when(c["word"] != "", direction(c["word"])), *words)
+        ends = F.when(c["amount"] != "", band(c["amount"]))
+        more = F.struct(c.alias("c"), without_owner(c["asset"]).alias("own"), ends.alias("ends"))
+        return F.when(c["asset"] != "", _let(kind, lambda k: F.when(k.isNotNull(), _let(more, lambda m: fields(k, m["c"], m["own"], m["ends"])))))
+
+    def fields(kind: Column, c: Column, own: Column, ends: Column) -> Column:
         made = {
             "owner": F.coalesce(owner_in(c["asset"]), F.lit("Self")),
-            "asset": c["own"],
-            "ticker": ticker_in(c["own"]),
-            "asset_type": asset_type(c["own"]),
+            "asset": own,
+            "ticker": ticker_in(own),
+            "asset_type": asset_type(own),
             "direction": kind,
             "traded_on": parse_date(F.get(c["days"], 0)),
             "notified_on": parse_date(F.get(c["days"], 1)),
             "amount_min": ends["low"],
             "amount_max": ends["high"],
         }
-        return F.when(c["asset"] != "", _let(F.struct(*[x.alias(n) for n, x in made.items()]), lambda t: F.when(t["direction"].isNotNull(), t)))
+        return F.struct(*[x.alias(n) for n, x in made.items()])
 
-    return _let(line, dates)
+    # most lines are none, and a type without a date behind it is no date either
+    return _let(line, lambda x: F.when((F.length(x) >= 20) & (x.contains("$") | x.rlike(DATE)), dates(x)))
 
 
 # ---------------------------------------------------------------- tables
@@ -104,8 +108,7 @@ def headings(rows: DataFrame, key: str = "document_id") -> DataFrame:
     form's words; columns that it does not name are taken to be where the form has them,
     in the order asset, type, date, amount, owner.
     """
-    joined = F.lower(F.array_join("cells", " "))
-    words = sum(F.when(joined.contains(w), 1).otherwise(0) for w in HEADER_WORDS)
+    words = _let(F.lower(F.array_join("cells", " ")), lambda x: sum(F.when(x.contains(w), 1).otherwise(0) for w in HEADER_WORDS))
     heads = rows.where((F.col("line") < HEADER_ROWS) & (words >= HEADER_WORDS_NEEDED)).groupBy(key, "page").agg(F.min("line").alias("at"), F.min_by("cells", "line").alias("head"))
     lower = F.transform("head", lambda c: F.lower(c))
 
@@ -187,8 +190,9 @@ def whole_lines(lines: DataFrame, key: str = "document_id") -> DataFrame:
     text = F.regexp_replace(strip_nul(F.col("text")), r"\s+$", "")
     rows = lines.select(key, "page", "line", text.alias("text"))
     rows = rows.withColumn("opens", F.col("text").rlike(r"\$[\d,]+\s*[-–—]\s*$") | F.col("text").rlike(r"(?i)\b(over|above|more than)\s*$"))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("opens"), 0).otherwise(1)).over(order))
-    rows = rows.withColumn("nth", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(Window.partitionBy(key, "run").orderBy("page", "line")))
+    # the place in a run is the count of lines that break off less that at the last line that does not, so all windows share one order
+    rows = rows.withColumn("broken", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order))
+    rows = rows.withColumn("nth", F.col("broken") - F.coalesce(F.max(F.when(~F.col("opens"), F.col("broken"))).over(order), F.lit(0)))
     rows = rows.withColumn("takes", F.col("opens") & (F.col("nth") % 2 == 1))
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("taken", F.coalesce(F.lag("takes").over(order), F.lit(False)))
     met = F.get(rejoin_wrapped(F.array("text", "next")), 0)
@@ -228,8 +232,9 @@ def unread_trades(lines: DataFrame, read: DataFrame, key: str = "document_id") -
     have = read.where("asset IS NOT NULL").groupBy(F.col(key).alias("k"), trade_key(F.col("asset")).alias("a"), F.col("traded_on").alias("d"), F.col("direction").alias("x")).agg(F.count("*").alias("have"))
     same = (F.col(key) == F.col("k")) & (F.col("asset_key") == F.col("a")) & F.col("day").eqNullSafe(F.col("d")) & F.col("kind").eqNullSafe(F.col("x"))
     left = printed.withColumn("nth", nth).join(have, same, "left").where(F.col("nth") > F.coalesce("have", F.lit(0)))
-    found = left.select(key, "page", "line", line_trade(spelled(F.col("text"))).alias("t"))
-    return found.where("t.traded_on IS NOT NULL").select(key, "page", "line", "t.*")
+    # a filter on a column moves below the join and computes it for all lines, and then again; what inline gives is computed once
+    found = left.select(key, "page", "line", F.inline_outer(F.array(line_trade(spelled(F.col("text"))))))
+    return found.where("traded_on IS NOT NULL")
 
 
 def trades(documents: DataFrame, lines: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:

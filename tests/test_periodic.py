@@ -89,3 +89,21 @@ def test_grids_are_read_in_one_pass(spark):
     assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r.page, r.line, r.asset, r.direction, r.amount_min, r.amount_max, r.status) for r in found.collect())
     assert got == [(0, 2, "AB Co", "purchase", 1001, 15000, "Amended"), (0, 4, "CD Co", "sale", 50000001, None, "New")]
+
+
+def test_a_line_is_read_once(spark):
+    """No filter reads a printed trade a second time, or reads lines that the tables have; lines that break off are found in one order."""
+    lines = lines_of(spark, a="Acme Holdings (ACM) P 01/02/2024 $1,001 - $15,000")
+    read = spark.createDataFrame([], "document_id string, asset string, traded_on date, direction string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    once = plan(lines.select(periodic.line_trade(periodic.spelled(F.col("text"))).alias("t"))).count("regexp_instr")
+    assert plan(periodic.unread_trades(lines, read)).count("regexp_instr") == once > 0
+    assert periodic.whole_lines(lines)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_tables_and_lines_print_the_same_stored_trades(spark, sf):
+    from tallyworks.plans.layouts import periodic_documents
+    from tallyworks.plans.workload import Workload
+
+    for df in periodic_documents(Workload(spark, sf)):
+        assert "lineitem" not in "".join(df.inputFiles())
