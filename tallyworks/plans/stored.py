@@ -121,9 +121,11 @@ def award_ledger(w: Workload) -> DataFrame:
 
 def _replaced(w: Workload) -> dict[str, DataFrame]:
     """Filings of even thousands read again, published as the second snapshot, and read back."""
-    t = w.trades().select("filing_id", "txn_id", "ticker")
+    # rows, what is read again and findings are of the same trades
+    every = settled(w.trades().drop("sector", "part_id", "flag"), "trades")
+    t = every.select("filing_id", "txn_id", "ticker")
     read = t.where("filing_id % 2 = 0 AND ticker <> 'Brand#11'").withColumn("txn_id", F.col("txn_id") + 10**9)
-    f, members = w.findings().select("finding_id", "member_id", "filing_id", "txn_id"), w.members().withColumn("anomaly_count", F.lit(0)).withColumn("disclosure_count", F.lit(0))
+    f, members = w.findings(every).select("finding_id", "member_id", "filing_id", "txn_id"), w.members().withColumn("anomaly_count", F.lit(0)).withColumn("disclosure_count", F.lit(0))
     root = scratch(w.spark, "snapshots")
     ledger.publish({"rows": t, "findings": f, "members": members}, root, 1)
     have = {name: ledger.snapshot(w.spark, root, name) for name in ("rows", "findings", "members")}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.findings import member_counts, replace_by_key
+from ..session import settled
 
 
 #: The column of a batch's number.
@@ -84,5 +85,7 @@ def replace_filings(rows: DataFrame, findings: DataFrame, members: DataFrame, fi
     so an empty read changes nothing. Findings without a transaction stay.
     """
     gone = rows.join(read.select("filing_id").distinct(), "filing_id", "left_semi").select("txn_id").distinct()
-    left = findings.join(gone, "txn_id", "left_anti").select(*findings.columns)
+    # findings without a transaction meet no row, and would all go to one task to find none
+    named = findings.where("txn_id IS NOT NULL").join(gone, "txn_id", "left_anti").select(*findings.columns)
+    left = settled(named.unionByName(findings.where("txn_id IS NULL")), "left")  # written once, as members are counted from it too
     return {"rows": replace_by_key(rows, read, "filing_id"), "findings": left, "members": member_counts(members, left, filings)}

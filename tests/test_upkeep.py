@@ -138,3 +138,14 @@ def test_large_trades_are_kept_once(spark, sf):
     ids = lambda df: sorted(r.txn_id for r in df.collect())
     assert ids(restatements.drop_restatements(trades, of=of)) == ids(restatements.drop_restatements(trades).where(of)) == [1, 2, 3, 14, 18]
     assert "lineitem" not in "".join(QUERIES["sync_large_trades"](spark, sf).inputFiles())
+
+
+def test_findings_left_are_computed_once(spark):
+    """Members are counted from the findings left as they were written; findings without a transaction stay and are in no join."""
+    rows = spark.createDataFrame([(1, 10), (2, 20)], "filing_id long, txn_id long")
+    found = spark.createDataFrame([(1, 7, 10), (2, 7, 20), (3, 8, None), (4, None, None)], "finding_id long, member_id long, txn_id long")
+    members, filings = spark.createDataFrame([(7,), (8,)], "member_id long"), spark.createDataFrame([(7, 1)], "member_id long, filing_id long")
+    out = ledger.replace_filings(rows, found, members, filings, rows.where("filing_id = 1"))
+    assert "LeftAnti" not in out["members"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.finding_id for r in out["findings"].collect()) == [2, 3, 4]
+    assert sorted(map(tuple, out["members"].collect())) == [(7, 1, 1), (8, 1, 0)]
