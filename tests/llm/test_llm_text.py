@@ -494,6 +494,40 @@ def test_bpe_keeps_columns_and_rejects_unknown_ids(spark, odd):
     assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), TOKENIZER).where("decoded = ''").count() == 2
 
 
+def shuffled(spark):
+    """Bytes that each stage that ran so far has written for later ones."""
+    store, sc = spark._jsc.sc().statusStore(), spark.sparkContext
+    stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    ran = [s for s in map(stages.apply, range(stages.size())) if s.status().toString() == "COMPLETE"]
+    return {s.stageId(): s.shuffleWriteBytes() for s in ran}
+
+
+def test_bpe_shuffles_less_than_the_texts(spark, library, monkeypatch):
+    for name in ("BLOCK_BYTES", "BUCKET_BYTES"):
+        monkeypatch.setattr(bpe, name, 1 << 20, raising=False)
+    rng = np.random.default_rng(9)
+    known = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 10))) for _ in range(60000)])
+    rows = [(k, " ".join(known[rng.zipf(1.3, 600) % len(known)])) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).persist()
+    size, before = docs.selectExpr("sum(octet_length(text)) AS n").first().n, set(shuffled(spark))
+    got = bpe.digests(docs, TOKENIZER).collect()
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 0.9 * size  # 1.5 times the input, as tables compress texts
+    ids = [x.ids for x in library.encode_batch([t for _, t in rows], add_special_tokens=False)]
+    assert sorted((r.doc_id, r.ids_sha256) for r in got) == [(k, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for k, x in enumerate(ids)]
+    docs.unpersist()
+
+
+def test_bpe_decodes_by_the_joined_pieces(spark, library, monkeypatch):
+    texts, other = [LONG, "beta  beta", "alpha", "", None, "kappa beta\n beta"], library.encode(" beta", add_special_tokens=False).ids[0]
+    table = bpe.Vocabulary.table
+    monkeypatch.setattr(bpe.Vocabulary, "table", lambda v, s: table(v, s).withColumn("piece", F.when(F.col("id") == other, F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("piece"))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.said for r in bpe.encode(docs, TOKENIZER, decoded="said").collect()}
+    for k, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[k] == "".join("?" if i == other else library.decode([i]) for i in ids)
+
+
 # ---------------------------------------------------------------- languages
 
 
