@@ -22,9 +22,8 @@ meet on shingles that are rare: with all shingles in one order, common ones last
 of n and m shingles and a similarity of t share one of the first n - ceil(t n) + 1 of the
 one and of the first m - ceil(t m) + 1 of the other, and no pair is missed. Candidates are
 discarded by parity sketches, which never lose a pair, and the rest is verified on whole
-sets. Where two sets have more than SKETCHED shingles, so that sketches fill up, the pivot table
-and the fingerprints discard what differs in more than WIDE bits instead; one pair in 80 billion
-of similarity 0.8 does (the tail of 64 bits that differ with odds of 0.1515 each).
+sets. Large sets would fill a sketch, so theirs are longer, by a power of two; of two sketches
+the longer one is folded to the length of the other, which is its set's sketch of that length.
 First every set is compared with the nearest of the centres of its keys, one pair for
 each set, which joins groups of copies of any size; only sets that are then in different
 components meet again, in blocks inside tasks, which emit what all but the last test leave.
@@ -37,6 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +56,10 @@ PIVOTS = [0, *BIT_PAIRS, *SPREAD]
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Differing bits of fingerprints of similar large sets (9.7 on average at 0.8, with a deviation of 2.9), and shingles of
-#: two sets up to which sketches tell them apart: they differ in 400 of 1,024 bits then.
-WIDE, SKETCHED = 32, 3600
+#: Shingles of two sets up to which SKETCH words tell them apart: they differ in 400 of 1,024 bits then. Sketches of larger
+#: sets are as much longer. And the differing bits of fingerprints of large sets that all but one in 80 billion pairs of
+#: similarity 0.8 are within (9.7 on average, with a deviation of 2.9): nothing is discarded by that, as it is no proof.
+SKETCHED, WIDE = 3600, 32
 #: Differing bits up to which a set is compared with the centre of a key first; it sets the amount of work, never the result.
 CENTRAL = 24
 #: Texts hashed at a time, bytes.
@@ -219,12 +220,20 @@ def _prints(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(counts * 2 > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
-def _sketch(found: np.ndarray) -> np.ndarray:
+def _sketch(found: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """Bit b is the parity of the number of hashes that end in b: two sets differ in no fewer shingles than their sketches in bits."""
-    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def _sketch_words(n: int) -> int:
+    """Words of the sketch of a set of n: SKETCH, doubled until they tell two such sets apart."""
+    words = SKETCH
+    while 2 * n * SKETCH > SKETCHED * words:
+        words *= 2
+    return words
+
+
 def prefix(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - _SLACK)) + 1 if n else 0
 
@@ -282,7 +291,7 @@ def prefixes(docs: DataFrame, key: str, text: str, shingle: int, similarity: flo
                         at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
                         x = x[np.argsort(np.where(hot[at] == x, often[at], 0), kind="stable")]
                     firsts.append(x[: prefix(len(x), similarity)])
-                made = [pa.array(_set_ids(found)), pa.array(sizes), pa.array(_prints(found)), _lists([_sketch(x) for x in found]), _lists(firsts)]
+                made = [pa.array(_set_ids(found)), pa.array(sizes), pa.array(_prints(found)), _lists([_sketch(x, _sketch_words(len(x))) for x in found]), _lists(firsts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "mark", "v", "n", "fp", "sketch", "first"])
 
     kinds = {"v": T.LongType(), "n": T.IntegerType(), "fp": T.LongType(), "sketch": T.ArrayType(T.LongType()), "first": T.ArrayType(T.LongType())}
@@ -299,19 +308,34 @@ def _reachable(n: Column, p: Column, m: Column, q: Column, similarity: float) ->
     return F.least(n - p, m - q) >= _overlap(n, m, similarity)
 
 
+def _folded(first: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, sketches of ``size`` words) of the sets that have as many or more; sets lie end to end, ``words`` long each."""
+    rows, out = [], []
+    for length in np.unique(words[words >= size]):
+        here = np.flatnonzero(words == length)
+        rows.append(here)
+        whole = np.stack([first[a : a + length] for a in (np.cumsum(words) - words)[here]])
+        out.append(np.bitwise_xor.reduce(whole.reshape(len(here), -1, size), axis=1))
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def _compare(similarity: float):
-    """Partition sorted by (k, i, j): pairs of a group in different components that sizes, places, pivots, fingerprints and sketches leave."""
-    pivots = np.array(SPREAD, dtype=np.uint64)
+    """Partition sorted by (k, i, j): pairs of a group in different components that sizes, places and sketches leave."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         c = {n: table.column(n).to_numpy() for n in table.schema.names if n != "sketch"}
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        lists = table.column("sketch").combine_chunks()
+        words, flat = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+        # for each length of a sketch those of all sets that have it, or are folded to it, and where
+        sketches, places = {}, {}
+        for size in np.unique(words).tolist():
+            rows, sketches[size] = _folded(flat, words, size)
+            places[size] = np.zeros(len(words), dtype=np.int64)
+            places[size][rows] = np.arange(len(rows))
         group = np.stack([c[n] for n in ("k", "i", "j")], axis=1)
         head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
         stop = np.repeat(np.append(head[1:], len(group)), np.diff(np.append(head, len(group))))
-        fp = c["fp"].view(np.uint64)
-        table_of = np.bitwise_count(fp[:, None] ^ pivots).astype(np.int8)
         after = np.cumsum(stop - np.arange(len(group)) - 1)
         pairs = []
         for x in range(0, int(after[-1]), STEP):
@@ -324,16 +348,19 @@ def _compare(similarity: float):
             least = np.ceil((n + o) * (similarity / (1 + similarity)) - _SLACK)
             ok = np.minimum(n - c["p"][a], o - c["p"][b]) >= least
             a, b = a[ok], b[ok]
-            # sketches fill up where sets are large; there the pivot table and the fingerprints decide
-            large = np.flatnonzero(c["n"][a] + c["n"][b] > SKETCHED)
-            far = np.abs(table_of[a[large]] - table_of[b[large]]).max(axis=1, initial=0) > WIDE
-            far |= np.bitwise_count(fp[a[large]] ^ fp[b[large]]) > WIDE
-            a, b = np.delete(a, large[far]), np.delete(b, large[far])
             n, o = c["n"][a], c["n"][b]
             most = n + o - 2 * np.ceil((n + o) * (similarity / (1 + similarity)) - _SLACK)
-            for words in (slice(0, 2), slice(0, SKETCH)):  # differing bits of a part are differing bits
-                ok = np.concatenate([np.bitwise_count(sketch[a[k : k + PART], words] ^ sketch[b[k : k + PART], words]).sum(axis=1, dtype=np.int64) <= most[k : k + PART] for k in range(0, len(a), PART)] or [np.zeros(0, bool)])
-                a, b, most = a[ok], b[ok], most[ok]
+            size = np.minimum(words[a], words[b])
+            ok = np.zeros(len(a), bool)
+            for length, sketch in sketches.items():
+                left = np.flatnonzero(size == length)
+                for upto in (2, length):  # differing bits of a part are differing bits
+                    step = max(1, PART * SKETCH // length)
+                    x, y = places[length][a[left]], places[length][b[left]]
+                    few = [np.bitwise_count(sketch[x[k : k + step], :upto] ^ sketch[y[k : k + step], :upto]).sum(axis=1, dtype=np.int64) <= most[left[k : k + step]] for k in range(0, len(left), step)]
+                    left = left[np.concatenate([*few, np.zeros(0, bool)])]
+                ok[left] = True
+            a, b = a[ok], b[ok]
             pairs.append(np.stack([c["v"][a], c["v"][b]]))
         found = np.sort(np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1), axis=0)
         found = np.unique(found, axis=1)
@@ -374,10 +401,16 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     met, met_path = settle(met.join(several, "k").join(fps, "v"))
     unsettle(spark, some_path)
 
+    def folded(sketch: str, size: Column) -> Column:
+        """The sketch at ``size`` words, of which it has a multiple."""
+        every = lambda k: F.filter(sketch, lambda x, i: i % size == k)
+        return F.when(F.size(sketch) == size, F.col(sketch)).otherwise(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.aggregate(every(k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))))
+
     def close(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that their sketches leave."""
         a, b = (prints.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).dropDuplicates([x]) for x in "ab")
-        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        size = F.least(F.size("sa"), F.size("sb"))
+        differ = F.aggregate(F.zip_with(folded("sa", size), folded("sb", size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         return pairs.join(a, "a").join(b, "b").where(differ <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), similarity)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -397,10 +430,10 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     star = met.join(centre, "k").where(F.col("v") != F.col("o.v")).where(near & (apart <= CENTRAL)).groupBy("v").agg(F.min(F.struct(apart.alias("d"), F.col("o.v").alias("v"))).alias("o"))
     star = verified(close(star.select(F.least("v", "o.v").alias("a"), F.greatest("v", "o.v").alias("b")).distinct()))
     reach = connected_components(star).withColumnRenamed("node", "v")
-    named = met.join(reach, "v", "left").select("k", "v", "n", "p", "fp", F.coalesce("component", "v").alias("c"))
+    named = met.join(reach, "v", "left").select("k", "v", "n", "p", F.coalesce("component", "v").alias("c"))
     open_ = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows")).where("c0 < c1").select("k", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     dealt = named.join(open_, "k").join(one.select("v", "sketch"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", "v", "n", "p", "fp", "sketch", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = dealt.select("k", "v", "n", "p", "sketch", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     left = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidy(_compare(similarity)), "a long, b long").distinct()
     out = star.union(verified(left))
     unsettle(spark, met_path)
